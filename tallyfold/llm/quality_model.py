@@ -25,6 +25,8 @@ EPOCHS, RATE, SEED = 12, 0.6, 7
 #: Bytes that one pass of numpy works on, whatever the texts' lengths.
 BLOCK_BYTES = 1 << 20
 
+REPEATED = np.uint64(1)
+
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 _SPACES = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
@@ -39,7 +41,8 @@ def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
 def features(block: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     """(positions, buckets) of the character n-grams and of the words of a block that begins and ends with a space.
 
-    n-grams count bytes; the space at either end of a word takes part as its border.
+    n-grams count bytes; the space at either end of a word takes part as its border. A word that repeats the one just
+    before it counts as one more feature, the same for all words: word pairs, reduced to whether they are equal.
     """
     b = np.frombuffer(block, dtype=np.uint8)
     space = b == 0x20
@@ -64,6 +67,8 @@ def features(block: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(wide * powers)])
         h = (sums[ends] - sums[starts]) * np.cumprod(np.full(len(b), np.uint64(pow(0x100000001B3, -1, 1 << 64)), dtype=np.uint64))[starts]
         found.append((starts, _bucket(h, 0)))
+        same = np.flatnonzero((h[1:] == h[:-1]) & (starts[1:] - ends[:-1] == 1)) + 1
+        found.append((starts[same], _bucket(np.full(len(same), REPEATED), 1)))
     return found
 
 
