@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyfold_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    out = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{top.name}.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(out)
+    sc._tallyfold_shipped = True
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], dict[str, pa.Array]]], schema: str, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """Run a function over every text, a batch at a time.
 
@@ -57,6 +72,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], dict[str, pa.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    ship(spark)
     keep = [id_col, *(keep or [])]
     slim = docs.select(*[F.col(c) for c in dict.fromkeys([*keep, text_col])])
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in keep]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, language_id, quality_model, quality_rules
+from tallyfold.llm import bpe, language_id, quality_model, quality_rules, toxicity
 from tallyfold.llm.base import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.filter(~held_out()), table(spark, sf_dir, "labels"))
+    scored = toxicity.predict(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model.fit(docs.filter(~held_out()), table(spark, sf_dir, "labels"))
@@ -38,6 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_model": op7_quality_model,
     "op9_quality_rules": op9_quality_rules,
 }
