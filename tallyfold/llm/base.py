@@ -114,5 +114,15 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
+def sample_ids(rows: DataFrame, most: int) -> DataFrame:
+    """From (id, class): about ``most`` ids of each class, all where there are fewer, chosen by a hash of the id.
+
+    The classes are counted first, then each row decides by itself: nothing is sorted and no class meets in one task.
+    """
+    share = rows.groupBy("class").agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count(F.lit(1))).alias("share"))
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    return rows.join(F.broadcast(share), "class").filter(place < F.col("share")).select("id", "class")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

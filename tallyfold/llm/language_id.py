@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import map_texts
+from tallyfold.llm.base import map_texts, sample_ids
 
-#: The model is fitted on at most this many documents of a language, chosen by a hash of the id, with their whole texts.
+#: The model is fitted on about this many documents of a language, chosen by a hash of the id, with their whole texts.
 SAMPLE_DOCS = 2000
 #: And keeps at most this many words and n-grams of a language, the most frequent ones.
 MODEL_WORDS, MODEL_GRAMS = 30_000, 30_000
@@ -54,11 +54,9 @@ def _log_frequencies(counts: list, languages: list[str]) -> dict[str, np.ndarray
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with a text and a language. Ids and languages alone are read to choose the sample."""
-    w = Window.partitionBy("lang").orderBy("h", "id")
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    chosen = ids.select("id", "lang", F.row_number().over(w).alias("r")).filter(F.col("r") <= SAMPLE_DOCS).select("id").distinct()
-    # At most SAMPLE_DOCS * MAX_LANGUAGES ids of a few bytes: small enough to send to every executor.
+    chosen = sample_ids(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("class")), SAMPLE_DOCS).select("id").distinct()
+    # About SAMPLE_DOCS * MAX_LANGUAGES ids of a few bytes at most: small enough to send to every executor.
     sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
     words = F.filter(F.split(F.lower("text"), r"\P{L}+"), lambda x: x != "")
     counts = sample.select("lang", F.explode(words).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import map_texts
+from tallyfold.llm.base import map_texts, sample_ids
 
-#: Trained on at most this many labelled documents of each class, chosen by a hash of the id, with their whole texts.
+#: Trained on about this many labelled documents of each class, chosen by a hash of the id, with their whole texts.
 SAMPLE_DOCS = 1500
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4)
 EPOCHS, RATE, SEED = 12, 0.6, 7
@@ -153,11 +153,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from documents with a label 0 or 1. Features are counted in Spark's tasks; the driver gets a bounded number of rows."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    ids = docs.select(F.col(id_col).alias("id")).join(known, "id").select("id", "y", F.xxhash64(F.col("id").cast("string")).alias("h"))
-    ranked = ids.select("id", "y", F.row_number().over(Window.partitionBy("y").orderBy("h", "id")).alias("r"))
-    chosen = ranked.filter(F.col("r") <= SAMPLE_DOCS).groupBy("id").agg(F.max("y").alias("y"))
-    # At most 2 * SAMPLE_DOCS ids: small enough to send to every executor.
+    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("class"))
+    ids = docs.select(F.col(id_col).alias("id")).join(known, "id").select("id", "class")
+    chosen = sample_ids(ids, SAMPLE_DOCS).groupBy("id").agg(F.max("class").alias("y"))
+    # About 2 * SAMPLE_DOCS ids: small enough to send to every executor.
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def make() -> Callable[[list], dict]:

@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import map_texts
+from tallyfold.llm.base import map_texts, sample_ids
 
-#: Learned from at most this many labelled documents of each class, chosen by a hash of the id, with their whole texts.
+#: Learned from about this many labelled documents of each class, chosen by a hash of the id, with their whole texts.
 SAMPLE_DOCS = 3000
 #: A term needs this many different surroundings in toxic documents (copies of one text add none) and one in this share
 #: of them, must be this many times as frequent there as in others, and is one of at most MAX_TERMS.
@@ -197,7 +197,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     by_term = around.groupBy("term").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other"))
     total = around.agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")).first()
     least = max(MIN_CONTEXTS, MIN_SHARE * sample.filter("y = 1").count())
-    ratio = (F.col("toxic") / float(total["t"] or 1)) / ((F.col("other") + 0.5) / float((total["o"] or 0) + 1))
+    ratio = (F.col("toxic") / float(total["t"] or 1)) / ((F.col("other") + 2) / float((total["o"] or 0) + 1))
     chosen = by_term.filter((F.col("toxic") >= least) & (F.length("term") >= 3)).select("term", "toxic", ratio.alias("ratio")).filter(F.col("ratio") >= MIN_RATIO)
     rows = chosen.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()
     return Lexicon([r["term"] for r in rows], [float(np.log(r["ratio"])) for r in rows])
@@ -215,11 +215,10 @@ def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn lexicon and weights from documents with a label 0 or 1; the driver gets a bounded number of small rows."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    ids = docs.select(F.col(id_col).alias("id")).join(known, "id").select("id", "y", F.xxhash64(F.col("id").cast("string")).alias("h"))
-    ranked = ids.select("id", "y", F.row_number().over(Window.partitionBy("y").orderBy("h", "id")).alias("r"))
-    chosen = ranked.filter(F.col("r") <= SAMPLE_DOCS).groupBy("id").agg(F.max("y").alias("y"))
-    # At most 2 * SAMPLE_DOCS ids: small enough to send to every executor.
+    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("class"))
+    ids = docs.select(F.col(id_col).alias("id")).join(known, "id").select("id", "class")
+    chosen = sample_ids(ids, SAMPLE_DOCS).groupBy("id").agg(F.max("class").alias("y"))
+    # About 2 * SAMPLE_DOCS ids: small enough to send to every executor.
     sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     lexicon = learn_lexicon(sample)
     rows = _featurise(sample, lexicon, lambda x: {"x": pa.array(x.tolist(), pa.list_(pa.float64()))}, "x array<double>", "id", "text", ["y"]).select("x", "y").collect()
