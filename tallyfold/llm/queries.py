@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, language_id, quality_model, quality_rules, toxicity
+from tallyfold.llm import bpe, decontaminate, language_id, quality_model, quality_rules, simhash, toxicity
 from tallyfold.llm.base import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,6 +43,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality_rules.verdicts(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_quality_model": op7_quality_model,
+    "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
 }
 
