@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, language_id, quality_model, quality_rules, simhash, toxicity
+from tallyfold.llm import bpe, decontaminate, language_id, quality_model, quality_rules, simhash, substrings, toxicity
 from tallyfold.llm.base import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
@@ -53,6 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op5_language_id": op5_language_id,
