@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, language_id, quality_model, quality_rules, simhash, substrings, toxicity
+from tallyfold.llm import bpe, decontaminate, language_id, pii, quality_model, quality_rules, simhash, substrings, toxicity
 from tallyfold.llm.base import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = list(pii.PATTERNS)
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"),
+        pii.span_list([*base, "term"]).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
@@ -65,6 +76,7 @@ QUERIES = {
     "op7_quality_model": op7_quality_model,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
