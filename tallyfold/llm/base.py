@@ -109,6 +109,21 @@ def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return df.limit(limit // row_bytes + 1).count() * row_bytes <= limit
 
 
+def where(df: DataFrame, condition) -> DataFrame:
+    """Filter on computed columns as they are, without pushing the condition into what computes them.
+
+    Pushed down, long expressions would be copied into the filter and worked out once more for each mention. A column
+    that is not deterministic holds it back.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).filter(condition & (F.col("_at") >= 0)).drop("_at")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs less the rows whose id is in ids (one column, id); that is sent to all executors only if it is small."""
+    ids = ids.select(F.col("id").alias("_out"))
+    return docs.join(F.broadcast(ids) if fits(ids, 16) else ids, F.col(id_col) == F.col("_out"), "left_anti")
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the rows that no model learns from: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2

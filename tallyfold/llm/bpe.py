@@ -184,10 +184,11 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
     return map_texts(encoded, make, "decoded binary", id_col, "ids", keep=["ids"])
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """n_tokens and the SHA-256 of ids and of the decoded bytes."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """n_tokens and the SHA-256 of ids and of the decoded bytes; the columns in keep as well."""
     return decoded.select(
         id_col,
+        *(keep or []),
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import wordhash
-from tallyfold.llm.base import WORD_BYTES, cut, map_texts
+from tallyfold.llm.base import WORD_BYTES, cut, map_texts, without
 
 WINDOW, SHINGLE = 10, 3
 #: Bits of the bitmap that every task gets: 2 MB.
@@ -148,3 +148,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     ).n
     out = grouped.select(F.col("id").alias(id_col), "n_words", covered.alias("n_hit"), "items")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, whose id has no text that holds a benchmark window."""
+    found = contamination(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select(F.col(id_col).alias("id"))
+    return without(docs, cut(found.distinct()), id_col)

@@ -67,12 +67,13 @@ def _located(parts: Column, gaps: Column, passes, value=lambda x: x) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found")), step)["found"]
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
     """(id, text, text_hash, email, ip, card, phone): for each kind its matches that pass, (start, end, value), by start.
 
-    Positions count code points, end exclusive. Null is as an empty text. One row per row.
+    Positions count code points, end exclusive. Null is as an empty text. One row per row. keep is carried as row.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keep = F.lit(None) if keep is None else keep
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), keep.alias("row"))
     none = F.array().cast("array<string>")
     parts = []
     for kind, (pattern, sign) in PATTERNS.items():
@@ -83,9 +84,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             F.when(may, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{kind}_m"),
             F.when(may, F.split("text", pattern, -1)).otherwise(none).alias(f"{kind}_g"),
         ]
-    d = d.select("id", "text", F.xxhash64("text").alias("text_hash"), *parts)
+    d = d.select("id", "text", "row", F.xxhash64("text").alias("text_hash"), *parts)
     found = [F.when(F.size(f"{k}_m") > 0, _located(F.col(f"{k}_m"), F.col(f"{k}_g"), lambda x, k=k: _passes(k, x))).otherwise(F.array().cast(_FOUND)).alias(k) for k in PATTERNS]
-    return d.select("id", "text", "text_hash", *found)
+    return d.select("id", "text", "row", "text_hash", *found)
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -156,12 +157,12 @@ def with_terms(found: DataFrame, disclosing: DataFrame | None, remove: float = R
     gone = lambda x: F.when(F.exists("terms", lambda t: (t.term == x) & t.gone), F.lit("removed")).otherwise(F.lit("generalised"))
     walked = _located(F.col("_w"), F.col("_g"), lambda x: F.exists("terms", lambda t: t.term == x), gone)
     same_length = F.char_length(F.lower("text")) == F.char_length("text")  # else places would not be those of the text
-    return d.select("id", "text", "text_hash", *PATTERNS, F.when(F.col("terms").isNotNull() & (F.size("_w") > 0) & same_length, walked).otherwise(F.array().cast(_FOUND)).alias("term"))
+    return d.select("id", "text", "row", "text_hash", *PATTERNS, F.when(F.col("terms").isNotNull() & (F.size("_w") > 0) & same_length, walked).otherwise(F.array().cast(_FOUND)).alias("term"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, text_hash, email, ip, card, phone, term) for every row; null is as an empty text."""
-    found = find(docs, id_col, text_col)
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
+    """(id, text, row, text_hash, email, ip, card, phone, term) for every row; null is as an empty text."""
+    found = find(docs, id_col, text_col, keep)
     return with_terms(found, disclosing_terms(found))
 
 
@@ -187,3 +188,11 @@ def sanitised(found: DataFrame) -> Column:
     walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
     rest = F.substring(F.col("text"), walked["at"] + 1, F.char_length("text"))
     return F.when(F.size(spans) > 0, F.concat(F.array_join(walked["out"], ""), rest)).otherwise(F.col("text"))
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs, all columns, with sanitised texts and, where there is such a column, their lengths. Null texts stay null."""
+    found = personal_data(docs, id_col, text_col, F.struct(*docs.columns))
+    new = F.when(F.col("row")[text_col].isNotNull(), sanitised(found))
+    columns = [new.alias(c) if c == text_col else F.char_length(new).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return found.select(*columns)

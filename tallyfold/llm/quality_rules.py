@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.base import where
+
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,7 +56,7 @@ def _count(text: Column, chars: str) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id column and the measurements, one row per row; null is as an empty text: zeros.
+    """The id column (or struct) and the measurements, one row per row; null is as an empty text: zeros.
 
     Repeated word triples are found by their 64-bit hashes, sorted within the document: memory and time follow one
     text's length (n log n), and no row leaves its partition. Two different triples of one text share a hash with
@@ -134,3 +136,9 @@ def verdicts(docs: DataFrame, policy: str = "web-1", id_col: str = "doc_id", tex
     base = F.col("failed").bitwiseAND(F.lit(_mask(BASE)).cast("long")) != 0
     d = apply_policy(ledger(docs, id_col, text_col), policy).withColumn("base_failed", base)
     return d.withColumn("kept", F.col("kept") & ~F.col("base_failed"))
+
+
+def keep_documents(docs: DataFrame, policy: str = "web-1", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that neither a base rule nor the policy rejects."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return where(verdicts(packed, policy, "row", "text"), F.col("kept")).select("row.*")

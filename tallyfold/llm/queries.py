@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, language_id, pii, quality_model, quality_rules, simhash, substrings, toxicity
+from tallyfold.llm import bpe, chat, decontaminate, language_id, pii, quality_model, quality_rules, simhash, substrings, toxicity
 from tallyfold.llm.base import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(*chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.SCHEMAS)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~held_out()))
@@ -71,6 +75,7 @@ QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
+    "op4_chat": op4_chat,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_quality_model": op7_quality_model,

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import cut, map_texts, space_words
+from tallyfold.llm.base import cut, map_texts, space_words, without
 from tallyfold.llm.components import components
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
@@ -220,3 +220,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     named = leaves.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return own.join(named, "fp").select(F.col("id").alias(id_col), digits, "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, of the document with the smallest id of each group; of rows with one id, one stays."""
+    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "component_id"))
+    left = without(docs, found.filter("id != component_id").select("id").distinct(), id_col)
+    twice = cut(found.groupBy("id").count().filter("count > 1").select("id"))
+    if twice.isEmpty():
+        return left
+    again = left.join(twice.select(F.col("id").alias("_twice")), F.col(id_col).eqNullSafe(F.col("_twice")), "left_semi")
+    return without(left.filter(F.col(id_col).isNotNull()), twice.filter("id is not null"), id_col).unionByName(again.dropDuplicates([id_col]))
