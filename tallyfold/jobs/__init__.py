@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfold.jobs import registry, signals
+from tallyfold.jobs import cross_sections, registry, series, signals
 
 
 def queries() -> dict:

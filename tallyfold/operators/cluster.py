@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.sources.storage import ship
+
 #: A universe whose correlation matrix one task groups has at most so many series.
 MAX_SERIES = 5000
 
@@ -23,6 +25,7 @@ def pairwise(returns: DataFrame) -> DataFrame:
     ids = returns.select("series_id").distinct()
     grid = ids.select(F.col("series_id").alias("a")).crossJoin(ids.select(F.col("series_id").alias("b")))
     value = F.nullif(F.col("corr"), F.lit(float("nan")))
+    value = F.when((F.col("a") == F.col("b")) & value.isNotNull(), 1.0).otherwise(value)  # exactly, so that equal means stay equal
     return grid.join(mirrored, ["a", "b"], "left").select("a", "b", F.coalesce(value, F.lit(-1.0)).alias("corr"))
 
 
@@ -93,6 +96,7 @@ def grouped(pairs: DataFrame, thresholds: list[float] | None = None, universe: s
         rows = tree_order(m.to_numpy(float), thresholds)
         return pd.DataFrame({"series_id": [m.index[i] for i, _ in rows], "order_no": range(len(rows)), "path": [list(p) for _, p in rows]})
 
+    ship(pairs.sparkSession)
     kind = pairs.schema["a"].dataType.simpleString()
     return keyed.select("_u", "a", "b", "corr").groupBy("_u").applyInPandas(solve, f"series_id {kind}, order_no long, path array<int>")
 
@@ -104,6 +108,7 @@ def chosen_threshold(pairs: DataFrame) -> DataFrame:
         m = pdf.pivot(index="a", columns="b", values="corr").sort_index().sort_index(axis=1)
         return pd.DataFrame({"threshold": [best_threshold(m.to_numpy(float))]})
 
+    ship(pairs.sparkSession)
     return pairs.withColumn("_u", F.lit(0)).select("_u", "a", "b", "corr").groupBy("_u").applyInPandas(solve, "threshold double")
 
 
@@ -128,6 +133,7 @@ def rescaled(df: DataFrame, universe: str | None = None) -> DataFrame:
         long = pd.DataFrame(out, index=wide.index, columns=wide.columns).reset_index().melt(id_vars="i", var_name="series_id", value_name="value")
         return long[["series_id", "i", "value"]]
 
+    ship(df.sparkSession)
     kind = df.schema["series_id"].dataType.simpleString()
     return keyed.select("_u", "series_id", "i", F.col("value").cast("double")).groupBy("_u").applyInPandas(solve, f"series_id {kind}, i long, value double")
 

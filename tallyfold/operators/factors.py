@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.operators.linalg import ols
-from tallyfold.operators.windows import so_far
+from tallyfold.operators.windows import ref, reldiff, so_far
+from tallyfold.sources.storage import ship
 
 #: Measure -> letters of its upper, middle and lower bucket.
 LETTERS = {"pb_ratio": ("H", "M", "L"), "roe": ("R", "N_roe", "W"), "asset_growth": ("A", "N_growth", "C")}
@@ -87,14 +88,13 @@ def attribution(returns: DataFrame, factors: DataFrame, risk_free: DataFrame) ->
         beta, p = ols(pdf["ret"].to_numpy(float), pdf[terms].to_numpy(float))
         return pd.DataFrame({"deal": pdf["deal"].iloc[0], "period": (first + pd.offsets.MonthEnd(0)).date(), "term": TERMS, "beta": beta, "p_value": np.where(np.isnan(p), None, p)})
 
+    ship(returns.sparkSession)
     deal = returns.schema["deal"].dataType.simpleString()
     return rows.groupBy("deal", "year", "quarter").applyInPandas(fit, f"deal {deal}, period date, term string, beta double, p_value double")
 
 
 def portfolio_nav(df: DataFrame, w, pos: str = "pos", price: str = "close") -> DataFrame:
     """(date, nav): compounded sum over assets of the return times the position of the row before."""
-    from tallyfold.operators.windows import ref, reldiff
-
     parts = df.select("date", (reldiff(F.col(price), w) * ref(F.col(pos), 1, w)).alias("r"))
     total = parts.groupBy("date").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("r"))
     return total.select("date", F.product(1 + F.col("r")).over(so_far(Window.orderBy("date"))).alias("nav"))
@@ -159,6 +159,7 @@ def poly_fit(df: DataFrame, x: str, y: str, by: str, degree: int = 3) -> DataFra
                     out.append(np.full(degree + 1, np.nan))
             yield pd.concat([b[[by]].reset_index(drop=True), pd.DataFrame(np.array(out).reshape(-1, degree + 1), columns=[f"c{k}" for k in range(degree + 1)])], axis=1)
 
+    ship(df.sparkSession)
     kind = df.schema[by].dataType.simpleString()
     return rows.mapInPandas(solve, f"{by} {kind}, " + ", ".join(f"c{k} double" for k in range(degree + 1)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.cells import is_true
 from tallyfold.operators.linalg import residuals
 from tallyfold.operators.windows import reduce_freq
+from tallyfold.sources.storage import ship
 
 
 def _dates(*more: str):
@@ -26,7 +27,7 @@ def pct(x: Column, older: bool = False) -> Column:
     return F.when(x.isNotNull(), rank_in_row(x) / (n if older else F.nullif(n - 1, F.lit(0))))
 
 
-def top_n(score: Column, subset: Column, n: int) -> DataFrame:
+def top_n(score: Column, subset: Column, n: int) -> Column:
     """Whether a cell is among the n smallest scores of the date's subset; missing scores come last."""
     chosen = is_true(subset)
     place = F.row_number().over(Window.partitionBy("date", chosen).orderBy(score.asc_nulls_last(), F.col("asset")))
@@ -84,7 +85,8 @@ def positions(df: DataFrame, factor: str, excluded: Column, lo: float, hi: float
     One shuffle by date for the ranks, one by asset for the holding.
     """
     p = pct(F.when(~is_true(excluded), F.col(factor)))
-    raw = F.when(p.between(lo, hi), 1.0).otherwise(0.0) - (F.when(p.between(1 - hi, 1 - lo), 1.0).otherwise(0.0) if short else F.lit(0.0))
+    low = p.between(round(1 - hi, 12), round(1 - lo, 12))  # 1 - 0.8 is 0.2
+    raw = F.when(p.between(lo, hi), 1.0).otherwise(0.0) - (F.when(low, 1.0).otherwise(0.0) if short else F.lit(0.0))
     d = df.withColumn("_raw", raw).withColumn("_out", is_true(excluded))
     held = reduce_freq(F.col("_raw"), F.col("i"), w, every)
     return d.withColumn("pos", F.when(F.col("_out"), 0.0).otherwise(held)).drop("_raw", "_out")
@@ -130,6 +132,7 @@ def residual_many(df: DataFrame, y: str, bases: list[str]) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[["asset", "date"]].assign(residual=residuals(pdf[y].to_numpy(float), pdf[bases].to_numpy(float)))
 
+    ship(df.sparkSession)
     asset = df.schema["asset"].dataType.simpleString()
     slim = df.select("asset", "date", F.col(y).cast("double"), *[F.col(b).cast("double") for b in bases])
     return slim.groupBy("date").applyInPandas(solve, f"asset {asset}, date date, residual double")
