@@ -34,9 +34,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return bpe.digests(decoded, keep=["ids"])
+    encoded = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_decoded=True)
+    return bpe.digests(encoded, keep=["ids"])
 
 
 STAGES = [

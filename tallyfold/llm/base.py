@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
+import gc
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.sources.storage import cut, ship, shared_folder as checkpoint_dir  # noqa: F401
+
 #: Rows that one Arrow batch holds at most, so that a batch of long texts fits a Python worker.
 BATCH_ROWS = 256
 
@@ -50,20 +49,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python workers, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tallyfold_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{top.name}.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(out)
-    sc._tallyfold_shipped = True
-
-
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], dict[str, pa.Array]]], schema: str, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """Run a function over every text, a batch at a time.
 
@@ -83,27 +68,13 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], dict[str, pa.
             new = work(b.column(b.schema.get_field_index(text_col)).to_pylist())
             arrays = [b.column(b.schema.get_field_index(c)) for c in keep] + list(new.values())
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *new])
+        del work  # the worker lives on for other tasks: give back what this one held
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(run, ", ".join([*kept, schema]))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    sc = spark.sparkContext
-    if not there and not sc._jsc.sc().getCheckpointDir().isDefined():
-        there = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if there and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(there)
-    return there or sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the rows, counted, stay under the limit at row_bytes each."""
     return df.limit(limit // row_bytes + 1).count() * row_bytes <= limit

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.base import map_texts
 
 #: Entries that a worker remembers of each kind; beyond, it starts anew, so memory is bounded for any corpus.
-MEMO_PIECES, MEMO_PAIRS = 400_000, 1_000_000
+MEMO_PIECES, MEMO_PAIRS = 150_000, 200_000
 
 #: A vocabulary beyond this many bytes is refused: it is sent to every worker.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -148,8 +148,13 @@ class Pieces(dict):
         return ids
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", as_array: bool = False) -> DataFrame:
-    """Encode each text: the id column and ids.
+def _decoder(ranks: dict[str, int]) -> Callable[[bytes | None], bytes]:
+    token = {i: t.encode("latin-1") for t, i in ranks.items()}.__getitem__
+    return lambda ids: b"".join(map(token, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", as_array: bool = False, with_decoded: bool = False) -> DataFrame:
+    """Encode each text: the id column and ids; with_decoded also decodes these ids, in the same pass, to decoded (binary).
 
     ids is binary, little-endian unsigned 32-bit integers, or array<int> with as_array. Null and empty texts give no
     ids. Every row, repeated ones too, gives one row. The rank file is read on the driver, where its size is checked.
@@ -160,26 +165,25 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def make() -> Callable[[list], dict]:
         pieces, find = Pieces(Encoder(*shared.value)), regex.compile(pattern).findall
+        back = _decoder(shared.value[0]) if with_decoded else None
 
         def work(texts: list) -> dict:
             ids = [b"".join(map(pieces.__getitem__, find(t))) if t else b"" for t in texts]
-            if as_array:
-                return {"ids": pa.array([np.frombuffer(x, "<u4").astype("int32") for x in ids], pa.list_(pa.int32()))}
-            return {"ids": pa.array(ids, pa.binary())}
+            out = {"ids": pa.array([np.frombuffer(x, "<u4").astype("int32") for x in ids], pa.list_(pa.int32())) if as_array else pa.array(ids, pa.binary())}
+            return out | ({"decoded": pa.array([back(x) for x in ids], pa.binary())} if back else {})
 
         return work
 
-    return map_texts(docs, make, "ids array<int>" if as_array else "ids binary", id_col, text_col)
+    return map_texts(docs, make, ("ids array<int>" if as_array else "ids binary") + ", decoded binary" * with_decoded, id_col, text_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """Decode binary ids to bytes: the id column, ids and decoded (binary). Null ids give no bytes; an unknown id fails."""
-    ranks = read_ranks(ranks_path)
-    shared = encoded.sparkSession.sparkContext.broadcast({i: t.encode("latin-1") for t, i in ranks.items()})
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def make() -> Callable[[list], dict]:
-        token = shared.value.__getitem__
-        return lambda found: {"decoded": pa.array([b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in found], pa.binary())}
+        back = _decoder(shared.value)
+        return lambda found: {"decoded": pa.array([back(x) for x in found], pa.binary())}
 
     return map_texts(encoded, make, "decoded binary", id_col, "ids", keep=["ids"])
 
