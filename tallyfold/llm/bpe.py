@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.base import map_texts
 
 #: Entries that a worker remembers of each kind; beyond, it starts anew, so memory is bounded for any corpus.
-MEMO_PIECES, MEMO_PAIRS = 150_000, 200_000
+MEMO_PIECES, MEMO_PAIRS = 200_000, 300_000
 
 #: A vocabulary beyond this many bytes is refused: it is sent to every worker.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -69,7 +69,7 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for token in ranks:
             if token not in unreached:
-                self.automaton.add_word(token, token)
+                self.automaton.add_word(token, (len(token) - 1, token))
         self.automaton.make_automaton()
         self.shorter: dict[str, str | None] = {}
         self.edges: tuple[dict, dict] = ({}, {})
@@ -113,14 +113,14 @@ class Encoder:
             return [self.ranks[piece]]
         n = len(piece)
         longest: list[str | None] = [None] * n
-        for end, token in self.automaton.iter(piece):
-            longest[end - len(token) + 1] = token  # ends come in rising order: the last is the longest
+        for end, (back, token) in self.automaton.iter(piece):
+            longest[end - back] = token  # ends come in rising order: the last is the longest
         out: list[str] = []
         dead = bytearray(n + 1)  # borders that no encoding can have
-        at, token = 0, longest[0]
+        at, token, pairs = 0, longest[0], self.pairs
         while at < n:
             end = at + len(token)
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
+            if not dead[end] and (not out or pairs.get((out[-1], token)) or self.compatible(out[-1], token)):
                 out.append(token)
                 at = end
                 token = longest[at] if at < n else None
@@ -134,15 +134,22 @@ class Encoder:
 
 
 class Pieces(dict):
-    """Piece of text -> its ids as little-endian 32-bit integers, worked out when first asked for."""
+    """Piece of text -> its ids as little-endian 32-bit integers, worked out when first asked for.
+
+    Once full, the pieces become the older generation, from which those still in use are taken over.
+    """
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_PIECES:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.encoder.encode(piece.encode("utf-8", "replace").decode("latin-1")), dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.encoder.encode(piece.encode("utf-8", "replace").decode("latin-1")), dtype="<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
