@@ -32,7 +32,7 @@ MEMO_WORDS, MEMO_STATES = 400_000, 50_000
 QUOTES = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")
 REPORTING = frozenset("said says say saying wrote writes quote quoted quotes called calls calling term word words insult insults reported dit disait appelé citation sagte nannte wort zitat dijo llamó palabra cita".split())
 ADDRESS = frozenset("you your yours yourself youre u ur tu toi vous ton votre du dich dir ihr euch sie tú te vosotros usted ustedes".split())
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+WORD = re.compile(r"[^\W_]+")
 
 FEATURES = ("exact", "exact_quoted", "one_edit", "two_edits", "edited_quoted", "addressed", "weight", "share")
 
