@@ -18,6 +18,7 @@ from tallyfold.operators import panel as pn
 from tallyfold.operators import windows as w
 from tallyfold.sources import files as io
 from tallyfold.sources.storage import scratch
+from tallyfold.streaming.ingest import ingest, stored
 
 # alignment
 
@@ -57,6 +58,15 @@ def _(spark, sf_dir):
     return al.merge_into(*new_and_old(spark, sf_dir))
 
 
+@query("J4_stream_ingest", f"SELECT event_type AS series_id, CAST(ts AS DATE) AS time, {rs('avg(value)')} AS value FROM events GROUP BY 1, 2")
+def _(spark, sf_dir):
+    kept = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kept).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    store = scratch(spark, "store")
+    ingest(stream, F.col("event_type"), F.col("ts").cast("date"), F.col("value"), store, scratch(spark, "progress")).awaitTermination()
+    return stored(spark, store).select("series_id", "time", r("value").alias("value"))
+
+
 @query("J5_union_times", f"WITH {SERIES} SELECT DISTINCT time FROM series")
 def _(spark, sf_dir):
     return al.union_times(series(spark, sf_dir))
