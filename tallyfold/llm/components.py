@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         new = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         for _ in range(2):
-            up = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
+            # Dealt anew, though it lies by id already: only then can Spark split the many nodes of one label.
+            up = new.select(F.negative(F.negative("id")).alias("component"), F.col("component").alias("up"))
             new = new.join(up, "component", "left").select("id", "old", F.least("component", "up").alias("component"))
         new = cut(new)
         if new.filter("component != old").isEmpty():
