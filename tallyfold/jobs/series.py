@@ -250,11 +250,19 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.pairwise(_returns(spark, sf_dir)).select("a", "b", r("corr", 9).alias("corr"))
 
 
-@query("T1_pairwise", f"WITH {_RETURNS} SELECT x.series_id AS a, y.series_id AS b, {rs('coalesce(corr(x.ret, y.ret), -1)', 9)} AS corr FROM ret x JOIN ret y ON x.i = y.i GROUP BY 1, 2")
+_PAIRS_SQL = f"WITH {_RETURNS} SELECT x.series_id AS a, y.series_id AS b, {rs('coalesce(corr(x.ret, y.ret), -1)', 9)} AS corr FROM ret x JOIN ret y ON x.i = y.i GROUP BY 1, 2"
+
+
+@query("T1_pairwise", _PAIRS_SQL)
 def _(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
+@query("T1_pairwise_blocked", _PAIRS_SQL)
+def _(spark, sf_dir):
+    return cl.pairwise_blocked(_returns(spark, sf_dir), 3).select("a", "b", r("corr", 9).alias("corr"))
+
+
 @query("T2_one_level")
 def _(spark, sf_dir):
     return cl.grouped(_pairs(spark, sf_dir), [0.2])

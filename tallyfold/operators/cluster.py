@@ -29,6 +29,42 @@ def pairwise(returns: DataFrame) -> DataFrame:
     return grid.join(mirrored, ["a", "b"], "left").select("a", "b", F.coalesce(value, F.lit(-1.0)).alias("corr"))
 
 
+def pairwise_blocked(returns: DataFrame, blocks: int = 8) -> DataFrame:
+    """As pairwise, for many series: (a, b, corr) by pairs of blocks of series.
+
+    Series are dealt into blocks by a hash of their id; each pair of blocks is one task of matrix products over the two
+    blocks' valid cells. A row is sent to as many tasks as there are blocks, rather than to one for each partner.
+    """
+    series = returns.schema["series_id"].dataType.simpleString()
+    own = F.pmod(F.xxhash64(F.col("series_id").cast("string")), F.lit(blocks)).cast("int")
+    placed = returns.select("series_id", "i", F.col("ret").cast("double").alias("ret"), own.alias("own"))
+    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(F.col("own"), k).alias("p"), F.greatest(F.col("own"), k).alias("q")))
+    dealt = placed.select("*", F.inline(others))
+    ship(returns.sparkSession)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        wide = pdf.pivot(index="i", columns="series_id", values="ret").sort_index().sort_index(axis=1)
+        side = pdf.drop_duplicates("series_id").set_index("series_id")["own"].reindex(wide.columns).to_numpy()
+        x = wide.to_numpy(float)
+        ok = ~np.isnan(x)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x = np.where(ok, x - np.where(ok, x, 0).sum(axis=0) / ok.sum(axis=0), 0.0)  # centred, against loss of digits
+        a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
+        ma, mb, xa, xb = ok[:, a].astype(float), ok[:, b].astype(float), x[:, a], x[:, b]
+        n, sa, sb = ma.T @ mb, xa.T @ mb, ma.T @ xb
+        cov, va, vb = n * (xa.T @ xb) - sa * sb, n * ((xa**2).T @ mb) - sa**2, n * (ma.T @ xb**2) - sb**2
+        with np.errstate(invalid="ignore", divide="ignore"):
+            c = np.where((n > 1) & (va > 0) & (vb > 0), cov / np.sqrt(va * vb), np.nan)
+        c = np.where(np.isnan(c), -1.0, np.clip(c, -1, 1))
+        names = wide.columns.to_numpy()
+        c[names[a][:, None] == names[b][None, :]] = np.where(c[names[a][:, None] == names[b][None, :]] > 0, 1.0, -1.0)
+        out = pd.DataFrame({"a": np.repeat(names[a], len(b)), "b": np.tile(names[b], len(a)), "corr": c.ravel()})
+        return out if p == q else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[["a", "b", "corr"]]])
+
+    return dealt.groupBy("p", "q").applyInPandas(sums, f"a {series}, b {series}, corr double")
+
+
 def one_group(m: np.ndarray, threshold: float) -> list[int]:
     """The member of the largest mean correlation, then whoever fits best of those above the threshold with all members."""
     group = [int(np.argmax(m.mean(axis=1)))]
