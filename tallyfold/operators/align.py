@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.operators.panel import calendar
 from tallyfold.operators.windows import so_far
 
 
@@ -17,8 +18,7 @@ def union_times(series: DataFrame) -> DataFrame:
 
 def _with_targets(series: DataFrame, targets: DataFrame) -> DataFrame:
     """Observations and every series' targets as rows of one table; kind 1 is a target. The targets are expanded within each series."""
-    times = targets.select("time").distinct().agg(F.sort_array(F.collect_set("time")).alias("_times"))
-    wanted = series.select("series_id").distinct().crossJoin(F.broadcast(times)).select("series_id", F.explode("_times").alias("time"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("value"))
+    wanted = series.select("series_id").distinct().crossJoin(F.broadcast(calendar(targets, "time"))).select("series_id", F.explode("_dates").alias("time"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("value"))
     return series.select("series_id", "time", F.lit(0).alias("kind"), F.col("value").cast("double")).unionByName(wanted)
 
 
@@ -44,8 +44,7 @@ def as_of(series: DataFrame, targets: DataFrame, extend_last: bool = True) -> Da
 
 def exact(series: DataFrame, targets: DataFrame) -> DataFrame:
     """(series_id, time, value) at the target times; missing stays missing."""
-    times = targets.select("time").distinct().agg(F.sort_array(F.collect_set("time")).alias("_times"))
-    wanted = series.select("series_id").distinct().crossJoin(F.broadcast(times)).select("series_id", F.explode("_times").alias("time"))
+    wanted = series.select("series_id").distinct().crossJoin(F.broadcast(calendar(targets, "time"))).select("series_id", F.explode("_dates").alias("time"))
     return wanted.join(series.select("series_id", "time", "value"), ["series_id", "time"], "left")
 
 

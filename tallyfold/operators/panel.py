@@ -12,8 +12,11 @@ MAX_DATES = 1_000_000
 
 
 def calendar(dates: DataFrame, date: str = "date") -> DataFrame:
-    """One row: the distinct dates in order, as an array."""
-    return dates.filter(F.col(date).isNotNull()).agg(F.sort_array(F.collect_set(date)).alias("_dates")).filter(F.size("_dates") <= MAX_DATES)
+    """One row: the distinct dates in order, as an array. More than MAX_DATES fail the job."""
+    days = dates.filter(F.col(date).isNotNull()).select(date).distinct().agg(F.sort_array(F.collect_list(date)).alias("_dates"))
+    kind = days.schema["_dates"].dataType
+    refused = F.raise_error(F.lit(f"more than {MAX_DATES} dates")).cast(kind)
+    return days.select(F.when(F.size("_dates") <= MAX_DATES, F.col("_dates")).otherwise(refused).alias("_dates"))
 
 
 def densify(cells: DataFrame, dates: DataFrame | None = None, asset: str = "asset", date: str = "date") -> DataFrame:

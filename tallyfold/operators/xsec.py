@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.cells import is_true
 from tallyfold.operators.linalg import residuals
+from tallyfold.operators.panel import calendar
 from tallyfold.operators.windows import reduce_freq
 from tallyfold.sources.storage import ship
 
@@ -105,7 +106,7 @@ def add_alpha(base: Column, alpha: Column) -> Column:
 def group_means(df: DataFrame, x: str, group: str) -> DataFrame:
     """(date, group, mean) for all dates and groups but 0; a date without the group has no mean."""
     known = df.filter(F.col(group).isNotNull() & (F.col(group) != 0))
-    grid = df.select("date").distinct().crossJoin(F.broadcast(known.select(group).distinct()))
+    grid = known.select(group).distinct().crossJoin(F.broadcast(calendar(df))).select(group, F.explode("_dates").alias("date"))
     return grid.join(known.groupBy("date", group).agg(F.avg(x).alias("mean")), ["date", group], "left")
 
 
