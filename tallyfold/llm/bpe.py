@@ -65,16 +65,19 @@ class Encoder:
     """Encodes pieces of Latin-1 written bytes."""
 
     def __init__(self, ranks: dict[str, int], splits: dict[str, tuple[str, str]], unreached: set[str]):
-        self.ranks, self.splits = ranks, splits
+        self.ranks, self.splits, self.unreached = ranks, splits, unreached
+        self.size = max(ranks.values(), default=0) + 1
+        self.token: list[str] = [""] * self.size
         self.automaton = ahocorasick.Automaton()
-        for token in ranks:
+        for token, rank in ranks.items():
+            self.token[rank] = token
             if token not in unreached:
-                self.automaton.add_word(token, (len(token) - 1, token))
+                self.automaton.add_word(token, (len(token) - 1, rank))
         self.automaton.make_automaton()
-        self.shorter: dict[str, str | None] = {}
+        self.length = [len(t) for t in self.token]
+        self.shorter: dict[int, int] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.reachable = lambda t: t in ranks and t not in unreached
+        self.pairs: dict[int, bool] = {}
 
     def edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """The parts of a token that touch its right (side 1) or left (side 0) end, each with the rank that uses it up."""
@@ -88,49 +91,65 @@ class Encoder:
             self.edges[side][token] = known
         return known
 
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: int, right: int) -> bool:
         """Whether merging leaves the border between two tokens: no merge across it comes before both its parts are used."""
-        if (known := self.pairs.get((left, right))) is None:
+        if (known := self.pairs.get(left * self.size + right)) is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
             known, get = True, self.ranks.get
-            for a, a_used in self.edge(left, 1):
-                for b, b_used in self.edge(right, 0):
+            for a, a_used in self.edge(self.token[left], 1):
+                for b, b_used in self.edge(self.token[right], 0):
                     across = get(a + b)
                     # Of equal ranks the leftmost merges first: left of the border before it, right of it after.
                     if across is not None and across < a_used and across <= b_used:
                         known = False
-            self.pairs[(left, right)] = known
+            self.pairs[left * self.size + right] = known
         return known
 
-    def next_shorter(self, token: str) -> str | None:
-        if token not in self.shorter:
-            self.shorter[token] = next((token[:k] for k in range(len(token) - 1, 0, -1) if self.reachable(token[:k])), None)
-        return self.shorter[token]
+    def next_shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix, -1 if there is none."""
+        if (known := self.shorter.get(token)) is None:
+            text = self.token[token]
+            prefixes = (text[:k] for k in range(len(text) - 1, 0, -1))
+            known = self.shorter[token] = next((self.ranks[t] for t in prefixes if t in self.ranks and t not in self.unreached), -1)
+        return known
 
     def encode(self, piece: str) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        n = len(piece)
-        longest: list[str | None] = [None] * n
+        n, length, pairs, size = len(piece), self.length, self.pairs, self.size
+        longest = [-1] * n
         for end, (back, token) in self.automaton.iter(piece):
             longest[end - back] = token  # ends come in rising order: the last is the longest
-        out: list[str] = []
-        dead = bytearray(n + 1)  # borders that no encoding can have
-        at, token, pairs = 0, longest[0], self.pairs
+        last = longest[0]
+        out, at = [last], length[last]
+        while at < n:  # most pieces take the longest token everywhere
+            token = longest[at]
+            if not (pairs.get(last * size + token) or self.compatible(last, token)):
+                return self.search(n, longest)
+            out.append(token)
+            at += length[token]
+            last = token
+        return out
+
+    def search(self, n: int, longest: list[int]) -> list[int]:
+        """Left to right, taking shorter tokens and steps back where neighbours are not compatible."""
+        out: list[int] = []
+        dead: set[int] = set()  # borders that no encoding can have
+        at, token = 0, longest[0]
         while at < n:
-            end = at + len(token)
-            if not dead[end] and (not out or pairs.get((out[-1], token)) or self.compatible(out[-1], token)):
+            end = at + self.length[token]
+            if end not in dead and (not out or self.compatible(out[-1], token)):
                 out.append(token)
                 at = end
-                token = longest[at] if at < n else None
-            elif (shorter := self.next_shorter(token)) is not None:
+                token = longest[at] if at < n else -1
+            elif (shorter := self.next_shorter(token)) >= 0:
                 token = shorter
             else:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
-                at -= len(token)
-        return [self.ranks[t] for t in out]
+                at -= self.length[token]
+        return out
 
 
 class Pieces(dict):
