@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import map_texts, sample_ids
+from tallyfold.llm.base import cut, map_texts, sample_ids
 
 #: The model is fitted on about this many documents of a language, chosen by a hash of the id, with their whole texts.
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 1000
 #: And keeps at most this many words and n-grams of a language, the most frequent ones.
 MODEL_WORDS, MODEL_GRAMS = 30_000, 30_000
 MAX_LANGUAGES = 200
@@ -59,13 +59,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # About SAMPLE_DOCS * MAX_LANGUAGES ids of a few bytes at most: small enough to send to every executor.
     sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
     words = F.filter(F.split(F.lower("text"), r"\P{L}+"), lambda x: x != "")
-    counts = sample.select("lang", F.explode(words).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(sample.select("lang", F.explode(words).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")))
     marked = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
     sizes = F.array(*[F.lit(n) for n in range(1, LONGEST_GRAM + 1)])
     grams = F.flatten(
         F.transform(sizes, lambda n: F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, n))).otherwise(F.array().cast("array<string>")))
     )
-    gram_counts = counts.select("lang", "n", F.explode(grams).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    gram_counts = cut(counts.select("lang", "n", F.explode(grams).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n")))
 
     def top(d: DataFrame, most: int, least: int, length: bool) -> list:
         part = ["lang", F.length("key")] if length else ["lang"]  # frequencies of n-grams are among those of the same length
