@@ -241,6 +241,8 @@ def test_correlation(spark):
     got = {(r["a"], r["b"]): r["corr"] for r in cluster.pairwise(spark.createDataFrame(long, "series_id int, i long, ret double")).collect()}
     keep = [i for i in range(12) if i != 4]
     assert np.isclose(got[0, 1], np.corrcoef(x[0, keep], x[1, keep])[0, 1]) and got[0, 2] == got[2, 0]
+    blocked = cluster.pairwise_blocked(spark.createDataFrame(long, "series_id int, i long, ret double"), 2)
+    assert {k: round(v, 12) for k, v in got.items()} == {(r["a"], r["b"]): round(r["corr"], 12) for r in blocked.collect()}
     alone = cluster.pairwise(spark.createDataFrame([(0, 1, 1.0), (1, 1, 2.0)], "series_id int, i long, ret double"))
     assert {r["corr"] for r in alone.collect()} == {-1.0}
 
