@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import map_texts, sample_ids
+from tallyfold.llm.base import cut, map_texts, sample_ids
 
 #: Learned from about this many labelled documents of each class, chosen by a hash of the id, with their whole texts.
 SAMPLE_DOCS = 3000
@@ -193,7 +193,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     """From (text, y): words with many surroundings in toxic texts and few in others."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     placed = sample.select("y", words.alias("w")).select("y", F.posexplode("w").alias("i", "term"), "w")
-    around = placed.select("y", "term", F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)).alias("c")).distinct()
+    around = cut(placed.select("y", "term", F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)).alias("c")).distinct())
     by_term = around.groupBy("term").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other"))
     total = around.agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")).first()
     least = max(MIN_CONTEXTS, MIN_SHARE * sample.filter("y = 1").count())
