@@ -6,7 +6,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.sources.storage import cut, ship, shared_folder as checkpoint_dir  # noqa: F401
@@ -89,10 +89,17 @@ def where(df: DataFrame, condition) -> DataFrame:
     return df.withColumn("_at", F.monotonically_increasing_id()).filter(condition & (F.col("_at") >= 0)).drop("_at")
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """docs less the rows whose id is in ids (one column, id); that is sent to all executors only if it is small."""
-    ids = ids.select(F.col("id").alias("_out"))
-    return docs.join(F.broadcast(ids) if fits(ids, 16) else ids, F.col(id_col) == F.col("_out"), "left_anti")
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """(_id, _hash), what tells rows apart where ids are null or repeat. Texts have 128 bits of hash, null has an empty one."""
+    return [F.col(id_col).alias("_id"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("_hash")]
+
+
+def same_key(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """left_anti or left_semi join of docs with keys, which row_key made; they are sent to all executors only if they are small."""
+    keys = keys.select(F.col("_id").alias("_key_id"), F.col("_hash").alias("_key_hash"))
+    own_id, own_hash = row_key(id_col, text_col)
+    met = own_id.eqNullSafe(F.col("_key_id")) & (own_hash == F.col("_key_hash"))
+    return docs.join(F.broadcast(keys) if fits(keys, 80) else keys, met, how)
 
 
 def held_out(id_col: str = "doc_id"):

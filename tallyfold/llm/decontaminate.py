@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import wordhash
-from tallyfold.llm.base import WORD_BYTES, cut, map_texts, without
+from tallyfold.llm.base import WORD_BYTES, cut, map_texts, row_key, same_key
 
 WINDOW, SHINGLE = 10, 3
 #: Bits of the bitmap that every task gets: 2 MB.
@@ -112,7 +112,7 @@ def places(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int, id_
 
         return work
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col)[1].alias("text_hash"))
     return map_texts(rows, make, "n_words bigint, places array<struct<h:bigint,left:int,pos:int,ctx:array<string>>>", "id", "text", keep=["text_hash"])
 
 
@@ -122,6 +122,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     An item of fewer words than the window is one window of its own; an item without words is none. Null and empty
     texts have no words. Rows that repeat both id and text give one row. Other columns are not looked at.
     """
+    found = of_texts(docs, items, window, id_col, text_col, item_id_col, item_text_col)
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "contaminated")
+
+
+def of_texts(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """As contamination, with id for the id column, and the text's hash of row_key as text_hash."""
     found = cut(windows_of(items, window, item_id_col, item_text_col).filter(F.size("words") > 0))
     each = found.select("window", "words", "shingles").distinct()
     shingles = each.select("window", F.size("words").alias("n"), F.posexplode("shingles").alias("offset", "h"))
@@ -146,11 +152,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a.e, x.e).alias("e"), (a.n + F.greatest(x.e - F.greatest(x.s, a.e), F.lit(0))).alias("n")),
     ).n
-    out = grouped.select(F.col("id").alias(id_col), "n_words", covered.alias("n_hit"), "items")
+    out = grouped.select("id", "text_hash", "n_words", covered.alias("n_hit"), "items")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, whose id has no text that holds a benchmark window."""
-    found = contamination(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select(F.col(id_col).alias("id"))
-    return without(docs, cut(found.distinct()), id_col)
+    """The rows, all columns, whose text holds no benchmark window. Ids may be null or repeat: other texts of an id stay."""
+    found = of_texts(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return same_key(docs, cut(found.distinct()), id_col, text_col, "left_anti")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import cut, map_texts, space_words, without
+from tallyfold.llm.base import cut, map_texts, row_key, same_key, space_words
 from tallyfold.llm.components import components
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
@@ -47,12 +47,12 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp as a signed 64-bit integer; 0 for null and for texts without words. One row per row."""
+    """(_id, _hash, fp): the row's key, and fp as a signed 64-bit integer; 0 for null and for texts without words. One row per row."""
 
     def make() -> Callable[[list], dict]:
         return lambda texts: {"fp": pa.array(np.array([fingerprint(space_words(t), shingle) for t in texts], dtype=np.uint64).view(np.int64), pa.int64())}
 
-    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "fp bigint", "id", "text")
+    return map_texts(docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")), make, "fp bigint", "_id", "text", keep=["_hash"])
 
 
 def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,26 +208,41 @@ def near_links(leaves: DataFrame, budget: int = BUDGET, cap: int = CAP) -> DataF
     return dealt.mapInArrow(lambda batches: _walk_groups(batches, budget), "a bigint, b bigint")
 
 
+def grouped(docs: DataFrame, shingle: int, budget: int, cap: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _hash, fp, first): for every row its key, and the smallest key of its component as (none, id, hash); null ids come last.
+
+    Fingerprints are linked, not ids, which may be null or stand on several texts.
+    """
+    own = cut(fingerprints(docs.withColumn(id_col, F.col(id_col).cast("long")), shingle, id_col, text_col))
+    key = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    leaves = cut(own.groupBy("fp").agg(F.min(key).alias("first")))
+    found = components(near_links(leaves.select("fp", F.col("fp").alias("rep")), budget, cap)).select(F.col("id").alias("fp"), "component")
+    linked = cut(leaves.join(found, "fp"))
+    least = cut(linked.groupBy("component").agg(F.min("first").alias("least")))
+    # Dealt anew, though it lies by component already: only then can Spark split the many fingerprints of one component.
+    least = least.select(F.negative(F.negative("component")).alias("component"), "least")
+    least = linked.select("fp", "component").join(least, "component").select("fp", "least")
+    named = cut(leaves.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")))
+    return own.join(named.select(F.negative(F.negative("fp")).alias("fp"), "first"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, fingerprint (16 hex digits) and component_id: the smallest id reachable over links, itself included.
 
     Ids are integers. Fingerprints at most budget bits apart are linked; so are all texts without words, whose
     fingerprint is zero, and null texts. One row per row; a row without an id gets the smallest id of its component.
     """
-    own = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, "id", "text"))
-    leaves = cut(own.groupBy("fp").agg(F.min("id").alias("rep")))
-    found = components(near_links(leaves.filter("rep is not null"), budget, cap))
-    named = leaves.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return own.join(named, "fp").select(F.col("id").alias(id_col), digits, "component_id")
+    return grouped(docs, shingle, budget, cap, id_col, text_col).select(F.col("_id").alias(id_col), digits, F.col("first.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, of the document with the smallest id of each group; of rows with one id, one stays."""
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "component_id"))
-    left = without(docs, found.filter("id != component_id").select("id").distinct(), id_col)
-    twice = cut(found.groupBy("id").count().filter("count > 1").select("id"))
+    """One row, all columns, of each group: that with the smallest id, null last, and of several texts with it the smallest hash."""
+    found = cut(grouped(docs, SHINGLE, BUDGET, CAP, id_col, text_col))
+    first = F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_hash") == F.col("first.hash"))
+    left = same_key(docs, cut(found.filter(~first).select("_id", "_hash").distinct()), id_col, text_col, "left_anti")
+    twice = cut(found.filter(first).groupBy("_id", "_hash").count().filter("count > 1").select("_id", "_hash"))
     if twice.isEmpty():
         return left
-    again = left.join(twice.select(F.col("id").alias("_twice")), F.col(id_col).eqNullSafe(F.col("_twice")), "left_semi")
-    return without(left.filter(F.col(id_col).isNotNull()), twice.filter("id is not null"), id_col).unionByName(again.dropDuplicates([id_col]))
+    again = same_key(left, twice, id_col, text_col, "left_semi").select("*", *row_key(id_col, text_col)).dropDuplicates(["_id", "_hash"])
+    return same_key(left, twice, id_col, text_col, "left_anti").unionByName(again.drop("_id", "_hash"))

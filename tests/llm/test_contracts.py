@@ -180,6 +180,34 @@ def test_keep_one(odd):
     assert sorted(ids) == sorted(d for d, c in found if d == c)
 
 
+def test_keep_one_by_row(spark):
+    """Null ids, and one id on two texts: one row stays of each group, and no group is lost."""
+    rnd = random.Random(5)
+    a, b, c, e, f = (" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(5))
+    f = f"{f} " * 20 + a
+    near = next(t for t in (f"{f} {w}" for w in range(99)) if 0 < (brute.fingerprint(t) ^ brute.fingerprint(f)).bit_count() <= 3)
+    schema = "doc_id long, text string"
+
+    def kept(rows):
+        return sorted(r["text"] for r in simhash.keep_one(spark.createDataFrame(rows, schema)).collect())
+
+    assert kept([(None, a), (1, b), (1, b)]) == sorted([a, b])
+    assert kept([(None, a), (None, b), (None, a)]) == sorted([a, b])
+    assert kept([(1, a), (2, b), (2, a), (3, c), (3, e), (4, e)]) == sorted([a, b, c, e])
+    assert kept([(5, a), (5, b), (6, a), (7, b)]) == sorted([a, b])
+    assert len(kept([(None, f), (None, near)])) == 1
+    got = simhash.near_duplicates(spark.createDataFrame([(None, a), (3, a), (3, b), (9, b), (None, c)], schema)).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("3", "3"), ("3", "3"), ("9", "3"), ("None", "3"), ("None", "None")]
+    assert len({r["fingerprint"] for r in got}) == 3
+
+
+def test_drop_contaminated_by_text(spark):
+    item = "two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {item}"), (1, "clean"), (None, f"y {item} z"), (None, "fine"), (2, None)], "doc_id long, text string")
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(str(r["text"]) for r in left.collect()) == ["None", "clean", "fine"]
+
+
 # 10
 
 
