@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.sources.storage import ship
+from tallyfold.operators.panel import MAX_DATES
+from tallyfold.sources.storage import cut, ship
 
 #: A universe whose correlation matrix one task groups has at most so many series.
 MAX_SERIES = 5000
@@ -159,19 +160,55 @@ def rescaled(df: DataFrame, universe: str | None = None) -> DataFrame:
     """(series_id, i, value): series scaled so that one that starts, or starts again, does so on the level of a running main series.
 
     The main series is the one whose mean step from there to its end is closest to the average; it runs until it has a
-    missing value. The chain follows the dates, so that each universe is one task.
+    missing value. Every series gets every date of its universe. The same as rescale, but that only one row for each date
+    meets in a task: a start overrides the scale of those before it, so that a series' scale is the level at its last
+    start over its own value there. A series whose last start is at zero can't be scaled: it is missing.
     """
-    keyed = df.withColumn("_u", F.col(universe) if universe else F.lit(0))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="i", columns="series_id", values="value").sort_index().sort_index(axis=1)
-        out = rescale(wide.to_numpy(float))
-        long = pd.DataFrame(out, index=wide.index, columns=wide.columns).reset_index().melt(id_vars="i", var_name="series_id", value_name="value")
-        return long[["series_id", "i", "value"]]
+    cells = df.select((F.coalesce(F.concat(F.lit("u"), F.col(universe).cast("string")), F.lit("")) if universe else F.lit("")).alias("_u"), "series_id", F.col("i").alias("t"), F.nullif(F.col("value").cast("double"), F.lit(float("nan"))).alias("v"))
+    days = cells.select("_u", "t").distinct().groupBy("_u").agg(F.sort_array(F.collect_list("t")).alias("days"))
+    refused = F.raise_error(F.lit(f"more than {MAX_DATES} dates")).cast(days.schema["days"].dataType)
+    days = days.select("_u", F.when(F.size("days") <= MAX_DATES, F.col("days")).otherwise(refused).alias("days"))
+    one = (lambda x: x) if universe else F.broadcast  # a row for each date of one universe, but not of many
+    grid = cells.select("_u", "series_id").distinct().join(one(days), "_u").select("_u", "series_id", F.posexplode("days").alias("i", "t"))
+    d = grid.join(cells, ["_u", "series_id", "t"], "left")
+
+    w = Window.partitionBy("_u", "series_id").orderBy("i")
+    whole, ahead, before = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    ok = F.col("v").isNotNull()
+    d = d.withColumn("start", F.when(ok & F.lag("v").over(w).isNull(), F.struct("i", "v")))
+    end, last = F.max(F.when(ok, F.col("i"))).over(whole) + 1, F.last("v", ignorenulls=True).over(whole)
+    d = d.select("*", F.when(ok, (last - F.col("v")) / (end - F.col("i"))).alias("step"), F.min(F.when(~ok, F.col("i"))).over(ahead).alias("stop"), F.last("start", ignorenulls=True).over(before).alias("was"), F.last("start", ignorenulls=True).over(whole).alias("final"))
+    d = cut(d.select("_u", "series_id", "i", "t", "v", "step", "stop", "was", "final"))
+
+    means = d.groupBy("_u", "i").agg(F.avg("step").alias("mean"))
+    near = d.filter(F.col("step").isNotNull()).join(one(means), ["_u", "i"]).select("_u", "i", "series_id", "stop", F.abs(F.col("step") - F.col("mean")).alias("far"))
+    best = near.groupBy("_u", "i").agg(F.min(F.struct("far", "series_id", "stop")).alias("m")).select("_u", "i", "m.series_id", "m.stop")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Main series by date, from each date's best one and where that stops."""
+        pdf = pdf.sort_values("i")
+        rows, until = [], -1
+        for i, series, stop in zip(pdf["i"], pdf["series_id"], pdf["stop"], strict=True):
+            if i >= until:
+                until, main = (np.inf if pd.isna(stop) else stop), series
+                rows.append((pdf["_u"].iloc[0], main, i, until - 1 if until < np.inf else MAX_DATES))
+        return pd.DataFrame(rows, columns=["_u", "series_id", "lo", "hi"])
+
+    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Level by date, from the main series' own values and where they started last."""
+        pdf = pdf.sort_values("i")
+        found: dict[int, float] = {}
+        for i, v, at, first in zip(pdf["i"], pdf["v"], pdf["was_i"], pdf["was_v"], strict=True):
+            found[i] = v if pd.isna(at) else v * (found[int(at)] / first if first else np.nan)
+        return pd.DataFrame({"_u": pdf["_u"], "at": pdf["i"], "level": list(found.values())})
 
     ship(df.sparkSession)
-    kind = df.schema["series_id"].dataType.simpleString()
-    return keyed.select("_u", "series_id", "i", F.col("value").cast("double")).groupBy("_u").applyInPandas(solve, f"series_id {kind}, i long, value double")
+    kind = d.schema["series_id"].dataType.simpleString()
+    mains = one(cut(best.groupBy("_u").applyInPandas(chain, f"_u string, series_id {kind}, lo long, hi long")))
+    held = d.join(mains, ["_u", "series_id"]).filter(F.col("i").between(F.col("lo"), F.col("hi"))).select("_u", "i", "v", F.col("was.i").alias("was_i"), F.col("was.v").alias("was_v"))
+    level = one(held.groupBy("_u").applyInPandas(levels, "_u string, at int, level double"))
+    out = d.withColumn("at", F.col("final.i")).join(level, ["_u", "at"], "left")
+    return out.select("series_id", F.col("t").cast("long").alias("i"), (F.col("v") * (F.col("level") / F.nullif(F.col("final.v"), F.lit(0.0)))).alias("value"))
 
 
 def rescale(m: np.ndarray) -> np.ndarray:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.cells import is_true
-from tallyfold.operators.linalg import residuals
 from tallyfold.operators.panel import calendar
 from tallyfold.operators.windows import reduce_freq
 from tallyfold.sources.storage import ship
 
+#: Dates whose triangles a task of residual_many holds before it sends them on.
+HELD_DATES = 50_000
+
 
 def _dates(*more: str):
     return Window.partitionBy("date", *more)
@@ -128,15 +133,47 @@ def residual_two(y: Column, a: Column, b: Column) -> Column:
 
 
 def residual_many(df: DataFrame, y: str, bases: list[str]) -> DataFrame:
-    """(asset, date, residual) on any number of bases: one least-squares problem for each date, its assets in one task."""
+    """(asset, date, residual) on any number of bases: one least-squares problem for each date, over rows that have all.
+
+    Each task reduces a date's rows to a triangle of as many rows as columns (QR), a date's triangles meet and are
+    solved, and the coefficients, one row for each date, are joined back.
+    """
+    k = len(bases)
+    valid = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+    named = [f"_x{j}" for j in range(k + 1)]
+    slim = df.select("asset", "date", F.coalesce(F.unix_date("date"), F.lit(-(1 << 31))).alias("_d"), *[valid(c).alias(n) for c, n in zip([*bases, y], named, strict=True)])
+    complete = slim.select("_d", *named).dropna()
+
+    def triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[int, np.ndarray]] = {}
+
+        def sent() -> pd.DataFrame:
+            rows = [(day, n, *row) for day, (n, m) in held.items() for n, row in zip([n, *[0] * (len(m) - 1)], m, strict=True)]
+            held.clear()
+            return pd.DataFrame(rows, columns=["_d", "n", *named])
+
+        for pdf in batches:
+            for day, part in pdf.groupby("_d"):
+                m, (n, old) = part[named].to_numpy(float), held.get(day, (0, np.zeros((0, k + 1))))
+                held[day] = n + len(m), np.linalg.qr(np.vstack([old, m]), mode="r")
+            if len(held) > HELD_DATES:
+                yield sent()
+        if held:
+            yield sent()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["asset", "date"]].assign(residual=residuals(pdf[y].to_numpy(float), pdf[bases].to_numpy(float)))
+        m = np.linalg.qr(pdf[named].to_numpy(float), mode="r")
+        # The cut-off for collinear columns is that of the whole problem.
+        c = np.linalg.lstsq(m[:, :k], m[:, k], rcond=np.finfo(float).eps * max(int(pdf["n"].sum()), k))[0]
+        return pd.DataFrame({"_d": pdf["_d"].iloc[:1], "_c": [c.tolist()]})
 
     ship(df.sparkSession)
-    asset = df.schema["asset"].dataType.simpleString()
-    slim = df.select("asset", "date", F.col(y).cast("double"), *[F.col(b).cast("double") for b in bases])
-    return slim.groupBy("date").applyInPandas(solve, f"asset {asset}, date date, residual double")
+    small = complete.mapInPandas(triangles, ", ".join(["_d int, n long", *[f"{c} double" for c in named]]))
+    solved = F.broadcast(small.groupBy("_d").applyInPandas(solve, "_d int, _c array<double>"))
+    fit = F.lit(0.0)
+    for j in range(k):
+        fit = fit + F.col(named[j]) * F.get("_c", F.lit(j))
+    return slim.join(solved, "_d", "left").select("asset", "date", (F.col(named[k]) - fit).alias("residual"))
 
 
 def first_coefficient(df: DataFrame, y: str, x: str, by: str) -> DataFrame:

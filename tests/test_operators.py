@@ -106,6 +106,20 @@ def test_residuals(spark):
     assert np.allclose(values(one, order="asset"), y - a * (a @ y) / (a @ a))
 
 
+def test_residual_many_by_parts(spark):
+    """No task gets all assets of a date: they meet as triangles. Collinear bases and dates without complete rows are as before."""
+    rng = np.random.default_rng(4)
+    n, day = 900, [d.date(2020, 1, 1 + k % 3) for k in range(900)]
+    a, b, y = rng.normal(size=(3, n))
+    a[[k for k in range(n) if k % 3 == 2]] = np.nan
+    df = rows(spark, asset=list(range(n)), date=day, a=a.tolist(), b=b.tolist(), c=(2 * b).tolist(), y=y.tolist()).repartition(7)
+    got = np.array([np.nan if v is None else v for v in values(xsec.residual_many(df, "y", ["a", "b", "c"]), "residual", "asset")])
+    for k in range(3):
+        assert np.allclose(got[k::3], linalg.residuals(y[k::3], np.column_stack([a, b, 2 * b])[k::3]), equal_nan=True)
+    plan = xsec.residual_many(df, "y", ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and plan.index("FlatMapGroupsInPandas") < plan.index("MapInPandas")
+
+
 def test_ols():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(30, 2))
@@ -253,6 +267,25 @@ def test_rescale():
     assert np.allclose(out[1:, 1], [2.0, 3.0]) and np.allclose(out[:, 0], m[:, 0])
 
 
+def test_rescaled_by_series(spark, monkeypatch):
+    """As on one matrix, with gaps and restarts, and without a matrix of all series in one task."""
+    rng = np.random.default_rng(8)
+    m = rng.uniform(1, 9, size=(30, 25))
+    m[rng.random(m.shape) < 0.25] = np.nan
+    m[:9, :6], m[3, :], m[:, 7] = np.nan, np.nan, np.nan
+    m[3, 0] = np.nan
+    long = [(s, 2 * i, None if np.isnan(m[i, s]) else float(m[i, s])) for i in range(30) for s in range(25)]
+    want = cluster.rescale(m)
+    monkeypatch.setattr(cluster, "rescale", None)
+    df = spark.createDataFrame(long, "series_id int, i long, value double")
+    got = np.full(m.shape, np.nan)
+    for r in cluster.rescaled(df).collect():
+        got[r["i"] // 2, r["series_id"]] = np.nan if r["value"] is None else r["value"]
+    assert np.allclose(got, want, equal_nan=True)
+    twice = df.withColumn("u", F.lit("a")).unionByName(df.withColumn("u", F.lit("b")).withColumn("series_id", F.col("series_id") + 100))
+    assert cluster.rescaled(twice, "u").filter("series_id >= 100").count() == m.size
+
+
 def test_poly(spark):
     x = np.linspace(-2, 5, 40)
     df = rows(spark, g=["a"] * 40, x=x.tolist(), y=(1 + 2 * x - 0.5 * x**3).tolist())
