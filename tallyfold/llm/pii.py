@@ -95,7 +95,8 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\P{L}+"), lambda x: F.char_length(x) > 2)
+    # Lower-cased word by word: of a whole text, that can move or part words (U+0130 becomes a letter and a mark).
+    return F.transform(F.filter(F.split(text, r"\P{L}+"), lambda x: F.char_length(x) > 2), F.lower)
 
 
 def disclosing_terms(found: DataFrame, near: int = NEAR, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame | None:
@@ -150,14 +151,13 @@ def with_terms(found: DataFrame, disclosing: DataFrame | None, remove: float = R
     terms = cut(terms)
     terms = F.broadcast(terms) if fits(terms, 2000) else terms
     d = found.join(terms, (found["id"].eqNullSafe(terms["id"])) & (found["text_hash"] == terms["text_hash"]), "left").select(found["*"], "terms")
-    # A word is a term if it is in the array; words and what lies between them alternate.
-    between, words = F.split(F.lower("text"), r"\p{L}+", -1), F.split(F.lower("text"), r"\P{L}+", -1)
+    # A word, lower-cased, is a term if it is in the array; words and what lies between them alternate.
+    between, words = F.split("text", r"\p{L}+", -1), F.split("text", r"\P{L}+", -1)
     d = d.select("*", F.when(F.col("terms").isNotNull(), between).alias("_g"), F.when(F.col("terms").isNotNull(), F.filter(words, lambda x: x != "")).alias("_w"))
 
-    gone = lambda x: F.when(F.exists("terms", lambda t: (t.term == x) & t.gone), F.lit("removed")).otherwise(F.lit("generalised"))
-    walked = _located(F.col("_w"), F.col("_g"), lambda x: F.exists("terms", lambda t: t.term == x), gone)
-    same_length = F.char_length(F.lower("text")) == F.char_length("text")  # else places would not be those of the text
-    return d.select("id", "text", "row", "text_hash", *PATTERNS, F.when(F.col("terms").isNotNull() & (F.size("_w") > 0) & same_length, walked).otherwise(F.array().cast(_FOUND)).alias("term"))
+    gone = lambda x: F.when(F.exists("terms", lambda t: (t.term == F.lower(x)) & t.gone), F.lit("removed")).otherwise(F.lit("generalised"))
+    walked = _located(F.col("_w"), F.col("_g"), lambda x: F.exists("terms", lambda t: t.term == F.lower(x)), gone)
+    return d.select("id", "text", "row", "text_hash", *PATTERNS, F.when(F.col("terms").isNotNull() & (F.size("_w") > 0), walked).otherwise(F.array().cast(_FOUND)).alias("term"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
