@@ -31,11 +31,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
 
 
-def words_str(text: str | None) -> list[str]:
-    """As ``words``, but decoded."""
-    return text.encode("utf-8", "replace").translate(WORD_BYTES).decode("utf-8", "replace").split(" ") if text else []
-
-
 #: Words between ASCII white space only (bytes.split() splits at these six as well).
 def space_words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at space, tab, line feed, vertical tab, form feed and carriage return."""
@@ -80,6 +75,39 @@ def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return df.limit(limit // row_bytes + 1).count() * row_bytes <= limit
 
 
+#: Elements, and characters, of one block in running and text_blocks.
+_RUN, _BLOCK = 256, 1024
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """0 and what joining the elements of an int array one by one gives: one element more than the array has.
+
+    Done in blocks, whose own results are then put on top of each other, as an array can grow only by being copied.
+    """
+    last = lambda a: F.element_at(a, -1)
+    grow = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(join(last(a), v))))
+    blocks = lambda all_: F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / _RUN).cast("int")), lambda b: grow(F.slice(all_, b * _RUN + 1, _RUN)))
+    on_top = lambda own: let(grow(F.transform(own, last)), lambda base: F.flatten(F.transform(own, lambda x, b: F.transform(F.slice(x, 2, _RUN), lambda v: join(F.get(base, b), v)))))
+    return let(values, lambda all_: F.when(F.size(all_) > 0, F.concat(F.array(F.lit(0)), let(blocks(all_), on_top))).otherwise(F.array(F.lit(0))))
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of characters, for piece."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end, 0-based and end exclusive, of a text in blocks: the time does not depend on where they stand."""
+    first = (start / _BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, ((end - 1) / _BLOCK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(some, start - first * _BLOCK + 1, end - start)).otherwise("")
+
+
 def where(df: DataFrame, condition) -> DataFrame:
     """Filter on computed columns as they are, without pushing the condition into what computes them.
 
@@ -112,9 +140,10 @@ def sample_ids(rows: DataFrame, most: int) -> DataFrame:
 
     The classes are counted first, then each row decides by itself: nothing is sorted and no class meets in one task.
     """
-    share = rows.groupBy("class").agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count(F.lit(1))).alias("share"))
+    share = cut(rows.groupBy("class").agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count(F.lit(1))).alias("share")))
+    share = F.broadcast(share) if fits(share, 1000) else share
     place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    return rows.join(F.broadcast(share), "class").filter(place < F.col("share")).select("id", "class")
+    return rows.join(share, "class").filter(place < F.col("share")).select("id", "class")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import wordhash
-from tallyfold.llm.base import WORD_BYTES, cut, map_texts, row_key, same_key
+from tallyfold.llm.base import WORD_BYTES, cut, fits, map_texts, row_key, same_key
 
 WINDOW, SHINGLE = 10, 3
 #: Bits of the bitmap that every task gets: 2 MB.
 BITMAP_BITS = 24
-#: Distinct hashes that a task counts before it sends its counts on.
-COUNT_FLUSH = 200_000
+#: Bytes of a row of the windows' prefixes, when such rows are sent to all executors.
+INDEX_BYTES = 1000
 
 _PLACE = pa.struct([("h", pa.int64()), ("left", pa.int32()), ("pos", pa.int32()), ("ctx", pa.list_(pa.string()))])
 
@@ -120,7 +120,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     """The id column, n_words, n_hit (words inside any occurrence of a window), items (sorted array of string ids), contaminated.
 
     An item of fewer words than the window is one window of its own; an item without words is none. Null and empty
-    texts have no words. Rows that repeat both id and text give one row. Other columns are not looked at.
+    texts have no words. One row per row. Other columns are not looked at.
     """
     found = of_texts(docs, items, window, id_col, text_col, item_id_col, item_text_col)
     return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "contaminated")
@@ -138,21 +138,26 @@ def of_texts(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: st
     ranked = shingles.join(rarity.withColumnRenamed("n", "count"), "h", "left")
     prefix = cut(ranked.groupBy("window", "n").agg(F.min_by(F.struct("h", "offset"), order).alias("p")).select("window", "n", "p.h", "p.offset"))
     words = each.select("window", "words")
-    index = prefix.join(words, "window").join(found.select("window", F.col("item").cast("string").alias("item")).distinct(), "window")
+    index = cut(prefix.join(words, "window").join(found.select("window", F.col("item").cast("string").alias("item")).distinct(), "window").drop("window"))
 
-    at = places(docs, bitmap(prefix.select("h")), sizes, window, id_col, text_col)
-    rows = at.select("id", "text_hash", "n_words", F.explode_outer("places").alias("place")).select("id", "text_hash", "n_words", "place.*")
+    at = cut(places(docs, bitmap(prefix.select("h")), sizes, window, id_col, text_col))
+    # Documents without a place take no part in the join; of rows that repeat id and text, one does.
+    some = at.filter(F.size("places") > 0).dropDuplicates(["id", "text_hash"])
+    rows = some.select("id", "text_hash", "n_words", F.explode("places").alias("place")).select("id", "text_hash", "n_words", "place.*")
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("n") <= F.col("n_words")) & (F.col("left") >= F.col("offset"))
     same = F.when(inside, F.slice("ctx", F.greatest(F.col("left") - F.col("offset"), F.lit(0)) + 1, F.col("n")) == F.col("words"))
-    hit = rows.join(index, "h", "left").select("id", "text_hash", "n_words", F.when(same, F.struct(start.alias("s"), (start + F.col("n")).alias("e"))).alias("span"), F.when(same, F.col("item")).alias("item"))
-    grouped = hit.groupBy("id", "text_hash", "n_words").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    hit = rows.join(F.broadcast(index) if fits(index, INDEX_BYTES) else index, "h").filter(same)
+    hit = hit.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct(start.alias("s"), (start + F.col("n")).alias("e")).alias("span"), "item")
+    grouped = hit.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a.e, x.e).alias("e"), (a.n + F.greatest(x.e - F.greatest(x.s, a.e), F.lit(0))).alias("n")),
     ).n
-    out = grouped.select("id", "text_hash", "n_words", covered.alias("n_hit"), "items")
+    hits = cut(grouped.select("_id", "_hash", covered.alias("n_hit"), "items"))
+    out = at.select("id", "text_hash", "n_words").join(F.broadcast(hits) if fits(hits, INDEX_BYTES) else hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    out = out.select("id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 

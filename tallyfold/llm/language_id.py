@@ -13,21 +13,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.base import cut, map_texts, sample_ids
 
 #: The model is fitted on about this many documents of a language, chosen by a hash of the id, with their whole texts.
 SAMPLE_DOCS = 1000
-#: And keeps at most this many words and n-grams of a language, the most frequent ones.
-MODEL_WORDS, MODEL_GRAMS = 30_000, 30_000
+#: More languages than this are refused before anything is collected: the model has a number for each word and language.
 MAX_LANGUAGES = 200
 LONGEST_GRAM = 4
 #: Words that a worker remembers beyond those of the model.
 MEMO_WORDS = 300_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters (\\p{L}), lower-cased, as fit takes them. Other numbers than digits, such as \u00bd, are no letters."""
+    found = _RUNS.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else [x for run in found for x in _LETTERS.findall(run)]
 
 
 @dataclass
@@ -55,6 +61,8 @@ def _log_frequencies(counts: list, languages: list[str]) -> dict[str, np.ndarray
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with a text and a language. Ids and languages alone are read to choose the sample."""
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    if docs.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     chosen = sample_ids(rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("class")), SAMPLE_DOCS).select("id").distinct()
     # About SAMPLE_DOCS * MAX_LANGUAGES ids of a few bytes at most: small enough to send to every executor.
     sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
@@ -67,17 +75,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     )
     gram_counts = cut(counts.select("lang", "n", F.explode(grams).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n")))
 
-    def top(d: DataFrame, most: int, least: int, length: bool) -> list:
-        part = ["lang", F.length("key")] if length else ["lang"]  # frequencies of n-grams are among those of the same length
-        total = d.groupBy(*[x if isinstance(x, str) else x.alias("len") for x in part]).agg(F.sum("n").alias("total"))
-        ranked = d.filter(F.col("n") >= least).select("*", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key")).alias("r")).filter(F.col("r") <= most)
-        joined = ranked.withColumn("len", F.length("key")).join(F.broadcast(total), ["lang", "len"] if length else ["lang"])
+    def counted(d: DataFrame, *by: str) -> list:
+        """Rows of language, key, count and total: as many as the sampled texts have different keys."""
+        length = F.length("key").alias("length")
+        total = d.groupBy("lang", *([length] if by else [])).agg(F.sum("n").alias("total"))
+        joined = d.select("*", length).join(F.broadcast(total), ["lang", *by])  # a row for each language and length
         return [(r["lang"], r["key"], r["n"], r["total"]) for r in joined.select("lang", "key", "n", "total").collect()]
 
-    word_counts, gram_rows = top(counts, MODEL_WORDS, 2, False), top(gram_counts, MODEL_GRAMS, 2, True)
+    # Frequencies of n-grams are among those of the same length.
+    word_counts, gram_rows = counted(counts), counted(gram_counts, "length")
     languages = sorted({x[0] for x in word_counts} | {x[0] for x in gram_rows})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     grams_by_length: dict[str, np.ndarray] = {}
     for n in range(1, LONGEST_GRAM + 1):
         grams_by_length |= _log_frequencies([x for x in gram_rows if len(x[1]) == n], languages)
@@ -115,7 +122,7 @@ class Scorer(dict):
         return -1
 
     def score(self, text: str | None) -> tuple[str, float]:
-        found = LETTERS.findall(text.lower()) if text else []
+        found = letters(text) if text else []
         if not found or not self.model.languages:
             return "und", 0.0
         if len(self) >= len(self.table) - len(found):

@@ -3,7 +3,7 @@
 A text is the average of learned vectors of its words and their character n-grams, all hashed into buckets; a softmax
 layer gives the classes. Vectors and layer are trained together by stochastic gradient descent in numpy. As the layer
 is linear, scoring needs only the difference of its two outputs for each bucket, so that a text costs a few numpy
-passes over its bytes.
+passes over its characters.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from tallyfold.llm.base import map_texts, sample_ids
 SAMPLE_DOCS = 1500
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4)
 EPOCHS, RATE, SEED = 12, 0.6, 7
-#: Bytes that one pass of numpy works on, whatever the texts' lengths.
-BLOCK_BYTES = 1 << 20
+#: Characters that one pass of numpy works on, whatever the texts' lengths.
+BLOCK_CHARS = 1 << 18
 
 REPEATED = np.uint64(1)
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
-_SPACES = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
+_SPACE = 0x20
+#: ASCII characters with all white space made a space.
+_ASCII = np.array([_SPACE if c in b" \t\n\x0b\x0c\r" else c for c in range(128)], dtype=np.uint32)
 
 
 def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
@@ -38,14 +40,14 @@ def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
     return ((mixed * _MULTIPLY) >> np.uint64(64 - 16)).astype(np.int64)
 
 
-def features(block: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(positions, buckets) of the character n-grams and of the words of a block that begins and ends with a space.
+def features(block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, buckets) of the character n-grams and of the words of a block of code points that begins and ends with a space.
 
-    n-grams count bytes; the space at either end of a word takes part as its border. A word that repeats the one just
-    before it counts as one more feature, the same for all words: word pairs, reduced to whether they are equal.
+    The space at either end of a word takes part in its n-grams as its border. A word that repeats the one just before
+    it counts as one more feature, the same for all words: hashed word pairs, of which only whether both are equal is kept.
     """
-    b = np.frombuffer(block, dtype=np.uint8)
-    space = b == 0x20
+    b = block
+    space = b == _SPACE
     wide = b.astype(np.uint64) + np.uint64(1)
     found = []
     for n in GRAMS:
@@ -72,15 +74,20 @@ def features(block: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def _blocks(text: str) -> list[bytes]:
-    """A text as blocks of at most BLOCK_BYTES where its words allow, each between spaces."""
-    raw = text.encode("utf-8", "replace").translate(_SPACES)
-    out, at = [], 0
-    while at < len(raw):
-        end = len(raw) if len(raw) - at <= BLOCK_BYTES else raw.rfind(b" ", at, at + BLOCK_BYTES)
-        end = end if end > at else (raw.find(b" ", at + BLOCK_BYTES) if raw.find(b" ", at + BLOCK_BYTES) > 0 else len(raw))
-        out.append(b" " + raw[at:end] + b" ")
-        at = end + 1 if end < len(raw) else end
+def _blocks(text: str) -> list[np.ndarray]:
+    """A text's code points in blocks of at most BLOCK_CHARS where its words allow, each between spaces."""
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+    c = np.where(c < 128, _ASCII[np.minimum(c, 127)], c)
+    border, out, at = np.array([_SPACE], dtype=np.uint32), [], 0
+    while at < len(c):
+        end = len(c)
+        if end - at > BLOCK_CHARS:
+            spaces = np.flatnonzero(c[at + 1 : at + BLOCK_CHARS] == _SPACE)
+            if not len(spaces):
+                spaces = np.flatnonzero(c[at + BLOCK_CHARS :] == _SPACE)[:1] + BLOCK_CHARS - 1
+            end = at + 1 + int(spaces[-1]) if len(spaces) else end
+        out.append(np.concatenate([border, c[at:end], border]))
+        at = end + 1 if end < len(c) else end
     return out
 
 
@@ -98,7 +105,7 @@ class Model:
     def logits(self, texts: list) -> np.ndarray:
         """Logits of label 1; texts are joined to blocks, so that numpy's passes are long."""
         total, number = np.zeros(len(texts)), np.zeros(len(texts))
-        pending: list[tuple[int, bytes]] = []
+        pending: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def flush() -> None:
@@ -106,7 +113,7 @@ class Model:
             if pending:
                 owners, parts = [i for i, _ in pending], [x for _, x in pending]
                 border = np.cumsum([len(x) for x in parts])
-                for at, bucket in features(b"".join(parts)):
+                for at, bucket in features(np.concatenate(parts)):
                     which = np.searchsorted(border, at, side="right")
                     np.add.at(total, owners, np.bincount(which, self.scores[bucket], len(parts)))
                     np.add.at(number, owners, np.bincount(which, minlength=len(parts)))
@@ -116,7 +123,7 @@ class Model:
             for block in _blocks(text or ""):
                 pending.append((i, block))
                 size += len(block)
-                if size >= BLOCK_BYTES:
+                if size >= BLOCK_CHARS:
                     flush()
         flush()
         return self.bias + total / np.maximum(number, 1)

@@ -39,6 +39,8 @@ RULES = (
     Rule(6, "exclamations", "5 * n_exclamations > n_words"),
 )
 BASE = ("too_few_words", "repeated_windows")
+ALL = sum(1 << r.bit for r in RULES)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_letters", "n_capitals")
 
 #: Policy -> the names of the rules that it applies.
 POLICIES = {

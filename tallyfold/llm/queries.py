@@ -57,7 +57,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality_rules.verdicts(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
+    # Rules without any one of which the document would be kept, as bits: all if none failed, that one if one did.
+    alone = F.when(F.col("failed") == 0, F.lit(quality_rules.ALL)).when(F.bit_count("failed") == 1, F.col("failed")).otherwise(0).cast("long")
+    return d.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "failed", alone.alias("kept_without"), "policy")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,32 +102,33 @@ m AS (
     {_COUNT.format('!')} AS n_exclamations, {_COUNT.format(r'\p{L}')} AS n_letters, {_COUNT.format(r'\p{Lu}')} AS n_capitals
   FROM s LEFT JOIN rep USING (rid)),
 f AS (SELECT *, CAST({' + '.join(f'CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END' for r in quality_rules.RULES)} AS BIGINT) AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 != 0 AS base_failed, failed = 0 AS kept, failed, 'web-1' AS policy FROM f"""
+SELECT doc_id, {', '.join(quality_rules.MEASURES)}, failed & 3 != 0 AS base_failed, failed = 0 AS kept, failed,
+  CAST(CASE WHEN failed = 0 THEN {quality_rules.ALL} WHEN bit_count(failed) = 1 THEN failed ELSE 0 END AS BIGINT) AS kept_without, 'web-1' AS policy FROM f"""
 
-_OP2 = rf"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all({_LOWER.format('text')}, '{_WORD}') AS w FROM documents),
+_OP2 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format('text')}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '{_WORD}') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(10, len(w)) AS n FROM b) WHERE n > 0)),
-places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
-hits AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN bw ON bw.win = array_to_string(w[i:i + p.n - 1], ' ') AND bw.n = p.n),
-n_hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
-its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+places AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+hits AS (SELECT rid, i, p.n, item_id FROM places p JOIN bw ON bw.win = array_to_string(w[i:i + p.n - 1], ' ') AND bw.n = p.n),
+n_hit AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
+its AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(its.list, '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+FROM d LEFT JOIN n_hit USING (rid) LEFT JOIN its USING (rid)"""
 
 _OP4 = """WITH RECURSIVE u AS (
-  SELECT conv_id, turn, turn // 2 AS k, coalesce(min(text), '') AS q FROM conversations WHERE role = 'user' GROUP BY 1, 2),
-a AS (SELECT conv_id, turn, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
-c AS (SELECT conv_id, turn, 'call_' || turn AS call_id, CASE WHEN k > 0 THEN k // 2 * 2 + turn % 2 END AS refers, ['search', 'summarise', 'translate'][k % 3 + 1] AS name, q FROM u),
+  SELECT conv_id, turn, turn // 2 AS k, arg_min(q, CAST(to_json(q) AS VARCHAR)) AS q, count(*) AS n FROM (SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations WHERE role = 'user') GROUP BY 1, 2),
+a AS (SELECT conv_id, turn, CASE WHEN count(*) = count(text) THEN min(text) END AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+c AS (SELECT conv_id, turn, 'call_' || turn AS call_id, CASE WHEN k > 0 THEN k // 2 * 2 + turn % 2 END AS refers, ['search', 'summarise', 'translate'][k % 3 + 1] AS name, q, n FROM u),
 e AS (SELECT c.*, c.refers IS NOT NULL AND t.turn IS NULL AS missing, t.turn AS ref FROM c LEFT JOIN c t ON t.conv_id = c.conv_id AND t.turn = c.refers),
 lv AS (SELECT conv_id, turn, 0 AS level FROM e WHERE ref IS NULL UNION ALL SELECT e.conv_id, e.turn, lv.level + 1 FROM e JOIN lv ON lv.conv_id = e.conv_id AND lv.turn = e.ref),
 r AS (
   SELECT coalesce(e.conv_id, a.conv_id) AS conv_id, coalesce(e.call_id, 'call_' || (a.turn - 1)) AS call_id, e.name, coalesce(e.turn, a.turn) AS turn, lv.level,
-    CAST(e.turn IS NOT NULL AS BIGINT) AS n_calls, CAST(a.turn IS NOT NULL AS BIGINT) AS n_results, e.turn IS NOT NULL AND e.q = '' AS invalid, e.missing, e.refers, e.q, a.content
+    coalesce(e.n, 0) AS n_calls, coalesce(a.n, 0) AS n_results, e.turn IS NOT NULL AND e.q = '' AS invalid, e.missing, e.refers, e.q, a.content
   FROM e LEFT JOIN lv ON lv.conv_id = e.conv_id AND lv.turn = e.turn FULL JOIN a ON a.conv_id = e.conv_id AND a.turn - 1 = e.turn)
 SELECT conv_id, call_id, name, turn, CAST(level AS INTEGER) AS level, n_calls, n_results,
   CASE WHEN n_calls = 0 THEN 'orphan_result' WHEN invalid THEN 'invalid' WHEN missing THEN 'missing_reference' WHEN level IS NULL THEN 'cyclic' WHEN n_results = 0 THEN 'no_result' ELSE 'ok' END AS status,
   '{' || concat_ws(',',
-    CASE WHEN n_calls = 1 THEN '"arguments":{' || CASE WHEN refers IS NOT NULL THEN '"context":{"$ref":"call_' || refers || '"},' ELSE '' END || '"limit":' || len(string_split(q, ' ')) || ',"query":' || CAST(to_json(q) AS VARCHAR) || '}' END,
+    CASE WHEN n_calls > 0 THEN '"arguments":{' || CASE WHEN refers IS NOT NULL THEN '"context":{"$ref":"call_' || refers || '"},' ELSE '' END || '"limit":' || len(string_split(q, ' ')) || ',"query":' || CAST(to_json(q) AS VARCHAR) || '}' END,
     '"id":"' || call_id || '"', CASE WHEN name IS NOT NULL THEN '"name":"' || name || '"' END,
     CASE WHEN invalid THEN '"problem":"$.query: length out of bounds"' END, CASE WHEN content IS NOT NULL THEN '"result":' || CAST(to_json(content) AS VARCHAR) END) || '}' AS record
 FROM r"""

@@ -11,12 +11,12 @@ Only links that join what was apart are kept, so that a dense group of n fingerp
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.base import cut, map_texts, row_key, same_key, space_words
@@ -25,6 +25,8 @@ from tallyfold.llm.components import components
 SHINGLE, BUDGET, SEED = 3, 3, 42
 #: Leaves that one dealt-out node pair has at most; beyond, it is split STEP bits further down.
 CAP, STEP = 20_000, 8
+#: Deals: the lengths of a fingerprint's parts, how many of them are equal in linked ones, and the bits they have at least.
+FEW, MANY = ((16, 16, 16, 16), 1, 16), ((11, 11, 11, 11, 10, 10), 3, 31)
 #: Leaves that a task walks at once, and node pairs that a walk holds.
 CHUNK, FRONTIER = 100_000, 1_000_000
 #: Node pairs with so few leaf pairs are compared directly.
@@ -144,7 +146,7 @@ def links_of(values: np.ndarray, pairs: np.ndarray, budget: int, top: int) -> tu
     return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
-def _walk_groups(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+def _walk_groups(batches: Iterator[pa.RecordBatch], budget: int, top: int) -> Iterator[pa.RecordBatch]:
     """Rows (q, x, y, side, v, rep), sorted; a group is one (q, x, y). Links as (a, b) of rep."""
 
     def links(t: pa.Table) -> pa.RecordBatch:
@@ -157,7 +159,7 @@ def _walk_groups(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.
         own = x[lo] == y[lo]
         pairs = np.stack([lo, np.where(own, hi, mid), np.where(own, lo, mid), hi], axis=1)
         pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3])]
-        i, j = links_of(v, pairs.astype(np.int64), budget, 16)
+        i, j = links_of(v, pairs.astype(np.int64), budget, top)
         return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
 
     held: list[pa.Table] = []
@@ -175,16 +177,31 @@ def _walk_groups(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.
         yield links(pa.concat_tables(held).combine_chunks())
 
 
-def near_links(leaves: DataFrame, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
-    """From distinct (fp, rep) to links (a, b) of rep that connect all fingerprints at most budget (0 to 3) bits apart."""
+def _turned(parts: tuple[int, ...], chosen: tuple[int, ...]) -> Column:
+    """The fingerprint with the chosen parts first."""
+    starts = [0, *accumulate(parts)]
+    out, shift = F.lit(0).cast("long"), 64
+    for k in [*chosen, *(k for k in range(len(parts)) if k not in chosen)]:
+        shift -= parts[k]
+        part = F.shiftrightunsigned("fp", 64 - starts[k + 1]).bitwiseAND(F.lit((1 << parts[k]) - 1).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(part, shift))
+    return out
+
+
+def near_links(leaves: DataFrame, budget: int = BUDGET, cap: int = CAP, deal: tuple | None = None) -> DataFrame:
+    """From distinct (fp, rep) to links (a, b) of rep that connect all fingerprints at most budget (0 to 3) bits apart.
+
+    The deal follows from the number of leaves: FEW while its nodes hold cap leaves on average at most. Both give the same components.
+    """
     if not 0 <= budget <= 3:
-        raise ValueError("four quarters bear at most three errors")
-    turned = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (F.expr(f"shiftleft(fp, {16 * q}) | shiftrightunsigned(fp, {64 - 16 * q})") if q else F.col("fp")).alias("v")) for q in range(4)]))
-    rows = leaves.select(turned.alias("t"), "rep").select("t.q", "t.v", "rep")
-    prefix = F.shiftrightunsigned("v", 48)
+        raise ValueError("the parts bear at most three errors")
+    parts, equal, top = deal or (FEW if leaves.count() <= cap << FEW[2] else MANY)
+    turned = F.array(*[F.struct(F.lit(q).alias("q"), _turned(parts, c).alias("v")) for q, c in enumerate(combinations(range(len(parts)), equal))])
+    rows = leaves.select(F.explode(turned).alias("t"), "rep").select("t.q", "t.v", "rep")
+    prefix = F.shiftrightunsigned("v", 64 - top)
     rows = rows.select("q", prefix.alias("x"), prefix.alias("y"), F.lit(0).alias("side"), "v", "rep")
-    depth, done = 16, None
-    while depth < 64:
+    depth, done = top, None
+    while depth + STEP <= 64:
         sizes = rows.groupBy("q", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("side").alias("hi"), F.min("side").alias("lo"))
         heavy = cut(sizes.filter((F.col("n") > cap) & ((F.col("x") == F.col("y")) | (F.col("hi") != F.col("lo")))).select("q", "x", "y"))
         if heavy.isEmpty():
@@ -205,7 +222,7 @@ def near_links(leaves: DataFrame, budget: int = BUDGET, cap: int = CAP) -> DataF
         rows = cut(split)
     rows = rows if done is None else done.unionByName(rows)
     dealt = rows.repartition("q", "x", "y").sortWithinPartitions("q", "x", "y", "side", F.expr("v ^ (-9223372036854775808L)"))
-    return dealt.mapInArrow(lambda batches: _walk_groups(batches, budget), "a bigint, b bigint")
+    return dealt.mapInArrow(lambda batches: _walk_groups(batches, budget, top), "a bigint, b bigint")
 
 
 def grouped(docs: DataFrame, shingle: int, budget: int, cap: int, id_col: str, text_col: str) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import cut, map_texts
+from tallyfold.llm.base import cut, let, map_texts, piece, text_blocks
 
 #: Bytes on either side of a border in which its hash is the smallest: chunks have WINDOW + 1 bytes at least, and twice as many on average.
 WINDOW = 16
@@ -24,6 +24,8 @@ WINDOW = 16
 LONGEST = 1024
 #: A passage counts from so many bytes on; the ends of a passage that lie outside whole chunks are not among them.
 MIN_BYTES = 180
+#: Stands for a null id.
+NO_ID = (1 << 63) - 1
 #: Bytes that numpy works on at once.
 BLOCK_BYTES = 1 << 20
 #: Bytes that a border's place depends on, on either side.
@@ -69,8 +71,13 @@ def borders(raw: bytes) -> np.ndarray:
     return np.unique(cuts)
 
 
+def _key(id_col: str, text_col: str) -> list:
+    """(id, text_hash): what tells rows apart. Ids are integers; null is the largest, and stays apart from all others by the text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col).cast("binary")).alias("text_hash")]
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, start, end): a row for each chunk; positions count code points. Null and empty texts have none."""
+    """(id, text_hash, digest, start, end, n_bytes): a row for each chunk; positions count code points. Null and empty texts have none."""
 
     def make() -> Callable[[list], dict]:
         digest = xxhash.xxh3_64_intdigest
@@ -100,50 +107,55 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return work
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_texts(rows, make, "chunks array<struct<digest:bigint,start:int,end:int,n_bytes:int>>", "id", "text").select("id", F.inline("chunks"))
+    rows = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
+    return map_texts(rows, make, "chunks array<struct<digest:bigint,start:int,end:int,n_bytes:int>>", "id", "text", ["text_hash"]).select("id", "text_hash", F.inline("chunks"))
 
 
 def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each passage of a document that other documents hold too.
 
-    Columns: the id, start and end (code points, end exclusive), n_chunks, run_bytes, first_id (the smallest id that
-    holds the passage's first chunk) and is_first (whether this document is the first for all its chunks). A run is as
-    many adjoining chunks that occur in more than one document as there are; it counts from min_bytes on, and gives one
-    passage, or several where chunks that stand here first adjoin others. Repeats within one document alone don't count. Rows
-    with the same id are taken for one document; rows without an id have no passages.
+    Columns: the id, text_hash, start and end (code points, end exclusive), n_chunks, run_bytes, first_id (the smallest
+    id that holds the passage's first chunk; null last) and is_first (whether this document's id is that for all its
+    chunks). A run is as many adjoining chunks that occur in more than one document as there are; it counts from
+    min_bytes on, and gives one passage, or several where chunks that stand here first adjoin others. Repeats within one
+    document alone don't count. Rows are documents of their own where their texts differ, also under one id or without
+    one; rows that repeat both are one document.
 
     Digests are counted before they are shuffled, and the join that brings the counts back leaves digests that very
-    many documents share to Spark's splitting of skewed partitions.
+    many documents share to Spark's splitting of skewed partitions. Texts are cut twice, as that costs less than
+    keeping all chunks.
     """
-    own = chunks(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    shared = cut(own.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id != last").select("digest", "first_id"))
-    hits = own.hint("merge").join(shared, "digest").select("id", "start", "end", "n_bytes", "first_id")
-    w = Window.partitionBy("id").orderBy("start")
+    own = chunks(docs, id_col, text_col)
+    ends = [f("id").alias(f"{n}_id") for n, f in (("first", F.min), ("last", F.max))] + [f("text_hash").alias(f"{n}_hash") for n, f in (("first", F.min), ("last", F.max))]
+    shared = cut(own.groupBy("digest").agg(*ends).filter("first_id != last_id or first_hash != last_hash").select("digest", "first_id"))
+    hits = own.hint("merge").join(shared, "digest").select("id", "text_hash", "start", "end", "n_bytes", "first_id")
+    key = ["id", "text_hash"]
+    hits = hits.repartition(*key).dropDuplicates([*key, "start"])  # rows that repeat id and text
+    w = Window.partitionBy(*key).orderBy("start")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.select("*", F.coalesce((F.col("start") > reach).cast("int"), F.lit(0)).alias("new")).select("*", F.sum("new").over(w).alias("run"))
     own_first = F.col("first_id") == F.col("id")
-    turn = F.coalesce((own_first != F.lag(own_first).over(Window.partitionBy("id", "run").orderBy("start"))).cast("int"), F.lit(0))
-    long = runs.select("*", F.sum("n_bytes").over(Window.partitionBy("id", "run")).alias("bytes"), turn.alias("turn")).filter(F.col("bytes") >= min_bytes)
-    parts = long.select("*", F.sum("turn").over(Window.partitionBy("id", "run").orderBy("start")).alias("part"))
-    found = parts.groupBy("id", "run", "part").agg(
+    in_run = Window.partitionBy(*key, "run").orderBy("start")
+    turn = F.coalesce((own_first != F.lag(own_first).over(in_run)).cast("int"), F.lit(0))
+    long = runs.select("*", F.sum("n_bytes").over(Window.partitionBy(*key, "run")).alias("bytes"), turn.alias("turn")).filter(F.col("bytes") >= min_bytes)
+    parts = long.select("*", F.sum("turn").over(in_run).alias("part"))
+    found = parts.groupBy(*key, "run", "part").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).cast("long").alias("n_chunks"), F.first("bytes").alias("run_bytes"), F.min_by("first_id", "start").alias("first_id")
     )
-    return found.select(F.col("id").alias(id_col), "start", "end", "n_chunks", "run_bytes", "first_id", (F.col("id") == F.col("first_id")).alias("is_first"))
+    given = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(docs.schema[id_col].dataType)
+    return found.select(given("id").alias(id_col), "text_hash", "start", "end", "n_chunks", "run_bytes", given("first_id").alias("first_id"), (F.col("id") == F.col("first_id")).alias("is_first"))
 
 
 def remove_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with every passage cut out of its text but where it stands in the first document that holds it."""
-    spans = passages.filter(~F.col("is_first")).groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    size = F.size("_spans")
-    pieces = F.transform(
-        F.sequence(F.lit(0), size),
-        lambda i: F.substring(
-            F.col(text_col),
-            F.when(i > 0, F.get("_spans", i - 1)["end"]).otherwise(0) + 1,
-            F.when(i < size, F.get("_spans", i)["start"]).otherwise(F.char_length(text_col)) - F.when(i > 0, F.get("_spans", i - 1)["end"]).otherwise(0),
-        ),
-    )
-    joined = docs.join(spans, F.col(id_col) == F.col("_id"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))
+    """docs, all columns, with every passage cut out of its own row's text, but where it stands in the first document that holds it."""
+    spans = passages.filter(~F.col("is_first")).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash"), F.struct("start", "end").alias("span"))
+    spans = spans.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list("span")).alias("_spans"))
+    own_id, own_hash = _key(id_col, text_col)
+
+    def pieces(blocks):
+        before = F.transform("_spans", lambda x, i: piece(blocks, F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)), x["start"]))
+        return F.concat(F.array_join(before, ""), piece(blocks, F.element_at("_spans", -1)["end"], F.char_length(text_col)))
+
+    joined = docs.join(spans, (own_id == F.col("_id")) & (own_hash == F.col("_hash")), "left")
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(let(text_blocks(F.col(text_col)), pieces))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, chat, components, decontaminate, language_id, pii, quality_model, quality_rules, queries, simhash, substrings, toxicity
+from tallyfold.llm import base, bpe, chat, components, decontaminate, language_id, pii, quality_model, quality_rules, queries, simhash, substrings, toxicity
 from tests.llm import brute
 
 RANKS = public_tokenizers.path(queries.RANKS)
@@ -122,9 +123,10 @@ def test_decontamination(spark, odd, small, sf_dir):
     )
     for docs, items in ((small, bench), (odd, made), (small, made.filter("item_id = 6"))):
         pairs = [(r["item_id"], r["text"]) for r in items.collect()]
-        rows = docs.select("doc_id", "text").distinct().collect()
-        got = {r["doc_id"]: r for r in decontaminate.contamination(docs, items).collect()}
-        assert len(got) == len(rows)
+        rows = docs.select("doc_id", "text").collect()
+        found = decontaminate.contamination(docs, items).collect()
+        got = {r["doc_id"]: r for r in found}
+        assert sorted(r["doc_id"] for r in found) == sorted(r["doc_id"] for r in rows)
         for r in rows:
             n, hit, found = brute.contamination(r["text"], pairs)
             g = got[r["doc_id"]]
@@ -151,8 +153,8 @@ def test_simhash(spark, odd, small, cap):
     assert simhash.near_duplicates(empty(spark)).isEmpty()
 
 
-@pytest.mark.parametrize("cap", [20000, 40, 5])
-def test_near_links(spark, cap):
+@pytest.mark.parametrize(("cap", "deal"), [(20000, simhash.FEW), (40, simhash.FEW), (5, simhash.FEW), (20000, simhash.MANY), (5, simhash.MANY)])
+def test_near_links(spark, cap, deal):
     rng = random.Random(cap)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for centre in list(fps)[:4]:  # dense balls of fingerprints
@@ -164,12 +166,12 @@ def test_near_links(spark, cap):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     leaves = spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, rep long")
-    links = simhash.near_links(leaves, cap=cap).cache()
+    links = simhash.near_links(leaves, cap=cap, deal=deal).cache()
     assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() <= 3 for r in links.collect())
     want = brute.components(list(range(len(fps))), fps)
     got = {r["id"]: r["component"] for r in components.components(links).collect()}
     assert {i: got.get(i, i) for i in range(len(fps))} == want
-    assert links.count() < 4 * 4 * len(fps)
+    assert links.count() < 4 * (4 if deal == simhash.FEW else 20) * len(fps)
 
 
 def test_keep_one(odd):
@@ -236,11 +238,11 @@ def test_disclosing_terms(spark):
         texts[k] = f"{a} Zanzibor {common[k]} +1 555 123 4567 {b}"
     copy = "unusual wording here +1 555 999 0000 of one single text"
     texts += [copy] * 5  # copies are one piece of evidence
-    docs = documents(spark, texts)
+    docs = documents(spark, [*texts, None])
     found = pii.personal_data(docs)
-    terms = found.filter(F.size("term") > 0).select("id", "text", "term").collect()
-    assert {r["id"] for r in terms} == set(range(6))
-    assert {r["text"][t["start"] : t["end"]] for r in terms for t in r["term"]} == {"Zanzibor"}
+    assert {r["id"]: r["spans"] for r in found.select("id", pii.span_list([*pii.PATTERNS, "term"]).alias("spans")).collect()} == brute.all_spans(dict(enumerate(texts)) | {len(texts): None})
+    terms = found.filter("id < 6").select("id", "text", "term").collect()
+    assert all({r["text"][t["start"] : t["end"]] for t in r["term"]} == {"Zanzibor"} for r in terms)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "Zanzibor" not in clean[0] and "[phone]" in clean[0]
 
@@ -256,7 +258,7 @@ def test_terms_where_lower_case_is_longer(spark):
     docs = documents(spark, texts)
     terms = pii.personal_data(docs).filter(F.size("term") > 0).select("id", "text", "term").collect()
     assert {r["id"] for r in terms} == set(range(6))
-    assert {r["text"][t["start"] : t["end"]] for r in terms for t in r["term"]} == {"\u0130zmirli", "Zanzibor"}
+    assert {r["text"][t["start"] : t["end"]] for r in terms for t in r["term"]} == {"\u0130zmirli", "\u0130\u0130", "Zanzibor"}
     clean = [r["text"] for r in pii.sanitise(docs).filter("doc_id < 6").collect()]
     assert not any("zmirli" in t or "Zanzibor" in t for t in clean) and all("[phone]" in t for t in clean)
 
@@ -277,6 +279,7 @@ def test_passages(spark):
     texts[11] = inner + " " + prose(10) + " " + inner  # repeats within one document alone
     docs = documents(spark, [*texts, None, ""])
     found = substrings.repeated_passages(docs).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["n_chunks"], r["run_bytes"], r["first_id"], r["is_first"]) for r in found) == brute.passages(texts, substrings.borders)
     assert {r["doc_id"] for r in found} == {3, 7, 9}
     for r in found:
         assert texts[r["doc_id"]][r["start"] : r["end"]] in shared and r["is_first"] == (r["doc_id"] == 3)
@@ -285,6 +288,20 @@ def test_passages(spark):
     assert substrings.repeated_passages(empty(spark)).isEmpty()
 
 
+def test_passages_by_row(spark):
+    """One id on two texts, null ids and repeated rows: every text keeps what it alone holds."""
+    rnd = random.Random(6)
+    prose = lambda n: " ".join("".join(rnd.choices("abcdefghijklm", k=rnd.randint(2, 9))) for _ in range(n))
+    shared, own, other, third = prose(60), prose(90), prose(80), prose(70)
+    rows = [(1, f"{own} {shared}"), (1, other), (2, f"{third} {shared}"), (2, f"{third} {shared}"), (None, f"{shared} {prose(9)}"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeated_passages(docs)
+    assert sorted((str(r["doc_id"]), r["first_id"], r["is_first"]) for r in found.collect()) == [("1", 1, True), ("2", 1, False), ("None", 1, False)]
+    left = substrings.remove_repeats(docs, found).collect()
+    assert len(left) == len(rows) and {rows[0][1], other} <= {r["text"] for r in left}
+    assert all(third in r["text"] and len(r["text"]) < len(third) + 120 for r in left if r["doc_id"] == 2)
+
+
 def test_chunks_cover_the_text(spark, odd):
     rows = substrings.chunks(odd.dropDuplicates(["doc_id"])).orderBy("id", "start").collect()
     for i, t in enumerate(ODD):
@@ -327,12 +344,18 @@ def test_language(spark, odd, sf_dir):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, model).collect()}
     assert got[0] == got[1] == got[2] == ("und", 0.0) and got[12][0] == "und" and all(0 <= s <= 1 for _, s in got.values())
     assert language_id.predict(odd, language_id.fit(empty(spark))).filter("lang_pred != 'und'").isEmpty()
+    assert language_id.predict(empty(spark), model).isEmpty()
+    signs = documents(spark, ["\u00bd \u00b2 \u2167", "12 \u0663", "_"])
+    assert {r["lang_pred"] for r in language_id.predict(signs, model).collect()} == {"und"}
 
 
 def test_language_backs_off():
     model = language_id.Model(["a", "b"], {"known": np.array([-1.0, -9.0])}, {"zz": np.array([-9.0, -1.0]), "q": np.array([-1.0, -3.0])})
     s = language_id.Scorer(model)
     assert s.score("known")[0] == "a" and s.score("zzz")[0] == "b" and s.score("xqx")[0] == "a"
+    for text in ("known zzz", "q xqx known Known", "azzq\u00bdzz", "nothing"):
+        want = brute.language(text, model.languages, model.words, model.grams)
+        assert s.score(text)[0] == want[0] and np.isclose(s.score(text)[1], want[1])
 
 
 def test_toxicity(spark, odd, sf_dir):
@@ -347,6 +370,31 @@ def test_toxicity(spark, odd, sf_dir):
     assert len(toxicity.predict(odd, toxicity.fit(empty(spark), labels)).collect()) == odd.count()
 
 
+def test_toxicity_ablation(spark, sf_dir):
+    """On held-out rows, misspelt terms are caught by the automata alone, and quotation marks take a score back."""
+    docs, labels = _fold(spark, sf_dir, "sf0.1")
+    model = toxicity.fit(docs.filter(~queries.held_out()), labels)
+    w = dict(zip(toxicity.FEATURES, model.weights, strict=False))
+    assert min(w["exact"], w["one_edit"], w["two_edits"], w["weight"]) > 0 > w["quoted"]
+    matcher, kinds = toxicity.Matcher(model.lexicon), {}
+    rows = docs.filter(queries.held_out()).join(labels.filter("toxic = 1"), "doc_id").select("doc_id", "text").collect()
+    for r in rows:
+        found = toxicity.spans(r["text"], matcher)
+        for text, y in toxicity.variants(r["text"], found, model.lexicon) if found else []:
+            kinds.setdefault(y, []).append(text)
+            x = np.array(toxicity.features(toxicity.spans(text, matcher), len(text), model.lexicon, model.context))
+            assert 0 <= 1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1]))) <= 1
+    score = lambda texts, m: [r["score"] for r in toxicity.predict(documents(spark, texts), m).collect()][:-1]
+    exact_only = toxicity.Model(model.lexicon, model.context, model.weights * np.array([f not in ("one_edit", "two_edits") for f in (*toxicity.FEATURES, "bias")]))
+    caught, without = (np.mean(np.array(score(kinds[1], m)) >= 0.3) for m in (model, exact_only))
+    assert caught > 0.8 and caught > without
+    assert np.mean(np.array(score(kinds[0], model)) < 0.3) > 0.9
+    one = score(kinds[1][:1], model)[0]
+    x = np.array(toxicity.features(toxicity.spans(kinds[1][0], matcher), len(kinds[1][0]), model.lexicon, model.context))
+    assert np.isclose(one, 1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1]))))
+    assert toxicity.predict(empty(spark), model).isEmpty()
+
+
 def test_fuzzy_lexicon():
     terms = ["loser", "idiot", "pathetic", "scum", "worthless", "lose"]
     lexicon, rnd = toxicity.FuzzyLexicon(terms), random.Random(0)
@@ -371,10 +419,14 @@ def test_fuzzy_lexicon():
 
 
 def test_toxic_context():
-    matcher = toxicity.Matcher(toxicity.FuzzyLexicon(["idiot"]))
-    quoted = lambda t: toxicity.spans(t, matcher)[0][4]
-    assert quoted('he said "idiot" once') and quoted("the “idiot” there") and not quoted("what an idiot")
-    assert toxicity.spans("you idiot", matcher)[0][5] and toxicity.spans("an idi0t", matcher)[0][3] == 1 and not toxicity.spans("idiom", toxicity.Matcher(toxicity.FuzzyLexicon(["idiots"]))) == [1]
+    lexicon = toxicity.Lexicon(["idiot"], [3.0], [1.0], frozenset({"idiom"}))
+    matcher = toxicity.Matcher(lexicon)
+    quoted = lambda t: toxicity.spans(t, matcher)[0].quoted
+    assert quoted('he said "idiot" once') and quoted("the “idiot” there") and not quoted("what an idiot") and not quoted('"a" what an idiot "b"')
+    assert toxicity.spans("an idi0t", matcher)[0].edits == 1 and not toxicity.spans("an idiom", matcher)
+    assert toxicity.spans("a b c d e f g idiot h", matcher)[0].window == ["b", "c", "d", "e", "f", "g", "h"]
+    copies = toxicity.variants("what an idiot", toxicity.spans("what an idiot", matcher), lexicon)
+    assert copies[0] == ('what an "idiot"', 0) and copies[1][1] == 1 and toxicity.spans(copies[1][0], matcher)[0].edits == 1
 
 
 def test_quality_model(spark, odd, sf_dir):
@@ -385,6 +437,19 @@ def test_quality_model(spark, odd, sf_dir):
     rows = quality_model.predict(odd, model).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert len(quality_model.predict(odd, quality_model.fit(empty(spark), labels)).collect()) == odd.count()
+    assert quality_model.predict(empty(spark), model).isEmpty()
+
+
+def test_quality_features():
+    """Hashed words and character n-grams as a plain loop finds them, on characters of any width."""
+    for text in ("Éa é ß 漢字 😀𝄞 x", "one two two\tthree", "a", "", " \n ", "ab  ab"):
+        want = brute.subwords(text, quality_model)
+        at, n = quality_model.counted(text)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == want
+    model = quality_model.Model(np.random.default_rng(1).normal(size=quality_model.BUCKETS), -0.2)
+    want = brute.subwords("one two two", quality_model)
+    logit = -0.2 + sum(model.scores[b] * n for b, n in want.items()) / sum(want.values())
+    assert np.isclose(model.logits(["one two two"])[0], logit)
 
 
 def test_quality_scores_stand_alone():
@@ -393,9 +458,9 @@ def test_quality_scores_stand_alone():
     texts = ["some words here here", None, "", "other words", "x" * 50, "a b " * 900]
     together = model.logits(texts)
     assert np.allclose(together, [model.logits([t])[0] for t in texts])
-    block, quality_model.BLOCK_BYTES = quality_model.BLOCK_BYTES, 200
+    block, quality_model.BLOCK_CHARS = quality_model.BLOCK_CHARS, 200
     assert np.allclose(model.logits(texts[:5]), together[:5])
-    quality_model.BLOCK_BYTES = block
+    quality_model.BLOCK_CHARS = block
 
 
 # 4
@@ -425,6 +490,25 @@ def test_chat(spark):
     assert chat.link(calls.filter("false"), results.filter("false"), schemas).isEmpty()
 
 
+def test_chat_long_chains(spark):
+    """Levels of a chain of 1500 calls, of calls with several references over chains, and of circles that chains lead to."""
+    edges = [(1, f"c{k}", f"c{k - 1}") for k in range(1, 1500)] + [(1, "m", "c1499"), (1, "m", "c7"), (1, "n", "m"), (1, "o", "n"), (1, "o", "c3")]
+    edges += [(2, "a", "b"), (2, "b", "c"), (2, "c", "a"), (2, "d", "a"), (2, "e", "d"), (2, "f", "e"), (2, "f", "g"), (2, "h", "g")]
+    names = sorted({(c, x) for c, *xs in edges for x in xs} | {(3, "alone")})
+    calls = spark.createDataFrame(names, "conv_id long, call_id string")
+    found = chat.levels(calls, spark.createDataFrame(edges, "conv_id long, call_id string, ref string")).collect()
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in found}
+    want = {(1, f"c{k}"): k for k in range(1500)} | {(1, "m"): 1500, (1, "n"): 1501, (1, "o"): 1502, (2, "g"): 0, (2, "h"): 1, (3, "alone"): 0}
+    assert got == want and len(found) == len(want)
+
+
+def test_chat_repeated_turns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.link(*chat.turns_as_calls(turns), chat.SCHEMAS).collect()}
+    assert (got[1]["n_calls"], got[1]["n_results"], got[1]["status"], got[2]["status"]) == (2, 3, "ok", "invalid")
+    assert json.loads(got[1]["record"]) == {"arguments": {"limit": 1, "query": "a"}, "id": "call_0", "name": "search", "result": "x"}
+
+
 def test_chat_canonical():
     assert chat.canonical(json.loads('{"b": 1.0, "a": [1e3, "é", null, true], "c": {"y": 2, "x": 1.5}}')) == '{"a":[1000,"é",null,true],"b":1,"c":{"x":1.5,"y":2}}'
     with pytest.raises(ValueError):
@@ -450,6 +534,40 @@ def test_chat_query(spark, sf_dir):
             assert calls[r["conv_id"], record["arguments"]["context"]["$ref"]]["level"] < r["level"]
 
 
+# all
+
+
+def test_very_long_text(spark, reference):
+    """A text of several MB, with many matches, beside an empty one."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(5000)]
+    long = "\n".join(" ".join(rnd.choices(words, k=12)) + " a.b@c.example.com" for _ in range(40000))
+    docs = documents(spark, [long, ""])
+    assert len(long) > 3_000_000
+    got = {r["id"]: r for r in pii.personal_data(docs).select("id", F.size("email").alias("n"), pii.span_list(["email"]).alias("s")).collect()}
+    assert got[0]["n"] == 40000 and got[0]["s"] == ",".join(f"email:{x.start()}:{x.end()}" for x in re.finditer(brute.PII["email"], long))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[0].count("[email]") == 40000 and "@" not in clean[0] and clean[1] == ""
+    assert quality_rules.verdicts(docs).filter("doc_id = 0").first()["n_words"] == 40000 * 13
+    ids = reference.encode_ordinary(long)
+    assert bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN)).filter("doc_id = 0").first()["n_tokens"] == len(ids)
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {0, 1}
+    item = spark.createDataFrame([(1, " ".join(brute.WORD.findall(long)[100:112]))], "item_id long, text string")
+    assert decontaminate.contamination(docs, item).filter("doc_id = 0").first()["n_hit"] == 12
+    assert len(substrings.chunks(docs).filter("id = 0").select("start").collect()) > 50_000
+    model = quality_model.Model(np.ones(quality_model.BUCKETS), 0.0)
+    assert np.isclose(model.logits([long])[0], 1.0)
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running(spark, n):
+    """Sums and maxima over blocks as one by one."""
+    x = [random.Random(n + k).randint(0, 99) for k in range(n)]
+    df = spark.createDataFrame([(x,)], "x array<int>")
+    got = df.select(base.running(F.col("x")).alias("s"), base.running(F.col("x"), F.greatest).alias("m")).first()
+    assert got["s"] == [sum(x[:k]) for k in range(n + 1)] and got["m"] == [max([0, *x[:k]]) for k in range(n + 1)]
+
+
 # components
 
 
