@@ -44,8 +44,9 @@ def list_to_line(values: Column, splitter: str = ", ") -> Column:
 
 
 def fingerprint(keys: list[Column], values: list[Column]) -> Column:
-    """SHA-1 over the SHA-1 of all keys and that of all values, in order."""
-    joined = lambda cols: F.sha1(F.concat_ws("|", *[c.cast("string") for c in cols]).cast("binary"))
+    """SHA-1 over the SHA-1 of all keys and that of all values, in order. Each stands with its length before it, NULL as a dash, so that no two lists look alike."""
+    framed = lambda c: F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    joined = lambda cols: F.sha1(F.concat(*[framed(c.cast("string")) for c in cols]).cast("binary"))
     return F.sha1(F.concat(joined(keys), joined(values)).cast("binary"))
 
 

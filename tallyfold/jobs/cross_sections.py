@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.jobs.panels import PORTFOLIO, STOCK, portfolio, risk_free, stock, table, wa
+from tallyfold.jobs.panels import PORTFOLIO, STOCK, cells, portfolio, risk_free, stock, table, wa
 from tallyfold.jobs.registry import query, r, rs
 from tallyfold.operators import factors as f
 from tallyfold.operators import performance as p
@@ -35,41 +35,67 @@ _add(
         "coalesce(roe > 0.04, false) AND row_number() OVER (PARTITION BY date, coalesce(roe > 0.04, false) ORDER BY close ASC NULLS LAST, asset) <= 5",
     ),
 )
-_add("X6_scale_row", scaled=(lambda: r(x.scale_row(F.col("close"))), rs("(close - min(close) OVER wd) / nullif(max(close) OVER wd - min(close) OVER wd, 0)")))
-_add("X12_equal_weights", weight=(lambda: r(x.equal_weights(F.col("close"))), rs("CASE WHEN close IS NOT NULL THEN 1.0 / count(close) OVER wd ELSE 0.0 END")))
+
+
+def _add_frame(name: str, column: str, made: Callable[[DataFrame], DataFrame], sql: str, digits: int = 6) -> None:
+    """A query of the stock panel with a column that needs sums over a date."""
+    text = f"WITH {STOCK} SELECT asset, date, {rs(sql, digits)} AS {column} FROM stock WINDOW wd AS (PARTITION BY date)"
+    query(name, text)(lambda spark, sf_dir: made(stock(spark, sf_dir)).select("asset", "date", r(column, digits).alias(column)))
+
+
+_add_frame("X6_scale_row", "scaled", lambda d: x.scale_row(d, F.col("close")), "(close - min(close) OVER wd) / nullif(max(close) OVER wd - min(close) OVER wd, 0)")
+_add_frame("X12_equal_weights", "weight", lambda d: x.equal_weights(d, F.col("close")), "CASE WHEN close IS NOT NULL THEN 1.0 / count(close) OVER wd ELSE 0.0 END")
 _ALPHA = "round(pb_ratio - 0.05, 8)"
-_add(
+_add_frame(
     "X13_add_alpha",
-    weight=(
-        lambda: r(x.add_alpha(F.lit(0.01), F.round(F.col("pb_ratio") - 0.05, 8)), 5),
-        rs(f"0.01 + (-max(CASE WHEN {_ALPHA} < 0 THEN 0.01 / {_ALPHA} END) OVER wd) * {_ALPHA}", 5),
-    ),
+    "weight",
+    lambda d: x.add_alpha(d, F.lit(0.01), F.round(F.col("pb_ratio") - 0.05, 8)),
+    f"0.01 + (-max(CASE WHEN {_ALPHA} < 0 THEN 0.01 / {_ALPHA} END) OVER wd) * {_ALPHA}",
+    5,
 )
-_BOTH = "close IS NOT NULL AND roe IS NOT NULL"
-_add("X15_residual_one", residual=(lambda: r(x.residual_one(F.col("close"), F.col("roe")), 4), rs("close - sum(roe * close) OVER wd / sum(roe * roe) OVER wd * roe", 4)))
+_add_frame("X15_residual_one", "residual", lambda d: x.residual_one(d, F.col("close"), F.col("roe")), "close - sum(roe * close) OVER wd / sum(roe * roe) OVER wd * roe", 4)
 _s = lambda a, b: f"sum({a} * {b}) OVER wd"
 _DET = f"({_s('roe', 'roe')} * {_s('pb_ratio', 'pb_ratio')} - {_s('roe', 'pb_ratio')} * {_s('roe', 'pb_ratio')})"
-_add(
+_add_frame(
     "X15_residual_two",
-    residual=(
-        lambda: r(x.residual_two(F.col("close"), F.col("roe"), F.col("pb_ratio")), 3),
-        rs(
-            f"close - ({_s('roe', 'close')} * {_s('pb_ratio', 'pb_ratio')} - {_s('pb_ratio', 'close')} * {_s('roe', 'pb_ratio')}) / {_DET} * roe"
-            f" - ({_s('pb_ratio', 'close')} * {_s('roe', 'roe')} - {_s('roe', 'close')} * {_s('roe', 'pb_ratio')}) / {_DET} * pb_ratio",
-            3,
-        ),
-    ),
+    "residual",
+    lambda d: x.residual_two(d, F.col("close"), F.col("roe"), F.col("pb_ratio")),
+    f"close - ({_s('roe', 'close')} * {_s('pb_ratio', 'pb_ratio')} - {_s('pb_ratio', 'close')} * {_s('roe', 'pb_ratio')}) / {_DET} * roe"
+    f" - ({_s('pb_ratio', 'close')} * {_s('roe', 'roe')} - {_s('roe', 'close')} * {_s('roe', 'pb_ratio')}) / {_DET} * pb_ratio",
+    3,
 )
 
 
-@query("X15_residual_many")
+def orthogonal(source: str, by: str, columns: list[str], y: str = "y", prefix: str = "o") -> tuple[list[str], str]:
+    """CTEs that make columns orthogonal one after the other within a group, and y's projection on them, for rows that have all.
+
+    Each step takes the parts along the columns before out of a column by sums over the group.
+    """
+    dot = lambda a, b: f"sum({a} * {b}) OVER g"
+    ctes, names = [f"{prefix}0 AS (SELECT *, {columns[0]} AS u0 FROM {source})"], ["u0"]
+    for k, c in enumerate(columns[1:], 1):
+        away = " - ".join([c, *[f"coalesce({dot(c, u)} / nullif({dot(u, u)}, 0), 0) * {u}" for u in names]])
+        ctes += [f"{prefix}{k} AS (SELECT *, {away} AS u{k} FROM {prefix}{k - 1} WINDOW g AS (PARTITION BY {by}))"]
+        names.append(f"u{k}")
+    return ctes, " + ".join(f"coalesce({dot(y, u)} / nullif({dot(u, u)}, 0), 0) * {u}" for u in names)
+
+
+_COMPLETE = "close IS NOT NULL AND roe IS NOT NULL AND pb_ratio IS NOT NULL AND asset_growth IS NOT NULL"
+_ctes, _projected = orthogonal("whole", "date", ["pb_ratio", "asset_growth", "roe"], "close")
+_WHOLE = f"WITH {STOCK}, whole AS (SELECT * FROM stock WHERE {_COMPLETE}), {', '.join(_ctes)}"
+
+
+@query(
+    "X15_residual_many",
+    f"{_WHOLE}, res AS (SELECT asset, date, close - ({_projected}) AS residual FROM o2 WINDOW g AS (PARTITION BY date)) SELECT asset, date, {rs('residual', 3)} AS residual FROM stock LEFT JOIN res USING (asset, date)",
+)
 def _(spark, sf_dir):
-    return x.residual_many(stock(spark, sf_dir), "close", ["roe", "pb_ratio", "asset_growth"])
+    return x.residual_many(stock(spark, sf_dir), "close", ["roe", "pb_ratio", "asset_growth"]).select("asset", "date", r("residual", 3).alias("residual"))
 
 
-@query("X5_largest", f"WITH {STOCK} SELECT close FROM stock WHERE close IS NOT NULL ORDER BY close DESC LIMIT 10")
+@query("X5_largest", f"WITH {STOCK} SELECT asset, date, close FROM stock WHERE close IS NOT NULL ORDER BY close DESC, asset, date LIMIT 10")
 def _(spark, sf_dir):
-    return x.largest(stock(spark, sf_dir), "close", 10).select("close")
+    return x.largest(stock(spark, sf_dir), "close", 10).select("asset", "date", "close")
 
 
 @query("X7_scale_all", f"WITH {STOCK} SELECT asset, date, {rs('(close - lo) / nullif(hi - lo, 0)')} AS scaled FROM stock CROSS JOIN (SELECT min(close) AS lo, max(close) AS hi FROM stock)")
@@ -125,6 +151,19 @@ def _(spark, sf_dir):
     return d.select("asset", "date", x.select_in_regions(d, "close", "grp", 0.5, 1.0).alias("chosen"))
 
 
+_REGIONS = {"roe > 0.035": lambda: F.col("roe") > 0.035, "pb_ratio > 0.045": lambda: F.col("pb_ratio") > 0.045, "asset % 3 = 0": lambda: F.col("asset") % 3 == 0}
+_FLAGS = " UNION ALL ".join(
+    f"SELECT asset, date FROM (SELECT asset, date, (row_number() OVER (PARTITION BY date ORDER BY close, asset) - 1) / CAST(nullif(count(*) OVER (PARTITION BY date) - 1, 0) AS DOUBLE) AS pct FROM stock WHERE close IS NOT NULL AND asset_growth < 0.5 AND {s}) WHERE pct BETWEEN 0.5 AND 1.0"
+    for s in _REGIONS
+)
+
+
+@query("X10_rank_select_list", f"WITH {STOCK}, flags AS (SELECT asset, date, CAST(count(*) AS DOUBLE) AS n FROM ({_FLAGS}) GROUP BY 1, 2) SELECT asset, date, coalesce(n, 0.0) AS chosen FROM stock LEFT JOIN flags USING (asset, date)")
+def _(spark, sf_dir):
+    regions = [made() for made in _REGIONS.values()]
+    return x.rank_select(stock(spark, sf_dir), F.col("close"), regions, 0.5, 1.0, F.col("asset_growth") < 0.5).select("asset", "date", "chosen")
+
+
 _POSITIONS = (
     f"WITH {STOCK}, ranked AS (SELECT *, CASE WHEN close IS NOT NULL THEN (row_number() OVER (PARTITION BY date ORDER BY close ASC NULLS LAST, asset) - 1) / CAST(nullif(count(close) OVER (PARTITION BY date) - 1, 0) AS DOUBLE) END AS pct "
     "FROM (SELECT asset, date, i, close AS price, CASE WHEN coalesce(roe < 0.02, false) THEN NULL ELSE close END AS close, coalesce(roe < 0.02, false) AS excluded FROM stock)), "
@@ -149,7 +188,12 @@ def _(spark, sf_dir):
 
 @query("X16_first_coefficient", f"WITH {STOCK} SELECT date, {rs('sum(roe * close) / nullif(sum(CASE WHEN close IS NOT NULL THEN roe * roe END), 0)', 4)} AS beta FROM stock GROUP BY 1")
 def _(spark, sf_dir):
-    return x.first_coefficient(stock(spark, sf_dir), "close", "roe", "date").select("date", r("beta", 4).alias("beta"))
+    return x.first_coefficient(stock(spark, sf_dir), "close", "roe").select("date", r("beta", 4).alias("beta"))
+
+
+@query("X16_first_coefficient_many", f"{_WHOLE} SELECT date, {rs('max(beta)', 3)} AS beta FROM (SELECT DISTINCT date FROM stock) LEFT JOIN (SELECT date, sum(u2 * close) / nullif(sum(u2 * u2), 0) AS beta FROM o2 GROUP BY 1) USING (date) GROUP BY 1")
+def _(spark, sf_dir):
+    return x.first_coefficient(stock(spark, sf_dir), "close", ["roe", "pb_ratio", "asset_growth"]).select("date", r("beta", 3).alias("beta"))
 
 
 @query(
@@ -165,9 +209,9 @@ def _(spark, sf_dir):
 # factors: the panel is forced onto the fund's calendar first
 
 
-def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stock panel on the fund's months, filled forward, with returns and growth: the input of the factors."""
-    d = align_force(stock(spark, sf_dir).drop("i"), portfolio(spark, sf_dir), ["close", "market_cap", "pb_ratio", "roe", "qty"])
+def aligned(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    """The stock panel on the fund's months (or weeks), filled forward, with returns and growth: the input of the factors."""
+    d = align_force(cells(spark, sf_dir, unit), portfolio(spark, sf_dir, unit), ["close", "market_cap", "pb_ratio", "roe", "qty"])
     return d.select("asset", "date", "i", r(w.reldiff(F.col("close"), wa()), 10).alias("ret"), "market_cap", "pb_ratio", "roe", r(w.reldiff(F.col("qty"), wa()), 10).alias("asset_growth"))
 
 
@@ -195,8 +239,8 @@ _spread = lambda a, b: f"(S{a} + B{a}) / 2 - (S{b} + B{b}) / 2"
 FACTORS = f"{BUCKETS}, factors AS (SELECT date, rm, ({_size('H', 'L')} + {_size('R', 'W')} + {_size('C', 'A')}) / 3 AS smb, {_spread('H', 'L')} AS hml, {_spread('R', 'W')} AS rmw, {_spread('C', 'A')} AS cma FROM buckets)"
 
 
-def factor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.five_factors(f.buckets(x.cuts(aligned(spark, sf_dir))))
+def factor_rows(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    return f.five_factors(f.buckets(x.cuts(aligned(spark, sf_dir, unit))))
 
 
 @query("A1_market_return", f"WITH {BUCKETS} SELECT date, {rs('rm', 8)} AS rm FROM buckets")
@@ -241,9 +285,10 @@ def _(spark, sf_dir):
 
 
 def attribution_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p_ = portfolio(spark, sf_dir)
-    ret = p_.select("deal", "date", w.reldiff(F.col("close"), w.by_asset("deal")).alias("ret"))
-    return f.attribution(ret, factor_rows(spark, sf_dir), risk_free(spark, sf_dir))
+    """By week, so that a quarter has more rows than there are coefficients."""
+    p_ = portfolio(spark, sf_dir, "week")
+    ret = p_.select("deal", "date", r(w.reldiff(F.col("close"), w.by_asset("deal")), 10).alias("ret"))
+    return f.attribution(ret, factor_rows(spark, sf_dir, "week"), risk_free(spark, sf_dir, "week"))
 
 
 @query("A6_attribution")
@@ -251,8 +296,31 @@ def _(spark, sf_dir):
     return attribution_rows(spark, sf_dir)
 
 
-@query("A7_factor_means", f"WITH {FACTORS} SELECT last_day(min(date)) AS period, {', '.join(rs('avg(' + c + ')', 8) + ' AS ' + c for c in _FIVE[1:])} FROM factors GROUP BY year(date), quarter(date)")
+def _beta_sql(k: int) -> tuple[str, str]:
+    """CTEs and a query of one coefficient: least squares of y on what of its column the others don't explain."""
+    ctes, _ = orthogonal("lines", "deal, yy, qq", [t for t in _TERMS if t != _TERMS[k]] + [_TERMS[k]], prefix=f"b{k}_")
+    beta = f"SELECT deal, last_day(min(date)) AS period, '{'const' if k == 0 else _TERMS[k]}' AS term, {rs('sum(u5 * y) / sum(u5 * u5)', 4)} AS beta FROM b{k}_5 GROUP BY deal, yy, qq HAVING count(*) > 6"
+    return ", ".join(ctes), beta
+
+
+_TERMS = ("one", *f.TERMS[1:])
+_CHAINS = [_beta_sql(k) for k in range(len(_TERMS))]
+_A6 = (
+    f"WITH {FACTORS}, rf AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, {rs('avg(l_discount) / 1000', 8)} AS rf FROM lineitem GROUP BY 1), "
+    f"fund AS (SELECT deal, date, {rs('coalesce(close / lag(close) OVER (PARTITION BY deal ORDER BY i) - 1, 0)', 10)} AS y FROM portfolio), "
+    "lines AS (SELECT deal, date, year(date) AS yy, quarter(date) AS qq, y, 1.0 AS one, rm - coalesce(rf, 0) AS rm_rf, smb, hml, rmw, cma FROM fund JOIN factors USING (date) LEFT JOIN rf USING (date)), "
+    f"{', '.join(c for c, _ in _CHAINS)} {' UNION ALL '.join(b for _, b in _CHAINS)}"
+).replace("'month'", "'week'")
+
+
+@query("A6_betas", _A6)
 def _(spark, sf_dir):
+    """The coefficients of quarters with rows to spare."""
+    return attribution_rows(spark, sf_dir).filter("p_value is not null").select("deal", "period", "term", r("beta", 4).alias("beta"))
+
+
+@query("A7_factor_means", f"WITH {FACTORS} SELECT last_day(min(date)) AS period, {', '.join(rs('avg(' + c + ')', 8) + ' AS ' + c for c in _FIVE[1:])} FROM factors GROUP BY year(date), quarter(date)")
+def factor_mean_rows(spark, sf_dir):
     return f.factor_means(factor_rows(spark, sf_dir)).select("period", *[r(c, 8).alias(c) for c in _FIVE[1:]])
 
 
@@ -306,10 +374,17 @@ def _(spark, sf_dir):
     return f.poly_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
 
 
-@query("A13_poly_predict")
+_ctes, _projected = orthogonal("poly", "l_returnflag", ["one", "z", "z * z", "z * z * z"])
+_POLY = (
+    "poly AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice AS y, 1.0 AS one, (l_quantity - m) / s AS z FROM lineitem JOIN (SELECT l_returnflag, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY 1) USING (l_returnflag)), "
+    + ", ".join(_ctes)
+)
+
+
+@query("A13_poly_predict", f"WITH {_POLY} SELECT l_orderkey, l_linenumber, {rs(_projected, 3)} AS predicted FROM o3 WINDOW g AS (PARTITION BY l_returnflag)")
 def _(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
-    return f.poly_predict(li, f.poly_fit(li, "l_quantity", "l_extendedprice", "l_returnflag"), "l_quantity", "l_returnflag").select("l_orderkey", "l_linenumber", "predicted")
+    return f.poly_predict(li, f.poly_fit(li, "l_quantity", "l_extendedprice", "l_returnflag"), "l_quantity", "l_returnflag").select("l_orderkey", "l_linenumber", r("predicted", 3).alias("predicted"))
 
 
 @query(
@@ -338,7 +413,7 @@ def _funds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PERF = (
     f"WITH {PORTFOLIO}, v AS (SELECT deal AS series_id, date, close AS nav, row_number() OVER (PARTITION BY deal ORDER BY date) - 1 AS n, max(close) OVER (PARTITION BY deal ORDER BY date) AS peak, "
-    "CASE WHEN row_number() OVER (PARTITION BY deal ORDER BY date) = 1 THEN 0 ELSE close / lag(close) OVER (PARTITION BY deal ORDER BY date) - 1 END AS ret FROM deals), "
+    "close / lag(close) OVER (PARTITION BY deal ORDER BY date) - 1 AS ret FROM deals), "
     "run AS (SELECT *, sum(CAST(nav >= peak AS INT)) OVER (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM v), "
     "dd AS (SELECT *, peak / nav - 1 AS drawdown, row_number() OVER (PARTITION BY series_id, run ORDER BY date) - 1 AS below FROM run), "
     "base AS (SELECT series_id, min(date) AS s, max(date) AS e, count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS sd, max(drawdown) AS max_dd, max(below) AS longest_below, "
@@ -377,6 +452,11 @@ def _(spark, sf_dir):
     return p.metrics(_funds(spark, sf_dir)).select("series_id", "start", "end", "days", "n_data")
 
 
+@query("M6_range_without_dates", f"{_PERF} SELECT series_id, CAST(NULL AS DATE) AS start, 250.0 AS ann_fac, {rs('m * 250')} AS ann_ret, n AS n_data FROM out")
+def _(spark, sf_dir):
+    return p.metrics(_funds(spark, sf_dir), dated=False).select("series_id", "start", "ann_fac", r("ann_ret").alias("ann_ret"), "n_data")
+
+
 @query(
     "M7_all_metrics",
     f'{_PERF} SELECT series_id, {rs("f")} AS ann_fac, {rs("m * f")} AS ann_ret, {rs("sd * sqrt(f)")} AS ann_vol, {rs("m * f / (sd * sqrt(f))")} AS sharpe, {rs("max_dd")} AS max_dd, longest_below, '

@@ -19,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each supplier and month that has line items."""
+def cells(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    """One row for each supplier and month (or week) that has line items."""
     li = table(spark, sf_dir, "lineitem")
-    month = F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date")
+    month = F.trunc(F.col("l_shipdate").cast("date"), unit).alias("date")
     return li.groupBy(F.col("l_suppkey").alias("asset"), month).agg(
         r(F.avg(F.col("l_extendedprice") / F.col("l_quantity"))).alias("close"),
         F.round(F.sum("l_extendedprice"), 2).alias("market_cap"),
@@ -50,10 +50,10 @@ STOCK = f"""{CELLS}, cal AS (
   FROM cal c CROSS JOIN (SELECT DISTINCT asset FROM cells) a LEFT JOIN cells s ON s.asset = a.asset AND s.date = c.date)"""
 
 
-def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+def portfolio(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     """A fund for each order priority: deal, date, i, close."""
     o = table(spark, sf_dir, "orders")
-    c = o.groupBy(F.col("o_orderpriority").alias("deal"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("date")).agg(r(F.avg("o_totalprice")).alias("close"))
+    c = o.groupBy(F.col("o_orderpriority").alias("deal"), F.trunc(F.col("o_orderdate").cast("date"), unit).alias("date")).agg(r(F.avg("o_totalprice")).alias("close"))
     return densify(c, asset="deal")
 
 
@@ -63,9 +63,9 @@ pcal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DI
   SELECT a.deal, c.date, c.i, s.close FROM pcal c CROSS JOIN (SELECT DISTINCT deal FROM deals) a LEFT JOIN deals s ON s.deal = a.deal AND s.date = c.date)"""
 
 
-def risk_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risk_free(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date")).agg(r(F.avg("l_discount") / 1000, 8).alias("rf"))
+    return li.groupBy(F.trunc(F.col("l_shipdate").cast("date"), unit).alias("date")).agg(r(F.avg("l_discount") / 1000, 8).alias("rf"))
 
 
 def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tallyfold.functions import text as tx
 from tallyfold.functions.cells import is_numeric
 from tallyfold.jobs import cross_sections as cs
 from tallyfold.jobs.panels import EVENTS, NEW_OLD, PORTFOLIO, SERIES, STOCK, cells, event_cells, events_dense, new_and_old, portfolio, series, stock, table
-from tallyfold.jobs.registry import query, r, rs
+from tallyfold.jobs.registry import ORACLES, query, r, rs
 from tallyfold.operators import align as al
 from tallyfold.operators import cluster as cl
 from tallyfold.operators import graph as gr
@@ -38,7 +38,7 @@ def _(spark, sf_dir):
 
 _MERGED = (
     f"WITH {NEW_OLD}, m AS (SELECT coalesce(n.series_id, o.series_id) AS series_id, coalesce(n.time, o.time) AS time, coalesce(n.value, o.value) AS value, "
-    "CASE WHEN o.series_id IS NULL THEN 'new' WHEN n.series_id IS NULL THEN 'old' ELSE 'both' END AS side, coalesce(n.value / nullif(o.value, 0) - 1 > 1e-8, false) AS flagged "
+    "CASE WHEN o.series_id IS NULL THEN 'new' WHEN n.series_id IS NULL THEN 'old' ELSE 'both' END AS side, coalesce(CASE WHEN o.value = 0 THEN n.value > 0 ELSE n.value / o.value - 1 > 1e-8 END, false) AS flagged "
     "FROM newer n FULL JOIN older o ON n.series_id = o.series_id AND n.time = o.time)"
 )
 
@@ -87,9 +87,10 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _T = f"{SERIES}, targets AS (SELECT unnest(range(a, b + 25, 7)) AS time FROM (SELECT min(time) AS a, max(time) AS b FROM series)), wanted AS (SELECT series_id, time FROM targets CROSS JOIN (SELECT DISTINCT series_id FROM series))"
 
 
-@query("J7_given_targets", f"WITH {_T} SELECT time FROM targets")
+@query("J7_given_targets", f"WITH {_T} SELECT t.time, count(s.series_id) AS n, {rs('sum(s.value)', 4)} AS total FROM wanted t LEFT JOIN series s ON s.series_id = t.series_id AND s.time = t.time GROUP BY 1")
 def _(spark, sf_dir):
-    return _targets(spark, sf_dir)
+    at = al.exact(series(spark, sf_dir), _targets(spark, sf_dir))
+    return at.groupBy("time").agg(F.count("value").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
 @query("J8_shift_start", "SELECT user_id, strftime(date_trunc('day', m) + INTERVAL 1 DAY * ((7 - (isodow(m) - 1)) % 7) + INTERVAL 9 HOUR + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS start FROM (SELECT user_id, min(ts) AS m FROM events GROUP BY 1)")
@@ -234,59 +235,73 @@ def _(spark, sf_dir):
 
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns of the panel's assets by nation: a universe of some twenty-five series."""
-    s = stock(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset"), F.col("s_nationkey").cast("long").alias("series_id")), "asset")
-    d = s.groupBy("series_id", "i").agg(r(F.avg("close")).alias("close"))
-    return d.select("series_id", "i", r(w.nav2ret(F.col("close"), F.col("i"), w.by_asset("series_id", order="i")), 10).alias("ret"), "close").filter("i > 0")
+    """Returns of the panel's assets, by nation and thousands of suppliers: many universes of at most a thousand series."""
+    universe = F.concat_ws("-", "s_nationkey", F.floor(F.col("s_suppkey") / 1000))
+    s = stock(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset"), universe.alias("universe")), "asset")
+    d = s.select("universe", F.col("asset").alias("series_id"), "i", r(w.nav2ret(F.col("close"), F.col("i"), w.by_asset(order="i")), 10).alias("ret"))
+    return d.filter("i > 0")
 
 
 _RETURNS = (
-    f"{STOCK}, n AS (SELECT CAST(s_nationkey AS BIGINT) AS series_id, i, {rs('avg(close)')} AS close FROM stock JOIN supplier ON s_suppkey = asset GROUP BY 1, 2), "
-    f"ret AS (SELECT * FROM (SELECT series_id, i, {rs('close / lag(close) OVER (PARTITION BY series_id ORDER BY i) - 1', 10)} AS ret FROM n) WHERE i > 0)"
+    f"{STOCK}, ret AS (SELECT * FROM (SELECT s_nationkey || '-' || CAST(floor(s_suppkey / 1000) AS BIGINT) AS universe, asset AS series_id, i, {rs('close / lag(close) OVER (PARTITION BY asset ORDER BY i) - 1', 10)} AS ret "
+    "FROM stock JOIN supplier ON s_suppkey = asset) WHERE i > 0)"
 )
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.pairwise_blocked(_returns(spark, sf_dir), 3).select("a", "b", r("corr", 9).alias("corr"))
+    return cl.pairwise_blocked(_returns(spark, sf_dir), universe="universe").select("universe", "a", "b", r("corr", 9).alias("corr"))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns of the nations' mean prices: one universe of twenty-five series."""
+    s = stock(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset"), F.col("s_nationkey").cast("long").alias("series_id")), "asset")
+    d = s.groupBy("series_id", "i").agg(r(F.avg("close")).alias("close"))
+    return d.select("series_id", "i", r(w.nav2ret(F.col("close"), F.col("i"), w.by_asset("series_id", order="i")), 10).alias("ret")).filter("i > 0")
 
 
-_PAIRS_SQL = f"WITH {_RETURNS} SELECT x.series_id AS a, y.series_id AS b, {rs('coalesce(corr(x.ret, y.ret), -1)', 9)} AS corr FROM ret x JOIN ret y ON x.i = y.i GROUP BY 1, 2"
+_CORR = rs("coalesce(corr(x.ret, y.ret), -1)", 9)
+_NATIONS_SQL = (
+    f"WITH {STOCK}, n AS (SELECT CAST(s_nationkey AS BIGINT) AS series_id, i, {rs('avg(close)')} AS close FROM stock JOIN supplier ON s_suppkey = asset GROUP BY 1, 2), "
+    f"ret AS (SELECT * FROM (SELECT series_id, i, {rs('close / lag(close) OVER (PARTITION BY series_id ORDER BY i) - 1', 10)} AS ret FROM n) WHERE i > 0) "
+    f"SELECT x.series_id AS a, y.series_id AS b, {_CORR} AS corr FROM ret x JOIN ret y ON x.i = y.i GROUP BY 1, 2"
+)
 
 
-@query("T1_pairwise", _PAIRS_SQL)
+@query("T1_pairwise", _NATIONS_SQL)
 def _(spark, sf_dir):
-    return cl.pairwise(_returns(spark, sf_dir)).select("a", "b", r("corr", 9).alias("corr"))
+    return cl.pairwise(_nations(spark, sf_dir)).select("a", "b", r("corr", 9).alias("corr"))
 
 
-@query("T1_pairwise_blocked", _PAIRS_SQL)
+@query("T1_pairwise_blocked", f"WITH {_RETURNS} SELECT x.universe, x.series_id AS a, y.series_id AS b, {_CORR} AS corr FROM ret x JOIN ret y ON x.i = y.i AND x.universe = y.universe GROUP BY 1, 2, 3")
 def _(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
 @query("T2_one_level")
 def _(spark, sf_dir):
-    return cl.grouped(_pairs(spark, sf_dir), [0.2])
+    return cl.grouped(_pairs(spark, sf_dir), [0.2], "universe")
 
 
 @query("T3_many_levels")
 def _(spark, sf_dir):
-    return cl.grouped(_pairs(spark, sf_dir))
+    return cl.grouped(_pairs(spark, sf_dir), universe="universe")
 
 
 @query("T4_threshold")
 def _(spark, sf_dir):
-    return cl.chosen_threshold(_pairs(spark, sf_dir))
+    return cl.chosen_threshold(_pairs(spark, sf_dir), "universe")
 
 
 @query("T6_rescaled")
 def _(spark, sf_dir):
-    return cl.rescaled(_event_series(spark, sf_dir).withColumn("value", F.col("value") + 1))
+    """Users in universes of two hundred."""
+    return cl.rescaled(_event_series(spark, sf_dir).select("series_id", "i", (F.col("value") + 1).alias("value"), F.floor(F.col("series_id") / 200).alias("universe")), "universe")
 
 
 @query("T7_sorted_matrix")
 def _(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
-    return cl.sorted_matrix(pairs, cl.grouped(pairs))
+    return cl.sorted_matrix(pairs, cl.grouped(pairs, universe="universe"), "universe")
 
 
 _MEAN = (
@@ -312,9 +327,9 @@ def _(spark, sf_dir):
     return c.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.floor(F.col("c_acctbal") / 1000), "c_custkey")).cast("long").alias("place"))
 
 
-@query("S2_sorted", "SELECT n_nationkey, n_name FROM nation")
+@query("S2_sorted", "SELECT c_custkey, c_name FROM customer")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy("c_name")
 
 
 @query("S3_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -426,11 +441,10 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.file_name(u).alias("name"), tx.file_extension(u).alias("extension"), tx.proper_name(u).alias("proper"), tx.folder_name(u).alias("folder"), tx.levels_up(u, 2).alias("up"))
 
 
-@query("N2_map_to_line", "SELECT n_nationkey, 'key: ' || n_nationkey || ', name: ' || n_name || ', region: ' || n_regionkey AS line FROM nation")
+@query("N2_map_to_line", "SELECT c_custkey, 'key: ' || c_custkey || ', name: ' || c_name || ', segment: ' || c_mktsegment AS line FROM customer")
 def _(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    m = F.create_map(F.lit("name"), F.col("n_name"), F.lit("key"), F.col("n_nationkey").cast("string"), F.lit("region"), F.col("n_regionkey").cast("string"))
-    return n.select("n_nationkey", tx.map_to_line(m).alias("line"))
+    m = F.create_map(F.lit("name"), F.col("c_name"), F.lit("key"), F.col("c_custkey").cast("string"), F.lit("segment"), F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.map_to_line(m).alias("line"))
 
 
 @query("N3_sha1", "SELECT page_id, sha1(url) AS digest FROM pages")
@@ -438,14 +452,23 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha1(F.col("url").cast("binary")).alias("digest"))
 
 
-@query("N4_file_digests")
+@query("N4_file_digests", "SELECT CAST(c_nationkey AS INT) AS nation, sha1(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha1 FROM customer GROUP BY 1")
 def _(spark, sf_dir):
-    return io.file_digests(spark, f"{sf_dir.rstrip('/')}/nation.parquet")
+    """A file of names for each nation."""
+    folder = scratch(spark, "names")
+    c = table(spark, sf_dir, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    c.select("c_nationkey", F.col("c_name").alias("value")).write.partitionBy("c_nationkey").text(folder)
+    found = io.file_digests(spark, folder).filter(F.startswith("name", F.lit("part-")))
+    return found.select(F.regexp_extract("path", "c_nationkey=([0-9]+)/", 1).cast("int").alias("nation"), "sha1")
+
 
+_FRAMED = lambda *v: " || ".join(f"coalesce(length({x}) || ':' || {x}, '-')" for x in v)
 
-@query("N5_fingerprint", "SELECT n_nationkey, sha1(sha1('name|region') || sha1(n_name || '|' || n_regionkey)) AS digest FROM nation")
+
+@query("N5_fingerprint", f"SELECT c_custkey, sha1(sha1('4:name6:nation7:segment') || sha1({_FRAMED('c_name', 'CAST(nullif(c_nationkey, 3) AS VARCHAR)', 'c_mktsegment')})) AS digest FROM customer")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", tx.fingerprint([F.lit("name"), F.lit("region")], [F.col("n_name"), F.col("n_regionkey")]).alias("digest"))
+    values = [F.col("c_name"), F.nullif("c_nationkey", F.lit(3)), F.col("c_mktsegment")]
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.fingerprint([F.lit(x) for x in ("name", "nation", "segment")], values).alias("digest"))
 
 
 # dependency tables: a part depends on the parts at half and a third of its number
@@ -503,11 +526,12 @@ def _(spark, sf_dir):
     return pn.check_same_shape({m: c.select("asset", "date", F.col(m).alias("value")) for m in ("close", "roe")})
 
 
-@query("IO1_wide_to_long", f"WITH {STOCK} SELECT date, CAST(asset AS VARCHAR) AS asset, close AS value FROM stock WHERE asset <= 9")
+_MEASURES = ("close", "market_cap", "pb_ratio", "roe", "qty")
+
+
+@query("IO1_wide_to_long", f"WITH {STOCK} " + " UNION ALL ".join(f"SELECT asset, date, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM cells" for m in _MEASURES))
 def _(spark, sf_dir):
-    first = list(range(10))  # the columns that this wide table is declared with
-    wide = stock(spark, sf_dir).groupBy("date").pivot("asset", first).agg(F.first("close"))
-    return pn.wide_to_long(wide, ["date"]).select("date", "asset", "value")
+    return pn.wide_to_long(cells(spark, sf_dir).select("asset", "date", *_MEASURES), ["asset", "date"], "measure").select("asset", "date", "measure", "value")
 
 
 @query("IO2_load_funds", f"WITH {PORTFOLIO} SELECT deal, date, {rs('coalesce(close / lag(close) OVER (PARTITION BY deal ORDER BY i) - 1, 0)')} AS ret FROM portfolio")
@@ -515,34 +539,63 @@ def _(spark, sf_dir):
     return portfolio(spark, sf_dir).select("deal", "date", r(w.reldiff(F.col("close"), w.by_asset("deal"))).alias("ret"))
 
 
-@query("IO3_list_files")
+@query("IO3_list_files", "SELECT DISTINCT event_type, CAST(1 AS BIGINT) AS n_files, true AS filled FROM events")
 def _(spark, sf_dir):
-    return io.list_files(spark, _csv_folder(spark, sf_dir), "csv", skip_containing=["_SUCCESS"]).groupBy(F.regexp_extract("path", "event_type=([^/]*)", 1).alias("event_type")).agg(F.sum("size").alias("size"))
+    d = io.list_files(spark, _csv_folder(spark, sf_dir), "csv", skip_containing=["_SUCCESS"])
+    return d.groupBy(F.regexp_extract("path", "event_type=([^/]*)", 1).alias("event_type")).agg(F.count(F.lit(1)).alias("n_files"), F.min(F.col("size") > 0).alias("filled"))
 
 
-@query("IO4_read_series", "SELECT strftime(ts, '%Y/%-m/%-d %-H:%M') AS t, count(*) AS n FROM events GROUP BY 1")
-def _(spark, sf_dir):
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of the files, and their series by path."""
     raw = io.read_series(spark, _csv_folder(spark, sf_dir), ["t", "v", "w"], recursive=True)
-    return raw.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return raw, raw.select("path").distinct().select("path", F.regexp_extract("path", "event_type=([^/]*)", 1).alias("series_id"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, names = _read(spark, sf_dir)
+    return io.parse_series(raw, "t", ["v", "w"], names=names).select("series_id", F.date_format("time", "yyyy-MM-dd HH:mm").alias("time"), "field", "value")
+
 
+_PARSED = "parsed AS (SELECT event_type AS series_id, strftime(ts, '%Y-%m-%d %H:%M') AS time, 'v' AS field, value FROM events UNION ALL SELECT event_type, strftime(ts, '%Y-%m-%d %H:%M'), 'w', CAST(event_id AS DOUBLE) FROM events)"
 
-@query("IO5_pick_columns", "SELECT field, count(*) AS n, " + rs("sum(v)", 3) + " AS total FROM (SELECT 'v' AS field, value AS v FROM events UNION ALL SELECT 'w', event_id FROM events) GROUP BY 1")
+
+@query("IO4_read_series", "SELECT strftime(ts, '%Y/%-m/%-d %-H:%M') AS t, CAST(value AS DOUBLE) AS v, event_id AS w FROM events")
 def _(spark, sf_dir):
-    raw = io.read_series(spark, _csv_folder(spark, sf_dir), ["t", "v", "w"], recursive=True)
-    return io.parse_series(raw, "t", ["v", "w"]).groupBy("field").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 3).alias("total"))
+    return _read(spark, sf_dir)[0].select("t", F.col("v").cast("double").alias("v"), F.col("w").cast("long").alias("w"))
 
 
-@query("IO6_series_names", "SELECT count(DISTINCT event_type) AS n FROM events")
+@query("IO5_pick_columns", f"WITH {_PARSED} SELECT * FROM parsed")
 def _(spark, sf_dir):
-    raw = io.read_series(spark, _csv_folder(spark, sf_dir), ["t", "v", "w"], recursive=True)
-    return io.series_names(raw).select(F.countDistinct("series_id").alias("n"))
+    return _parsed(spark, sf_dir)
+
+
+_NAME = r"regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '')"
+_SAME = "len(list_filter(range(1, len(a) + 1), lambda k: a[1:k] = z[1:k]))"
 
 
-@query("IO7_write_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query(
+    "IO6_series_names",
+    f"WITH u AS (SELECT DISTINCT url, {_NAME} AS name, string_split(url, '/')[1:-2] AS folders FROM pages), e AS (SELECT string_split(min(url), '/')[1:-2] AS a, string_split(max(url), '/')[1:-2] AS z FROM u), "
+    f"s AS (SELECT {_SAME} AS same FROM e), n AS (SELECT name, count(*) AS n FROM u GROUP BY 1) "
+    "SELECT url AS path, CASE WHEN n > 1 THEN array_to_string(list_append(folders[same + 1:], name), '_') ELSE name END AS series_id FROM u JOIN n USING (name) CROSS JOIN s",
+)
+def _(spark, sf_dir):
+    """Pages' addresses as files' paths."""
+    return io.series_names(table(spark, sf_dir, "pages"), "url")
+
+
+@query("IO7_write_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(spark, sf_dir):
-    path = scratch(spark, "csv")
-    io.write_csv(table(spark, sf_dir, "nation"), path)
-    return spark.read.schema(table(spark, sf_dir, "nation").schema).option("header", True).csv(path).select("n_nationkey", "n_name", "n_regionkey")
+    path, c = scratch(spark, "csv"), table(spark, sf_dir, "customer")
+    io.write_csv(c, path)
+    return spark.read.schema(c.schema).option("header", True).csv(path).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("IO8_write_factor_means", ORACLES["A7_factor_means"])
+def _(spark, sf_dir):
+    path = scratch(spark, "means")
+    io.write_results(cs.factor_mean_rows(spark, sf_dir), path, "period")
+    return spark.read.parquet(path).select("period", "smb", "hml", "rmw", "cma")
 
 
 @query("IO8_write_results")
@@ -552,15 +605,33 @@ def _(spark, sf_dir):
     return spark.read.parquet(path).select("deal", "period", "term", "beta", "p_value")
 
 
-@query("IO9_store_by_field", "SELECT field, count(*) AS n FROM (SELECT 'v' AS field FROM events UNION ALL SELECT 'w' FROM events) GROUP BY 1")
+def _stored(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    path = scratch(spark, by)
+    io.write_results(_parsed(spark, sf_dir), path, by)
+    return spark.read.schema("time string, field string, value double, series_id string").parquet(path).groupBy("series_id", "field").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 3).alias("total"), F.max("time").alias("last"))
+
+
+_STORED = f"WITH {_PARSED} SELECT series_id, field, count(*) AS n, {rs('sum(value)', 3)} AS total, max(time) AS last FROM parsed GROUP BY 1, 2"
+
+
+@query("IO9_store_by_field", _STORED)
 def _(spark, sf_dir):
-    raw = io.read_series(spark, _csv_folder(spark, sf_dir), ["t", "v", "w"], recursive=True)
-    path = scratch(spark, "fields")
-    io.write_results(io.parse_series(raw, "t", ["v", "w"]), path, "field")
-    return spark.read.parquet(path).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return _stored(spark, sf_dir, "field")
+
+
+@query("IO9_store_by_file", _STORED)
+def _(spark, sf_dir):
+    return _stored(spark, sf_dir, "series_id")
+
+
+@query("IO9_everything", f"WITH {_PARSED}, m AS (SELECT series_id || '_' || field AS name, time, max(value) AS value FROM parsed GROUP BY 1, 2) SELECT time, name, value FROM (SELECT time, name FROM (SELECT DISTINCT time FROM m) CROSS JOIN (SELECT DISTINCT name FROM m)) LEFT JOIN m USING (time, name)")
+def _(spark, sf_dir):
+    """One frame, unpivoted again, as its columns follow from the data."""
+    return pn.wide_to_long(io.one_frame(_parsed(spark, sf_dir)), ["time"], "name").select("time", "name", "value")
 
 
-@query("IO10_as_map", "SELECT string_agg(n_nationkey || ': ' || n_name, ', ' ORDER BY CAST(n_nationkey AS VARCHAR)) AS line FROM nation")
+@query("IO10_as_map", "SELECT o_custkey, string_agg(o_orderkey || ': ' || o_orderpriority, ', ' ORDER BY CAST(o_orderkey AS VARCHAR)) AS line FROM orders GROUP BY 1")
 def _(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name")
-    return io.as_map(n, "k", "n_name").select(tx.map_to_line(F.col("lookup")).alias("line"))
+    """Each customer's orders as a lookup."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("k"), "o_orderpriority")
+    return io.as_map(o, "k", "o_orderpriority", "o_custkey").select("o_custkey", tx.map_to_line(F.col("lookup")).alias("line"))

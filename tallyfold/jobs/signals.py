@@ -11,6 +11,7 @@ from tallyfold.functions import cells as c
 from tallyfold.jobs.panels import STOCK, stock, wa
 from tallyfold.jobs.registry import query, r, rs
 from tallyfold.operators import windows as w
+from tallyfold.operators.panel import fill_columns
 
 def x() -> Column:
     return F.col("close")
@@ -90,7 +91,11 @@ _add("P3_divide", q=(lambda: r(c.divide(x(), F.pmod(i(), F.lit(3)).cast("double"
 _add("P4_max_pair", larger=(lambda: c.larger(F.col("pb_ratio"), F.col("roe")), "CASE WHEN pb_ratio IS NOT NULL AND roe IS NOT NULL THEN greatest(pb_ratio, roe) END"))
 _add("P5_as_number", value=(lambda: c.as_number(F.when(high(), x())), f"coalesce(CASE WHEN {_HIGH} THEN close END, 0.0)"))
 _add("P7_keep_flagged_column", kept=(lambda: F.when(c.is_true(high()), x()), f"CASE WHEN {_HIGH} THEN close END"))
-_add("P8_fill_columns", absent=(lambda: F.lit(0.0), "CAST(0.0 AS DOUBLE)"), close=(lambda: x(), "close"))
+
+
+@query("P8_fill_columns", f"WITH {STOCK} SELECT asset, date, roe, CAST(0.0 AS DOUBLE) AS absent, close FROM stock")
+def _(spark, sf_dir):
+    return fill_columns(stock(spark, sf_dir), ["asset", "date", "roe", "absent", "close"], 0.0)
 
 
 @query("P7_keep_flagged", f"WITH {STOCK} SELECT asset, date, close FROM stock WHERE NOT {_HIGH}")

@@ -5,41 +5,60 @@ Series are long: (series_id, time, value). All steps work on (series_id, time),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.functions.cells import is_true, ratio_change
 from tallyfold.operators.panel import calendar
 from tallyfold.operators.windows import so_far
 
+#: Stretches into which the targets' time is divided, so that one series is many tasks.
+STRETCHES = 64
+
 
 def union_times(series: DataFrame) -> DataFrame:
     return series.select("time").distinct()
 
 
-def _with_targets(series: DataFrame, targets: DataFrame) -> DataFrame:
-    """Observations and every series' targets as rows of one table; kind 1 is a target. The targets are expanded within each series."""
-    wanted = series.select("series_id").distinct().crossJoin(F.broadcast(calendar(targets, "time"))).select("series_id", F.explode("_dates").alias("time"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("value"))
-    return series.select("series_id", "time", F.lit(0).alias("kind"), F.col("value").cast("double")).unionByName(wanted)
+def _number(x: Column, kind: str) -> Column:
+    """A date, time or number as a number, to divide an axis by."""
+    return (F.unix_date(x) if kind == "date" else F.unix_micros(x.cast("timestamp")) if kind.startswith("timestamp") else x).cast("double")
+
+
+def _stretch(x: Column, lo: Column, hi: Column, kind: str, stretches: int) -> Column:
+    """Which of so many equal stretches from lo to hi x lies in: -1 before them, stretches after them."""
+    at = F.floor((_number(x, kind) - _number(lo, kind)) * stretches / F.greatest(_number(hi, kind) - _number(lo, kind), F.lit(1e-9)))
+    return F.when(x < lo, -1).when(x > hi, stretches).otherwise(F.least(at, F.lit(stretches - 1))).cast("int")
 
 
-def as_of(series: DataFrame, targets: DataFrame, extend_last: bool = True) -> DataFrame:
+def as_of(series: DataFrame, targets: DataFrame, extend_last: bool = True, stretches: int = STRETCHES) -> DataFrame:
     """(series_id, time, value, is_real): the last known value at or before each target time.
 
     is_real tells values observed at that very time from carried ones. Without extend_last, of the targets from a
-    series' last time on only the first keeps a value. No range join: observations and targets are sorted together.
+    series' last time on only the first keeps a value. No range join: observations and targets are sorted together, by
+    series and stretch of the targets' time, so that a series with very many observations is no single task; what is
+    known when a stretch begins, a row for each series and stretch, is carried into it.
     """
-    w = Window.partitionBy("series_id").orderBy("time", "kind")
-    d = _with_targets(series, targets)
-    seen = F.last(F.when(F.col("kind") == 0, F.struct("time", "value")), ignorenulls=True).over(so_far(w))
-    last = F.max(F.when(F.col("kind") == 0, F.col("time"))).over(Window.partitionBy("series_id"))
-    d = d.withColumn("_seen", seen).withColumn("_last", last).filter("kind = 1")
-    real = F.coalesce(F.col("_seen.time") == F.col("time"), F.lit(False))
-    if extend_last:
-        return d.select("series_id", "time", F.col("_seen.value").alias("value"), real.alias("is_real"))
-    late = F.col("time") >= F.col("_last")
-    first_late = F.row_number().over(Window.partitionBy("series_id", late).orderBy("time")) == 1
-    keep = ~late | first_late
-    return d.select("series_id", "time", F.when(keep, F.col("_seen.value")).alias("value"), (real & keep).alias("is_real"))
+    kind = series.schema["time"].dataType.simpleString()
+    days = F.broadcast(calendar(targets, "time"))  # one row
+    at = _stretch(F.col("time"), F.get("_dates", F.lit(0)), F.get("_dates", F.size("_dates") - 1), kind, stretches)
+    seen = series.select("series_id", "time", F.col("value").cast("double").alias("value")).crossJoin(days).filter(F.size("_dates") > 0).select("series_id", "time", "value", at.alias("_s"))
+    ends = seen.groupBy("series_id", "_s").agg(F.max(F.struct("time", "value")).alias("_end"))
+    w = Window.partitionBy("series_id").orderBy("_s")  # as many rows as a series has stretches
+    until = F.least(F.coalesce(F.lead("_s").over(w), F.lit(stretches - 1)), F.lit(stretches - 1))
+    later = ends.select("series_id", "_end", (F.col("_s") + 1).alias("_a"), until.alias("_b")).filter("_a <= _b")
+    carried = later.select("series_id", "_end.*", F.explode(F.sequence("_a", "_b")).alias("_s"))
+
+    last = ends.groupBy("series_id").agg(F.max("_end.time").alias("_last")).crossJoin(days)
+    first_late = F.get(F.filter("_dates", lambda x: x >= F.col("_last")), F.lit(0))
+    wanted = last.select("series_id", "_last", first_late.alias("_late"), "_dates", F.explode("_dates").alias("time"))
+    keep = F.lit(True) if extend_last else is_true((F.col("time") < F.col("_last")) | (F.col("time") == F.col("_late")))
+    wanted = wanted.select("series_id", "time", F.lit(None).cast("double").alias("value"), at.alias("_s"), F.lit(1).alias("kind"), keep.alias("_keep"))
+    known = seen.unionByName(carried).filter(F.col("_s").between(0, stretches - 1)).select("*", F.lit(0).alias("kind"), F.lit(True).alias("_keep"))
+    w = Window.partitionBy("series_id", "_s").orderBy("time", "kind")
+    d = known.unionByName(wanted).withColumn("_seen", F.last(F.when(F.col("kind") == 0, F.struct("time", "value")), ignorenulls=True).over(so_far(w))).filter("kind = 1")
+    real = is_true(F.col("_seen.time") == F.col("time")) & F.col("_keep")
+    return d.select("series_id", "time", F.when(F.col("_keep"), F.col("_seen.value")).alias("value"), real.alias("is_real"))
 
 
 def exact(series: DataFrame, targets: DataFrame) -> DataFrame:
@@ -48,19 +67,28 @@ def exact(series: DataFrame, targets: DataFrame) -> DataFrame:
     return wanted.join(series.select("series_id", "time", "value"), ["series_id", "time"], "left")
 
 
-def last_known_index(targets: DataFrame, source: DataFrame, by: str = "series_id") -> DataFrame:
-    """(by, target, at): number of the last source value at or before each target, -1 if there is none. Columns: target and source."""
-    w = Window.partitionBy(by).orderBy("source")
-    numbered = source.select(by, F.col("source").alias("v"), F.lit(0).alias("kind"), (F.row_number().over(w) - 1).cast("long").alias("n"))
-    d = numbered.unionByName(targets.select(by, F.col("target").alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("n")))
-    at = F.last("n", ignorenulls=True).over(so_far(Window.partitionBy(by).orderBy("v", "kind")))
-    return d.withColumn("at", F.coalesce(at, F.lit(-1).cast("long"))).filter("kind = 1").select(by, F.col("v").alias("target"), "at")
+def last_known_index(targets: DataFrame, source: DataFrame, by: str = "series_id", stretches: int = STRETCHES) -> DataFrame:
+    """(by, target, at): number of the last source value at or before each target, -1 if there is none. Columns: target and source.
+
+    That is how many source values there are up to the target, less 1: counted within stretches of equal length, and
+    over the stretches before.
+    """
+    kind = targets.schema["target"].dataType.simpleString()
+    ends = targets.agg(F.min("target").alias("_lo"), F.max("target").alias("_hi"))  # one row
+    d = source.select(by, F.col("source").alias("v"), F.lit(0).alias("kind")).unionByName(targets.select(by, F.col("target").alias("v"), F.lit(1).alias("kind")))
+    d = d.crossJoin(F.broadcast(ends)).select(by, "v", "kind", _stretch(F.col("v"), F.col("_lo"), F.col("_hi"), kind, stretches).alias("_s"))
+    counts = d.groupBy(by, "_s").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(by, "_s", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.count(F.when(F.col("kind") == 0, 1)).over(so_far(Window.partitionBy(by, "_s").orderBy("v", "kind")))
+    d = d.filter(F.col("_s").between(0, stretches - 1)).withColumn("_inside", inside).filter("kind = 1")
+    return d.join(counts, [by, "_s"]).select(by, F.col("v").alias("target"), (F.col("_before") + F.col("_inside") - 1).alias("at"))
 
 
 def merge(new: DataFrame, old: DataFrame, policy: str = "use_new", max_error: float = 1e-8) -> DataFrame:
     """(series_id, time, value, side, flagged) of new and stored values; side is new, old or both.
 
-    flagged: new / old - 1 is above max_error; only upward changes are. policy use_new or use_old picks the value where
+    flagged: new / old - 1 is above max_error; only upward changes are, from 0 to anything above it too. policy use_new or use_old picks the value where
     both have one; raise fails if any is flagged.
     """
     n = new.select("series_id", "time", F.struct(F.col("value").alias("v")).alias("n"))
@@ -69,7 +97,7 @@ def merge(new: DataFrame, old: DataFrame, policy: str = "use_new", max_error: fl
     nv, ov = F.col("n.v"), F.col("o.v")
     value = F.coalesce(ov, nv) if policy == "use_old" else F.coalesce(nv, ov)
     side = F.when(F.col("o").isNull(), "new").when(F.col("n").isNull(), "old").otherwise("both")
-    flagged = F.coalesce(nv / F.nullif(ov, F.lit(0.0)) - 1 > max_error, F.lit(False))
+    flagged = is_true(ratio_change(nv, ov) > max_error)
     out = d.select("series_id", "time", value.alias("value"), side.alias("side"), flagged.alias("flagged"))
     if policy == "raise" and not out.filter("flagged").isEmpty():
         raise ValueError("new and stored values differ")
@@ -94,8 +122,9 @@ def merge_into(new: DataFrame, old: DataFrame | None) -> DataFrame:
 def drop_duplicates(series: DataFrame, order: str, keep: str = "first", whole_rows: bool = True) -> DataFrame:
     """Of rows with the same series and time (and value, if whole rows) the first or last by source order."""
     by = ["series_id", "time", "value"] if whole_rows else ["series_id", "time"]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).asc() if keep == "first" else F.col(order).desc()))
-    return series.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    pick = F.min_by if keep == "first" else F.max_by
+    kept = series.groupBy(*by).agg(pick(F.struct(*[c for c in series.columns if c not in by]), F.col(order)).alias("_kept"))
+    return kept.select(*by, "_kept.*").select(*series.columns)
 
 
 def new_information(new: DataFrame, old: DataFrame, tolerance: float = 1e-8) -> DataFrame:

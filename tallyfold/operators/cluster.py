@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,8 @@ from tallyfold.sources.storage import cut, ship
 
 #: A universe whose correlation matrix one task groups has at most so many series.
 MAX_SERIES = 5000
+#: Rows of (series, date) that one task of pairwise_blocked gets on average.
+BLOCK_CELLS = 4_000_000
 
 
 def pairwise(returns: DataFrame) -> DataFrame:
@@ -30,15 +34,20 @@ def pairwise(returns: DataFrame) -> DataFrame:
     return grid.join(mirrored, ["a", "b"], "left").select("a", "b", F.coalesce(value, F.lit(-1.0)).alias("corr"))
 
 
-def pairwise_blocked(returns: DataFrame, blocks: int = 8) -> DataFrame:
-    """As pairwise, for many series: (a, b, corr) by pairs of blocks of series.
+def pairwise_blocked(returns: DataFrame, blocks: int | None = None, universe: str | None = None) -> DataFrame:
+    """As pairwise, for many series: (a, b, corr) by pairs of blocks of series; with a universe, (universe, a, b, corr) within each.
 
     Series are dealt into blocks by a hash of their id; each pair of blocks is one task of matrix products over the two
-    blocks' valid cells. A row is sent to as many tasks as there are blocks, rather than to one for each partner.
+    blocks' valid cells. A row is sent to as many tasks as there are blocks, rather than to one for each partner. There
+    are as many blocks as keep a task of the largest universe at BLOCK_CELLS rows.
     """
+    u = F.col(universe) if universe else F.lit(0)
+    if blocks is None:
+        most = returns.groupBy(u.alias("_u")).count().agg(F.max("count")).first()[0] or 0
+        blocks = max(1, -(-2 * most // BLOCK_CELLS))
     series = returns.schema["series_id"].dataType.simpleString()
     own = F.pmod(F.xxhash64(F.col("series_id").cast("string")), F.lit(blocks)).cast("int")
-    placed = returns.select("series_id", "i", F.col("ret").cast("double").alias("ret"), own.alias("own"))
+    placed = returns.select(u.alias("_u"), "series_id", "i", F.col("ret").cast("double").alias("ret"), own.alias("own"))
     others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(F.col("own"), k).alias("p"), F.greatest(F.col("own"), k).alias("q")))
     dealt = placed.select("*", F.inline(others))
     ship(returns.sparkSession)
@@ -61,9 +70,11 @@ def pairwise_blocked(returns: DataFrame, blocks: int = 8) -> DataFrame:
         names = wide.columns.to_numpy()
         c[names[a][:, None] == names[b][None, :]] = np.where(c[names[a][:, None] == names[b][None, :]] > 0, 1.0, -1.0)
         out = pd.DataFrame({"a": np.repeat(names[a], len(b)), "b": np.tile(names[b], len(a)), "corr": c.ravel()})
-        return out if p == q else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[["a", "b", "corr"]]])
+        out = out if p == q else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[["a", "b", "corr"]]])
+        return out.assign(_u=pdf["_u"].iloc[0])[["_u", "a", "b", "corr"]]
 
-    return dealt.groupBy("p", "q").applyInPandas(sums, f"a {series}, b {series}, corr double")
+    out = dealt.groupBy("_u", "p", "q").applyInPandas(sums, f"_u {dealt.schema['_u'].dataType.simpleString()}, a {series}, b {series}, corr double")
+    return out.withColumnRenamed("_u", universe) if universe else out.drop("_u")
 
 
 def one_group(m: np.ndarray, threshold: float) -> list[int]:
@@ -122,42 +133,47 @@ def tree_order(m: np.ndarray, thresholds: list[float] | None = None, path: tuple
     return out
 
 
-def grouped(pairs: DataFrame, thresholds: list[float] | None = None, universe: str | None = None) -> DataFrame:
-    """(series_id, order_no, path) of pairs (a, b, corr), each universe in a task of its own (one matrix of MAX_SERIES at most)."""
-    keyed = pairs.withColumn("_u", F.col(universe) if universe else F.lit(0))
+def _by_universe(pairs: DataFrame, universe: str | None, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """solve, of one universe's matrix as a data frame, in a task for each universe. Their pairs are counted before any is handed to Python: more than MAX_SERIES series fail the job."""
+    u = F.col(universe) if universe else F.lit(0)
+    keyed = pairs.select(u.alias("_u"), "a", "b", "corr").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_u")))
+    refused = F.raise_error(F.lit(f"a universe has more than {MAX_SERIES} series")).cast("double")
+    checked = keyed.select("_u", "a", "b", F.when(F.col("_n") <= MAX_SERIES**2, F.col("corr")).otherwise(refused).alias("corr"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="a", columns="b", values="corr").sort_index().sort_index(axis=1)
-        if len(m) > MAX_SERIES:
-            raise ValueError(f"a universe has more than {MAX_SERIES} series")
-        rows = tree_order(m.to_numpy(float), thresholds)
-        return pd.DataFrame({"series_id": [m.index[i] for i, _ in rows], "order_no": range(len(rows)), "path": [list(p) for _, p in rows]})
+        return solve(m).assign(_u=pdf["_u"].iloc[0])
 
     ship(pairs.sparkSession)
-    kind = pairs.schema["a"].dataType.simpleString()
-    return keyed.select("_u", "a", "b", "corr").groupBy("_u").applyInPandas(solve, f"series_id {kind}, order_no long, path array<int>")
+    out = checked.groupBy("_u").applyInPandas(each, f"_u {checked.schema['_u'].dataType.simpleString()}, {schema}")
+    return out.withColumnRenamed("_u", universe) if universe else out.drop("_u")
 
 
-def chosen_threshold(pairs: DataFrame) -> DataFrame:
-    """(threshold) that best_threshold picks for the whole set of pairs."""
+def grouped(pairs: DataFrame, thresholds: list[float] | None = None, universe: str | None = None) -> DataFrame:
+    """(series_id, order_no, path) of pairs (a, b, corr); with a universe, (universe, series_id, order_no, path), each in a task of its own."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="a", columns="b", values="corr").sort_index().sort_index(axis=1)
-        return pd.DataFrame({"threshold": [best_threshold(m.to_numpy(float))]})
+    def solve(m: pd.DataFrame) -> pd.DataFrame:
+        rows = tree_order(m.to_numpy(float), thresholds)
+        return pd.DataFrame({"series_id": [m.index[i] for i, _ in rows], "order_no": range(len(rows)), "path": [list(p) for _, p in rows]})
 
-    ship(pairs.sparkSession)
-    return pairs.withColumn("_u", F.lit(0)).select("_u", "a", "b", "corr").groupBy("_u").applyInPandas(solve, "threshold double")
+    return _by_universe(pairs, universe, solve, f"series_id {pairs.schema['a'].dataType.simpleString()}, order_no long, path array<int>")
+
+
+def chosen_threshold(pairs: DataFrame, universe: str | None = None) -> DataFrame:
+    """(threshold) that best_threshold picks for all pairs, or (universe, threshold) for those of each universe."""
+    return _by_universe(pairs, universe, lambda m: pd.DataFrame({"threshold": [best_threshold(m.to_numpy(float))]}), "threshold double")
 
 
-def sorted_matrix(pairs: DataFrame, order: DataFrame) -> DataFrame:
-    """(a, b, row_no, col_no, corr) in display order; undefined is missing."""
-    place = lambda side, name: order.select(F.col("series_id").alias(side), F.col("order_no").alias(name))
-    d = pairs.join(place("a", "row_no"), "a").join(place("b", "col_no"), "b")
-    return d.select("a", "b", "row_no", "col_no", F.when(F.col("corr") != -1, F.col("corr")).alias("corr"))
+def sorted_matrix(pairs: DataFrame, order: DataFrame, universe: str | None = None) -> DataFrame:
+    """(a, b, row_no, col_no, corr), with the universe before them, in display order; undefined is missing."""
+    u = [universe] if universe else []
+    place = lambda side, name: order.select(*u, F.col("series_id").alias(side), F.col("order_no").alias(name))
+    d = pairs.join(place("a", "row_no"), [*u, "a"]).join(place("b", "col_no"), [*u, "b"])
+    return d.select(*u, "a", "b", "row_no", "col_no", F.when(F.col("corr") != -1, F.col("corr")).alias("corr"))
 
 
 def rescaled(df: DataFrame, universe: str | None = None) -> DataFrame:
-    """(series_id, i, value): series scaled so that one that starts, or starts again, does so on the level of a running main series.
+    """(series_id, i, value), with the universe before them: series scaled so that one that starts, or starts again, does so on the level of a running main series.
 
     The main series is the one whose mean step from there to its end is closest to the average; it runs until it has a
     missing value. Every series gets every date of its universe. The same as rescale, but that only one row for each date
@@ -208,7 +224,8 @@ def rescaled(df: DataFrame, universe: str | None = None) -> DataFrame:
     held = d.join(mains, ["_u", "series_id"]).filter(F.col("i").between(F.col("lo"), F.col("hi"))).select("_u", "i", "v", F.col("was.i").alias("was_i"), F.col("was.v").alias("was_v"))
     level = one(held.groupBy("_u").applyInPandas(levels, "_u string, at int, level double"))
     out = d.withColumn("at", F.col("final.i")).join(level, ["_u", "at"], "left")
-    return out.select("series_id", F.col("t").cast("long").alias("i"), (F.col("v") * (F.col("level") / F.nullif(F.col("final.v"), F.lit(0.0)))).alias("value"))
+    given = [F.substring("_u", 2, 1 << 30).cast(df.schema[universe].dataType).alias(universe)] if universe else []
+    return out.select(*given, "series_id", F.col("t").cast("long").alias("i"), (F.col("v") * (F.col("level") / F.nullif(F.col("final.v"), F.lit(0.0)))).alias("value"))
 
 
 def rescale(m: np.ndarray) -> np.ndarray:

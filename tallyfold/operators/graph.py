@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyfold.sources.storage import cut
 
-#: Rounds after which a graph counts as cyclic.
-MAX_ROUNDS = 200
+#: Rounds after which what is placed so far is written anew, so that plans stay short.
+REWRITE = 20
+CIRCLE = "tasks depend on each other in a circle"
 
 
 def edges(tasks: DataFrame, separator: str = ",") -> DataFrame:
@@ -23,30 +24,69 @@ def edges(tasks: DataFrame, separator: str = ",") -> DataFrame:
 
 
 def impact(nodes: DataFrame, e: DataFrame) -> DataFrame:
-    """(task, affects): what a change of each task reaches, itself included. The frontier grows by one edge a round; a circle raises."""
-    out = frontier = cut(nodes.select("task", F.col("task").alias("affects")).distinct())
-    step = e.select(F.col("depends_on").alias("affects"), F.col("task").alias("next"))
-    for _ in range(MAX_ROUNDS):
-        reached = frontier.join(step, "affects").select("task", F.col("next").alias("affects")).distinct()
-        if not reached.filter("task = affects").isEmpty():
-            raise ValueError("tasks depend on each other in a circle")
-        frontier = cut(reached.join(out, ["task", "affects"], "left_anti"))
-        if frontier.isEmpty():
-            return out
-        out = cut(out.unionByName(frontier))
-    raise ValueError("tasks depend on each other in a circle")
+    """(task, affects): what a change of each task reaches, itself included; a circle raises.
+
+    Paths are joined with paths, so that their length doubles in each round, until a round finds none.
+    """
+    paths = cut(e.select(F.col("depends_on").alias("task"), F.col("task").alias("affects")).distinct())
+    known, before = paths.count(), -1
+    while known != before:
+        on = paths.select(F.col("task").alias("affects"), F.col("affects").alias("next"))
+        further = paths.join(on, "affects").select("task", F.col("next").alias("affects"))
+        paths = cut(paths.unionByName(further).distinct())
+        if not paths.filter("task = affects").isEmpty():
+            raise ValueError(CIRCLE)
+        known, before = paths.count(), known
+    return nodes.select("task", F.col("task").alias("affects")).distinct().unionByName(paths)
+
+
+def longest(nodes: DataFrame, e: DataFrame, scope: tuple[str, ...] = (), name: str = "task", ref: str = "depends_on") -> DataFrame:
+    """(scope, name, level) of nodes that no circle leads to: 0, or one more than the highest of those that it depends on.
+
+    Nodes with one dependency form chains. Each is followed to its end by pointer doubling, in as many rounds as the
+    longest has binary digits; who is not at an end by then is in a circle. Of the others, a node is placed once all
+    that it depends on, over chains, is placed; that goes on until a round places none. Nothing bounds a chain's length.
+    Edges are (scope, name, ref); both ends are nodes.
+    """
+    keys, up, to = [*scope, name], [*scope, ref], [*scope, "to"]
+    e = cut(e.select(*keys, ref).distinct())
+    n_refs = cut(e.groupBy(*keys).agg(F.count(F.lit(1)).alias("open"), F.min(ref).alias("to")))
+    chain = cut(n_refs.filter("open = 1").select(*keys, "to", F.lit(1).cast("long").alias("steps")))
+    n_chain, reach = chain.count(), 1
+    while True:
+        ahead = chain.select(*scope, F.col(name).alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
+        jumped = chain.join(ahead, to, "left").select(*keys, F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("to2").isNotNull().alias("on"))
+        jumped, reach = cut(jumped), 2 * reach
+        chain = jumped.select(*keys, "to", "steps")
+        if reach > n_chain or jumped.filter("on").isEmpty():
+            break
+    chain = cut(chain.join(chain.select(*scope, F.col(name).alias("to")), to, "left_anti"))
+
+    over = chain.select(*scope, F.col(name).alias(ref), "to", "steps")
+    many = n_refs.filter("open > 1").select(*keys)
+    e = e.join(many, keys, "left_semi").join(over, up, "left")
+    e = cut(e.select(*keys, F.coalesce("to", ref).alias(ref), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    waiting = cut(n_refs.filter("open > 1").select(*keys, "open", F.lit(0).cast("long").alias("level")))
+    placed = cut(nodes.select(*keys).distinct().join(n_refs, keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("level")))
+    out, n = placed, 0
+    while not placed.isEmpty() and not waiting.isEmpty():
+        below = placed.select(*scope, F.col(name).alias(ref), F.col("level").alias("below"))
+        done = e.join(below, up).groupBy(*keys).agg(F.count(F.lit(1)).alias("done"), F.max(F.col("below") + F.col("steps")).alias("new"))
+        waiting = cut(waiting.join(done, keys, "left").select(*keys, (F.col("open") - F.coalesce("done", F.lit(0))).alias("open"), F.greatest("level", F.coalesce("new", F.lit(0))).alias("level")))
+        placed, waiting = waiting.filter("open = 0").select(*keys, "level"), waiting.filter("open > 0")
+        out, n = out.unionByName(placed), n + 1
+        out = cut(out) if n % REWRITE == 0 else out
+    ends = out.select(*scope, F.col(name).alias("to"), "level")
+    chained = chain.join(ends, to).select(*keys, (F.col("level") + F.col("steps")).alias("level"))
+    return out.unionByName(chained)
 
 
 def levels(nodes: DataFrame, e: DataFrame) -> DataFrame:
-    """(task, level): the longest chain of dependencies below each task; in order of (level, task), dependencies come first."""
-    out = cut(nodes.select("task", F.lit(0).cast("long").alias("level")))
-    for _ in range(MAX_ROUNDS):
-        below = e.join(out.select(F.col("task").alias("depends_on"), "level"), "depends_on").groupBy("task").agg((F.max("level") + 1).alias("new"))
-        joined = cut(out.join(below, "task", "left").select("task", "level", F.greatest("level", F.coalesce("new", F.lit(0))).alias("new")))
-        if joined.filter("new != level").isEmpty():
-            return joined.select("task", "level")
-        out = joined.select("task", F.col("new").alias("level"))
-    raise ValueError("tasks depend on each other in a circle")
+    """(task, level): the longest chain of dependencies below each task; in order of (level, task), dependencies come first. A circle raises."""
+    out = cut(longest(nodes, e))
+    if not nodes.select("task").join(out, "task", "left_anti").isEmpty():
+        raise ValueError(CIRCLE)
+    return out
 
 
 def violations(order: DataFrame, e: DataFrame, groups: DataFrame | None = None) -> DataFrame:

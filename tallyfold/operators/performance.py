@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators.windows import nav2ret, so_far
+from tallyfold.functions.cells import ratio_change
+from tallyfold.operators.windows import so_far
 
 
 def annual_factor(n: Column, first: Column, last: Column) -> Column:
@@ -27,24 +28,27 @@ def max_drawdown(df: DataFrame, nav: str = "nav", by: str = "series_id", order:
     return drawdown_rows(df, nav, by, order).groupBy(by).agg(F.max("drawdown").alias("max_dd"), F.max("below").alias("longest_below"))
 
 
-def metrics(df: DataFrame, nav: str = "nav", by: str = "series_id", date: str = "date", is_return: bool = False) -> DataFrame:
+def metrics(df: DataFrame, nav: str = "nav", by: str = "series_id", date: str = "date", is_return: bool = False, dated: bool = True) -> DataFrame:
     """One record for each series: annual return, volatility, Sharpe ratio, drawdown, return over drawdown, win rate, range.
 
-    The first row's return is 0, or absent for a series of returns. The win rate divides by one more than the number
-    of returns, and the number of data is one more than that of dates, as the reference counts them.
+    n values give n - 1 returns: the first has none. The win rate divides by one more than the number of returns, and
+    the number of data is one more than that of dates, as the reference counts them. Not dated: the column is an order
+    alone, a year has 250 rows, start, end and days are unknown, and the number of data is that of rows.
     """
     w = Window.partitionBy(by).orderBy(date)
-    d = df.withColumn("_i", F.row_number().over(w) - 1)
+    d = df
     if is_return:
         d = d.withColumn("_ret", F.col(nav)).withColumn("_nav", F.product(1 + F.coalesce(F.col(nav), F.lit(0.0))).over(so_far(w)))
     else:
-        d = d.withColumn("_ret", nav2ret(F.col(nav), F.col("_i"), w)).withColumn("_nav", F.col(nav))
+        d = d.withColumn("_ret", ratio_change(F.col(nav), F.lag(nav).over(w))).withColumn("_nav", F.col(nav))
     d = drawdown_rows(d, "_nav", by, date)
     n = F.count(F.lit(1))
     base = d.groupBy(by).agg(
         F.min(date).alias("start"), F.max(date).alias("end"), n.alias("_n"), F.avg("_ret").alias("_mean"), F.stddev_pop("_ret").alias("_std"),
         F.max("drawdown").alias("max_dd"), F.max("below").alias("longest_below"), F.sum(F.when(F.col("_ret") >= 0, 1).otherwise(0)).alias("_won"), F.count("_ret").alias("_rets"),
     )
+    if not dated:
+        base = base.withColumns({c: F.lit(None).cast("date") for c in ("start", "end")})
     f = annual_factor(F.col("_n"), F.col("start"), F.col("end"))
     out = base.select("*", f.alias("ann_fac"), (F.col("_mean") * f).alias("ann_ret"), (F.col("_std") * F.sqrt(f)).alias("ann_vol"))
     return out.select(
@@ -53,5 +57,5 @@ def metrics(df: DataFrame, nav: str = "nav", by: str = "series_id", date: str =
         "max_dd", "longest_below",
         (F.col("ann_ret") / F.nullif(F.col("max_dd"), F.lit(0.0))).alias("ret_dd"),
         (F.col("_won") / (F.col("_rets") + 1)).alias("win_rate"),
-        "start", "end", F.datediff("end", "start").cast("long").alias("days"), (F.col("_n") + 1).alias("n_data"),
+        "start", "end", F.datediff("end", "start").cast("long").alias("days"), (F.col("_n") + int(dated)).alias("n_data"),
     )

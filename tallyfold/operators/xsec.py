@@ -16,6 +16,8 @@ from tallyfold.sources.storage import ship
 
 #: Dates whose triangles a task of residual_many holds before it sends them on.
 HELD_DATES = 50_000
+#: Stands for a null date.
+NO_DATE = -(1 << 31)
 
 
 def _dates(*more: str):
@@ -40,14 +42,24 @@ def top_n(score: Column, subset: Column, n: int) -> Column:
     return chosen & (place <= n)
 
 
-def largest(df: DataFrame, x: str, n: int) -> DataFrame:
-    return df.filter(F.col(x).isNotNull()).orderBy(F.desc(x)).limit(n)
+def largest(df: DataFrame, x: str, n: int, ties: tuple[str, ...] = ("asset", "date")) -> DataFrame:
+    return df.filter(F.col(x).isNotNull()).orderBy(F.desc(x), *ties).limit(n)
 
 
-def scale_row(x: Column) -> Column:
+def with_stats(df: DataFrame, *stats: Column) -> DataFrame:
+    """Adds aggregates over each date's assets.
+
+    Each task sums up its own rows of a date before they are shuffled, and a row for each date is joined back: unlike a
+    window, no task gets all assets of a date. Spark plans df twice for that; cut() it first where it is dear.
+    """
+    by_date = df.groupBy(F.col("date").alias("_date")).agg(*stats)
+    return df.join(by_date, F.col("date").eqNullSafe(F.col("_date")), "left").drop("_date")
+
+
+def scale_row(df: DataFrame, x: Column, name: str = "scaled") -> DataFrame:
     """To [0, 1] by the date's range; missing where that is 0."""
-    lo, hi = F.min(x).over(_dates()), F.max(x).over(_dates())
-    return (x - lo) / F.when(hi != lo, hi - lo)
+    d = with_stats(df, F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    return d.withColumn(name, (x - F.col("_lo")) / F.when(F.col("_hi") != F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
 def scale_all(df: DataFrame, x: str, name: str = "scaled") -> DataFrame:
@@ -78,6 +90,19 @@ def between_pct(x: Column, valid: Column, lo: float, hi: float) -> Column:
     return is_true(pct(F.when(is_true(valid), x)).between(lo, hi))
 
 
+def rank_select(df: DataFrame, x: Column, regions: list[Column], lo: float, hi: float, also: Column | None = None, name: str = "chosen") -> DataFrame:
+    """Adds in how many of the regions, which may overlap, a cell's percentile among the region's valid cells is in [lo, hi].
+
+    A second region, if given, cuts down each of them. df has one row for each asset and date.
+    """
+    inside = [is_true(g) if also is None else is_true(g) & is_true(also) for g in regions]
+    member = F.array_compact(F.array(*[F.when(g, k) for k, g in enumerate(inside)]))
+    rows = df.select("asset", "date", x.alias("_x"), F.explode(member).alias("_region")).filter("_x is not null")
+    place = (F.row_number().over(_dates("_region").orderBy("_x", "asset")) - 1) / F.nullif(F.count("_x").over(_dates("_region")) - 1, F.lit(0))
+    hits = rows.withColumn("_at", place).filter(F.col("_at").between(lo, hi)).groupBy("asset", "date").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    return df.join(hits, ["asset", "date"], "left").withColumn(name, F.coalesce("_n", F.lit(0.0))).drop("_n")
+
+
 def select_in_regions(df: DataFrame, x: str, region: str, lo: float, hi: float) -> Column:
     """As between_pct, each region of the date by itself; rows without a region are never selected."""
     w = Window.partitionBy("date", region)
@@ -98,14 +123,14 @@ def positions(df: DataFrame, factor: str, excluded: Column, lo: float, hi: float
     return d.withColumn("pos", F.when(F.col("_out"), 0.0).otherwise(held)).drop("_raw", "_out")
 
 
-def equal_weights(x: Column) -> Column:
-    return F.when(x.isNotNull(), 1 / F.count(x).over(_dates())).otherwise(0.0)
+def equal_weights(df: DataFrame, x: Column, name: str = "weight") -> DataFrame:
+    return with_stats(df, F.count(x).alias("_n")).withColumn(name, F.when(x.isNotNull(), 1 / F.col("_n")).otherwise(0.0)).drop("_n")
 
 
-def add_alpha(base: Column, alpha: Column) -> Column:
+def add_alpha(df: DataFrame, base: Column, alpha: Column, name: str = "weight") -> DataFrame:
     """base plus the largest multiple of alpha that leaves no weight negative; missing without a negative alpha."""
-    k = -F.max(F.when(alpha < 0, base / F.when(alpha < 0, alpha))).over(_dates())
-    return base + k * alpha
+    k = -F.max(F.when(alpha < 0, base / F.when(alpha < 0, alpha)))
+    return with_stats(df, k.alias("_k")).withColumn(name, base + F.col("_k") * alpha).drop("_k")
 
 
 def group_means(df: DataFrame, x: str, group: str) -> DataFrame:
@@ -115,34 +140,38 @@ def group_means(df: DataFrame, x: str, group: str) -> DataFrame:
     return grid.join(known.groupBy("date", group).agg(F.avg(x).alias("mean")), ["date", group], "left")
 
 
-def residual_one(y: Column, x: Column) -> Column:
+def residual_one(df: DataFrame, y: Column, x: Column, name: str = "residual") -> DataFrame:
     """Residual on one basis, by date, without an intercept, over rows that have both."""
     both = y.isNotNull() & x.isNotNull()
-    beta = F.sum(F.when(both, x * y)).over(_dates()) / F.nullif(F.sum(F.when(both, x * x)).over(_dates()), F.lit(0.0))
-    return F.when(both, y - beta * x)
+    beta = F.sum(F.when(both, x * y)) / F.nullif(F.sum(F.when(both, x * x)), F.lit(0.0))
+    return with_stats(df, beta.alias("_beta")).withColumn(name, F.when(both, y - F.col("_beta") * x)).drop("_beta")
 
 
-def residual_two(y: Column, a: Column, b: Column) -> Column:
+def residual_two(df: DataFrame, y: Column, a: Column, b: Column, name: str = "residual") -> DataFrame:
     """Residual on two bases, by date, without an intercept, from sums over the date; missing where they are collinear."""
     ok = y.isNotNull() & a.isNotNull() & b.isNotNull()
-    s = lambda u, v: F.sum(F.when(ok, u * v)).over(_dates())
-    det = F.nullif(s(a, a) * s(b, b) - s(a, b) * s(a, b), F.lit(0.0))
-    first = (s(a, y) * s(b, b) - s(b, y) * s(a, b)) / det
-    second = (s(b, y) * s(a, a) - s(a, y) * s(a, b)) / det
-    return F.when(ok, y - first * a - second * b)
+    s = lambda u, v: F.sum(F.when(ok, u * v))
+    d = with_stats(df, s(a, a).alias("_aa"), s(b, b).alias("_bb"), s(a, b).alias("_ab"), s(a, y).alias("_ay"), s(b, y).alias("_by"))
+    c = F.col
+    det = F.nullif(c("_aa") * c("_bb") - c("_ab") * c("_ab"), F.lit(0.0))
+    first = (c("_ay") * c("_bb") - c("_by") * c("_ab")) / det
+    second = (c("_by") * c("_aa") - c("_ay") * c("_ab")) / det
+    return d.withColumn(name, F.when(ok, y - first * a - second * b)).drop("_aa", "_bb", "_ab", "_ay", "_by")
 
 
-def residual_many(df: DataFrame, y: str, bases: list[str]) -> DataFrame:
-    """(asset, date, residual) on any number of bases: one least-squares problem for each date, over rows that have all.
+def _valid(c: str) -> Column:
+    return F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+
+
+def coefficients(df: DataFrame, y: str, bases: list[str]) -> DataFrame:
+    """(date, coefficients): least squares of y on the bases without an intercept, by date, over rows that have all.
 
-    Each task reduces a date's rows to a triangle of as many rows as columns (QR), a date's triangles meet and are
-    solved, and the coefficients, one row for each date, are joined back.
+    Each task reduces a date's rows to a triangle of as many rows as columns (QR); a date's triangles meet and are
+    solved. Collinear bases get the solution of least norm. A date without complete rows has no row.
     """
     k = len(bases)
-    valid = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
     named = [f"_x{j}" for j in range(k + 1)]
-    slim = df.select("asset", "date", F.coalesce(F.unix_date("date"), F.lit(-(1 << 31))).alias("_d"), *[valid(c).alias(n) for c, n in zip([*bases, y], named, strict=True)])
-    complete = slim.select("_d", *named).dropna()
+    complete = df.select(F.coalesce(F.unix_date("date"), F.lit(NO_DATE)).alias("_d"), *[_valid(c).alias(n) for c, n in zip([*bases, y], named, strict=True)]).dropna()
 
     def triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -165,22 +194,31 @@ def residual_many(df: DataFrame, y: str, bases: list[str]) -> DataFrame:
         m = np.linalg.qr(pdf[named].to_numpy(float), mode="r")
         # The cut-off for collinear columns is that of the whole problem.
         c = np.linalg.lstsq(m[:, :k], m[:, k], rcond=np.finfo(float).eps * max(int(pdf["n"].sum()), k))[0]
-        return pd.DataFrame({"_d": pdf["_d"].iloc[:1], "_c": [c.tolist()]})
+        return pd.DataFrame({"_d": pdf["_d"].iloc[:1], "coefficients": [c.tolist()]})
 
     ship(df.sparkSession)
     small = complete.mapInPandas(triangles, ", ".join(["_d int, n long", *[f"{c} double" for c in named]]))
-    solved = F.broadcast(small.groupBy("_d").applyInPandas(solve, "_d int, _c array<double>"))
+    solved = small.groupBy("_d").applyInPandas(solve, "_d int, coefficients array<double>")
+    return solved.select(F.when(F.col("_d") != NO_DATE, F.date_from_unix_date("_d")).alias("date"), "coefficients")
+
+
+def residual_many(df: DataFrame, y: str, bases: list[str]) -> DataFrame:
+    """(asset, date, residual) on any number of bases: one least-squares problem for each date, whose coefficients, a row for each date, are joined back."""
+    solved = F.broadcast(coefficients(df, y, bases).withColumnRenamed("date", "_date"))
     fit = F.lit(0.0)
-    for j in range(k):
-        fit = fit + F.col(named[j]) * F.get("_c", F.lit(j))
-    return slim.join(solved, "_d", "left").select("asset", "date", (F.col(named[k]) - fit).alias("residual"))
+    for j, c in enumerate(bases):
+        fit = fit + _valid(c) * F.get("coefficients", F.lit(j))
+    return df.join(solved, F.col("date").eqNullSafe(F.col("_date")), "left").select("asset", "date", (_valid(y) - fit).alias("residual"))
 
 
-def first_coefficient(df: DataFrame, y: str, x: str, by: str) -> DataFrame:
-    """(by, beta): least squares of y on x without an intercept; missing if it can't be solved."""
+def first_coefficient(df: DataFrame, y: str, x: str | list[str]) -> DataFrame:
+    """(date, beta): of least squares of y on x, or on several columns, without an intercept, the coefficient of the first; missing if it can't be solved."""
+    if not isinstance(x, str):
+        solved = coefficients(df, y, x).select("date", F.get("coefficients", F.lit(0)).alias("beta"))
+        return df.select("date").distinct().join(solved.withColumnRenamed("date", "_date"), F.col("date").eqNullSafe(F.col("_date")), "left").select("date", "beta")
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
     xy, xx = F.sum(F.when(both, F.col(x) * F.col(y))), F.sum(F.when(both, F.col(x) * F.col(x)))
-    return df.groupBy(by).agg((xy / F.nullif(xx, F.lit(0.0))).alias("beta"))
+    return df.groupBy("date").agg((xy / F.nullif(xx, F.lit(0.0))).alias("beta"))
 
 
 def first_extreme(df: DataFrame, x: str, i: str, by: str, largest: bool = True) -> DataFrame:

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset and all run on this machine, as in tests."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return there or sc._jsc.sc().getCheckpointDir().get()
+    if not there and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     there = there or tempfile.mkdtemp(prefix="spark-checkpoint-")
     sc.setCheckpointDir(there)
     return there

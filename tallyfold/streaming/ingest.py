@@ -2,7 +2,7 @@
 
 Each micro-batch is reduced to one row for each series and time (sum and count) and written as one folder of the store,
 named by the batch's number: a batch that is run again after a failure overwrites its own folder, so that nothing counts
-twice. Reading the store adds the folders up; compacting it does so once for good.
+twice. Reading the store adds the folders up; compacted writes them as one folder of a new store.
 """
 
 from __future__ import annotations
@@ -28,3 +28,9 @@ def stored(spark: SparkSession, store: str) -> DataFrame:
     """(series_id, time, value): the mean of all values that have arrived."""
     parts = spark.read.parquet(store)
     return parts.groupBy("series_id", "time").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("value"))
+
+
+def compacted(spark: SparkSession, store: str, to: str) -> None:
+    """Write the store anew, one row for each series and time, as batch -1 of another folder, where a stream that is started with that folder goes on adding."""
+    parts = spark.read.parquet(store)
+    parts.groupBy("series_id", "time").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{to}/batch=-1")

@@ -89,8 +89,18 @@ def test_cross_section(spark):
     chosen = rows(spark, asset=[1, 2, 3, 4], date=[0] * 4, i=[0, 1, 2, 3], x=[5.0, 1.0, 3.0, 2.0], s=[True, False, True, True])
     assert values(chosen.withColumn("out", xsec.top_n(F.col(X), F.col("s"), 2))) == [False, False, True, True]
     weights = rows(spark, asset=[1, 2], date=[0, 0], i=[0, 1], b=[0.5, 0.5], a=[0.2, -0.1])
-    assert close(values(weights.withColumn("out", xsec.add_alpha(F.col("b"), F.col("a")))), [1.5, 0])
-    assert values(rows(spark, asset=[1, 2], date=[0, 0], i=[0, 1], x=[2.0, 2.0]).withColumn("out", xsec.scale_row(F.col(X)))) == [None, None]
+    assert close(values(xsec.add_alpha(weights, F.col("b"), F.col("a"), "out")), [1.5, 0])
+    assert values(xsec.scale_row(rows(spark, asset=[1, 2], date=[0, 0], i=[0, 1], x=[2.0, 2.0]), F.col(X), "out")) == [None, None]
+    tied = rows(spark, asset=[3, 1, 2], date=[0, 0, 0], x=[5.0, 5.0, 5.0])
+    assert [r["asset"] for r in xsec.largest(tied, "x", 2).collect()] == [1, 2]
+
+
+def test_regions(spark):
+    """Regions may overlap: a cell counts once for each in which it ranks high; the second region cuts down both."""
+    d_ = rows(spark, asset=[1, 2, 3, 4, 5], date=[0] * 5, x=[10.0, 40.0, 30.0, 20.0, 50.0], g=[True, True, True, False, True], h=[False, True, True, True, True], ok=[True, True, True, True, False])
+    both = xsec.rank_select(d_, F.col("x"), [F.col("g"), F.col("h")], 1.0, 1.0, F.col("ok"), "out")
+    assert values(both, order="asset") == [0, 2, 0, 0, 0]
+    assert values(xsec.rank_select(d_, F.col("x"), [F.col("g"), F.col("h")], 0.0, 0.5, name="out"), order="asset") == [1, 0, 2, 1, 0]
 
 
 def test_residuals(spark):
@@ -99,10 +109,11 @@ def test_residuals(spark):
     df = rows(spark, asset=list(range(20)), date=[d.date(2020, 1, 1)] * 20, a=a.tolist(), b=b.tolist(), y=y.tolist())
     m = np.column_stack([a, b])
     want = y - m @ np.linalg.lstsq(m, y, rcond=None)[0]
-    got = df.withColumn("out", xsec.residual_two(F.col("y"), F.col("a"), F.col("b")))
+    got = xsec.residual_two(df, F.col("y"), F.col("a"), F.col("b"), "out")
+    assert np.isclose(xsec.first_coefficient(df, "y", ["a", "b"]).first()["beta"], np.linalg.lstsq(m, y, rcond=None)[0][0])
     assert np.allclose(values(got, order="asset"), want)
     assert np.allclose(values(xsec.residual_many(df, "y", ["a", "b"]), "residual", "asset"), want)
-    one = df.withColumn("out", xsec.residual_one(F.col("y"), F.col("a")))
+    one = xsec.residual_one(df, F.col("y"), F.col("a"), "out")
     assert np.allclose(values(one, order="asset"), y - a * (a @ y) / (a @ a))
 
 
@@ -144,6 +155,11 @@ def test_performance(spark):
     assert round(r["max_dd"], 4) == 0.3333 and r["longest_below"] == 2
     ret = rows(spark, series_id=["a"] * 3, date=[d.date(2020, 1, k) for k in range(1, 4)], nav=[0.1, -0.1, 0.0])
     assert performance.metrics(ret, is_return=True).first()["win_rate"] == 0.5
+    three = rows(spark, series_id=["a"] * 3, date=[d.date(2020, 1, k) for k in range(1, 4)], nav=[100.0, 90.0, 99.0])
+    got = performance.metrics(three).first()  # returns -0.1 and 0.1, the first value has none
+    assert np.isclose(got["win_rate"], 1 / 3) and np.isclose(got["ann_ret"], 0) and np.isclose(got["ann_vol"], 0.1 * got["ann_fac"] ** 0.5) and got["n_data"] == 4
+    bare = performance.metrics(three, dated=False).first()
+    assert (bare["ann_fac"], bare["n_data"], bare["start"], bare["days"]) == (250, 3, None, None)
 
 
 def test_trim(spark):
@@ -166,6 +182,26 @@ def test_as_of(spark):
     assert values(at, "at", "target") == [-1, 1, 2]
 
 
+@pytest.mark.parametrize("stretches", [1, 3, 64])
+def test_as_of_in_stretches(spark, stretches):
+    """One long and one short series, observations before, between and after the targets: as a plain search finds them."""
+    rng = np.random.default_rng(5)
+    obs = {"a": sorted(rng.choice(400, 150, replace=False).tolist()), "b": [7, 200], "c": [390]}
+    targets = sorted(rng.choice(np.arange(50, 360), 60, replace=False).tolist())
+    flat = [(s, t) for s, ts in obs.items() for t in ts]
+    df = rows(spark, series_id=[s for s, _ in flat], time=[t for _, t in flat], value=[float(t) for _, t in flat])
+    for extend in (True, False):
+        got = {(r["series_id"], r["time"]): (r["value"], r["is_real"]) for r in align.as_of(df, rows(spark, time=targets), extend, stretches).collect()}
+        assert len(got) == 3 * len(targets)
+        for (s, t), (v, real) in got.items():
+            known = [x for x in obs[s] if x <= t]
+            late = [x for x in targets if x >= obs[s][-1]]
+            keep = extend or t < obs[s][-1] or t == late[0]
+            assert (v, real) == (float(known[-1]) if known and keep else None, t in obs[s] and keep)
+    at = align.last_known_index(rows(spark, series_id=["a"] * 60, target=targets), rows(spark, series_id=["a"] * 150, source=obs["a"]), stretches=stretches)
+    assert values(at, "at", "target") == [sum(x <= t for x in obs["a"]) - 1 for t in targets]
+
+
 def test_merge(spark):
     day = [d.date(2020, 1, k) for k in range(1, 4)]
     new = rows(spark, series_id=["a", "a"], time=day[:2], value=[1.0, 2.0])
@@ -179,6 +215,17 @@ def test_merge(spark):
     with pytest.raises(ValueError):
         align.merge_into(new.union(new), old)
     assert values(align.new_information(new, old), "value", "time") == [1, 2]
+    zero = rows(spark, series_id=["a"] * 3, time=day, value=[0.0, 0.0, 0.0])
+    grown = align.merge(rows(spark, series_id=["a"] * 3, time=day, value=[5.0, 0.0, -5.0]), zero)
+    assert values(grown, "flagged", "time") == [True, False, False]
+    with pytest.raises(ValueError):
+        align.merge(rows(spark, series_id=["a"], time=day[:1], value=[5.0]), zero, "raise")
+
+
+def test_duplicates(spark):
+    twice = rows(spark, series_id=["a", "a", "a"], time=[1, 1, 1], value=[1.0, 1.0, 2.0], n=[3, 1, 2])
+    assert sorted(r["n"] for r in align.drop_duplicates(twice, "n").collect()) == [1, 2]
+    assert [tuple(r) for r in align.drop_duplicates(twice, "n", "last", whole_rows=False).collect()] == [("a", 1, 1.0, 3)]
 
 
 def test_dates(spark):
@@ -239,6 +286,16 @@ def test_graph(spark):
     with pytest.raises(ValueError):
         circle = rows(spark, task=["a", "b"], depends_on=["b", "a"])
         graph.impact(circle.select("task"), graph.edges(circle))
+    with pytest.raises(ValueError):
+        graph.levels(circle.select("task"), graph.edges(circle))
+
+
+def test_long_chain(spark):
+    """A chain of 500 tasks is no circle, however many rounds one edge at a time would take."""
+    tasks = rows(spark, task=[str(k) for k in range(500)], depends_on=["", *(str(k) for k in range(499))])
+    e = graph.edges(tasks)
+    assert {r["task"]: r["level"] for r in graph.levels(tasks.select("task"), e).collect()} == {str(k): k for k in range(500)}
+    assert graph.impact(tasks.select("task"), e).count() == 500 * 501 // 2
 
 
 def test_grouping():
@@ -261,6 +318,51 @@ def test_correlation(spark):
     assert {r["corr"] for r in alone.collect()} == {-1.0}
 
 
+def _groups(m, threshold):
+    """One level, by loops over the definitions."""
+    left, out = list(range(len(m))), []
+    while left:
+        mean = [sum(m[i][j] for j in left) / len(left) for i in left]
+        group = [left[mean.index(max(mean))]]
+        while True:
+            fit = [(sum(m[i][j] for j in group) / len(group), -i) for i in left if i not in group and min(m[i][j] for j in group) > threshold]
+            if not fit:
+                break
+            group.append(-max(fit)[1])
+        out.append(group)
+        left = [i for i in left if i not in group]
+    return out
+
+
+def test_grouping_by_universe(spark, monkeypatch):
+    """Universes are grouped each by itself, as plain loops do; too large ones are refused before Python gets them."""
+    rng = np.random.default_rng(7)
+    flat, want, best = [], [], {}
+    for u, n in (("x", 7), ("y", 5), ("z", 1)):
+        m = np.corrcoef(rng.normal(size=(n, 6)) + rng.normal(size=6)).reshape(n, n)
+        flat += [(u, i, j, float(m[i, j])) for i in range(n) for j in range(n)]
+        want += [(u, [g[k]], gi) for gi, g in enumerate(_groups(m.tolist(), 0.3)) for k in range(len(g))]
+        best[u] = m.min() if n == 1 else None
+    pairs = spark.createDataFrame(flat, "u string, a int, b int, corr double").repartition(5)
+    got = cluster.grouped(pairs, [0.3], "u").orderBy("u", "order_no").collect()
+    assert [(r["u"], [r["series_id"]], r["path"][0]) for r in got] == want
+    assert {r["u"] for r in cluster.chosen_threshold(pairs, "u").collect()} == {"x", "y", "z"}
+    assert cluster.sorted_matrix(pairs, cluster.grouped(pairs, universe="u"), "u").count() == 49 + 25 + 1
+    monkeypatch.setattr(cluster, "MAX_SERIES", 6)
+    with pytest.raises(Exception, match="more than 6 series"):
+        cluster.grouped(pairs, [0.3], "u").collect()
+
+
+def test_blocked_by_universe(spark):
+    rng = np.random.default_rng(9)
+    long = [(u, s, i, float(rng.normal())) for u in ("p", "q") for s in range(4) for i in range(9)]
+    df = spark.createDataFrame(long, "u string, series_id int, i long, ret double")
+    for blocks in (None, 3):
+        got = {(r["u"], r["a"], r["b"]): r["corr"] for r in cluster.pairwise_blocked(df, blocks, "u").collect()}
+        x = {u: np.array([[v for w_, s_, i, v in long if (w_, s_) == (u, s)] for s in range(4)]) for u in "pq"}
+        assert len(got) == 32 and all(np.isclose(c, np.corrcoef(x[u][a], x[u][b])[0, 1]) for (u, a, b), c in got.items())
+
+
 def test_rescale():
     m = np.array([[1.0, np.nan], [2.0, 10.0], [3.0, 15.0]])
     out = cluster.rescale(m)
