@@ -17,9 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.base import cut, map_texts
-
-#: Rounds after which the calls placed so far are written anew, so that plans stay short.
-REWRITE = 20
+from tallyfold.operators.graph import longest
 
 _TYPES: dict[str, Callable[[Any], bool]] = {
     "object": lambda x: isinstance(x, dict),
@@ -152,43 +150,8 @@ def checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls that no circle of references reaches: 0, or one more than the highest it refers to.
-
-    Calls with one reference form chains. Each is followed to its end by pointer doubling, in as many rounds as the
-    longest has binary digits; who is not at an end by then is in a circle. Of the others, a call is placed once all that
-    it refers to, over chains, is placed; that goes on until a round places none. Nothing bounds a chain's length.
-    """
-    keys = ["conv_id", "call_id"]
-    edges = cut(edges.select(*keys, "ref").distinct())
-    n_refs = cut(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("open"), F.min("ref").alias("to")))
-    chain = cut(n_refs.filter("open = 1").select(*keys, "to", F.lit(1).cast("long").alias("steps")))
-    n_chain, reach = chain.count(), 1
-    while True:
-        ahead = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
-        jumped = chain.join(ahead, ["conv_id", "to"], "left").select(*keys, F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("to2").isNotNull().alias("on"))
-        jumped, reach = cut(jumped), 2 * reach
-        chain = jumped.select(*keys, "to", "steps")
-        if reach > n_chain or jumped.filter("on").isEmpty():
-            break
-    chain = cut(chain.join(chain.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_anti"))
-
-    over = chain.select("conv_id", F.col("call_id").alias("ref"), "to", "steps")
-    many = n_refs.filter("open > 1").select(*keys)
-    edges = edges.join(many, keys, "left_semi").join(over, ["conv_id", "ref"], "left")
-    edges = cut(edges.select(*keys, F.coalesce("to", "ref").alias("ref"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
-    waiting = cut(n_refs.filter("open > 1").select(*keys, "open", F.lit(0).cast("long").alias("level")))
-    placed = cut(calls.select(*keys).distinct().join(n_refs, keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("level")))
-    out, n = placed, 0
-    while not placed.isEmpty() and not waiting.isEmpty():
-        below = placed.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below"))
-        done = edges.join(below, ["conv_id", "ref"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("done"), F.max(F.col("below") + F.col("steps")).alias("new"))
-        waiting = cut(waiting.join(done, keys, "left").select(*keys, (F.col("open") - F.coalesce("done", F.lit(0))).alias("open"), F.greatest("level", F.coalesce("new", F.lit(0))).alias("level")))
-        placed, waiting = waiting.filter("open = 0").select(*keys, "level"), waiting.filter("open > 0")
-        out, n = out.unionByName(placed), n + 1
-        out = cut(out) if n % REWRITE == 0 else out
-    ends = out.select("conv_id", F.col("call_id").alias("to"), "level")
-    chained = chain.join(ends, ["conv_id", "to"]).select(*keys, (F.col("level") + F.col("steps")).alias("level"))
-    return out.unionByName(chained).select(*keys, F.col("level").cast("int").alias("level"))
+    """(conv_id, call_id, level) of calls that no circle of references reaches: 0, or one more than the highest it refers to. Nothing bounds a chain's length."""
+    return longest(calls, edges, ("conv_id",), "call_id", "ref").select("conv_id", "call_id", F.col("level").cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
