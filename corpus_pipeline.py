@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyfold.llm import bpe, decontaminate, pii, quality_rules, simhash
 from tallyfold.llm.base import checkpoint_dir, table
+from tallyfold.sources.storage import discard
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -52,9 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage keeps is written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # what has been written again isn't read any more
+            discard(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
