@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import re
 
@@ -29,14 +30,20 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def contamination(text, items, window=10):
-    """(n_words, n_hit, sorted string ids) for items as (id, text)."""
+@functools.lru_cache(maxsize=4)
+def _windows(items, window):
     wins = collections.defaultdict(set)
     for i, t in items:
         w = WORD.findall(lower(t))
         n = min(window, len(w))
         for k in range(len(w) - n + 1 if n else 0):
             wins[tuple(w[k : k + n])].add(i)
+    return wins
+
+
+def contamination(text, items, window=10):
+    """(n_words, n_hit, sorted string ids) for items as (id, text)."""
+    wins = _windows(tuple(items), window)
     w, hit, found = WORD.findall(lower(text)), set(), set()
     for n in {len(k) for k in wins}:
         for k in range(len(w) - n + 1):
