@@ -2,8 +2,9 @@
 
 A gear hash rolls over a text's bytes; a chunk ends where the hash is smallest within WINDOW bytes on either side.
 Such a place depends on the bytes near it alone, so that a passage is cut alike wherever it stands, and an insertion
-moves no border but its own. Chunks are found again by a 64-bit digest; runs of adjoining chunks that other documents
-hold too are the repeated passages.
+moves no border but its own. Where the same few bytes go on and on, no hash is smaller than the others of its kind: such
+stretches are cut at equal smallest hashes, that is after whole repetitions, and so alike in all documents too. Chunks
+are found again by a 64-bit digest; runs of adjoining chunks that other documents hold too are the repeated passages.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from tallyfold.llm.base import cut, let, map_texts, piece, text_blocks
 
 #: Bytes on either side of a border in which its hash is the smallest: chunks have WINDOW + 1 bytes at least, and twice as many on average.
 WINDOW = 16
-#: A chunk without a border (long runs of one character) is ended after so many bytes.
+#: A stretch without a border that is longer than this is cut at equal smallest hashes, each so many bytes at least after the one before.
+STRETCH, REPEAT = 64, 32
+#: A chunk that has none of those either is ended after so many bytes.
 LONGEST = 1024
 #: A passage counts from so many bytes on; the ends of a passage that lie outside whole chunks are not among them.
 MIN_BYTES = 180
@@ -35,8 +38,8 @@ _MARGIN = 64
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def _smallest(b: np.ndarray) -> np.ndarray:
-    """Positions whose rolling hash is smallest within WINDOW on either side; of equals the first."""
+def _smallest(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose rolling hash is smallest within WINDOW on either side, of equals the first; and those of the other equals."""
     h = GEAR[b]
     for k in (1, 2, 4, 8):  # h[i] = gear[i] + 4 * gear[i - 1] + 16 * gear[i - 2] + ... over 16 bytes
         new = h.copy()
@@ -49,19 +52,36 @@ def _smallest(b: np.ndarray) -> np.ndarray:
         low = np.minimum(low[:-k], low[k:])
         k *= 2
     before, after = low[: len(h)], low[WINDOW + 1 : WINDOW + 1 + len(h)]
-    return np.flatnonzero((h < before) & (h <= after))
+    least = (h <= before) & (h <= after)
+    first = least & (h < before)
+    return np.flatnonzero(first), np.flatnonzero(least & ~first)
+
+
+def _repeats(lo: int, hi: int, ties: np.ndarray) -> list[int]:
+    """Cuts between lo and hi: the ties that are REPEAT bytes at least from the cut before."""
+    own = ties[np.searchsorted(ties, lo) : np.searchsorted(ties, hi)]
+    out, at = [], int(np.searchsorted(own, lo + REPEAT))
+    while at < len(own):
+        out.append(int(own[at]))
+        at += int(np.searchsorted(own[at : at + REPEAT + 1], out[-1] + REPEAT))
+    return out
 
 
 def borders(raw: bytes) -> np.ndarray:
     """Where chunks begin and end: 0, inner borders at the starts of UTF-8 characters, and the length."""
     n = len(raw)
     b = np.frombuffer(raw, dtype=np.uint8)
-    found = []
+    found: tuple[list, list] = [], []
     for s in range(0, n, BLOCK_BYTES):
         lo, hi = max(0, s - _MARGIN), min(n, s + BLOCK_BYTES + _MARGIN)
-        at = _smallest(b[lo:hi]) + lo
-        found.append(at[(at >= s) & (at < s + BLOCK_BYTES)] + 1)
-    cuts = np.concatenate([[0], *found, [n]]).astype(np.int64)
+        for at, out in zip(_smallest(b[lo:hi]), found, strict=True):
+            at = at + lo
+            out.append(at[(at >= s) & (at < s + BLOCK_BYTES)] + 1)
+    cuts = np.concatenate([[0], *found[0], [n]]).astype(np.int64)
+    ties = np.concatenate([[0], *found[1]]).astype(np.int64)[1:]
+    long = np.flatnonzero(np.diff(cuts) > STRETCH)
+    if len(long) and len(ties):
+        cuts = np.sort(np.concatenate([cuts, *(np.array(_repeats(int(cuts[i]), int(cuts[i + 1]), ties), dtype=np.int64) for i in long)]))
     wide = np.flatnonzero(np.diff(cuts) > LONGEST)
     if len(wide):
         cuts = np.sort(np.concatenate([cuts, *(np.arange(cuts[i] + LONGEST, cuts[i + 1], LONGEST) for i in wide)]))

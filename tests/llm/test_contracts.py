@@ -302,6 +302,22 @@ def test_passages_by_row(spark):
     assert all(third in r["text"] and len(r["text"]) < len(third) + 120 for r in left if r["doc_id"] == 2)
 
 
+@pytest.mark.parametrize("again", ["word ", "A ", "x", "fünf ", "ab\n"])
+def test_repetitions_are_cut_alike(spark, again):
+    """A stretch of one thing over and over is found wherever it begins and however long it goes on."""
+    rnd = random.Random(2)
+    prose = lambda n: " ".join("".join(rnd.choices("cdefghijklm", k=rnd.randint(2, 9))) for _ in range(n))
+    texts = [f"{prose(30)}\n{again * 600}{prose(20)}", f"{prose(41)} {again * 1170}", again * 651 + prose(50), prose(90)]
+    raws = [t.encode() for t in texts]
+    cuts = [substrings.borders(r) for r in raws]
+    assert all(c[0] == 0 and c[-1] == len(r) and np.diff(c).max() <= 128 for c, r in zip(cuts, raws, strict=True))
+    found = substrings.repeated_passages(documents(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["n_chunks"], r["run_bytes"], r["first_id"], r["is_first"]) for r in found) == brute.passages(texts, substrings.borders)
+    for i, n in enumerate((600, 1170, 651)):
+        mine = sum(r["end"] - r["start"] for r in found if r["doc_id"] == i)
+        assert n * len(again) - 120 <= mine <= n * len(again)
+
+
 def test_chunks_cover_the_text(spark, odd):
     rows = substrings.chunks(odd.dropDuplicates(["doc_id"])).orderBy("id", "start").collect()
     for i, t in enumerate(ODD):
