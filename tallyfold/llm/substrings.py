@@ -25,8 +25,9 @@ WINDOW = 16
 STRETCH, REPEAT = 64, 32
 #: A chunk that has none of those either is ended after so many bytes.
 LONGEST = 1024
-#: A passage counts from so many bytes on; the ends of a passage that lie outside whole chunks are not among them.
-MIN_BYTES = 180
+#: A passage counts from so many words on, or so many bytes, for scripts without spaces. The ends that lie outside whole
+#: chunks, up to some 90 bytes, are not among them: 34 stands for more than 50.
+MIN_WORDS, MIN_BYTES = 34, 360
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
 #: Bytes that numpy works on at once.
@@ -34,6 +35,9 @@ BLOCK_BYTES = 1 << 20
 #: Bytes that a border's place depends on, on either side.
 _MARGIN = 64
 
+#: The bytes that separate words.
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
+
 #: One random 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -97,13 +101,16 @@ def _key(id_col: str, text_col: str) -> list:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, digest, start, end, n_bytes): a row for each chunk; positions count code points. Null and empty texts have none."""
+    """(id, text_hash, digest, start, end, n_words, n_bytes): a row for each chunk; positions count code points.
+
+    n_words are those that begin in the chunk, at white space. Null and empty texts have no chunks.
+    """
 
     def make() -> Callable[[list], dict]:
         digest = xxhash.xxh3_64_intdigest
 
         def work(texts: list) -> dict:
-            sizes, digests, starts, ends, n_bytes = [0], [], [], [], []
+            sizes, digests, starts, ends, n_words, n_bytes = [0], [], [], [], [], []
             for t in texts:
                 raw = t.encode("utf-8", "replace") if t else b""
                 if raw:
@@ -111,6 +118,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     view = memoryview(raw)
                     cuts = at.tolist()
                     digests.append(np.array([digest(view[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)], dtype=np.uint64))
+                    space = _SPACE[np.frombuffer(raw, dtype=np.uint8)]
+                    begun = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]), dtype=np.int32)])
+                    n_words.append(np.diff(begun[at]))
                     n_bytes.append(np.diff(at))
                     if not raw.isascii():
                         points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
@@ -120,24 +130,24 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 sizes.append(len(digests[-1]) if raw else 0)
             flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, dtype=kind)
             rows = pa.StructArray.from_arrays(
-                [pa.array(flat(digests, np.uint64).view(np.int64)), pa.array(flat(starts, np.int32)), pa.array(flat(ends, np.int32)), pa.array(flat(n_bytes, np.int32))],
-                names=["digest", "start", "end", "n_bytes"],
+                [pa.array(flat(digests, np.uint64).view(np.int64)), *[pa.array(flat(x, np.int32)) for x in (starts, ends, n_words, n_bytes)]],
+                names=["digest", "start", "end", "n_words", "n_bytes"],
             )
             return {"chunks": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rows)}
 
         return work
 
     rows = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
-    return map_texts(rows, make, "chunks array<struct<digest:bigint,start:int,end:int,n_bytes:int>>", "id", "text", ["text_hash"]).select("id", "text_hash", F.inline("chunks"))
+    return map_texts(rows, make, "chunks array<struct<digest:bigint,start:int,end:int,n_words:int,n_bytes:int>>", "id", "text", ["text_hash"]).select("id", "text_hash", F.inline("chunks"))
 
 
-def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each passage of a document that other documents hold too.
 
-    Columns: the id, text_hash, start and end (code points, end exclusive), n_chunks, run_bytes, first_id (the smallest
-    id that holds the passage's first chunk; null last) and is_first (whether this document's id is that for all its
-    chunks). A run is as many adjoining chunks that occur in more than one document as there are; it counts from
-    min_bytes on, and gives one passage, or several where chunks that stand here first adjoin others. Repeats within one
+    Columns: the id, text_hash, start and end (code points, end exclusive), n_chunks, run_words, run_bytes, first_id (the
+    smallest id that holds the passage's first chunk; null last) and is_first (whether this document's id is that for
+    all its chunks). A run is as many adjoining chunks that occur in more than one document as there are; it counts
+    from min_words or min_bytes on, and gives one passage, or several where chunks that stand here first adjoin others. Repeats within one
     document alone don't count. Rows are documents of their own where their texts differ, also under one id or without
     one; rows that repeat both are one document.
 
@@ -148,7 +158,7 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str =
     own = chunks(docs, id_col, text_col)
     ends = [f("id").alias(f"{n}_id") for n, f in (("first", F.min), ("last", F.max))] + [f("text_hash").alias(f"{n}_hash") for n, f in (("first", F.min), ("last", F.max))]
     shared = cut(own.groupBy("digest").agg(*ends).filter("first_id != last_id or first_hash != last_hash").select("digest", "first_id"))
-    hits = own.hint("merge").join(shared, "digest").select("id", "text_hash", "start", "end", "n_bytes", "first_id")
+    hits = own.hint("merge").join(shared, "digest").select("id", "text_hash", "start", "end", "n_words", "n_bytes", "first_id")
     key = ["id", "text_hash"]
     hits = hits.repartition(*key).dropDuplicates([*key, "start"])  # rows that repeat id and text
     w = Window.partitionBy(*key).orderBy("start")
@@ -157,13 +167,14 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str =
     own_first = F.col("first_id") == F.col("id")
     in_run = Window.partitionBy(*key, "run").orderBy("start")
     turn = F.coalesce((own_first != F.lag(own_first).over(in_run)).cast("int"), F.lit(0))
-    long = runs.select("*", F.sum("n_bytes").over(Window.partitionBy(*key, "run")).alias("bytes"), turn.alias("turn")).filter(F.col("bytes") >= min_bytes)
+    of_run = [F.sum(f"n_{x}").over(Window.partitionBy(*key, "run")).alias(f"run_{x}") for x in ("words", "bytes")]
+    long = runs.select("*", *of_run, turn.alias("turn")).filter((F.col("run_words") >= min_words) | (F.col("run_bytes") >= min_bytes))
     parts = long.select("*", F.sum("turn").over(in_run).alias("part"))
     found = parts.groupBy(*key, "run", "part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).cast("long").alias("n_chunks"), F.first("bytes").alias("run_bytes"), F.min_by("first_id", "start").alias("first_id")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).cast("long").alias("n_chunks"), *[F.first(x).alias(x) for x in ("run_words", "run_bytes")], F.min_by("first_id", "start").alias("first_id")
     )
     given = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(docs.schema[id_col].dataType)
-    return found.select(given("id").alias(id_col), "text_hash", "start", "end", "n_chunks", "run_bytes", given("first_id").alias("first_id"), (F.col("id") == F.col("first_id")).alias("is_first"))
+    return found.select(given("id").alias(id_col), "text_hash", "start", "end", "n_chunks", "run_words", "run_bytes", given("first_id").alias("first_id"), (F.col("id") == F.col("first_id")).alias("is_first"))
 
 
 def remove_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -167,13 +167,13 @@ def all_spans(texts):
     return {i: ",".join(personal(t)[1] + [f"term:{x.start()}:{x.end()}" for x in regex.finditer(r"\p{L}+", t or "") if x[0].lower() in terms[i]]) for i, t in texts.items()}
 
 
-def passages(texts, borders, min_bytes=180):
-    """Sorted (id, start, end, n_chunks, run_bytes, first_id, is_first) of runs of chunks that several texts (not null) hold, for ids from 0."""
+def passages(texts, borders, min_words=34, min_bytes=360):
+    """Sorted (id, start, end, n_chunks, run_words, run_bytes, first_id, is_first) of runs of chunks that several texts (not null) hold, for ids from 0."""
     rows = {}
     for i, t in enumerate(texts):
         raw = t.encode()
         at = list(borders(raw))
-        rows[i] = [(raw[a:b], len(raw[:a].decode()), len(raw[:b].decode()), b - a) for a, b in zip(at, at[1:])]
+        rows[i] = [(raw[a:b], len(raw[:a].decode()), len(raw[:b].decode()), b - a, sum(a <= x.start() < b for x in re.finditer(rb"[^\x20\x09-\x0D]+", raw))) for a, b in zip(at, at[1:])]
     holders = collections.defaultdict(set)
     for i, own in rows.items():
         for c in own:
@@ -186,12 +186,12 @@ def passages(texts, borders, min_bytes=180):
                 runs = [*runs, [c]] if last != c[1] else [*runs[:-1], [*runs[-1], c]]
                 last = c[2]
         for run in runs:
-            size = sum(c[3] for c in run)
+            size, words = sum(c[3] for c in run), sum(c[4] for c in run)
             first = [min(holders[c[0]]) for c in run]
-            if size >= min_bytes:
+            if words >= min_words or size >= min_bytes:
                 cut = [k for k in range(1, len(run)) if (first[k] == i) != (first[k - 1] == i)]
                 for a, b in zip([0, *cut], [*cut, len(run)], strict=True):
-                    out.append((i, run[a][1], run[b - 1][2], b - a, size, first[a], first[a] == i))
+                    out.append((i, run[a][1], run[b - 1][2], b - a, words, size, first[a], first[a] == i))
     return sorted(out)
 
 

@@ -279,7 +279,7 @@ def test_passages(spark):
     texts[11] = inner + " " + prose(10) + " " + inner  # repeats within one document alone
     docs = documents(spark, [*texts, None, ""])
     found = substrings.repeated_passages(docs).collect()
-    assert sorted((r["doc_id"], r["start"], r["end"], r["n_chunks"], r["run_bytes"], r["first_id"], r["is_first"]) for r in found) == brute.passages(texts, substrings.borders)
+    assert sorted((r["doc_id"], r["start"], r["end"], r["n_chunks"], r["run_words"], r["run_bytes"], r["first_id"], r["is_first"]) for r in found) == brute.passages(texts, substrings.borders)
     assert {r["doc_id"] for r in found} == {3, 7, 9}
     for r in found:
         assert texts[r["doc_id"]][r["start"] : r["end"]] in shared and r["is_first"] == (r["doc_id"] == 3)
@@ -312,7 +312,7 @@ def test_repetitions_are_cut_alike(spark, again):
     cuts = [substrings.borders(r) for r in raws]
     assert all(c[0] == 0 and c[-1] == len(r) and np.diff(c).max() <= 128 for c, r in zip(cuts, raws, strict=True))
     found = substrings.repeated_passages(documents(spark, texts)).collect()
-    assert sorted((r["doc_id"], r["start"], r["end"], r["n_chunks"], r["run_bytes"], r["first_id"], r["is_first"]) for r in found) == brute.passages(texts, substrings.borders)
+    assert sorted((r["doc_id"], r["start"], r["end"], r["n_chunks"], r["run_words"], r["run_bytes"], r["first_id"], r["is_first"]) for r in found) == brute.passages(texts, substrings.borders)
     for i, n in enumerate((600, 1170, 651)):
         mine = sum(r["end"] - r["start"] for r in found if r["doc_id"] == i)
         assert n * len(again) - 120 <= mine <= n * len(again)
@@ -566,7 +566,7 @@ def test_very_long_text(spark, reference):
     assert clean[0].count("[email]") == 40000 and "@" not in clean[0] and clean[1] == ""
     assert quality_rules.verdicts(docs).filter("doc_id = 0").first()["n_words"] == 40000 * 13
     ids = reference.encode_ordinary(long)
-    assert bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN)).filter("doc_id = 0").first()["n_tokens"] == len(ids)
+    assert bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, with_decoded=True)).filter("doc_id = 0").first()["n_tokens"] == len(ids)
     assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {0, 1}
     item = spark.createDataFrame([(1, " ".join(brute.WORD.findall(long)[100:112]))], "item_id long, text string")
     assert decontaminate.contamination(docs, item).filter("doc_id = 0").first()["n_hit"] == 12
