@@ -123,10 +123,10 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 
 
 def same_key(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """left_anti or left_semi join of docs with keys, which row_key made; they are sent to all executors only if they are small."""
+    """left_anti or left_semi join of docs with keys, which row_key made; they are sent to all executors only if they are small. docs may have any columns."""
     keys = keys.select(F.col("_id").alias("_key_id"), F.col("_hash").alias("_key_hash"))
-    own_id, own_hash = row_key(id_col, text_col)
-    met = own_id.eqNullSafe(F.col("_key_id")) & (own_hash == F.col("_key_hash"))
+    own_hash = F.coalesce(F.md5(docs[text_col].cast("binary")), F.lit(""))
+    met = docs[id_col].eqNullSafe(keys["_key_id"]) & (own_hash == keys["_key_hash"])
     return docs.join(F.broadcast(keys) if fits(keys, 80) else keys, met, how)
 
 

@@ -261,5 +261,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     twice = cut(found.filter(first).groupBy("_id", "_hash").count().filter("count > 1").select("_id", "_hash"))
     if twice.isEmpty():
         return left
-    again = same_key(left, twice, id_col, text_col, "left_semi").select("*", *row_key(id_col, text_col)).dropDuplicates(["_id", "_hash"])
-    return same_key(left, twice, id_col, text_col, "left_anti").unionByName(again.drop("_id", "_hash"))
+    again = same_key(left, twice, id_col, text_col, "left_semi").select(F.struct("*").alias("row"), *row_key(id_col, text_col)).dropDuplicates(["_id", "_hash"])
+    return same_key(left, twice, id_col, text_col, "left_anti").unionByName(again.select("row.*"))

@@ -182,11 +182,13 @@ def remove_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
     spans = passages.filter(~F.col("is_first")).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash"), F.struct("start", "end").alias("span"))
     spans = spans.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list("span")).alias("_spans"))
     own_id, own_hash = _key(id_col, text_col)
+    row = docs.select(F.struct("*").alias("row"), own_id.alias("own_id"), own_hash.alias("own_hash"))
+    text = F.col("row").getField(text_col)
 
     def pieces(blocks):
         before = F.transform("_spans", lambda x, i: piece(blocks, F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)), x["start"]))
-        return F.concat(F.array_join(before, ""), piece(blocks, F.element_at("_spans", -1)["end"], F.char_length(text_col)))
+        return F.concat(F.array_join(before, ""), piece(blocks, F.element_at("_spans", -1)["end"], F.char_length(text)))
 
-    joined = docs.join(spans, (own_id == F.col("_id")) & (own_hash == F.col("_hash")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(let(text_blocks(F.col(text_col)), pieces))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    joined = row.join(spans, (F.col("own_id") == F.col("_id")) & (F.col("own_hash") == F.col("_hash")), "left")
+    left = F.when(F.col("_spans").isNull(), text).otherwise(let(text_blocks(text), pieces))
+    return joined.select(*[left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

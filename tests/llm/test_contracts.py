@@ -203,6 +203,21 @@ def test_keep_one_by_row(spark):
     assert len({r["fingerprint"] for r in got}) == 3
 
 
+def test_clashing_columns(spark):
+    """Columns named as those that the operators add, with rows that repeat."""
+    passage = " ".join(f"word{k} of{k * k}" for k in range(120))
+    columns = ("_id", "_hash", "_key_id", "_key_hash", "_spans", "row", "own_id", "id", "text_hash", "count", "at", "_at")
+    rows = [(d, t, *[f"{d}{c}" for c in columns]) for d, t in ((1, passage), (1, passage), (2, passage + " and more of it"), (3, "quite another text"), (3, "quite another text"), (4, None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in columns))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["_id"]) for r in kept.collect()) == [(i, f"{i}_id") for i in (1, 2, 3, 4)]
+    cleaned = substrings.remove_repeats(docs, substrings.repeated_passages(docs))
+    assert cleaned.columns == docs.columns and cleaned.count() == 6 and {r["_hash"] for r in cleaned.collect()} == {f"{d}_hash" for d in (1, 2, 3, 4)}
+    assert min(len(r["text"]) for r in cleaned.filter("doc_id = 2").collect()) < len(passage) / 2
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "quite another text")], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r["_key_id"] for r in left.collect()) == ["1_key_id", "1_key_id", "2_key_id", "4_key_id"]
+
+
 def test_drop_contaminated_by_text(spark):
     item = "two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"x {item}"), (1, "clean"), (None, f"y {item} z"), (None, "fine"), (2, None)], "doc_id long, text string")
