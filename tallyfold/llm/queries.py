@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, chat, decontaminate, language_id, pii, quality_model, quality_rules, simhash, substrings, toxicity
+from tallyfold.llm import bpe, centroids, chat, decontaminate, fill_middle, language_id, line_dedup, pii, quality_model, quality_rules, simhash, substrings, toxicity
 from tallyfold.llm.base import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda x, name: F.sha2(x.cast("binary"), 256).alias(name)
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output"), "output_sha256"), digest(fill_middle.restored(F.col("output"), F.col("form")), "restored_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
@@ -84,6 +99,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_centroids": op13_centroids,
 }
 
 #: The space that separates words for the rules, and the words that decontamination takes.
@@ -133,5 +151,52 @@ SELECT conv_id, call_id, name, turn, CAST(level AS INTEGER) AS level, n_calls, n
     CASE WHEN invalid THEN '"problem":"$.query: length out of bounds"' END, CASE WHEN content IS NOT NULL THEN '"result":' || CAST(to_json(content) AS VARCHAR) END) || '}' AS record
 FROM r"""
 
+_OP11 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM c),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END AS o FROM p)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form != 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars, sha256(o) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN o
+    WHEN 'psm' THEN split_part(split_part(o, '<P>', 2), '<S>', 1) || split_part(o, '<M>', 2) || split_part(split_part(o, '<S>', 2), '<M>', 1)
+    ELSE split_part(split_part(o, '<P>', 2), '<M>', 1) || split_part(o, '<M>', 2) || split_part(split_part(o, '<S>', 2), '<P>', 1) END) AS restored_sha256
+FROM o"""
+
+_OP12 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT rid, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+k AS (SELECT *, {_LOWER.format(rf"regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g')")} AS key FROM x),
+often AS (SELECT key FROM k WHERE key != '' GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(often.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN often USING (key) GROUP BY rid"""
+
+
+def _lloyd(k: int, dims: int, rounds: int, scale: int) -> str:
+    ctes = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS k, q FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM v ORDER BY h, q LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        # The squared distance times 64 and the centroid's number, so that the smaller number wins a tie.
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT rid, min(CAST(list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q) AS BIGINT) * 64 + c.k) AS m FROM v CROSS JOIN c{r} c GROUP BY rid)")
+        if r < rounds:
+            ctes.append(f"s{r} AS MATERIALIZED (SELECT k, list(floor(s / n) ORDER BY j) AS q FROM (SELECT a{r}.m % 64 AS k, j, sum(q[j]) AS s, count(*) AS n FROM a{r} JOIN v USING (rid) CROSS JOIN range(1, {dims + 1}) t(j) GROUP BY 1, 2) GROUP BY k)")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(s.q, c.q) AS q FROM c{r} c LEFT JOIN s{r} s USING (k))")
+    return f"""WITH {', '.join(ctes)},
+n AS (SELECT k, sha256(array_to_string(list_transform(q, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS h FROM c{rounds})
+SELECT vec_id, CAST(m % 64 AS INTEGER) AS cluster, m // 64 AS distance, CAST(sum(m // 64) OVER (PARTITION BY m % 64) AS BIGINT) AS cluster_inertia, CAST(sum(m // 64) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN n ON n.k = m % 64"""
+
+
 #: The others are beyond SQL (see README); tests/llm holds them against plain versions.
-ORACLES: dict[str, str] = {"op2_decontaminate": _OP2, "op4_chat": _OP4, "op9_quality_rules": _OP9}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": _OP2,
+    "op4_chat": _OP4,
+    "op9_quality_rules": _OP9,
+    "op11_fill_middle": _OP11,
+    "op12_line_dedup": _OP12,
+    "op13_centroids": _lloyd(centroids.K, centroids.DIMS, centroids.ROUNDS, centroids.SCALE),
+}
