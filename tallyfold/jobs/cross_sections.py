@@ -16,25 +16,22 @@ from tallyfold.operators import xsec as x
 from tallyfold.operators.panel import align_force
 
 
-def _add(name: str, **columns: tuple[Callable[[], Column], str]) -> None:
-    """A query of the stock panel with columns given in Spark and in SQL, over window wd (a date's assets)."""
-    sql = ", ".join(f"{s} AS {k}" for k, (_, s) in columns.items())
-    text = f"WITH {STOCK} SELECT asset, date, {sql} FROM stock WINDOW wd AS (PARTITION BY date), up AS (PARTITION BY date ORDER BY close ASC NULLS LAST, asset)"
-    query(name, text)(lambda spark, sf_dir: stock(spark, sf_dir).select("asset", "date", *[col().alias(k) for k, (col, _) in columns.items()]))
+_PCT = "CASE WHEN close IS NOT NULL THEN (row_number() OVER up - 1) / CAST(nullif(count(close) OVER wd - 1, 0) AS DOUBLE) END"
 
+_OLDER = "CASE WHEN close IS NOT NULL THEN (row_number() OVER up - 1) / CAST(count(close) OVER wd AS DOUBLE) END"
+_TOP = "coalesce(roe > 0.04, false) AND row_number() OVER (PARTITION BY date, coalesce(roe > 0.04, false) ORDER BY close ASC NULLS LAST, asset) <= 5"
 
-_PCT = "CASE WHEN close IS NOT NULL THEN (row_number() OVER up - 1) / CAST(nullif(count(close) OVER wd - 1, 0) AS DOUBLE) END"
 
-_add("X1_pct", pct=(lambda: r(x.pct(F.col("close"))), rs(_PCT)))
-_add("X2_pct_older", pct=(lambda: r(x.pct(F.col("close"), older=True)), rs("CASE WHEN close IS NOT NULL THEN (row_number() OVER up - 1) / CAST(count(close) OVER wd AS DOUBLE) END")))
-_add("X3_rank", place=(lambda: x.rank_in_row(F.col("close")), "row_number() OVER up - 1"))
-_add(
-    "X4_top_n",
-    top=(
-        lambda: x.top_n(F.col("close"), F.col("roe") > 0.04, 5),
-        "coalesce(roe > 0.04, false) AND row_number() OVER (PARTITION BY date, coalesce(roe > 0.04, false) ORDER BY close ASC NULLS LAST, asset) <= 5",
-    ),
-)
+def _add(name: str, column: str, made: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query of the stock panel with a column that needs the order of a date's assets."""
+    text = f"WITH {STOCK} SELECT asset, date, {sql} AS {column} FROM stock WINDOW wd AS (PARTITION BY date), up AS (PARTITION BY date ORDER BY close ASC NULLS LAST, asset)"
+    query(name, text)(lambda spark, sf_dir: made(stock(spark, sf_dir)).select("asset", "date", column))
+
+
+_add("X1_pct", "pct", lambda d: x.with_pct(d, F.col("close"), "_p").withColumn("pct", r("_p")), rs(_PCT))
+_add("X2_pct_older", "pct", lambda d: x.with_pct(d, F.col("close"), "_p", older=True).withColumn("pct", r("_p")), rs(_OLDER))
+_add("X3_rank", "place", lambda d: x.with_rank(d, F.col("close")), "row_number() OVER up - 1")
+_add("X4_top_n", "top", lambda d: x.with_top_n(d, F.col("close"), F.col("roe") > 0.04, 5), _TOP)
 
 
 def _add_frame(name: str, column: str, made: Callable[[DataFrame], DataFrame], sql: str, digits: int = 6) -> None:
@@ -131,7 +128,7 @@ def _(spark, sf_dir):
     "SELECT asset, date, coalesce(CASE WHEN v IS NOT NULL THEN (row_number() OVER (PARTITION BY date ORDER BY v ASC NULLS LAST, asset) - 1) / CAST(nullif(count(v) OVER (PARTITION BY date) - 1, 0) AS DOUBLE) END BETWEEN 0.8 AND 1.0, false) AS chosen FROM m",
 )
 def _(spark, sf_dir):
-    return stock(spark, sf_dir).select("asset", "date", x.between_pct(F.col("close"), F.col("roe") > 0.035, 0.8, 1.0).alias("chosen"))
+    return x.between_pct(stock(spark, sf_dir), F.col("close"), F.col("roe") > 0.035, 0.8, 1.0).select("asset", "date", "chosen")
 
 
 def _with_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +144,7 @@ _GROUPED = f"{STOCK}, g AS (SELECT stock.*, CAST(s_nationkey AS BIGINT) AS grp F
     f"WITH {_GROUPED} SELECT asset, date, coalesce(CASE WHEN close IS NOT NULL AND grp IS NOT NULL THEN (row_number() OVER (PARTITION BY date, grp ORDER BY close ASC NULLS LAST, asset) - 1) / CAST(nullif(count(close) OVER (PARTITION BY date, grp) - 1, 0) AS DOUBLE) END BETWEEN 0.5 AND 1.0, false) AS chosen FROM g",
 )
 def _(spark, sf_dir):
-    d = _with_group(spark, sf_dir)
-    return d.select("asset", "date", x.select_in_regions(d, "close", "grp", 0.5, 1.0).alias("chosen"))
+    return x.select_in_regions(_with_group(spark, sf_dir), "close", "grp", 0.5, 1.0).select("asset", "date", "chosen")
 
 
 _REGIONS = {"roe > 0.035": lambda: F.col("roe") > 0.035, "pb_ratio > 0.045": lambda: F.col("pb_ratio") > 0.045, "asset % 3 = 0": lambda: F.col("asset") % 3 == 0}
@@ -173,7 +169,7 @@ _POSITIONS = (
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.positions(stock(spark, sf_dir), "close", F.col("roe") < 0.02, 0.8, 1.0, 3, True, wa())
+    return x.positions(stock(spark, sf_dir), "close", F.col("roe") < 0.02, 0.8, 1.0, 3, True)
 
 
 @query("X11_positions", f"{_POSITIONS} SELECT asset, date, CAST(pos AS DOUBLE) AS pos FROM pos")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.operators.windows import by_asset, ffill
+from tallyfold.operators.ordered import BLOCK
+from tallyfold.operators.windows import ffill
+from tallyfold.sources.storage import cut
 
 #: A calendar is handed to all executors; more dates than this are refused.
 MAX_DATES = 1_000_000
@@ -22,8 +24,10 @@ def calendar(dates: DataFrame, date: str = "date") -> DataFrame:
 def densify(cells: DataFrame, dates: DataFrame | None = None, asset: str = "asset", date: str = "date") -> DataFrame:
     """Every asset on every date of the calendar (by default the cells' own), with i, the date's number; absent cells are NULL.
 
-    Cells on other dates are dropped. The calendar is one row; each asset is expanded where it lies.
+    Cells on other dates are dropped. The calendar is one row; each asset is expanded where it lies. The cells are worked
+    out once and cut, as calendar, assets and values are read from them.
     """
+    cells = cut(cells)
     days = calendar(cells if dates is None else dates, date)
     grid = cells.select(asset).distinct().crossJoin(F.broadcast(days)).select(asset, F.posexplode("_dates").alias("i", date))
     return grid.withColumn("i", F.col("i").cast("long")).join(cells, [asset, date], "left")
@@ -35,11 +39,10 @@ def align_keep(cells: DataFrame, dates: DataFrame, date: str = "date") -> DataFr
     return cells.withColumn("_in", F.lit(True)).join(days, date, "full_outer").withColumn("added", F.col("_in").isNull()).drop("_in")
 
 
-def align_force(cells: DataFrame, dates: DataFrame, columns: list[str], asset: str = "asset", date: str = "date") -> DataFrame:
+def align_force(cells: DataFrame, dates: DataFrame, columns: list[str], asset: str = "asset", date: str = "date", block: int = BLOCK) -> DataFrame:
     """Exactly the calendar's dates for each asset, then filled forward: a dropped date's value is not carried."""
-    d = densify(cells, dates, asset, date)
-    w = by_asset(asset, order=date)
-    return d.select(asset, date, "i", *[ffill(F.col(c), w).alias(c) for c in columns])
+    d = densify(cells, dates, asset, date).select(asset, date, "i", *[F.col(c).alias(f"_{c}") for c in columns])
+    return ffill(d, {c: F.col(f"_{c}") for c in columns}, (asset,), block=block).drop(*[f"_{c}" for c in columns])
 
 
 def regular_dates(start: Column, end: Column, days: int) -> Column:

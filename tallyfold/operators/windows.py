@@ -1,7 +1,9 @@
 """Shifts, fills, states and rolling statistics of one asset's rows in date order.
 
-Windows count rows, so that panels have to be dense (see panel.densify). All functions of one query take the same
-window specification ``w``: Spark then shuffles and sorts once for all of them. ``i`` is the row's 0-based number.
+Windows count rows, so that panels have to be dense (see panel.densify). ``i`` is the row's 0-based number. Functions of
+columns look at a bounded number of rows; all of one query take the same window ``w``, so that Spark shuffles and sorts
+once for them, best that of ordered.rolling, which cuts long series into blocks. Functions of frames carry what they
+know from the first row on, from block to block.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyfold.functions.cells import is_true, ratio_change
+from tallyfold.operators.ordered import BLOCK, State, by_number, largest, last, last_value, least, rolling, running, total
 
 
 def by_asset(*keys: str, order: str = "date") -> WindowSpec:
@@ -49,19 +52,19 @@ def nav2ret(x: Column, i: Column, w: WindowSpec, first: float = 0.0) -> Column:
     return F.when(i == 0, F.lit(first)).otherwise(ratio_change(x, F.lag(x).over(w)))
 
 
-def ffill(x: Column, w: WindowSpec) -> Column:
-    return F.last(x, ignorenulls=True).over(so_far(w))
+def ffill(df: DataFrame, columns: dict[str, Column], by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
+    """Adds columns by name: the last value that is not missing."""
+    return _run(df, {n: last_value(x) for n, x in columns.items()}, by, i, block)
 
 
-def _carry(x: Column, take: Column, w: WindowSpec) -> Column:
-    """The value, NULL too, of the last row with take."""
-    return F.last(F.when(is_true(take), F.struct(x.alias("v"))), ignorenulls=True).over(so_far(w))
+def _run(df: DataFrame, states: dict[str, State], by: tuple[str, ...], i: str, block: int, before: bool = False) -> DataFrame:
+    return running(by_number(df, by, i, block), states, before).drop("_part")
 
 
-def pause(x: Column, paused: Column, w: WindowSpec) -> Column:
-    """Paused rows keep the row before's output; 0 before the first row that is not paused."""
-    held = _carry(x, ~is_true(paused), w)
-    return F.when(held.isNull(), F.lit(0.0)).otherwise(held["v"])
+def pause(df: DataFrame, x: Column, paused: Column, name: str = "held", by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
+    """Adds x, paused rows keeping the row before's output; 0 before the first row that is not paused."""
+    d = _run(df, {name: last(x, ~is_true(paused))}, by, i, block)
+    return d.withColumn(name, F.when(F.col(name).isNull(), F.lit(0.0)).otherwise(F.col(name)["v"]))
 
 
 def trade_rows(i: Column, every: int, start: int = 1) -> Column:
@@ -70,25 +73,32 @@ def trade_rows(i: Column, every: int, start: int = 1) -> Column:
     return (i >= first) & (F.pmod(i - first, F.lit(every)) == 0)
 
 
-def reduce_freq(x: Column, i: Column, w: WindowSpec, every: int, start: int = 1, trade: Column | None = None) -> Column:
-    """Hold the value of the last trade row; row 0 always counts."""
+def held(df: DataFrame, x: Column, takes: dict[str, Column], by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
+    """Adds columns by name: x, missing too, of the last row that the name's condition takes; row 0 always counts."""
+    d = _run(df, {n: last(x, is_true(t) | (F.col(i) == 0)) for n, t in takes.items()}, by, i, block)
+    return d.withColumns({n: F.col(n)["v"] for n in takes})
+
+
+def reduce_freq(df: DataFrame, x: Column, every: int, start: int = 1, trade: Column | None = None, name: str = "held", by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
+    """Adds x held from the last trade row on."""
     if every == 1 and trade is None:
-        return x
-    take = trade_rows(i, every, start) if trade is None else is_true(trade)
-    return _carry(x, take | (i == 0), w)["v"]
+        return df.withColumn(name, x)
+    return held(df, x, {name: trade_rows(F.col(i), every, start) if trade is None else trade}, by, i, block)
 
 
-def reduce_freq_older(x: Column, i: Column, w: WindowSpec, every: int, start: int = 1) -> Column:
+def reduce_freq_older(df: DataFrame, x: Column, every: int, start: int = 1, name: str = "held", by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
     """The older rule: a period of every + 1 rows."""
-    take = (i == 0) | (F.pmod(i + start - 1, F.lit(every + 1)) == 0)
-    return _carry(x, take, w)["v"]
+    return held(df, x, {name: F.pmod(F.col(i) + start - 1, F.lit(every + 1)) == 0}, by, i, block)
 
 
-def reduce_freq_staggered(x: Column, i: Column, w: WindowSpec, every: int, parts: int) -> Column:
-    """Mean of several copies of reduce_freq whose first trade rows are spread over the period."""
+def reduce_freq_staggered(df: DataFrame, x: Column, every: int, parts: int, name: str = "held", by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
+    """Adds the mean of several copies of reduce_freq whose first trade rows are spread over the period."""
     parts = min(parts, every)
-    copies = [reduce_freq(x, i, w, every, int(1 + round(k * (every - 1) / parts))) for k in range(parts)]
-    return sum(copies[1:], copies[0]) / parts
+    if every == 1:
+        return df.withColumn(name, x)
+    takes = {f"_copy{k}": trade_rows(F.col(i), every, int(1 + round(k * (every - 1) / parts))) for k in range(parts)}
+    d = held(df, x, takes, by, i, block)
+    return d.withColumn(name, sum((F.col(c) for c in list(takes)[1:]), F.col("_copy0")) / parts).drop(*takes)
 
 
 def shift_return(ret: Column, time: Column, annual: float, w: WindowSpec) -> Column:
@@ -108,32 +118,31 @@ def mark_neighbors(flag: Column, k: int, w: WindowSpec) -> Column:
 # states
 
 
-def bars_since(b: Column, i: Column, w: WindowSpec) -> Column:
-    """Rows since the last true before this row; i where there is none."""
-    last = F.last(F.when(is_true(b), i), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return F.coalesce(i - 1 - last, i).cast("long")
+def bars_since(df: DataFrame, b: Column, name: str = "bars", by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
+    """Adds the rows since the last true before this row; i where there is none."""
+    d = _run(df, {"_last": largest(F.when(is_true(b), F.col(i)))}, by, i, block, before=True)
+    return d.withColumn(name, F.coalesce(F.col(i) - 1 - F.col("_last"), F.col(i)).cast("long")).drop("_last")
 
 
-def bars_held(x: Column, i: Column, w: WindowSpec) -> Column:
-    """1, 2, 3, ... from the first valid row on; 0 before."""
-    return F.coalesce(i - F.min(F.when(x.isNotNull(), i)).over(so_far(w)) + 1, F.lit(0)).cast("long")
+def bars_held(df: DataFrame, x: Column, name: str = "bars", by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
+    """Adds 1, 2, 3, ... from the first valid row on; 0 before."""
+    d = _run(df, {"_first": least(F.when(x.isNotNull(), F.col(i)))}, by, i, block)
+    return d.withColumn(name, F.coalesce(F.col(i) - F.col("_first") + 1, F.lit(0)).cast("long")).drop("_first")
 
 
-def with_count_since(df: DataFrame, x: Column, y: Column, i: Column, w: WindowSpec, name: str = "count_since") -> DataFrame:
+def with_count_since(df: DataFrame, x: Column, y: Column, name: str = "count_since", by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
     """Adds occurrences of x in as many rows as bars_since(y) says; where that is 0, in the whole history."""
-    d = df.withColumn("_s", F.sum(is_true(x).cast("long")).over(so_far(w))).withColumn("_n", bars_since(y, i, w))
-    held = F.last(F.when(F.col("_n") == 0, F.col("_s")), ignorenulls=True).over(so_far(w))
-    value = F.when(F.col("_n") == 0, F.col("_s")).otherwise(F.col("_s") - held)
-    return d.withColumn(name, value).drop("_s", "_n")
+    d = _run(df, {"_s": total(is_true(x).cast("long"))}, by, i, block)
+    d = bars_since(d, y, "_n", by, i, block)
+    d = _run(d, {"_held": last_value(F.when(F.col("_n") == 0, F.col("_s")))}, by, i, block)
+    return d.withColumn(name, F.when(F.col("_n") == 0, F.col("_s")).otherwise(F.col("_s") - F.col("_held"))).drop("_s", "_n", "_held")
 
 
-def with_age(df: DataFrame, member: Column, keys: tuple[str, ...] = ("asset",), order: str = "date", name: str = "age") -> DataFrame:
+def with_age(df: DataFrame, member: Column, name: str = "age", by: tuple[str, ...] = ("asset",), i: str = "i", block: int = BLOCK) -> DataFrame:
     """Adds k after k rows inside, -k after k rows outside, 0 on a row of entry or exit and on the first row."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = df.withColumn("_m", is_true(member))
-    d = d.withColumn("_run", F.sum(F.coalesce((F.col("_m") != F.lag("_m").over(w)).cast("int"), F.lit(0))).over(so_far(w)))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order)) - 1
-    return d.withColumn(name, (rank * F.when(F.col("_m"), 1).otherwise(-1)).cast("long")).drop("_m", "_run")
+    d = rolling(df.withColumn("_m", is_true(member)), lambda w: {"_turn": F.coalesce(F.col("_m") != F.lag("_m").over(w), F.lit(True))}, 1, by=by, i=i, rows=block)
+    d = _run(d, {"_from": largest(F.when(F.col("_turn"), F.col(i)))}, by, i, block)
+    return d.withColumn(name, ((F.col(i) - F.col("_from")) * F.when(F.col("_m"), 1).otherwise(-1)).cast("long")).drop("_m", "_turn", "_from")
 
 
 def ref_dynamic(df: DataFrame, x: str, n: str, keys: tuple[str, ...] = ("asset",), i: str = "i", fill=None, name: str = "ref") -> DataFrame:
@@ -143,12 +152,11 @@ def ref_dynamic(df: DataFrame, x: str, n: str, keys: tuple[str, ...] = ("asset",
     return d.withColumn(name, F.when(F.col("_v").isNull(), F.lit(fill)).otherwise(F.col("_v.v"))).drop("_i", "_v")
 
 
-def with_dynamic_sum(df: DataFrame, x: Column, width: str, keys: tuple[str, ...] = ("asset",), order: str = "date", i: str = "i", name: str = "sum") -> DataFrame:
+def with_dynamic_sum(df: DataFrame, x: Column, width: str, by: tuple[str, ...] = ("asset",), i: str = "i", name: str = "sum", block: int = BLOCK) -> DataFrame:
     """Adds the sum over the last width rows, width being a column: 0 means from the start; NULL if there are too few rows, or width is negative."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = df.withColumn("_s", F.sum(F.coalesce(x, F.lit(0.0))).over(so_far(w)))
-    before = d.select(*keys, F.col(i).alias("_i"), F.col("_s").alias("_b"))
-    d = d.withColumn("_i", F.when(F.col(width) > 0, F.col(i) - F.col(width))).join(before, [*keys, "_i"], "left")
+    d = _run(df, {"_s": total(F.coalesce(x, F.lit(0.0)))}, by, i, block)
+    before = d.select(*by, F.col(i).alias("_i"), F.col("_s").alias("_b"))
+    d = d.withColumn("_i", F.when(F.col(width) > 0, F.col(i) - F.col(width))).join(before, [*by, "_i"], "left")
     value = F.when(F.col(width) == 0, F.col("_s")).when((F.col(width) > 0) & (F.col("_i") == -1), F.col("_s")).when(F.col("_i") >= 0, F.col("_s") - F.col("_b"))
     return d.withColumn(name, value).drop("_s", "_i", "_b")
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.cells import is_true
 from tallyfold.operators.panel import calendar
+from tallyfold.operators.ordered import BLOCK, ROWS, by_splitters, join_null_safe, number, running
+from tallyfold.operators.selection import VALUES, percentiles
 from tallyfold.operators.windows import reduce_freq
-from tallyfold.sources.storage import ship
+from tallyfold.sources.storage import cut, ship
 
 #: Dates whose triangles a task of residual_many holds before it sends them on.
 HELD_DATES = 50_000
@@ -20,26 +22,38 @@ HELD_DATES = 50_000
 NO_DATE = -(1 << 31)
 
 
-def _dates(*more: str):
-    return Window.partitionBy("date", *more)
+def placed(df: DataFrame, x: Column, by: tuple[str, ...] = ("date",), tie: str = "asset", rows: int = ROWS) -> DataFrame:
+    """Adds _place, the 0-based rank from the smallest value, missing last, ties by asset; and _valid, the group's number of valid values.
+
+    A date (or other group) with more than so many rows is cut at splitters: each task ranks a range of its values, and
+    the numbers of rows in the ranges before are added.
+    """
+    parts = by_splitters(df.withColumn("_x", x), by, [F.col("_x").isNull(), F.col("_x"), F.col(tie)], rows)
+    if not parts.split:
+        w = Window.partitionBy(*by)
+        place = F.row_number().over(w.orderBy(F.col("_x").asc_nulls_last(), tie)) - 1
+        return parts.df.select(*df.columns, place.cast("long").alias("_place"), F.count("_x").over(w).alias("_valid"))
+    valid = cut(parts.df.groupBy(*by).agg(F.count("_x").alias("_valid")))
+    ranked = running(parts, {"_place": number(F.lit(True))}, before=True)
+    return join_null_safe(ranked, valid, by).drop("_x", "_part")
 
 
-def rank_in_row(x: Column, *more: str, asset: str = "asset") -> Column:
-    """0-based rank from the smallest value, missing last."""
-    return (F.row_number().over(_dates(*more).orderBy(x.asc_nulls_last(), F.col(asset))) - 1).cast("long")
+def with_rank(df: DataFrame, x: Column, name: str = "place", rows: int = ROWS) -> DataFrame:
+    """Adds the 0-based rank from the date's smallest value, missing last."""
+    return placed(df, x, rows=rows).withColumnRenamed("_place", name).drop("_valid")
 
 
-def pct(x: Column, older: bool = False) -> Column:
-    """Rank over the number of valid values less 1; missing for a missing value, and where it alone is valid. The older form divides by the number."""
-    n = F.count(x).over(_dates())
-    return F.when(x.isNotNull(), rank_in_row(x) / (n if older else F.nullif(n - 1, F.lit(0))))
+def with_pct(df: DataFrame, x: Column, name: str = "pct", older: bool = False, by: tuple[str, ...] = ("date",), rows: int = ROWS) -> DataFrame:
+    """Adds the rank over the number of valid values less 1; missing for a missing value, and where it alone is valid. The older form divides by the number."""
+    d = placed(df.withColumn("_y", x), F.col("_y"), by, rows=rows)
+    n = F.col("_valid") if older else F.nullif(F.col("_valid") - 1, F.lit(0))
+    return d.withColumn(name, F.when(F.col("_y").isNotNull(), F.col("_place") / n)).drop("_y", "_place", "_valid")
 
 
-def top_n(score: Column, subset: Column, n: int) -> Column:
-    """Whether a cell is among the n smallest scores of the date's subset; missing scores come last."""
-    chosen = is_true(subset)
-    place = F.row_number().over(Window.partitionBy("date", chosen).orderBy(score.asc_nulls_last(), F.col("asset")))
-    return chosen & (place <= n)
+def with_top_n(df: DataFrame, score: Column, subset: Column, n: int, name: str = "top", rows: int = ROWS) -> DataFrame:
+    """Adds whether a cell is among the n smallest scores of the date's subset; missing scores come last."""
+    d = placed(df.withColumn("_chosen", is_true(subset)), score, ("date", "_chosen"), rows=rows)
+    return d.withColumn(name, F.col("_chosen") & (F.col("_place") < n)).drop("_chosen", "_place", "_valid")
 
 
 def largest(df: DataFrame, x: str, n: int, ties: tuple[str, ...] = ("asset", "date")) -> DataFrame:
@@ -69,58 +83,57 @@ def scale_all(df: DataFrame, x: str, name: str = "scaled") -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn(name, value).drop("_lo", "_hi")
 
 
-def cuts(df: DataFrame, size: str = "market_cap", measures: tuple[str, ...] = ("pb_ratio", "roe", "asset_growth"), digits: int = 12) -> DataFrame:
+def cuts(df: DataFrame, size: str = "market_cap", measures: tuple[str, ...] = ("pb_ratio", "roe", "asset_growth"), digits: int = 12, rows: int = VALUES) -> DataFrame:
     """Adds size_cut (1 from the median on, else -1) and <measure>_cut (1 from the 70th percentile on, -1 up to the 30th, which wins, else 0).
 
-    All percentiles of a date come from one aggregation; its result, a row for each date, is joined back by broadcast
-    when Spark finds it small.
+    A date's percentiles, one row for each date, are joined back by broadcast when Spark finds them small.
     """
-    stats = [F.round(F.percentile(size, F.lit(0.5)), digits).alias("_size")]
-    stats += [F.transform(F.percentile(m, F.array(F.lit(0.3), F.lit(0.7))), lambda p: F.round(p, digits)).alias(f"_{m}") for m in measures]
-    d = df.join(df.groupBy("date").agg(*stats), "date")
-    out = [F.when(F.col(size) >= F.col("_size"), 1).when(F.col(size) < F.col("_size"), -1).cast("long").alias("size_cut")]
+    found = percentiles(df, {size: [0.5], **{m: [0.3, 0.7] for m in measures}}, rows=rows)
+    stats = found.select(F.col("date").alias("_date"), *[F.transform(c, lambda p: F.round(p, digits)).alias(f"_{c}") for c in (size, *measures)])
+    d = df.join(stats, F.col("date") == F.col("_date"))
+    middle = F.get(f"_{size}", F.lit(0))
+    out = [F.when(F.col(size) >= middle, 1).when(F.col(size) < middle, -1).cast("long").alias("size_cut")]
     for m in measures:
         x, p = F.col(m), F.col(f"_{m}")
         out.append(F.when(x.isNull(), None).when(x <= p[0], -1).when(x >= p[1], 1).otherwise(0).cast("long").alias(f"{m}_cut"))
     return d.select(*df.columns, *out)
 
 
-def between_pct(x: Column, valid: Column, lo: float, hi: float) -> Column:
-    """Whether a cell's percentile among the valid cells is in [lo, hi]."""
-    return is_true(pct(F.when(is_true(valid), x)).between(lo, hi))
+def between_pct(df: DataFrame, x: Column, valid: Column, lo: float, hi: float, name: str = "chosen", rows: int = ROWS) -> DataFrame:
+    """Adds whether a cell's percentile among the date's valid cells is in [lo, hi]."""
+    d = with_pct(df, F.when(is_true(valid), x), "_pct", rows=rows)
+    return d.withColumn(name, is_true(F.col("_pct").between(lo, hi))).drop("_pct")
 
 
-def rank_select(df: DataFrame, x: Column, regions: list[Column], lo: float, hi: float, also: Column | None = None, name: str = "chosen") -> DataFrame:
+def rank_select(df: DataFrame, x: Column, regions: list[Column], lo: float, hi: float, also: Column | None = None, name: str = "chosen", rows: int = ROWS) -> DataFrame:
     """Adds in how many of the regions, which may overlap, a cell's percentile among the region's valid cells is in [lo, hi].
 
     A second region, if given, cuts down each of them. df has one row for each asset and date.
     """
     inside = [is_true(g) if also is None else is_true(g) & is_true(also) for g in regions]
     member = F.array_compact(F.array(*[F.when(g, k) for k, g in enumerate(inside)]))
-    rows = df.select("asset", "date", x.alias("_x"), F.explode(member).alias("_region")).filter("_x is not null")
-    place = (F.row_number().over(_dates("_region").orderBy("_x", "asset")) - 1) / F.nullif(F.count("_x").over(_dates("_region")) - 1, F.lit(0))
-    hits = rows.withColumn("_at", place).filter(F.col("_at").between(lo, hi)).groupBy("asset", "date").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    return df.join(hits, ["asset", "date"], "left").withColumn(name, F.coalesce("_n", F.lit(0.0))).drop("_n")
+    cells = df.select("asset", "date", x.alias("_y"), F.explode(member).alias("_region")).filter("_y is not null")
+    hits = with_pct(cells, F.col("_y"), "_at", by=("date", "_region"), rows=rows).filter(F.col("_at").between(lo, hi))
+    return df.join(hits.groupBy("asset", "date").agg(F.count(F.lit(1)).cast("double").alias("_n")), ["asset", "date"], "left").withColumn(name, F.coalesce("_n", F.lit(0.0))).drop("_n")
 
 
-def select_in_regions(df: DataFrame, x: str, region: str, lo: float, hi: float) -> Column:
+def select_in_regions(df: DataFrame, x: str, region: str, lo: float, hi: float, name: str = "chosen", rows: int = ROWS) -> DataFrame:
     """As between_pct, each region of the date by itself; rows without a region are never selected."""
-    w = Window.partitionBy("date", region)
-    place = (F.row_number().over(w.orderBy(F.col(x).asc_nulls_last(), F.col("asset"))) - 1) / F.nullif(F.count(x).over(w) - 1, F.lit(0))
-    return is_true(F.when(F.col(x).isNotNull() & F.col(region).isNotNull(), place).between(lo, hi))
+    d = with_pct(df, F.col(x), "_pct", by=("date", region), rows=rows)
+    return d.withColumn(name, is_true(F.col(region).isNotNull() & F.col("_pct").between(lo, hi))).drop("_pct")
 
 
-def positions(df: DataFrame, factor: str, excluded: Column, lo: float, hi: float, every: int, short: bool, w) -> DataFrame:
+def positions(df: DataFrame, factor: str, excluded: Column, lo: float, hi: float, every: int, short: bool, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Adds pos: 1 for percentiles in [lo, hi], -1 for [1 - hi, 1 - lo] if short, held between trade rows, 0 for excluded cells.
 
     One shuffle by date for the ranks, one by asset for the holding.
     """
-    p = pct(F.when(~is_true(excluded), F.col(factor)))
+    d = with_pct(df.withColumn("_out", is_true(excluded)), F.when(~is_true(excluded), F.col(factor)), "_pct", rows=rows)
+    p = F.col("_pct")
     low = p.between(round(1 - hi, 12), round(1 - lo, 12))  # 1 - 0.8 is 0.2
     raw = F.when(p.between(lo, hi), 1.0).otherwise(0.0) - (F.when(low, 1.0).otherwise(0.0) if short else F.lit(0.0))
-    d = df.withColumn("_raw", raw).withColumn("_out", is_true(excluded))
-    held = reduce_freq(F.col("_raw"), F.col("i"), w, every)
-    return d.withColumn("pos", F.when(F.col("_out"), 0.0).otherwise(held)).drop("_raw", "_out")
+    d = reduce_freq(d.withColumn("_raw", raw), F.col("_raw"), every, name="_held", block=block)
+    return d.withColumn("pos", F.when(F.col("_out"), 0.0).otherwise(F.col("_held"))).drop("_pct", "_raw", "_out", "_held")
 
 
 def equal_weights(df: DataFrame, x: Column, name: str = "weight") -> DataFrame:

@@ -9,6 +9,13 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A table is handed to every executor only if it has at most this many bytes; beyond, a shuffle join is used.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row beside its texts and arrays.
+ROW_BYTES = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows are so few that they may be sent to all executors: counted, at the bytes that their own values take.
+
+    Rows and bytes are looked at up to the limit only. df has been cut, or is cheap to work out twice.
+    """
+    if df.limit(limit // ROW_BYTES + 1).count() > limit // ROW_BYTES:
+        return False
+    wide = [F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))) for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    wide += [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    return not wide or (df.agg(F.sum(sum((F.coalesce(w, F.lit(0)) + 8 for w in wide), F.lit(ROW_BYTES)))).first()[0] or 0) <= limit
+
+
 def ship(spark: SparkSession) -> None:
     """Hand this package to the executors' Python workers, once for each context."""
     sc = spark.sparkContext

@@ -50,25 +50,28 @@ def test_returns(spark):
     assert apply(spark, lambda ws: w.reldiff(F.col(X), ws), x=[0.0, 2.0, 0.0, 0.0]) == [0, float("inf"), -1, 0]
 
 
-def test_holding(spark):
-    assert apply(spark, lambda ws: w.pause(F.col(X), F.col("p"), ws), x=[1.0, 0.0, 1.0, 1.0], p=[True, False, True, False]) == [0, 0, 0, 1]
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_holding(spark, block):
+    out = lambda f, **columns: values(f(one_asset(spark, **columns)), "held")
+    assert out(lambda d_: w.pause(d_, F.col(X), F.col("p"), block=block), x=[1.0, 0.0, 1.0, 1.0], p=[True, False, True, False]) == [0, 0, 0, 1]
     seven = [float(k) for k in range(1, 8)]
-    assert apply(spark, lambda ws: w.reduce_freq(F.col(X), F.col(I), ws, 3), x=seven) == [1, 1, 1, 4, 4, 4, 7]
-    assert apply(spark, lambda ws: w.reduce_freq_older(F.col(X), F.col(I), ws, 3), x=seven) == [1, 1, 1, 1, 5, 5, 5]
-    assert apply(spark, lambda ws: w.reduce_freq(F.col(X), F.col(I), ws, 2), x=[1.0, 2.0, None, 4.0]) == [1, 1, None, None]
+    assert out(lambda d_: w.reduce_freq(d_, F.col(X), 3, block=block), x=seven) == [1, 1, 1, 4, 4, 4, 7]
+    assert out(lambda d_: w.reduce_freq_older(d_, F.col(X), 3, block=block), x=seven) == [1, 1, 1, 1, 5, 5, 5]
+    assert out(lambda d_: w.reduce_freq(d_, F.col(X), 2, block=block), x=[1.0, 2.0, None, 4.0]) == [1, 1, None, None]
 
 
-def test_states(spark):
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_states(spark, block):
     b = [False, True, False, False, True, False]
-    assert apply(spark, lambda ws: w.bars_since(F.col("b"), F.col(I), ws), b=b) == [0, 1, 0, 1, 2, 0]
-    assert apply(spark, lambda ws: w.bars_held(F.col(X), F.col(I), ws), x=[None, None, 5.0, None, 7.0]) == [0, 0, 1, 2, 3]
-    aged = w.with_age(one_asset(spark, m=[False, False, True, True, True, False, False]), F.col("m"))
+    assert values(w.bars_since(one_asset(spark, b=b), F.col("b"), "out", block=block)) == [0, 1, 0, 1, 2, 0]
+    assert values(w.bars_held(one_asset(spark, x=[None, None, 5.0, None, 7.0]), F.col(X), "out", block=block)) == [0, 0, 1, 2, 3]
+    aged = w.with_age(one_asset(spark, m=[False, False, True, True, True, False, False]), F.col("m"), block=block)
     assert values(aged, "age") == [0, -1, 0, 1, 2, 0, -1]
-    counted = w.with_count_since(one_asset(spark, y=b), F.lit(True), F.col("y"), F.col(I), w.by_asset())
+    counted = w.with_count_since(one_asset(spark, y=b), F.lit(True), F.col("y"), block=block)
     assert values(counted, "count_since") == [1, 1, 3, 1, 2, 6]
-    summed = w.with_dynamic_sum(one_asset(spark, x=[1.0, 2.0, 3.0, 4.0], n=[1, 3, 2, 0]), F.col(X), "n")
+    summed = w.with_dynamic_sum(one_asset(spark, x=[1.0, 2.0, 3.0, 4.0], n=[1, 3, 2, 0]), F.col(X), "n", block=block)
     assert values(summed, "sum") == [1, None, 5, 10]
-    assert values(w.with_dynamic_sum(one_asset(spark, x=[1.0, 2.0], n=[-1, 0]), F.col(X), "n"), "sum") == [None, 3]
+    assert values(w.with_dynamic_sum(one_asset(spark, x=[1.0, 2.0], n=[-1, 0]), F.col(X), "n", block=block), "sum") == [None, 3]
     moved = w.ref_dynamic(one_asset(spark, x=[1.0, None, 3.0], n=[1, 0, 1]), X, "n", fill=-1.0)
     assert values(moved, "ref") == [-1, None, None]
 
@@ -83,11 +86,11 @@ def test_rolling(spark):
 
 def test_cross_section(spark):
     line = rows(spark, asset=[1, 2, 3, 4], date=[0, 0, 0, 0], i=[0, 1, 2, 3], x=[10.0, None, 30.0, 20.0])
-    assert values(line.withColumn("out", xsec.pct(F.col(X)))) == [0, None, 1, 0.5]
-    assert close(values(line.withColumn("out", xsec.pct(F.col(X), older=True))), [0, None, 2 / 3, 1 / 3])
-    assert values(rows(spark, asset=[1], date=[0], i=[0], x=[1.0]).withColumn("out", xsec.pct(F.col(X)))) == [None]
+    assert values(xsec.with_pct(line, F.col(X), "out")) == [0, None, 1, 0.5]
+    assert close(values(xsec.with_pct(line, F.col(X), "out", older=True)), [0, None, 2 / 3, 1 / 3])
+    assert values(xsec.with_pct(rows(spark, asset=[1], date=[0], i=[0], x=[1.0]), F.col(X), "out")) == [None]
     chosen = rows(spark, asset=[1, 2, 3, 4], date=[0] * 4, i=[0, 1, 2, 3], x=[5.0, 1.0, 3.0, 2.0], s=[True, False, True, True])
-    assert values(chosen.withColumn("out", xsec.top_n(F.col(X), F.col("s"), 2))) == [False, False, True, True]
+    assert values(xsec.with_top_n(chosen, F.col(X), F.col("s"), 2, "out")) == [False, False, True, True]
     weights = rows(spark, asset=[1, 2], date=[0, 0], i=[0, 1], b=[0.5, 0.5], a=[0.2, -0.1])
     assert close(values(xsec.add_alpha(weights, F.col("b"), F.col("a"), "out")), [1.5, 0])
     assert values(xsec.scale_row(rows(spark, asset=[1, 2], date=[0, 0], i=[0, 1], x=[2.0, 2.0]), F.col(X), "out")) == [None, None]
