@@ -16,6 +16,7 @@ from tallyfold.operators import cluster as cl
 from tallyfold.operators import graph as gr
 from tallyfold.operators import panel as pn
 from tallyfold.operators import windows as w
+from tallyfold.operators.factors import TERMS
 from tallyfold.sources import files as io
 from tallyfold.sources.storage import scratch
 from tallyfold.streaming.ingest import ingest, stored
@@ -145,6 +146,21 @@ def _(spark, sf_dir):
     return al.drop_duplicates(_raw(spark, sf_dir), "event_id", keep="last").select("series_id", "time", "event_id")
 
 
+@query("J13_repeats", f"SELECT series_id, count(*) - count(DISTINCT time) AS repeats FROM ({_RAW}) GROUP BY 1 HAVING count(*) > count(DISTINCT time)")
+def _(spark, sf_dir):
+    return al.repeats(_raw(spark, sf_dir))
+
+
+@query("J4_upsert", f"WITH {NEW_OLD} SELECT series_id, time, coalesce(n.value, o.value) AS value FROM newer n FULL JOIN older o USING (series_id, time)")
+def _(spark, sf_dir):
+    """Stored by week, then put over twice, each time with a part of the new values."""
+    new, old = new_and_old(spark, sf_dir)
+    path, late = scratch(spark, "series"), F.dayofmonth("time") > 22
+    for part in (old, new.filter(~late), new.filter(late)):
+        io.upsert(part, path, period="week")
+    return spark.read.parquet(path).select("series_id", "time", "value")
+
+
 @query(
     "J14_last_known_index",
     f"WITH {_T}, n AS (SELECT series_id, time, row_number() OVER (PARTITION BY series_id ORDER BY time) - 1 AS n FROM series) SELECT t.series_id, t.time AS target, coalesce(n.n, -1) AS at FROM wanted t ASOF LEFT JOIN n ON t.series_id = n.series_id AND t.time >= n.time",
@@ -167,26 +183,42 @@ def _(spark, sf_dir):
     return al.new_information(*new_and_old(spark, sf_dir))
 
 
-def _rule_sql(anchors: str, n: int) -> str:
+_MONTHS = "SELECT unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) AS m FROM b"
+_ANCHORS = {
+    "yy/5/15": "SELECT make_date(y, 5, 15) AS anchor FROM (SELECT unnest(range(year(lo), year(hi) + 1)) AS y FROM b)",
+    "mm/1": f"SELECT CAST(m AS DATE) AS anchor FROM ({_MONTHS})",
+    "mm/24": f"SELECT CAST(m AS DATE) + 23 AS anchor FROM ({_MONTHS})",
+    "ww4-3": "SELECT min(date) AS anchor FROM ww, b WHERE meets AND NOT (SELECT bool_or(meets) FROM ww, b WHERE date = lo AND date_trunc('month', ww.date) = month) GROUP BY month",
+}
+
+
+def _rules_sql(rules: list[str], n: int, every: bool) -> str:
+    """Rules by number; ww: dates in the fourth week or later, from Thursday on."""
+    hits = " UNION ALL ".join(
+        f"SELECT DISTINCT {j} AS rule, (SELECT min(n) FROM days WHERE date >= anchor) + {n - 1} AS n FROM ({_ANCHORS[x]}), b WHERE anchor >= lo" for j, x in enumerate(rules)
+    )
     return (
-        f"WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), b AS (SELECT min(date) AS lo, max(date) AS hi FROM d), days AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM d), "
-        f"a AS ({anchors}), hit AS (SELECT DISTINCT (SELECT min(n) FROM days WHERE date >= anchor) + {n - 1} AS n FROM a, b WHERE anchor >= lo) "
-        "SELECT days.date, hit.n IS NOT NULL AS flag FROM days LEFT JOIN hit ON hit.n = days.n"
+        "WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), b AS (SELECT min(date) AS lo, max(date) AS hi FROM d), days AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM d), "
+        "ww AS (SELECT date, date_trunc('month', date) AS month, CAST(strftime(date, '%W') AS INT) - CAST(strftime(date_trunc('month', date), '%W') AS INT) + 1 >= 4 AND isodow(date) - 1 >= 3 AS meets FROM d), "
+        f"hits AS ({hits}), met AS (SELECT n, count(*) AS k FROM hits GROUP BY n) SELECT days.date, coalesce(met.k >= {len(rules) if every else 1}, false) AS flag FROM days LEFT JOIN met ON met.n = days.n"
     )
 
 
-_MONTHS = "SELECT unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) AS m FROM b"
+#: Name -> rules as given, the same one by one, the number of the date, and whether all have to be met.
 _RULES = {
-    "J17_yearly_rule": ("yy/5/15", 3, "SELECT make_date(y, 5, 15) AS anchor FROM (SELECT unnest(range(year(lo), year(hi) + 1)) AS y FROM b)"),
-    "J17_monthly_rule": ("mm/1", 2, f"SELECT CAST(m AS DATE) AS anchor FROM ({_MONTHS})"),
-    "J17_weekly_rule": ("ww4-3", 1, f"SELECT CAST(m AS DATE) + CAST(21 + 2 - (isodow(m) - 1) AS INT) AS anchor FROM ({_MONTHS})"),
+    "J17_yearly_rule": ("yy/5/15", ["yy/5/15"], 3, False),
+    "J17_monthly_rule": ("mm/1", ["mm/1"], 2, False),
+    "J17_weekly_rule": ("ww4-3", ["ww4-3"], 1, False),
+    "J17_any_of_rules": (["yy/5/15", "mm/1"], ["yy/5/15", "mm/1"], 2, False),
+    "J17_all_of_rules": (["mm/24", "ww4-3"], ["mm/24", "ww4-3"], 1, True),
+    "J17_rules_in_one_string": ("yy/5/15mm/1ww4-3", ["yy/5/15", "mm/1", "ww4-3"], 1, False),
 }
 
 
-def _add_rule(name: str, rule: str, n: int, anchors: str) -> None:
-    @query(name, _rule_sql(anchors, n))
+def _add_rule(name: str, given: str | list[str], each: list[str], n: int, every: bool) -> None:
+    @query(name, _rules_sql(each, n, every))
     def _(spark, sf_dir):
-        return pn.dates_by_rule(table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")), rule, n)
+        return pn.dates_by_rule(table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")), given, n, every)
 
 
 for _name, _args in _RULES.items():
@@ -304,6 +336,12 @@ def _(spark, sf_dir):
     return cl.sorted_matrix(pairs, cl.grouped(pairs, universe="universe"), "universe")
 
 
+@query("T7_matrix")
+def _(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return cl.matrix_rows(cl.sorted_matrix(pairs, cl.grouped(pairs, universe="universe"), "universe"), "universe")
+
+
 _MEAN = (
     f"{PORTFOLIO}, m AS (SELECT i, coalesce(avg(r), 0) AS r FROM (SELECT i, CASE WHEN i = 0 THEN 0 ELSE close / lag(close) OVER (PARTITION BY deal ORDER BY i) - 1 END AS r FROM portfolio) GROUP BY 1), "
     "nav AS (SELECT i, product(1 + r) OVER (ORDER BY i) AS v FROM m)"
@@ -605,6 +643,18 @@ def _(spark, sf_dir):
     return spark.read.parquet(path).select("deal", "period", "term", "beta", "p_value")
 
 
+_WIDE = ", ".join(f"max(CASE WHEN term = '{t}' THEN beta END) AS {t}" for t in TERMS)
+
+
+@query("IO8_wide_betas", f"SELECT deal, period, {_WIDE} FROM ({ORACLES['A6_betas']}) GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """A row for each deal and quarter, a column for each factor; written by deal and read again."""
+    path = scratch(spark, "betas")
+    rows = cs.attribution_rows(spark, sf_dir).filter("p_value is not null").withColumn("beta", r("beta", 4))
+    io.write_results(io.wide_results(rows, ["deal", "period"], "term", "beta", list(TERMS)), path, "deal")
+    return spark.read.parquet(path).select("deal", "period", *TERMS)
+
+
 def _stored(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     path = scratch(spark, by)
     io.write_results(_parsed(spark, sf_dir), path, by)

@@ -12,7 +12,7 @@ from tallyfold.jobs.panels import STOCK, stock, table
 from tallyfold.jobs.registry import query, r, rs
 from tallyfold.operators import windows as w
 from tallyfold.operators.ordered import rolling
-from tallyfold.operators.panel import fill_columns
+from tallyfold.operators.panel import fill_columns, wanted_assets
 
 
 def x() -> Column:
@@ -116,6 +116,18 @@ def _(spark, sf_dir):
     return fill_columns(stock(spark, sf_dir), ["asset", "date", "roe", "absent", "close"], 0.0)
 
 
+@query(
+    "P8_wanted_assets",
+    f"WITH {STOCK}, want AS (SELECT s_suppkey AS asset FROM supplier WHERE s_suppkey % 7 = 0 UNION SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 11 = 0) "
+    "SELECT w.asset, d.date, CASE WHEN s.asset IS NULL THEN -1.0 ELSE s.close END AS close FROM want w CROSS JOIN (SELECT DISTINCT date FROM stock) d LEFT JOIN stock s ON s.asset = w.asset AND s.date = d.date",
+)
+def _(spark, sf_dir):
+    key = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    want = s.filter(key % 7 == 0).select(key.alias("asset")).unionByName(s.filter(key % 11 == 0).select((key + 1000000).alias("asset")))
+    return wanted_assets(stock(spark, sf_dir), want, ["close"], -1.0)
+
+
 @query("P7_keep_flagged", f"WITH {STOCK} SELECT asset, date, close FROM stock WHERE NOT {_HIGH}")
 def _(spark, sf_dir):
     return stock(spark, sf_dir).filter(~c.is_true(high())).select("asset", "date", "close")

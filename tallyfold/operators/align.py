@@ -1,88 +1,72 @@
 """Many series on one time axis: as-of joins, merges of new into stored data, duplicates.
 
-Series are long: (series_id, time, value). All steps work on (series_id, time), so that one shuffle serves them.
+Series are long: (series_id, time, value).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.cells import is_true, ratio_change
-from tallyfold.operators.panel import calendar
+from tallyfold.operators.ordered import ROWS, Parts, by_splitters, join_null_safe, last, number, running
 from tallyfold.operators.windows import so_far
 
-#: Stretches into which the targets' time is divided, so that one series is many tasks.
-STRETCHES = 64
-
 
 def union_times(series: DataFrame) -> DataFrame:
     return series.select("time").distinct()
 
 
-def _number(x: Column, kind: str) -> Column:
-    """A date, time or number as a number, to divide an axis by."""
-    return (F.unix_date(x) if kind == "date" else F.unix_micros(x.cast("timestamp")) if kind.startswith("timestamp") else x).cast("double")
-
-
-def _stretch(x: Column, lo: Column, hi: Column, kind: str, stretches: int) -> Column:
-    """Which of so many equal stretches from lo to hi x lies in: -1 before them, stretches after them."""
-    at = F.floor((_number(x, kind) - _number(lo, kind)) * stretches / F.greatest(_number(hi, kind) - _number(lo, kind), F.lit(1e-9)))
-    return F.when(x < lo, -1).when(x > hi, stretches).otherwise(F.least(at, F.lit(stretches - 1))).cast("int")
+def wanted(series: DataFrame, targets: DataFrame) -> DataFrame:
+    """(series_id, time): every series at every distinct target time; as many rows as the answer has. Spark sends a side around if it is small."""
+    return series.select("series_id").distinct().crossJoin(targets.filter("time is not null").select("time").distinct())
 
 
-def as_of(series: DataFrame, targets: DataFrame, extend_last: bool = True, stretches: int = STRETCHES) -> DataFrame:
+def as_of(series: DataFrame, targets: DataFrame, extend_last: bool = True, rows: int = ROWS) -> DataFrame:
     """(series_id, time, value, is_real): the last known value at or before each target time.
 
     is_real tells values observed at that very time from carried ones. Without extend_last, of the targets from a
-    series' last time on only the first keeps a value. No range join: observations and targets are sorted together, by
-    series and stretch of the targets' time, so that a series with very many observations is no single task; what is
-    known when a stretch begins, a row for each series and stretch, is carried into it.
+    series' last time on only the first keeps a value. No range join: observations and targets are sorted together. A
+    series with more than so many of both is cut where they lie dense, whatever time that is, and what is known at the
+    end of a part, a row for each, is carried into the next. Nothing bounds the number of targets.
     """
-    kind = series.schema["time"].dataType.simpleString()
-    days = F.broadcast(calendar(targets, "time"))  # one row
-    at = _stretch(F.col("time"), F.get("_dates", F.lit(0)), F.get("_dates", F.size("_dates") - 1), kind, stretches)
-    seen = series.select("series_id", "time", F.col("value").cast("double").alias("value")).crossJoin(days).filter(F.size("_dates") > 0).select("series_id", "time", "value", at.alias("_s"))
-    ends = seen.groupBy("series_id", "_s").agg(F.max(F.struct("time", "value")).alias("_end"))
-    w = Window.partitionBy("series_id").orderBy("_s")  # as many rows as a series has stretches
-    until = F.least(F.coalesce(F.lead("_s").over(w), F.lit(stretches - 1)), F.lit(stretches - 1))
-    later = ends.select("series_id", "_end", (F.col("_s") + 1).alias("_a"), until.alias("_b")).filter("_a <= _b")
-    carried = later.select("series_id", "_end.*", F.explode(F.sequence("_a", "_b")).alias("_s"))
-
-    last = ends.groupBy("series_id").agg(F.max("_end.time").alias("_last")).crossJoin(days)
-    first_late = F.get(F.filter("_dates", lambda x: x >= F.col("_last")), F.lit(0))
-    wanted = last.select("series_id", "_last", first_late.alias("_late"), "_dates", F.explode("_dates").alias("time"))
-    keep = F.lit(True) if extend_last else is_true((F.col("time") < F.col("_last")) | (F.col("time") == F.col("_late")))
-    wanted = wanted.select("series_id", "time", F.lit(None).cast("double").alias("value"), at.alias("_s"), F.lit(1).alias("kind"), keep.alias("_keep"))
-    known = seen.unionByName(carried).filter(F.col("_s").between(0, stretches - 1)).select("*", F.lit(0).alias("kind"), F.lit(True).alias("_keep"))
-    w = Window.partitionBy("series_id", "_s").orderBy("time", "kind")
-    d = known.unionByName(wanted).withColumn("_seen", F.last(F.when(F.col("kind") == 0, F.struct("time", "value")), ignorenulls=True).over(so_far(w))).filter("kind = 1")
-    real = is_true(F.col("_seen.time") == F.col("time")) & F.col("_keep")
-    return d.select("series_id", "time", F.when(F.col("_keep"), F.col("_seen.value")).alias("value"), real.alias("is_real"))
+    observed = series.filter("time is not null").select("series_id", "time", F.col("value").cast("double").alias("value"))
+    both = _with_targets(observed, wanted(series, targets), rows)
+    d = running(both, {"_seen": last(F.struct("time", "value"), F.col("kind") == 0)})
+    if not extend_last:
+        d = running(replace(both, df=d), {"_target": last(F.col("time"), F.col("kind") == 1)}, before=True)
+    d = d.filter("kind = 1").withColumn("_seen", F.col("_seen.v"))
+    real, value = is_true(F.col("_seen.time") == F.col("time")), F.col("_seen.value")
+    if extend_last:
+        return d.select("series_id", "time", value.alias("value"), real.alias("is_real"))
+    d = join_null_safe(d, series.groupBy("series_id").agg(F.max("time").alias("_last")), ("series_id",))
+    # Of the targets from the last time on, the first is the one whose target before is earlier, or missing.
+    keep = is_true((F.col("time") < F.col("_last")) | F.col("_target").isNull() | (F.col("_target.v") < F.col("_last")))
+    return d.select("series_id", "time", F.when(keep, value).alias("value"), (real & keep).alias("is_real"))
+
+
+def _with_targets(observed: DataFrame, targets: DataFrame, rows: int, by: str = "series_id") -> Parts:
+    """Observations (kind 0) and targets (kind 1) in order of time, in parts; at one time observations come first."""
+    both = observed.withColumn("kind", F.lit(0)).unionByName(targets.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return by_splitters(both, (by,), [F.col("time"), F.col("kind")], rows)
 
 
 def exact(series: DataFrame, targets: DataFrame) -> DataFrame:
     """(series_id, time, value) at the target times; missing stays missing."""
-    wanted = series.select("series_id").distinct().crossJoin(F.broadcast(calendar(targets, "time"))).select("series_id", F.explode("_dates").alias("time"))
-    return wanted.join(series.select("series_id", "time", "value"), ["series_id", "time"], "left")
+    return wanted(series, targets).join(series.select("series_id", "time", "value"), ["series_id", "time"], "left")
 
 
-def last_known_index(targets: DataFrame, source: DataFrame, by: str = "series_id", stretches: int = STRETCHES) -> DataFrame:
+def last_known_index(targets: DataFrame, source: DataFrame, by: str = "series_id", rows: int = ROWS) -> DataFrame:
     """(by, target, at): number of the last source value at or before each target, -1 if there is none. Columns: target and source.
 
-    That is how many source values there are up to the target, less 1: counted within stretches of equal length, and
-    over the stretches before.
+    That is how many source values there are up to the target, less 1.
     """
-    kind = targets.schema["target"].dataType.simpleString()
-    ends = targets.agg(F.min("target").alias("_lo"), F.max("target").alias("_hi"))  # one row
-    d = source.select(by, F.col("source").alias("v"), F.lit(0).alias("kind")).unionByName(targets.select(by, F.col("target").alias("v"), F.lit(1).alias("kind")))
-    d = d.crossJoin(F.broadcast(ends)).select(by, "v", "kind", _stretch(F.col("v"), F.col("_lo"), F.col("_hi"), kind, stretches).alias("_s"))
-    counts = d.groupBy(by, "_s").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(by, "_s", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.count(F.when(F.col("kind") == 0, 1)).over(so_far(Window.partitionBy(by, "_s").orderBy("v", "kind")))
-    d = d.filter(F.col("_s").between(0, stretches - 1)).withColumn("_inside", inside).filter("kind = 1")
-    return d.join(counts, [by, "_s"]).select(by, F.col("v").alias("target"), (F.col("_before") + F.col("_inside") - 1).alias("at"))
+    both = _with_targets(source.select(by, F.col("source").alias("time")), targets.select(by, F.col("target").alias("time")), rows, by)
+    d = running(both, {"_n": number(F.col("kind") == 0)}).filter("kind = 1")
+    return d.select(by, F.col("time").alias("target"), (F.col("_n") - 1).alias("at"))
 
 
 def merge(new: DataFrame, old: DataFrame, policy: str = "use_new", max_error: float = 1e-8) -> DataFrame:
@@ -119,8 +103,22 @@ def merge_into(new: DataFrame, old: DataFrame | None) -> DataFrame:
     return new.select("series_id", "time", "value") if old is None else merge(new, old).select("series_id", "time", "value")
 
 
+def repeats(series: DataFrame) -> DataFrame:
+    """(series_id, repeats): how many rows of a series have a time that stands in it already; series without such rows are left out."""
+    n = F.count(F.lit(1)) - F.count_distinct(F.coalesce(F.col("time").cast("string"), F.lit("")))
+    return series.groupBy("series_id").agg(n.alias("repeats")).filter("repeats > 0")
+
+
 def drop_duplicates(series: DataFrame, order: str, keep: str = "first", whole_rows: bool = True) -> DataFrame:
-    """Of rows with the same series and time (and value, if whole rows) the first or last by source order."""
+    """Of rows with the same series and time (and value, if whole rows) the first or last by source order.
+
+    keep="warn" leaves all rows and warns of the series that have repeated times, with their number.
+    """
+    if keep == "warn":
+        total = repeats(series).agg(F.count(F.lit(1)), F.sum("repeats"), F.min("series_id")).first()
+        if total[0]:
+            warnings.warn(f"{total[1]} rows of {total[0]} series repeat a time, those of {total[2]} among them", stacklevel=2)
+        return series
     by = ["series_id", "time", "value"] if whole_rows else ["series_id", "time"]
     pick = F.min_by if keep == "first" else F.max_by
     kept = series.groupBy(*by).agg(pick(F.struct(*[c for c in series.columns if c not in by]), F.col(order)).alias("_kept"))
@@ -141,20 +139,18 @@ def side_by_side(left: DataFrame, right: DataFrame, index: str) -> DataFrame:
 def trim_idle(df: DataFrame, x: str = "value", by: str = "series_id", order: str = "i") -> DataFrame:
     """x without idle ends: of the leading rows equal to the first value only the last stays, of the trailing ones only the first; a constant series is all missing.
 
-    A missing cell ends a run as a different value does.
+    A missing cell ends a run as a different value does. Both ends come from two aggregations by series, summed up before
+    they are shuffled; no task sorts a series.
     """
-    full = Window.partitionBy(by)
-    w = Window.partitionBy(by).orderBy(order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     v, i = F.col(x), F.col(order)
-    d = df.withColumn("_a", F.first(v, ignorenulls=True).over(whole)).withColumn("_z", F.last(v, ignorenulls=True).over(whole))
-    d = d.withColumn("_ia", F.min(F.when(v.isNotNull(), i)).over(full)).withColumn("_iz", F.max(F.when(v.isNotNull(), i)).over(full))
+    valid = F.when(v.isNotNull(), i)
+    ends = df.groupBy(by).agg(F.min_by(v, valid).alias("_a"), F.max_by(v, valid).alias("_z"), F.min(valid).alias("_ia"), F.max(valid).alias("_iz"), (F.min(v) != F.max(v)).alias("_varies"))
+    d = join_null_safe(df, ends, (by,))
     other = lambda end: v.isNull() | (v != F.col(end))
-    d = d.withColumn("_from", F.min(F.when((i > F.col("_ia")) & other("_a"), i)).over(full) - 1)
-    d = d.withColumn("_to", F.max(F.when((i < F.col("_iz")) & other("_z"), i)).over(full) + 1)
-    varies = F.max(F.when(v.isNotNull() & (v != F.col("_a")), 1)).over(full).isNotNull()
-    keep = varies & (i >= F.col("_from")) & (i <= F.col("_to"))
-    return d.withColumn("_keep", keep).withColumn(x, F.when(F.col("_keep"), v)).drop("_a", "_z", "_ia", "_iz", "_from", "_to", "_keep")
+    inner = d.groupBy(by).agg((F.min(F.when((i > F.col("_ia")) & other("_a"), i)) - 1).alias("_from"), (F.max(F.when((i < F.col("_iz")) & other("_z"), i)) + 1).alias("_to"))
+    d = join_null_safe(d.drop("_a", "_z", "_ia", "_iz"), inner, (by,))
+    keep = is_true(F.col("_varies") & (i >= F.col("_from")) & (i <= F.col("_to")))
+    return d.withColumn("_keep", keep).withColumn(x, F.when(F.col("_keep"), v)).drop("_varies", "_from", "_to", "_keep")
 
 
 def attach_mean(df: DataFrame, mean_id: str = "mean") -> DataFrame:

@@ -104,18 +104,16 @@ def one_level(m: np.ndarray, threshold: float) -> list[np.ndarray]:
 
 
 def best_threshold(m: np.ndarray, steps: int = 20) -> float:
-    """The threshold, of equal steps from the least to the largest correlation, with the best mean within groups for their number, both scaled to [0, 1]."""
-    lo, hi = m.min(), m.max()
-    tried = [lo]
-    while tried[-1] < hi:
-        tried.append(tried[-1] + (hi - lo) / steps)
-    counts, means = [], []
-    for t in tried:
-        groups = one_level(m, t)
-        counts.append(len(groups))
-        means.append(sum(m[np.ix_(g, g)].sum() for g in groups) / sum(len(g) ** 2 for g in groups))
-    scale = lambda v: (v - v.min()) / (v.max() - v.min()) if v.max() > v.min() else v * 0.0
-    return tried[int(np.argmax(scale(np.array(means, float)) - scale(np.array(counts, float))))]
+    """Of steps + 1 thresholds from the least to the largest correlation, the one with the best mean within groups for their number, both scaled to [0, 1]; the lowest of equals."""
+    levels = np.linspace(m.min(), m.max(), steps + 1)
+    labels = np.zeros((len(levels), len(m)), dtype=int)  # the group of each series at each threshold
+    for row, level in zip(labels, levels, strict=True):
+        for k, members in enumerate(one_level(m, level)):
+            row[members] = k
+    together = [row[:, None] == row for row in labels]
+    quality = np.array([np.stack([m[pairs].mean() for pairs in together]), -labels.max(axis=1)])
+    low, high = quality.min(axis=1, keepdims=True), quality.max(axis=1, keepdims=True)
+    return float(levels[np.argmax(((quality - low) / np.where(high > low, high - low, 1.0)).sum(axis=0))])
 
 
 def tree_order(m: np.ndarray, thresholds: list[float] | None = None, path: tuple[int, ...] = ()) -> list[tuple[int, tuple[int, ...]]]:
@@ -172,13 +170,20 @@ def sorted_matrix(pairs: DataFrame, order: DataFrame, universe: str | None = Non
     return d.select(*u, "a", "b", "row_no", "col_no", F.when(F.col("corr") != -1, F.col("corr")).alias("corr"))
 
 
+def matrix_rows(sorted_pairs: DataFrame, universe: str | None = None) -> DataFrame:
+    """(row_no, a, corr), with the universe before them: the sorted matrix, a row for each series with its correlations as an array in display order."""
+    u = [universe] if universe else []
+    cells = F.sort_array(F.collect_list(F.struct("col_no", "corr")))  # one row of the matrix
+    return sorted_pairs.groupBy(*u, "row_no", "a").agg(F.transform(cells, lambda x: x["corr"]).alias("corr"))
+
+
 def rescaled(df: DataFrame, universe: str | None = None) -> DataFrame:
     """(series_id, i, value), with the universe before them: series scaled so that one that starts, or starts again, does so on the level of a running main series.
 
     The main series is the one whose mean step from there to its end is closest to the average; it runs until it has a
-    missing value. Every series gets every date of its universe. The same as rescale, but that only one row for each date
-    meets in a task: a start overrides the scale of those before it, so that a series' scale is the level at its last
-    start over its own value there. A series whose last start is at zero can't be scaled: it is missing.
+    missing value. Every series gets every date of its universe. Only one row for each date meets in a task: a start
+    overrides the scale of those before it, so that a series' scale is the level at its last start over its own value
+    there. A series whose last start is at zero can't be scaled: it is missing.
     """
     cells = df.select((F.coalesce(F.concat(F.lit("u"), F.col(universe).cast("string")), F.lit("")) if universe else F.lit("")).alias("_u"), "series_id", F.col("i").alias("t"), F.nullif(F.col("value").cast("double"), F.lit(float("nan"))).alias("v"))
     days = cells.select("_u", "t").distinct().groupBy("_u").agg(F.sort_array(F.collect_list("t")).alias("days"))
@@ -226,27 +231,3 @@ def rescaled(df: DataFrame, universe: str | None = None) -> DataFrame:
     out = d.withColumn("at", F.col("final.i")).join(level, ["_u", "at"], "left")
     given = [F.substring("_u", 2, 1 << 30).cast(df.schema[universe].dataType).alias(universe)] if universe else []
     return out.select(*given, "series_id", F.col("t").cast("long").alias("i"), (F.col("v") * (F.col("level") / F.nullif(F.col("final.v"), F.lit(0.0)))).alias("value"))
-
-
-def rescale(m: np.ndarray) -> np.ndarray:
-    m = m.astype(float).copy()
-    dates, n = m.shape
-    ok = ~np.isnan(m)
-    end = np.array([np.flatnonzero(ok[:, j])[-1] + 1 if ok[:, j].any() else -1 for j in range(n)])
-    last = np.array([m[end[j] - 1, j] if end[j] > 0 else np.nan for j in range(n)])
-    mains, main = [], -1
-    for i in range(dates):
-        if main < 0 or not ok[i, main]:
-            main = -1
-            running = ok[i] & (i < end)
-            if running.any():
-                step = np.where(running, (last - m[i]) / np.where(end > i, end - i, 1), np.nan)
-                main = int(np.nanargmin(np.abs(step - np.nanmean(step))))
-        mains.append(main)
-    level = np.nan
-    for i in range(dates):
-        level = m[i, mains[i]] if mains[i] >= 0 else level
-        for j in range(n):
-            if ok[i, j] and (i == 0 or not ok[i - 1, j]) and not np.isnan(level):
-                m[:, j] *= level / m[i, j]
-    return m

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.functions.dates import week_of_month
 from tallyfold.operators.ordered import BLOCK
 from tallyfold.operators.windows import ffill
-from tallyfold.sources.storage import cut
+from tallyfold.sources.storage import cut, few
 
 #: A calendar is handed to all executors; more dates than this are refused.
 MAX_DATES = 1_000_000
@@ -83,25 +86,61 @@ def restrict(df: DataFrame, time: str = "time", start=None, end=None, weekdays:
     return df.filter((F.weekday(time) + 1).isin(weekdays)) if weekdays else df
 
 
-def dates_by_rule(dates: DataFrame, rule: str, n: int = 1, date: str = "date") -> DataFrame:
-    """(date, flag): the n-th calendar date on or after each anchor. rule: yy/m/d (each year), mm/d (each month), or wwk-d (weekday d of the month's k-th week).
+def parsed_rules(rule: str | list[str]) -> list[tuple[str, list[int]]]:
+    """(tag, numbers) of rules that stand in one string, one after the other, or in a list, or both: yy/5/15 each year, mm/1 each month, ww4-3 each month by week and weekday."""
+    found = re.findall(r"([a-z]+)([^a-z]*)", "".join(rule))
+    rules = [(tag, [int(x) for x in re.findall(r"\d+", rest)]) for tag, rest in found]
+    sizes = {"yy": 2, "mm": 1, "ww": 2}
+    for tag, numbers in rules:
+        if sizes.get(tag) != len(numbers):
+            raise ValueError(f"unknown rule {tag} {numbers}")
+    if not rules:
+        raise ValueError("no rule")
+    return rules
 
-    An anchor before the first date is skipped, as is a result past the end.
-    """
-    days = calendar(dates, date)
-    parts = rule[2:].replace("/", " ").replace("-", " ").split()
+
+def _places(days: DataFrame, tag: str, numbers: list[int], date: str) -> DataFrame:
+    """(_at): places in the calendar, from 0, of the first date that each year or month gives a rule."""
     one = days.select("_dates", F.element_at("_dates", 1).alias("lo"), F.element_at("_dates", -1).alias("hi"))
-    if rule.startswith("yy"):
-        anchors = F.transform(F.sequence(F.year("lo"), F.year("hi")), lambda y: F.make_date(y, F.lit(int(parts[0])), F.lit(int(parts[1]))))
-    elif rule.startswith("mm"):
-        anchors = F.transform(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month")), lambda m: F.date_add(m, int(parts[0]) - 1))
-    elif rule.startswith("ww"):
-        k, d = int(parts[0]), int(parts[1])
-        month = F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month"))
-        anchors = F.transform(month, lambda m: F.date_add(m, F.lit(7 * (k - 1) + d - 1) - F.weekday(m)))
+    if tag == "ww":
+        each = one.select("lo", F.posexplode("_dates").alias("_at", "day"))
+        meets = lambda d: (week_of_month(d) >= numbers[0]) & (F.weekday(d) >= numbers[1])
+        # Where the calendar's first date meets the rule, an earlier one of that month may be missing.
+        begun = meets(F.col("lo")) & (F.trunc("day", "month") == F.trunc("lo", "month"))
+        return each.filter(meets(F.col("day")) & ~begun).groupBy(F.trunc("day", "month").alias("month")).agg(F.min("_at").alias("_at")).select("_at")
+    if tag == "yy":
+        anchors = F.transform(F.sequence(F.year("lo"), F.year("hi")), lambda y: F.make_date(y, F.lit(numbers[0]), F.lit(numbers[1])))
     else:
-        raise ValueError(f"unknown rule {rule}")
+        anchors = F.transform(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month")), lambda m: F.date_add(m, numbers[0] - 1))
     at = one.select("_dates", "lo", F.explode(anchors).alias("anchor")).filter(F.col("anchor") >= F.col("lo"))
-    place = F.size(F.filter("_dates", lambda x: x < F.col("anchor"))) + n - 1
-    hits = at.select(F.get("_dates", place).alias(date)).filter(F.col(date).isNotNull()).distinct().withColumn("_hit", F.lit(True))
-    return dates.select(date).distinct().join(F.broadcast(hits), date, "left").select(date, F.col("_hit").isNotNull().alias("flag"))
+    return at.select(F.size(F.filter("_dates", lambda x: x < F.col("anchor"))).alias("_at"))
+
+
+def dates_by_rule(dates: DataFrame, rule: str | list[str], n: int = 1, every: bool = False, date: str = "date") -> DataFrame:
+    """(date, flag): whether a date is, by any of the rules (by every one, if every), the n-th of the calendar from the first that the rule meets in each year or month.
+
+    yy/m/d: on or after that day of each year; mm/d: of each month; wwk-d: in the month's k-th week or later, on weekday
+    d or later, of which Monday is 0. A day before the first date is skipped, as is a result past the end. Each rule is a
+    bit; the dates' bits are put together in one aggregation.
+    """
+    days, rules = calendar(dates, date), parsed_rules(rule)
+    hits = None
+    for j, (tag, numbers) in enumerate(rules):
+        found = _places(days, tag, numbers, date).select((F.col("_at") + n - 1).alias("_at"), F.lit(1 << j).cast("long").alias("_bit"))
+        hits = found if hits is None else hits.unionByName(found)
+    bits = hits.groupBy("_at").agg(F.bit_or("_bit").alias("_bits"))
+    wanted = F.col("_bits") == (1 << len(rules)) - 1 if every else F.col("_bits") != 0
+    numbered = days.select(F.posexplode("_dates").alias("_at", date))
+    return numbered.join(bits, "_at", "left").select(date, F.coalesce(wanted, F.lit(False)).alias("flag"))
+
+
+def wanted_assets(df: DataFrame, assets: DataFrame, columns: list[str], fill: float | None = None, asset: str = "asset", date: str = "date") -> DataFrame:
+    """(asset, date, columns): exactly the wanted assets, in long form: others are dropped, absent ones get fill on each of df's dates, as does an asset on dates that it lacks.
+
+    What is there stays, missing too. Dates and the wanted list meet as a grid, which is the size of the answer.
+    """
+    want, days = assets.select(asset).distinct(), df.select(date).distinct()
+    grid = days.crossJoin(F.broadcast(want)) if few(want) else want.crossJoin(F.broadcast(days) if few(days) else days)
+    there = df.select(asset, date, F.struct(*columns).alias("_row"))
+    d = grid.join(there, [asset, date], "left")
+    return d.select(asset, date, *[F.when(F.col("_row").isNull(), F.lit(fill)).otherwise(F.col("_row")[c]).alias(c) for c in columns])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyfold.functions.cells import is_true
 from tallyfold.functions.dates import guess_format, parse_time
 from tallyfold.functions.text import file_name, proper_name
+from tallyfold.operators.align import merge_into
+from tallyfold.sources.storage import discard, scratch
 
 
 def list_files(spark: SparkSession, folder: str, extension: str | None = None, recursive: bool = True, only: list[str] | None = None, never: list[str] | None = None, skip_containing: list[str] | None = None, keep_empty: bool = False) -> DataFrame:
@@ -107,6 +109,33 @@ def write_results(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def wide_results(df: DataFrame, index: list[str], name: str, value: str, names: list[str]) -> DataFrame:
+    """(index, and a column for each of the names): results in wide form; what is not there is missing."""
+    return df.groupBy(*index).pivot(name, names).agg(F.first(value))
+
+
+def upsert(new: DataFrame, path: str, time: str = "time", period: str = "month") -> list:
+    """Put new values (series_id, time, value) over those stored at the path, which is made if it does not exist; the periods that were written anew.
+
+    The store is divided by period of time. Only periods that the new data touch are read and written: merged aside
+    first, then put in their places, so that what fails on the way can be run again and gives the same. Duplicates on
+    either side raise. Files of other periods stay as they are.
+    """
+    spark = new.sparkSession
+    place = F.date_format(F.trunc(F.col(time), period), "yyyy-MM-dd").alias("period")
+    touched = [r["period"] for r in new.select(place).distinct().collect()]  # a calendar's periods, not rows
+    store, aside = spark._jvm.org.apache.hadoop.fs.Path(path), scratch(spark, "upsert")
+    there = store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store)
+    old = None
+    if there:
+        kept = spark.read.parquet(path)
+        old = kept.filter(kept["period"].cast("string").isin(touched)).select("series_id", F.col(time).alias("time"), "value")
+    merge_into(new.select("series_id", F.col(time).alias("time"), "value"), old).withColumnRenamed("time", time).select("*", place).write.parquet(aside)
+    spark.read.schema(spark.read.parquet(aside).schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+    discard(spark, aside)
+    return sorted(touched, key=str)
+
+
 def as_map(df: DataFrame, key: str, value: str, by: str | None = None) -> DataFrame:
     """The lookup as a map: in one row, for tables small enough to be one value, or (by, lookup) in one for each value of a column."""
     lookup = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias("lookup")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import text
@@ -52,3 +53,25 @@ def test_fingerprints_differ(spark):
     rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), ("", "x"), ("x", "")], "p string, q string")
     got = [r[0] for r in rows.select(text.fingerprint([F.lit("p"), F.lit("q")], [F.col("p"), F.col("q")])).collect()]
     assert len(set(got)) == len(got)
+
+
+def test_upsert(spark, tmp_path):
+    """Only periods with new data are written anew; the other files keep their names; a second run changes nothing."""
+    import datetime as d
+
+    from tests.test_operators import rows
+
+    day = lambda m, k: d.date(2024, m, k)
+    path = f"{tmp_path}/store"
+    files.upsert(rows(spark, series_id=["a", "a", "b"], time=[day(1, 3), day(2, 3), day(3, 3)], value=[1.0, 2.0, 3.0]), path)
+    names = lambda: {p.relative_to(path).as_posix() for p in tmp_path.glob("store/period=*/*.parquet")}
+    before = names()
+    new = rows(spark, series_id=["a", "b"], time=[day(2, 3), day(2, 9)], value=[20.0, 9.0])
+    stored = lambda: sorted((r["series_id"], r["time"], r["value"]) for r in spark.read.parquet(path).collect())
+    for _ in range(2):
+        assert [str(p) for p in files.upsert(new, path)] == ["2024-02-01"]
+        assert stored() == [("a", day(1, 3), 1.0), ("a", day(2, 3), 20.0), ("b", day(2, 9), 9.0), ("b", day(3, 3), 3.0)]
+    assert {n for n in before if "2024-02" not in n} == {n for n in names() if "2024-02" not in n}
+    with pytest.raises(ValueError):
+        files.upsert(new.unionByName(new), path)
+    assert len(stored()) == 4

@@ -185,8 +185,8 @@ def test_as_of(spark):
     assert values(at, "at", "target") == [-1, 1, 2]
 
 
-@pytest.mark.parametrize("stretches", [1, 3, 64])
-def test_as_of_in_stretches(spark, stretches):
+@pytest.mark.parametrize("most", [1, 25, 1000])
+def test_as_of_in_parts(spark, most):
     """One long and one short series, observations before, between and after the targets: as a plain search finds them."""
     rng = np.random.default_rng(5)
     obs = {"a": sorted(rng.choice(400, 150, replace=False).tolist()), "b": [7, 200], "c": [390]}
@@ -194,17 +194,63 @@ def test_as_of_in_stretches(spark, stretches):
     flat = [(s, t) for s, ts in obs.items() for t in ts]
     df = rows(spark, series_id=[s for s, _ in flat], time=[t for _, t in flat], value=[float(t) for _, t in flat])
     for extend in (True, False):
-        got = {(r["series_id"], r["time"]): (r["value"], r["is_real"]) for r in align.as_of(df, rows(spark, time=targets), extend, stretches).collect()}
+        got = {(r["series_id"], r["time"]): (r["value"], r["is_real"]) for r in align.as_of(df, rows(spark, time=targets), extend, most).collect()}
         assert len(got) == 3 * len(targets)
         for (s, t), (v, real) in got.items():
             known = [x for x in obs[s] if x <= t]
             late = [x for x in targets if x >= obs[s][-1]]
             keep = extend or t < obs[s][-1] or t == late[0]
             assert (v, real) == (float(known[-1]) if known and keep else None, t in obs[s] and keep)
-    at = align.last_known_index(rows(spark, series_id=["a"] * 60, target=targets), rows(spark, series_id=["a"] * 150, source=obs["a"]), stretches=stretches)
+    at = align.last_known_index(rows(spark, series_id=["a"] * 60, target=targets), rows(spark, series_id=["a"] * 150, source=obs["a"]), rows=most)
     assert values(at, "at", "target") == [sum(x <= t for x in obs["a"]) - 1 for t in targets]
 
 
+def test_as_of_with_a_burst(spark):
+    """Nine tenths of the rows in one hour: the parts follow the rows, not the time; and more targets than a calendar may have."""
+    n = 3000
+    burst = spark.range(n).select(F.lit("a").alias("series_id"), (F.when(F.col("id") < n * 0.9, 5000 + F.col("id") / 10000).otherwise(F.col("id") * 3)).alias("time"), F.col("id").cast("double").alias("value"))
+    targets = spark.range(2000).select((F.col("id") * 5).cast("double").alias("time"))
+    both = align._with_targets(burst, align.wanted(burst, targets), 200)
+    assert both.df.groupBy("_part").count().agg(F.max("count")).first()[0] < 800
+    got = {r["time"]: r["value"] for r in align.as_of(burst, targets, rows=200).collect()}
+    seen = sorted((r["time"], r["value"]) for r in burst.collect())
+    at = np.searchsorted([t for t, _ in seen], [5.0 * k for k in range(2000)], side="right") - 1
+    assert [got[5.0 * k] for k in range(2000)] == [None if j < 0 else seen[j][1] for j in at]
+
+
+def test_repeats_are_warned_of(spark):
+    d_ = rows(spark, series_id=["a", "a", "a", "b"], time=[1, 1, 2, 1], value=[1.0, 1.0, 2.0, 3.0], n=[0, 1, 2, 3])
+    with pytest.warns(UserWarning, match="1 rows of 1 series repeat a time, those of a among them"):
+        assert align.drop_duplicates(d_, "n", keep="warn").count() == 4
+    assert [tuple(r) for r in align.repeats(d_).collect()] == [("a", 1)]
+
+
+def test_rules(spark):
+    """Every day of 2023 and 2024 but weekends: rules by hand."""
+    days = [d.date(2023, 1, 1) + d.timedelta(k) for k in range(731)]
+    days = [x for x in days if x.weekday() < 5]
+    cal = rows(spark, date=days)
+    on = lambda *a, **k: [r["date"] for r in panel.dates_by_rule(cal, *a, **k).filter("flag").orderBy("date").collect()]
+    first = [min(x for x in days if (x.year, x.month) == m) for m in sorted({(x.year, x.month) for x in days})]
+    known = first[1:]  # the first of January 2023 lies before the calendar
+    assert on("mm/1") == known and on("mm/1", 3) == [days[days.index(x) + 2] for x in known]
+    week = lambda x: int(x.strftime("%W")) - int(x.replace(day=1).strftime("%W")) + 1
+    fourth = [min(x for x in days if (x.year, x.month) == (f.year, f.month) and week(x) >= 4 and x.weekday() >= 3) for f in first]
+    assert on("ww4-3") == fourth and all(x.weekday() >= 3 for x in fourth)
+    may = [min(x for x in days if x >= d.date(y, 5, 15)) for y in (2023, 2024)]
+    assert on("yy/5/15mm/1") == on(["yy/5/15", "mm/1"]) == sorted({*may, *known})
+    assert on(["mm/24", "ww4-3"], every=True) == sorted({*on("mm/24")} & {*fourth}) != []
+    assert on(["mm/24", "ww4-3", "yy/5/15"], every=True) == []
+    with pytest.raises(ValueError):
+        on("dd/1")
+
+
+def test_wanted_assets(spark):
+    d_ = rows(spark, asset=[1, 1, 2], date=[1, 2, 1], x=[1.0, None, 3.0])
+    got = panel.wanted_assets(d_, rows(spark, asset=[1, 9]), ["x"], 0.5)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1.0), (1, 2, None), (9, 1, 0.5), (9, 2, 0.5)]
+
+
 def test_merge(spark):
     day = [d.date(2020, 1, k) for k in range(1, 4)]
     new = rows(spark, series_id=["a", "a"], time=day[:2], value=[1.0, 2.0])
@@ -308,6 +354,21 @@ def test_grouping():
     assert len(cluster.tree_order(m)) == 4
 
 
+def test_threshold():
+    """The best of twenty-one thresholds, by loops over the definition."""
+    rng = np.random.default_rng(11)
+    for n in (6, 9, 12):
+        m = np.corrcoef(rng.normal(size=(n, 8)) + 2 * rng.normal(size=(3, 8))[np.arange(n) % 3])
+        scores = []
+        for t in [m.min() + k * (m.max() - m.min()) / 20 for k in range(21)]:
+            groups = _groups(m.tolist(), t)
+            inside = [m[i, j] for g in groups for i in g for j in g]
+            scores.append((t, sum(inside) / len(inside), len(groups)))
+        unit = lambda k, v: (v - min(s[k] for s in scores)) / (max(s[k] for s in scores) - min(s[k] for s in scores))
+        best = max(unit(1, s[1]) - unit(2, s[2]) for s in scores)
+        assert any(np.isclose(s[0], cluster.best_threshold(m)) and np.isclose(unit(1, s[1]) - unit(2, s[2]), best) for s in scores)
+
+
 def test_correlation(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3, 12))
@@ -350,7 +411,13 @@ def test_grouping_by_universe(spark, monkeypatch):
     got = cluster.grouped(pairs, [0.3], "u").orderBy("u", "order_no").collect()
     assert [(r["u"], [r["series_id"]], r["path"][0]) for r in got] == want
     assert {r["u"] for r in cluster.chosen_threshold(pairs, "u").collect()} == {"x", "y", "z"}
-    assert cluster.sorted_matrix(pairs, cluster.grouped(pairs, universe="u"), "u").count() == 49 + 25 + 1
+    order = cluster.grouped(pairs, universe="u")
+    assert cluster.sorted_matrix(pairs, order, "u").count() == 49 + 25 + 1
+    corr = {(u, a, b): c for u, a, b, c in flat}
+    for u in "xyz":
+        names = [r["series_id"] for r in order.filter(F.col("u") == u).orderBy("order_no").collect()]
+        rows_ = cluster.matrix_rows(cluster.sorted_matrix(pairs, order, "u"), "u").filter(F.col("u") == u).orderBy("row_no").collect()
+        assert [r["a"] for r in rows_] == names and [r["corr"] for r in rows_] == [[corr[u, a, b] for b in names] for a in names]
     monkeypatch.setattr(cluster, "MAX_SERIES", 6)
     with pytest.raises(Exception, match="more than 6 series"):
         cluster.grouped(pairs, [0.3], "u").collect()
@@ -366,27 +433,42 @@ def test_blocked_by_universe(spark):
         assert len(got) == 32 and all(np.isclose(c, np.corrcoef(x[u][a], x[u][b])[0, 1]) for (u, a, b), c in got.items())
 
 
-def test_rescale():
-    m = np.array([[1.0, np.nan], [2.0, 10.0], [3.0, 15.0]])
-    out = cluster.rescale(m)
-    assert np.allclose(out[1:, 1], [2.0, 3.0]) and np.allclose(out[:, 0], m[:, 0])
-
-
-def test_rescaled_by_series(spark, monkeypatch):
-    """As on one matrix, with gaps and restarts, and without a matrix of all series in one task."""
+def _rescaled(m):
+    """By the closed form: a series' scale is the level at its last start over its own value there; the level is that of the main series, which has the scale of its start before."""
+    dates, n = m.shape
+    there = [[i for i in range(dates) if not np.isnan(m[i, s])] for s in range(n)]
+    starts = [[i for i in t if i - 1 not in t] for t in there]
+    main, level = {}, {}
+    for i in range(dates):
+        kept = main.get(i - 1)
+        if kept is None or i not in there[kept]:
+            steps = {s: (m[there[s][-1], s] - m[i, s]) / (there[s][-1] + 1 - i) for s in range(n) if i in there[s]}
+            kept = min(steps, key=lambda s: (abs(steps[s] - np.mean(list(steps.values()))), s)) if steps else None
+        main[i] = kept
+        if kept is not None:
+            before = [k for k in starts[kept] if k < i]
+            level[i] = m[i, kept] * (level[before[-1]] / m[before[-1], kept] if before else 1)
+    return np.column_stack([m[:, s] * (level[starts[s][-1]] / m[starts[s][-1], s] if starts[s] else np.nan) for s in range(n)])
+
+
+def test_rescaled_by_series(spark):
+    """With gaps and restarts, and without a matrix of all series in one task."""
+
+    def got(m):
+        long = [(s, 2 * i, None if np.isnan(m[i, s]) else float(m[i, s])) for i in range(m.shape[0]) for s in range(m.shape[1])]
+        df, out = spark.createDataFrame(long, "series_id int, i long, value double"), np.full(m.shape, np.nan)
+        for r in cluster.rescaled(df).collect():
+            out[r["i"] // 2, r["series_id"]] = np.nan if r["value"] is None else r["value"]
+        return df, out
+
+    small = np.array([[1.0, np.nan], [2.0, 10.0], [3.0, 15.0]])
+    assert np.allclose(got(small)[1], [[1, np.nan], [2, 2], [3, 3]], equal_nan=True)
     rng = np.random.default_rng(8)
     m = rng.uniform(1, 9, size=(30, 25))
     m[rng.random(m.shape) < 0.25] = np.nan
     m[:9, :6], m[3, :], m[:, 7] = np.nan, np.nan, np.nan
-    m[3, 0] = np.nan
-    long = [(s, 2 * i, None if np.isnan(m[i, s]) else float(m[i, s])) for i in range(30) for s in range(25)]
-    want = cluster.rescale(m)
-    monkeypatch.setattr(cluster, "rescale", None)
-    df = spark.createDataFrame(long, "series_id int, i long, value double")
-    got = np.full(m.shape, np.nan)
-    for r in cluster.rescaled(df).collect():
-        got[r["i"] // 2, r["series_id"]] = np.nan if r["value"] is None else r["value"]
-    assert np.allclose(got, want, equal_nan=True)
+    df, out = got(m)
+    assert np.allclose(out, _rescaled(m), equal_nan=True)
     twice = df.withColumn("u", F.lit("a")).unionByName(df.withColumn("u", F.lit("b")).withColumn("series_id", F.col("series_id") + 100))
     assert cluster.rescaled(twice, "u").filter("series_id >= 100").count() == m.size
 
