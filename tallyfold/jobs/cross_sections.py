@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.jobs.panels import PORTFOLIO, STOCK, cells, portfolio, risk_free, stock, table, wa
+from tallyfold.jobs.panels import PORTFOLIO, STOCK, cells, fund_dates, portfolio, risk_free, stock, table, wa
 from tallyfold.jobs.registry import query, r, rs
 from tallyfold.operators import factors as f
 from tallyfold.operators import performance as p
@@ -207,7 +207,7 @@ def _(spark, sf_dir):
 
 def aligned(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     """The stock panel on the fund's months (or weeks), filled forward, with returns and growth: the input of the factors."""
-    d = align_force(cells(spark, sf_dir, unit), portfolio(spark, sf_dir, unit), ["close", "market_cap", "pb_ratio", "roe", "qty"])
+    d = align_force(cells(spark, sf_dir, unit), fund_dates(spark, sf_dir, unit), ["close", "market_cap", "pb_ratio", "roe", "qty"])
     return d.select("asset", "date", "i", r(w.reldiff(F.col("close"), wa()), 10).alias("ret"), "market_cap", "pb_ratio", "roe", r(w.reldiff(F.col("qty"), wa()), 10).alias("asset_growth"))
 
 
@@ -272,12 +272,12 @@ def _(spark, sf_dir):
 
 @query("A5_period_counts", f"WITH {PORTFOLIO} SELECT year(date) AS year, quarter(date) AS quarter, count(*) AS n FROM pcal GROUP BY 1, 2")
 def _(spark, sf_dir):
-    return f.period_counts(portfolio(spark, sf_dir).select("date").distinct())
+    return f.period_counts(fund_dates(spark, sf_dir))
 
 
 @query("A5_period_counts_monthly", f"WITH {PORTFOLIO} SELECT year(date) AS year, month(date) AS month, count(*) AS n FROM pcal GROUP BY 1, 2")
 def _(spark, sf_dir):
-    return f.period_counts(portfolio(spark, sf_dir).select("date").distinct(), monthly=True)
+    return f.period_counts(fund_dates(spark, sf_dir), monthly=True)
 
 
 def attribution_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,22 +299,36 @@ def _beta_sql(k: int) -> tuple[str, str]:
     return ", ".join(ctes), beta
 
 
+def _t_sql(k: int) -> str:
+    """A query of one t-value: what the columns leave of y, over the rows to spare, gives the error of what its own column has left."""
+    term = "const" if k == 0 else _TERMS[k]
+    rest = "sum(y * y) - " + " - ".join(f"coalesce(sum(u{j} * y) * sum(u{j} * y) / nullif(sum(u{j} * u{j}), 0), 0)" for j in range(6))
+    return f"SELECT deal, last_day(min(date)) AS period, '{term}' AS term, {rs(f'sum(u5 * y) / sqrt(sum(u5 * u5)) / sqrt(({rest}) / (count(*) - 6))', 2)} AS t_value FROM b{k}_5 GROUP BY deal, yy, qq HAVING count(*) > 6"
+
+
 _TERMS = ("one", *f.TERMS[1:])
 _CHAINS = [_beta_sql(k) for k in range(len(_TERMS))]
 _A6 = (
     f"WITH {FACTORS}, rf AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, {rs('avg(l_discount) / 1000', 8)} AS rf FROM lineitem GROUP BY 1), "
     f"fund AS (SELECT deal, date, {rs('coalesce(close / lag(close) OVER (PARTITION BY deal ORDER BY i) - 1, 0)', 10)} AS y FROM portfolio), "
     "lines AS (SELECT deal, date, year(date) AS yy, quarter(date) AS qq, y, 1.0 AS one, rm - coalesce(rf, 0) AS rm_rf, smb, hml, rmw, cma FROM fund JOIN factors USING (date) LEFT JOIN rf USING (date)), "
-    f"{', '.join(c for c, _ in _CHAINS)} {' UNION ALL '.join(b for _, b in _CHAINS)}"
+    f"{', '.join(c for c, _ in _CHAINS)} "
 ).replace("'month'", "'week'")
+_BETAS, _T_VALUES = _A6 + " UNION ALL ".join(b for _, b in _CHAINS), _A6 + " UNION ALL ".join(_t_sql(k) for k in range(len(_TERMS)))
 
 
-@query("A6_betas", _A6)
+@query("A6_betas", _BETAS)
 def _(spark, sf_dir):
     """The coefficients of quarters with rows to spare."""
     return attribution_rows(spark, sf_dir).filter("p_value is not null").select("deal", "period", "term", r("beta", 4).alias("beta"))
 
 
+@query("A6_t_values", _T_VALUES)
+def _(spark, sf_dir):
+    """What the p-values follow from, in the same quarters."""
+    return attribution_rows(spark, sf_dir).filter("p_value is not null").select("deal", "period", "term", r("t_value", 2).alias("t_value"))
+
+
 @query("A7_factor_means", f"WITH {FACTORS} SELECT last_day(min(date)) AS period, {', '.join(rs('avg(' + c + ')', 8) + ' AS ' + c for c in _FIVE[1:])} FROM factors GROUP BY year(date), quarter(date)")
 def factor_mean_rows(spark, sf_dir):
     return f.factor_means(factor_rows(spark, sf_dir)).select("period", *[r(c, 8).alias(c) for c in _FIVE[1:]])

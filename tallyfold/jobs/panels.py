@@ -57,6 +57,11 @@ def portfolio(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFram
     return densify(c, asset="deal")
 
 
+def fund_dates(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    """The funds' calendar."""
+    return table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), unit).alias("date")).distinct()
+
+
 PORTFOLIO = f"""deals AS (
   SELECT o_orderpriority AS deal, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, {rs('avg(o_totalprice)')} AS close FROM orders GROUP BY 1, 2),
 pcal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM deals)), portfolio AS (

@@ -9,7 +9,7 @@ from tallyfold.functions import dates as dt
 from tallyfold.functions import text as tx
 from tallyfold.functions.cells import is_numeric
 from tallyfold.jobs import cross_sections as cs
-from tallyfold.jobs.panels import EVENTS, NEW_OLD, PORTFOLIO, SERIES, STOCK, cells, event_cells, events_dense, new_and_old, portfolio, series, stock, table
+from tallyfold.jobs.panels import EVENTS, NEW_OLD, PORTFOLIO, SERIES, STOCK, cells, event_cells, events_dense, fund_dates, new_and_old, portfolio, series, stock, table
 from tallyfold.jobs.registry import ORACLES, query, r, rs
 from tallyfold.operators import align as al
 from tallyfold.operators import cluster as cl
@@ -34,7 +34,7 @@ def _(spark, sf_dir):
 
 @query("J2_align_force", f"WITH {STOCK}, {PORTFOLIO} SELECT asset, pcal.date, last_value(close IGNORE NULLS) OVER (PARTITION BY asset ORDER BY pcal.i ROWS UNBOUNDED PRECEDING) AS close FROM pcal CROSS JOIN (SELECT DISTINCT asset FROM cells) a LEFT JOIN cells USING (asset, date)")
 def _(spark, sf_dir):
-    return pn.align_force(cells(spark, sf_dir), portfolio(spark, sf_dir), ["close"]).select("asset", "date", "close")
+    return pn.align_force(cells(spark, sf_dir), fund_dates(spark, sf_dir), ["close"]).select("asset", "date", "close")
 
 
 _MERGED = (

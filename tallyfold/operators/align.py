@@ -42,7 +42,7 @@ def as_of(series: DataFrame, targets: DataFrame, extend_last: bool = True, rows:
     real, value = is_true(F.col("_seen.time") == F.col("time")), F.col("_seen.value")
     if extend_last:
         return d.select("series_id", "time", value.alias("value"), real.alias("is_real"))
-    d = join_null_safe(d, series.groupBy("series_id").agg(F.max("time").alias("_last")), ("series_id",))
+    d = join_null_safe(d, series.groupBy("series_id").agg(F.max("time").alias("_last")), ("series_id",), counted=False)
     # Of the targets from the last time on, the first is the one whose target before is earlier, or missing.
     keep = is_true((F.col("time") < F.col("_last")) | F.col("_target").isNull() | (F.col("_target.v") < F.col("_last")))
     return d.select("series_id", "time", F.when(keep, value).alias("value"), (real & keep).alias("is_real"))
@@ -145,10 +145,10 @@ def trim_idle(df: DataFrame, x: str = "value", by: str = "series_id", order: str
     v, i = F.col(x), F.col(order)
     valid = F.when(v.isNotNull(), i)
     ends = df.groupBy(by).agg(F.min_by(v, valid).alias("_a"), F.max_by(v, valid).alias("_z"), F.min(valid).alias("_ia"), F.max(valid).alias("_iz"), (F.min(v) != F.max(v)).alias("_varies"))
-    d = join_null_safe(df, ends, (by,))
+    d = join_null_safe(df, ends, (by,), counted=False)
     other = lambda end: v.isNull() | (v != F.col(end))
     inner = d.groupBy(by).agg((F.min(F.when((i > F.col("_ia")) & other("_a"), i)) - 1).alias("_from"), (F.max(F.when((i < F.col("_iz")) & other("_z"), i)) + 1).alias("_to"))
-    d = join_null_safe(d.drop("_a", "_z", "_ia", "_iz"), inner, (by,))
+    d = join_null_safe(d.drop("_a", "_z", "_ia", "_iz"), inner, (by,), counted=False)
     keep = is_true(F.col("_varies") & (i >= F.col("_from")) & (i <= F.col("_to")))
     return d.withColumn("_keep", keep).withColumn(x, F.when(F.col("_keep"), v)).drop("_varies", "_from", "_to", "_keep")
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators.linalg import ols
+from tallyfold.operators import linalg
+from tallyfold.operators.ordered import join_null_safe
+from tallyfold.operators.triangles import named, triangles
 from tallyfold.operators.windows import ref, reldiff, so_far
-from tallyfold.sources.storage import ship
+from tallyfold.sources.storage import cut, ship
 
 #: Measure -> letters of its upper, middle and lower bucket.
 LETTERS = {"pb_ratio": ("H", "M", "L"), "roe": ("R", "N_roe", "W"), "asset_growth": ("A", "N_growth", "C")}
@@ -75,22 +79,30 @@ TERMS = ("const", "rm_rf", "smb", "hml", "rmw", "cma")
 
 
 def attribution(returns: DataFrame, factors: DataFrame, risk_free: DataFrame) -> DataFrame:
-    """(deal, period, term, beta, p_value): a fund's returns (deal, date, ret) on the factors, by quarter, with a constant.
+    """(deal, period, term, beta, t_value, p_value): a fund's returns (deal, date, ret) on the factors, by quarter, with a constant.
 
-    Factors and risk-free rates are a row for each date. A problem that can't be solved gives betas of 0 and no p-values.
+    Factors and risk-free rates are a row for each date. A problem that can't be solved gives betas of 0, and no t- and
+    p-values. Each task reduces its rows of a quarter to a triangle, which keeps the residuals' sum of squares as well;
+    the triangles of a quarter are what meets.
     """
-    terms = list(TERMS[1:])
+    keys, terms = ["deal", "year", "quarter"], list(TERMS[1:])
     f = factors.join(risk_free, "date", "left").select("date", (F.col("rm") - F.coalesce("rf", F.lit(0.0))).alias("rm_rf"), "smb", "hml", "rmw", "cma")
-    rows = returns.join(f, "date").select("deal", "date", *quarterly(), F.col("ret").cast("double").alias("ret"), *terms)
+    rows = cut(returns.join(f, "date").select("deal", "date", *quarterly(), F.lit(1.0).alias("const"), *terms, "ret"))
+    x = named(len(TERMS) + 1)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pd.Timestamp(pdf["date"].min())
-        beta, p = ols(pdf["ret"].to_numpy(float), pdf[terms].to_numpy(float))
-        return pd.DataFrame({"deal": pdf["deal"].iloc[0], "period": (first + pd.offsets.MonthEnd(0)).date(), "term": TERMS, "beta": beta, "p_value": np.where(np.isnan(p), None, p)})
+        m = np.linalg.qr(pdf[x].to_numpy(float), mode="r")
+        found = linalg.solved(m[:, :-1], m[:, -1], int(pdf["n"].sum()))
+        values = [[None if np.isnan(v) else float(v) for v in c] for c in found]
+        return pdf[keys].iloc[:1].assign(beta=[values[0]], t_value=[values[1]], p_value=[values[2]])
 
-    ship(returns.sparkSession)
-    deal = returns.schema["deal"].dataType.simpleString()
-    return rows.groupBy("deal", "year", "quarter").applyInPandas(fit, f"deal {deal}, period date, term string, beta double, p_value double")
+    schema = f"deal {returns.schema['deal'].dataType.simpleString()}, year long, quarter long, beta array<double>, t_value array<double>, p_value array<double>"
+    fits = triangles(rows, keys, [*TERMS, "ret"]).groupBy(*keys).applyInPandas(fit, schema)
+    periods = rows.groupBy(*keys).agg(F.last_day(F.min("date")).alias("period"))
+    d = join_null_safe(periods, fits, tuple(keys), counted=False)
+    each = d.select("deal", "period", "beta", "t_value", "p_value", F.posexplode(F.array(*[F.lit(t) for t in TERMS])).alias("k", "term"))
+    at = lambda c: F.get(c, F.col("k"))
+    return each.select("deal", "period", "term", F.coalesce(at("beta"), F.lit(0.0)).alias("beta"), at("t_value").alias("t_value"), at("p_value").alias("p_value"))
 
 
 def portfolio_nav(df: DataFrame, w, pos: str = "pos", price: str = "close") -> DataFrame:
@@ -148,16 +160,16 @@ def poly_fit(df: DataFrame, x: str, y: str, by: str, degree: int = 3) -> DataFra
 
     def solve(batches):
         for b in batches:
-            out = []
-            for _, r in b.iterrows():
-                a = np.array([[r[f"p{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)], dtype=float)
-                try:
-                    c = np.linalg.solve(a, np.array([r[f"q{k}"] for k in range(degree + 1)], dtype=float))
-                    p = np.polynomial.Polynomial(c)(np.polynomial.Polynomial([-r["m"] / r["s"], 1 / r["s"]]))
-                    out.append(np.pad(p.coef, (0, degree + 1 - len(p.coef))))
-                except (np.linalg.LinAlgError, ZeroDivisionError):
-                    out.append(np.full(degree + 1, np.nan))
-            yield pd.concat([b[[by]].reset_index(drop=True), pd.DataFrame(np.array(out).reshape(-1, degree + 1), columns=[f"c{k}" for k in range(degree + 1)])], axis=1)
+            power, moment = b[[f"p{k}" for k in range(2 * degree + 1)]].to_numpy(float), b[[f"q{k}" for k in range(degree + 1)]].to_numpy(float)
+            a = power[:, np.add.outer(np.arange(degree + 1), np.arange(degree + 1))]
+            sound = np.isfinite(a).all(axis=(1, 2)) & (np.linalg.matrix_rank(np.where(np.isfinite(a), a, 0)) == degree + 1)
+            c = np.full((len(b), degree + 1), np.nan)
+            c[sound] = np.linalg.solve(a[sound], moment[sound][:, :, None])[:, :, 0]
+            # From powers of (x - m) / s to powers of x, by the binomial rule.
+            m, s = b["m"].to_numpy(float), b["s"].to_numpy(float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out = [sum(c[:, j] * math.comb(j, k) * (-m) ** (j - k) / s**j for j in range(k, degree + 1)) for k in range(degree + 1)]
+            yield pd.concat([b[[by]].reset_index(drop=True), pd.DataFrame(np.array(out).T.reshape(-1, degree + 1), columns=[f"c{k}" for k in range(degree + 1)])], axis=1)
 
     ship(df.sparkSession)
     kind = df.schema[by].dataType.simpleString()

@@ -44,19 +44,26 @@ def student_p(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t)) if df > 0 and math.isfinite(t) else (0.0 if df > 0 and math.isinf(t) else math.nan)
 
 
-def ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients, constant first, and p-values over complete rows. A singular problem gives 0 and NaN; without spare rows p-values are NaN."""
-    k = x.shape[1] + 1
-    ok = ~np.isnan(y) & ~np.isnan(x).any(axis=1)
-    y, x = y[ok], np.column_stack([np.ones(ok.sum()), x[ok]])
-    if len(y) == 0 or np.linalg.matrix_rank(x) < min(k, len(y)):
-        return np.zeros(k), np.full(k, np.nan)
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    spare = len(y) - k
+def solved(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, t-values and p-values of n rows, or of a triangle that stands for them. A singular problem gives 0 and NaN; without spare rows t and p are NaN."""
+    k = x.shape[1]
+    none = np.full(k, np.nan)
+    scale = np.linalg.norm(x, 2) if x.size else 0.0
+    if n == 0 or np.linalg.matrix_rank(x, tol=scale * max(n, k) * np.finfo(float).eps) < min(k, n):
+        return np.zeros(k), none, none
+    beta = np.linalg.lstsq(x, y, rcond=np.finfo(float).eps * max(n, k))[0]
+    spare = n - k
     if spare <= 0:
-        return beta, np.full(k, np.nan)
+        return beta, none, none
     rest = y - x @ beta
     var = rest @ rest / spare * np.diag(np.linalg.inv(x.T @ x))
     with np.errstate(divide="ignore", invalid="ignore"):
         t = beta / np.sqrt(var)
-    return beta, np.array([student_p(v, spare) for v in t])
+    return beta, t, np.array([student_p(v, spare) for v in t])
+
+
+def ols(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients, constant first, and p-values over complete rows."""
+    ok = ~np.isnan(y) & ~np.isnan(x).any(axis=1)
+    beta, _, p = solved(np.column_stack([np.ones(ok.sum()), x[ok]]), y[ok], int(ok.sum()))
+    return beta, p

@@ -36,23 +36,21 @@ class Parts:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.by, "_part").orderBy(*self.order)
 
-    def joined(self, other: DataFrame, how: str = "left", keys: tuple[str, ...] | None = None) -> DataFrame:
-        return join_null_safe(self.df, other, self.by if keys is None else keys, how)
 
-
-def join_null_safe(df: DataFrame, other: DataFrame, keys: tuple[str, ...], how: str = "left") -> DataFrame:
-    """df with the other's columns, joined on keys of which null equals null. The other is sent to all executors if it is small; it has been cut, or is cheap to count."""
+def join_null_safe(df: DataFrame, other: DataFrame, keys: tuple[str, ...], how: str = "left", counted: bool = True) -> DataFrame:
+    """df with the other's columns, joined on keys of which null equals null. If counted, which the other has been cut for, it is sent to all executors where it is small; else Spark finds out as it goes."""
     other = other.select(*[F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
     met = F.lit(True)
     for j, k in enumerate(keys):
         met = met & F.col(k).eqNullSafe(F.col(f"_key{j}"))
-    return df.join(F.broadcast(other) if few(other) else other, met, how).drop(*[f"_key{j}" for j in range(len(keys))])
+    return df.join(F.broadcast(other) if counted and few(other) else other, met, how).drop(*[f"_key{j}" for j in range(len(keys))])
 
 
 def large_groups(df: DataFrame, by: tuple[str, ...], rows: int) -> DataFrame | None:
     """(by, _rows) of groups with more than so many rows; None where there are none. Counting them is a job of its own."""
-    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
-    return None if found.isEmpty() else cut(found)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    most = sizes.agg(F.max("_rows")).first()[0]
+    return None if most is None or most <= rows else cut(sizes.filter(F.col("_rows") > rows))
 
 
 def _search(edges: Column, key: Column) -> Column:
@@ -81,10 +79,12 @@ def by_splitters(df: DataFrame, by: tuple[str, ...], order: list[Column], rows:
     return Parts(d.withColumn("_part", F.when(F.col("_edges").isNull(), 0).otherwise(_search(F.col("_edges"), key))).drop("_edges"), by, tuple(order), True)
 
 
-def by_number(df: DataFrame, by: tuple[str, ...] = ("asset",), i: str = "i", rows: int = BLOCK) -> Parts:
-    """Dense groups, whose rows are numbered by i from 0, cut into blocks of so many rows."""
-    last = df.agg(F.max(i)).first()[0]
-    split = last is not None and last >= rows
+def by_number(df: DataFrame, by: tuple[str, ...] = ("asset",), i: str = "i", rows: int = BLOCK, most: int | None = None) -> Parts:
+    """Dense groups, whose rows are numbered by i from 0, cut into blocks of so many rows. most: rows of the longest group, where known; else a job finds out."""
+    if most is None:
+        last = df.agg(F.max(i)).first()[0]
+        most = 0 if last is None else last + 1
+    split = most > rows
     return Parts(df.withColumn("_part", F.floor(F.col(i) / rows).cast("int") if split else F.lit(0)), by, (F.col(i),), split)
 
 

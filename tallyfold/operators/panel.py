@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import week_of_month
-from tallyfold.operators.ordered import BLOCK
-from tallyfold.operators.windows import ffill
+from tallyfold.operators.ordered import BLOCK, by_number, last_value, running
 from tallyfold.sources.storage import cut, few
 
 #: A calendar is handed to all executors; more dates than this are refused.
@@ -44,8 +43,10 @@ def align_keep(cells: DataFrame, dates: DataFrame, date: str = "date") -> DataFr
 
 def align_force(cells: DataFrame, dates: DataFrame, columns: list[str], asset: str = "asset", date: str = "date", block: int = BLOCK) -> DataFrame:
     """Exactly the calendar's dates for each asset, then filled forward: a dropped date's value is not carried."""
-    d = densify(cells, dates, asset, date).select(asset, date, "i", *[F.col(c).alias(f"_{c}") for c in columns])
-    return ffill(d, {c: F.col(f"_{c}") for c in columns}, (asset,), block=block).drop(*[f"_{c}" for c in columns])
+    days = cut(dates.select(date).distinct())
+    d = densify(cells, days, asset, date).select(asset, date, "i", *[F.col(c).alias(f"_{c}") for c in columns])
+    parts = by_number(d, (asset,), rows=block, most=days.count())
+    return running(parts, {c: last_value(F.col(f"_{c}")) for c in columns}).drop("_part", *[f"_{c}" for c in columns])
 
 
 def regular_dates(start: Column, end: Column, days: int) -> Column:

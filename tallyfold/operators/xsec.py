@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,11 +11,10 @@ from tallyfold.functions.cells import is_true
 from tallyfold.operators.panel import calendar
 from tallyfold.operators.ordered import BLOCK, ROWS, by_splitters, join_null_safe, number, running
 from tallyfold.operators.selection import VALUES, percentiles
+from tallyfold.operators.triangles import named, triangles
 from tallyfold.operators.windows import reduce_freq
-from tallyfold.sources.storage import cut, ship
+from tallyfold.sources.storage import cut
 
-#: Dates whose triangles a task of residual_many holds before it sends them on.
-HELD_DATES = 50_000
 #: Stands for a null date.
 NO_DATE = -(1 << 31)
 
@@ -183,34 +180,15 @@ def coefficients(df: DataFrame, y: str, bases: list[str]) -> DataFrame:
     solved. Collinear bases get the solution of least norm. A date without complete rows has no row.
     """
     k = len(bases)
-    named = [f"_x{j}" for j in range(k + 1)]
-    complete = df.select(F.coalesce(F.unix_date("date"), F.lit(NO_DATE)).alias("_d"), *[_valid(c).alias(n) for c, n in zip([*bases, y], named, strict=True)]).dropna()
-
-    def triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[int, np.ndarray]] = {}
-
-        def sent() -> pd.DataFrame:
-            rows = [(day, n, *row) for day, (n, m) in held.items() for n, row in zip([n, *[0] * (len(m) - 1)], m, strict=True)]
-            held.clear()
-            return pd.DataFrame(rows, columns=["_d", "n", *named])
-
-        for pdf in batches:
-            for day, part in pdf.groupby("_d"):
-                m, (n, old) = part[named].to_numpy(float), held.get(day, (0, np.zeros((0, k + 1))))
-                held[day] = n + len(m), np.linalg.qr(np.vstack([old, m]), mode="r")
-            if len(held) > HELD_DATES:
-                yield sent()
-        if held:
-            yield sent()
+    x = named(k + 1)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.linalg.qr(pdf[named].to_numpy(float), mode="r")
+        m = np.linalg.qr(pdf[x].to_numpy(float), mode="r")
         # The cut-off for collinear columns is that of the whole problem.
         c = np.linalg.lstsq(m[:, :k], m[:, k], rcond=np.finfo(float).eps * max(int(pdf["n"].sum()), k))[0]
         return pd.DataFrame({"_d": pdf["_d"].iloc[:1], "coefficients": [c.tolist()]})
 
-    ship(df.sparkSession)
-    small = complete.mapInPandas(triangles, ", ".join(["_d int, n long", *[f"{c} double" for c in named]]))
+    small = triangles(df.select(F.coalesce(F.unix_date("date"), F.lit(NO_DATE)).alias("_d"), *bases, y), ["_d"], [*bases, y])
     solved = small.groupBy("_d").applyInPandas(solve, "_d int, coefficients array<double>")
     return solved.select(F.when(F.col("_d") != NO_DATE, F.date_from_unix_date("_d")).alias("date"), "coefficients")
 

@@ -146,6 +146,31 @@ def test_ols():
     assert (beta == 0).all() and np.isnan(p).all()
 
 
+def test_attribution(spark):
+    """As least squares over each quarter's rows, whatever tasks they lie in; short, collinear and incomplete quarters; a null deal."""
+    rng = np.random.default_rng(6)
+    days = [d.date(2020, 1, 1) + d.timedelta(7 * k) for k in range(52)]
+    f = rng.normal(size=(52, 5))
+    f[13:26, 4] = 2 * f[13:26, 3]
+    ret = {a: 0.3 + f @ [1, 0.5, -1, 0.2, 0] + rng.normal(size=52) for a in ("a", "b", None)}
+    drop = {("b", k) for k in range(26, 35)}
+    long = [(a, days[k], None if (a, k) == ("a", 40) else float(ret[a][k])) for a in ret for k in range(52) if (a, k) not in drop]
+    fund = spark.createDataFrame(long, "deal string, date date, ret double").repartition(7)
+    table = spark.createDataFrame([(days[k], *map(float, f[k])) for k in range(52)], "date date, rm double, smb double, hml double, rmw double, cma double")
+    got = factors.attribution(fund, table, spark.createDataFrame([], "date date, rf double")).collect()
+    assert len(got) == 3 * 4 * 6
+    by = {(r["deal"], r["period"], r["term"]): r for r in got}
+    for a in ret:
+        for q in range(4):
+            ks = [k for k in range(52) if (days[k].month - 1) // 3 == q and (a, k) not in drop]
+            y = np.array([np.nan if (a, k) == ("a", 40) else ret[a][k] for k in ks])
+            beta, p = linalg.ols(y, f[ks])
+            first = days[ks[0]].replace(day=28) + d.timedelta(4)
+            for j, term in enumerate(factors.TERMS):
+                r = by[a, first - d.timedelta(first.day), term]
+                assert np.isclose(r["beta"], beta[j], atol=1e-9) and (r["p_value"] is None if np.isnan(p[j]) else np.isclose(r["p_value"], p[j], atol=1e-9))
+
+
 def test_shares(spark):
     two = rows(spark, g=[1, 1, 1, 2, 2], k=[0, 1, 2, 0, 1], wt=[0.25, 0.25, 0.5, 0.5, 0.5], t=[2, 2, 2, 3, 3])
     got = factors.integer_shares(two, "wt", "k", "g", F.col("t")).orderBy("g", "k").collect()
