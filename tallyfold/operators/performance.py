@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.cells import ratio_change
-from tallyfold.operators.windows import so_far
+from tallyfold.operators.ordered import ROWS, Parts, by_splitters, largest, last, number, product, running
 
 
 def annual_factor(n: Column, first: Column, last: Column) -> Column:
@@ -15,33 +17,37 @@ def annual_factor(n: Column, first: Column, last: Column) -> Column:
     return F.when(days > 0, n / (days / 365.25)).otherwise(F.lit(250.0))
 
 
-def drawdown_rows(df: DataFrame, nav: str = "nav", by: str = "series_id", order: str = "date") -> DataFrame:
-    """Adds drawdown (peak / nav - 1) and below: how many rows in a row the value has been under its peak."""
-    w = Window.partitionBy(by).orderBy(order)
-    d = df.withColumn("_peak", F.max(nav).over(so_far(w)))
-    d = d.withColumn("drawdown", F.col("_peak") / F.nullif(F.col(nav), F.lit(0.0)) - 1)
-    d = d.withColumn("_run", F.sum((F.col(nav) >= F.col("_peak")).cast("int")).over(so_far(w)))
-    return d.withColumn("below", (F.row_number().over(Window.partitionBy(by, "_run").orderBy(order)) - F.when(F.col("_run") > 0, 1).otherwise(0)).cast("long")).drop("_peak", "_run")
+def _drawdown(parts: Parts, nav: str) -> DataFrame:
+    """parts.df with drawdown and below. Peaks and the last row at a peak are carried from part to part."""
+    d = running(parts, {"_peak": largest(F.col(nav)), "_row": number(F.lit(True))})
+    d = running(replace(parts, df=d), {"_at": largest(F.when(F.col(nav) >= F.col("_peak"), F.col("_row")))})
+    drawdown = F.col("_peak") / F.nullif(F.col(nav), F.lit(0.0)) - 1
+    return d.withColumns({"drawdown": drawdown, "below": F.col("_row") - F.coalesce("_at", F.lit(0))}).drop("_peak", "_row", "_at")
+
+
+def drawdown_rows(df: DataFrame, nav: str = "nav", by: str = "series_id", order: str = "date", rows: int = ROWS) -> DataFrame:
+    """Adds drawdown (peak / nav - 1) and below: how many rows in a row the value has been under its peak. A series of more than so many rows is many tasks."""
+    return _drawdown(by_splitters(df, (by,), [F.col(order)], rows), nav).drop("_part")
 
 
-def max_drawdown(df: DataFrame, nav: str = "nav", by: str = "series_id", order: str = "date") -> DataFrame:
-    return drawdown_rows(df, nav, by, order).groupBy(by).agg(F.max("drawdown").alias("max_dd"), F.max("below").alias("longest_below"))
+def max_drawdown(df: DataFrame, nav: str = "nav", by: str = "series_id", order: str = "date", rows: int = ROWS) -> DataFrame:
+    return drawdown_rows(df, nav, by, order, rows).groupBy(by).agg(F.max("drawdown").alias("max_dd"), F.max("below").alias("longest_below"))
 
 
-def metrics(df: DataFrame, nav: str = "nav", by: str = "series_id", date: str = "date", is_return: bool = False, dated: bool = True) -> DataFrame:
+def metrics(df: DataFrame, nav: str = "nav", by: str = "series_id", date: str = "date", is_return: bool = False, dated: bool = True, rows: int = ROWS) -> DataFrame:
     """One record for each series: annual return, volatility, Sharpe ratio, drawdown, return over drawdown, win rate, range.
 
     n values give n - 1 returns: the first has none. The win rate divides by one more than the number of returns, and
     the number of data is one more than that of dates, as the reference counts them. Not dated: the column is an order
     alone, a year has 250 rows, start, end and days are unknown, and the number of data is that of rows.
     """
-    w = Window.partitionBy(by).orderBy(date)
-    d = df
+    parts = by_splitters(df, (by,), [F.col(date)], rows)
     if is_return:
-        d = d.withColumn("_ret", F.col(nav)).withColumn("_nav", F.product(1 + F.coalesce(F.col(nav), F.lit(0.0))).over(so_far(w)))
+        d = running(parts, {"_nav": product(1 + F.coalesce(F.col(nav), F.lit(0.0)))}).withColumn("_ret", F.col(nav))
     else:
-        d = d.withColumn("_ret", ratio_change(F.col(nav), F.lag(nav).over(w))).withColumn("_nav", F.col(nav))
-    d = drawdown_rows(d, "_nav", by, date)
+        d = running(parts, {"_before": last(F.col(nav), F.lit(True))}, before=True)
+        d = d.withColumn("_ret", ratio_change(F.col(nav), F.col("_before.v"))).withColumn("_nav", F.col(nav)).drop("_before")
+    d = _drawdown(replace(parts, df=d), "_nav")
     n = F.count(F.lit(1))
     base = d.groupBy(by).agg(
         F.min(date).alias("start"), F.max(date).alias("end"), n.alias("_n"), F.avg("_ret").alias("_mean"), F.stddev_pop("_ret").alias("_std"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators import ordered, selection, windows, xsec
+from tallyfold.operators import ordered, performance, selection, windows, xsec
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +119,18 @@ def test_states_from_block_to_block(panel, block):
     states = {"n": ordered.number(b), "t": ordered.total(F.round(x)), "p": ordered.product(F.when(b, 2.0).otherwise(1.0)), "lo": ordered.least(x), "hi": ordered.largest(x), "v": ordered.last_value(x)}
     for before in (False, True):
         same(ordered.running(parts, states, before).drop("_part"), ordered.running(ordered.by_number(panel, rows=1000), states, before).drop("_part"))
+
+
+def test_performance_over_many_tasks(spark):
+    rnd = random.Random(6)
+    rows, start = [], datetime.date(2020, 1, 1)
+    for s in ("a", "b"):
+        v = 1.0
+        for i in range(150 if s == "a" else 9):
+            v *= rnd.choice([0.5, 1.0, 1.25, 2.0])
+            rows.append((s, start + datetime.timedelta(i), None if i in (0, 44) else v, rnd.choice([0.5, -0.5, 0.25, None])))
+    d = spark.createDataFrame(rows, "series_id string, date date, nav double, ret double").repartition(3).cache()
+    same(performance.drawdown_rows(d, rows=10), performance.drawdown_rows(d))
+    rounded = lambda m: m.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in m.dtypes])
+    same(rounded(performance.metrics(d, rows=10)), rounded(performance.metrics(d)))
+    same(rounded(performance.metrics(d, "ret", is_return=True, rows=10)), rounded(performance.metrics(d, "ret", is_return=True)))
