@@ -18,7 +18,7 @@ from tallyfold.operators import panel as pn
 from tallyfold.operators import windows as w
 from tallyfold.operators.factors import TERMS
 from tallyfold.sources import files as io
-from tallyfold.sources.storage import scratch
+from tallyfold.sources.storage import cut, scratch
 from tallyfold.streaming.ingest import ingest, stored
 
 # alignment
@@ -558,13 +558,14 @@ def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-@query("IO1_load_panel", f"WITH {STOCK} SELECT asset, date, close, roe FROM cells")
-def _(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    return pn.check_same_shape({m: c.select("asset", "date", F.col(m).alias("value")) for m in ("close", "roe")})
+_MEASURES = ("close", "market_cap", "pb_ratio", "roe", "qty")
 
 
-_MEASURES = ("close", "market_cap", "pb_ratio", "roe", "qty")
+@query("IO1_load_panel", f"WITH {STOCK} SELECT asset, date, {', '.join(_MEASURES)} FROM cells")
+def _(spark, sf_dir):
+    """Each measure as a table of its own, put together again."""
+    c = cut(cells(spark, sf_dir))
+    return pn.check_same_shape({m: c.select("asset", "date", F.col(m).alias("value")) for m in _MEASURES})
 
 
 @query("IO1_wide_to_long", f"WITH {STOCK} " + " UNION ALL ".join(f"SELECT asset, date, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM cells" for m in _MEASURES))
@@ -658,10 +659,10 @@ def _(spark, sf_dir):
 def _stored(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     path = scratch(spark, by)
     io.write_results(_parsed(spark, sf_dir), path, by)
-    return spark.read.schema("time string, field string, value double, series_id string").parquet(path).groupBy("series_id", "field").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 3).alias("total"), F.max("time").alias("last"))
+    return spark.read.schema("time string, field string, value double, series_id string").parquet(path).select("series_id", "field", "time", "value")
 
 
-_STORED = f"WITH {_PARSED} SELECT series_id, field, count(*) AS n, {rs('sum(value)', 3)} AS total, max(time) AS last FROM parsed GROUP BY 1, 2"
+_STORED = f"WITH {_PARSED} SELECT series_id, field, time, value FROM parsed"
 
 
 @query("IO9_store_by_field", _STORED)

@@ -26,20 +26,25 @@ def edges(tasks: DataFrame, separator: str = ",") -> DataFrame:
 def impact(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """(task, affects): what a change of each task reaches, itself included; a circle raises.
 
-    Paths are joined with paths, so that their length doubles in each round, until a round finds none.
+    The length of paths doubles in each round, and a round joins only the paths that the last one found, once with all
+    that come after and once with all that come before; what is known already is left out. It ends when none is new.
     """
     paths = cut(e.select(F.col("depends_on").alias("task"), F.col("task").alias("affects")).distinct())
-    known, before = paths.count(), -1
-    while known != before:
-        on = paths.select(F.col("task").alias("affects"), F.col("affects").alias("next"))
-        further = paths.join(on, "affects").select("task", F.col("next").alias("affects"))
-        paths = cut(paths.unionByName(further).distinct())
-        if not paths.filter("task = affects").isEmpty():
+    new = paths
+    while not new.isEmpty():
+        if not new.filter("task = affects").isEmpty():
             raise ValueError(CIRCLE)
-        known, before = paths.count(), known
+        longer = _joined(new, paths).unionByName(_joined(paths, new)).distinct()
+        new = cut(longer.join(paths, ["task", "affects"], "left_anti"))
+        paths = cut(paths.unionByName(new))
     return nodes.select("task", F.col("task").alias("affects")).distinct().unionByName(paths)
 
 
+def _joined(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Paths of two parts."""
+    return first.select("task", F.col("affects").alias("over")).join(then.select(F.col("task").alias("over"), "affects"), "over").select("task", "affects")
+
+
 def longest(nodes: DataFrame, e: DataFrame, scope: tuple[str, ...] = (), name: str = "task", ref: str = "depends_on") -> DataFrame:
     """(scope, name, level) of nodes that no circle leads to: 0, or one more than the highest of those that it depends on.
 
