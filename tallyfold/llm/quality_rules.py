@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.base import where
+from tallyfold.llm.base import cut, where
 
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -46,6 +46,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 POLICIES = {
     "base-1": BASE,
     "web-1": tuple(r.name for r in RULES),
+    "web-2": tuple(r.name for r in RULES if r.name not in ("capitals", "exclamations")),
 }
 
 
@@ -117,15 +118,16 @@ def apply_policy(ledger: DataFrame, policy: str = "web-1") -> DataFrame:
     return ledger.select("*", F.lit(policy).alias("policy"), (F.col("failed").bitwiseAND(F.lit(_mask(POLICIES[policy])).cast("long")) == 0).alias("kept"))
 
 
-def ablations(ledger: DataFrame, policy: str = "web-1") -> DataFrame:
-    """For each rule of a policy: n_failed, n_only (documents that this rule alone rejects) and n_kept_without.
+def patterns(ledger: DataFrame) -> DataFrame:
+    """(failed, n): how many documents have each pattern of failure bits, of which there are at most 2^rules."""
+    return ledger.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
 
-    The ledger is first counted by bit pattern, of which there are at most 2^rules; the rest works on those counts.
-    """
+
+def ablations_of(counts: DataFrame, policy: str) -> DataFrame:
+    """(rule, n_failed, n_only, n_kept_without) for each rule of a policy, from counts of patterns, by bits alone."""
     mask = _mask(POLICIES[policy])
-    patterns = ledger.groupBy(F.col("failed").bitwiseAND(F.lit(mask).cast("long")).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
     rules = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in RULES if r.name in POLICIES[policy]])
-    each = patterns.select("bits", "n", F.inline(rules))
+    each = counts.select(F.col("failed").bitwiseAND(F.lit(mask).cast("long")).alias("bits"), "n", F.inline(rules))
     has = F.col("bits").bitwiseAND(F.col("bit")) != 0
     others = F.col("bits").bitwiseAND(F.bitwise_not(F.col("bit")))
     count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
@@ -134,6 +136,21 @@ def ablations(ledger: DataFrame, policy: str = "web-1") -> DataFrame:
     )
 
 
+def ablations(ledger: DataFrame, policy: str = "web-1") -> DataFrame:
+    """For each rule of a policy: n_failed, n_only (documents that this rule alone rejects) and n_kept_without."""
+    return ablations_of(patterns(ledger), policy)
+
+
+def all_ablations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(policy, and the columns of ablations) for every policy, from one ledger of all documents, which is counted once. No documents give no rows."""
+    counts = cut(patterns(ledger(docs, id_col, text_col)))
+    found = None
+    for name in POLICIES:
+        one = ablations_of(counts, name).select(F.lit(name).alias("policy"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def verdicts(docs: DataFrame, policy: str = "web-1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements, base_failed, kept, failed and policy for every row."""
     base = F.col("failed").bitwiseAND(F.lit(_mask(BASE)).cast("long")) != 0

@@ -62,6 +62,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "failed", alone.alias("kept_without"), "policy")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.all_ablations(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = list(pii.PATTERNS)
     found = pii.personal_data(table(spark, sf_dir, "documents"))
@@ -102,6 +106,7 @@ QUERIES = {
     "op11_fill_middle": op11_fill_middle,
     "op12_line_dedup": op12_line_dedup,
     "op13_centroids": op13_centroids,
+    "rule_ablations": rule_ablations,
 }
 
 #: The space that separates words for the rules, and the words that decontamination takes.
@@ -109,7 +114,7 @@ _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _COUNT = "CAST(length(regexp_replace(t, '[^{}]', '', 'g')) AS BIGINT)"
 
-_OP9 = rf"""WITH d AS (
+_LEDGER = rf"""WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x != '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 tri AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
@@ -119,10 +124,16 @@ m AS (
     CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
     {_COUNT.format('!')} AS n_exclamations, {_COUNT.format(r'\p{L}')} AS n_letters, {_COUNT.format(r'\p{Lu}')} AS n_capitals
   FROM s LEFT JOIN rep USING (rid)),
-f AS (SELECT *, CAST({' + '.join(f'CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END' for r in quality_rules.RULES)} AS BIGINT) AS failed FROM m)
+f AS (SELECT *, CAST({' + '.join(f'CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END' for r in quality_rules.RULES)} AS BIGINT) AS failed FROM m)"""
+_OP9 = rf"""{_LEDGER}
 SELECT doc_id, {', '.join(quality_rules.MEASURES)}, failed & 3 != 0 AS base_failed, failed = 0 AS kept, failed,
   CAST(CASE WHEN failed = 0 THEN {quality_rules.ALL} WHEN bit_count(failed) = 1 THEN failed ELSE 0 END AS BIGINT) AS kept_without, 'web-1' AS policy FROM f"""
 
+_POLICY_RULES = ", ".join(f"('{p}', '{r.name}', {1 << r.bit}, {sum(1 << x.bit for x in quality_rules.RULES if x.name in names)})" for p, names in quality_rules.POLICIES.items() for r in quality_rules.RULES if r.name in names)
+_ABLATIONS = rf"""{_LEDGER}, p AS (SELECT * FROM (VALUES {_POLICY_RULES}) t(policy, rule, bit, mask))
+SELECT policy, rule, count(*) FILTER (WHERE failed & bit != 0) AS n_failed, count(*) FILTER (WHERE failed & mask = bit) AS n_only, count(*) FILTER (WHERE failed & mask & ~bit = 0) AS n_kept_without
+FROM f CROSS JOIN p GROUP BY 1, 2"""
+
 _OP2 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format('text')}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '{_WORD}') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(10, len(w)) AS n FROM b) WHERE n > 0)),
@@ -196,6 +207,7 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": _OP2,
     "op4_chat": _OP4,
     "op9_quality_rules": _OP9,
+    "rule_ablations": _ABLATIONS,
     "op11_fill_middle": _OP11,
     "op12_line_dedup": _OP12,
     "op13_centroids": _lloyd(centroids.K, centroids.DIMS, centroids.ROUNDS, centroids.SCALE),
