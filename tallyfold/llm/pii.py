@@ -23,6 +23,9 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 
+#: Different texts in which a term has to stand near an entity, or near one of its group, before anything is concluded:
+#: a word that one text alone has tells nothing, however rare it is.
+SUPPORT = 3
 #: Words on either side of an entity that count as near it; words with digits or @ are skipped.
 NEAR = 8
 #: A term's documents are counted with this many more without the entity, which were not seen: a term that stands in
@@ -140,10 +143,13 @@ def disclosing_terms(docs: DataFrame, near_rows: DataFrame, total: int, text_col
     """(entity, term, share): terms that give away at least that share of an entity's information.
 
     An entity in n of all documents has log2(all / n) bits. A term in m documents, k of them with the entity near it,
-    leaves log2((m + UNSEEN) / k) of them. All documents are counted, with their whole texts.
+    leaves log2((m + UNSEEN) / k) of them. The k documents have SUPPORT different texts at least, so that neither a word
+    seen once nor copies of one text make a term, whatever else the corpus holds. All documents are counted, with their
+    whole texts.
     """
     n_entity = near_rows.select("entity", "doc").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    both = near_rows.filter(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    seen = near_rows.filter(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("doc._hash").alias("n_texts"))
+    both = seen.filter(F.col("n_texts") >= SUPPORT).drop("n_texts")
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
     # Of a term in as many documents as hold it near the entity: what can't disclose even then is not counted at all.
     at_best = F.log2((F.col("n_both") + UNSEEN) / F.col("n_both"))

@@ -145,12 +145,14 @@ def evidence(texts, near=8):
     return both, entity
 
 
-def disclosing(texts, unseen=1, generalise=0.9):
-    """(entity, term) -> share of the entity's information, from generalise on."""
+def disclosing(texts, unseen=1, generalise=0.9, support=3):
+    """(entity, term) -> share of the entity's information, from generalise on, of terms near it in that many different texts."""
     both, entity = evidence(texts)
     n_term = collections.Counter(w for t in texts.values() for w in set(_letters(t or "")))
     out = {}
     for (e, w), docs in both.items():
+        if len({texts[i] for i in docs}) < support:
+            continue
         own = np.log2(len(texts) / len(entity[e]))
         share = (own - np.log2((max(n_term[w], len(docs)) + unseen) / len(docs))) / own if own > 0 else 0
         if share >= generalise:

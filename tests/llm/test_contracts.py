@@ -262,6 +262,26 @@ def test_disclosing_terms(spark):
     assert "Zanzibor" not in clean[0] and "[phone]" in clean[0]
 
 
+def test_terms_need_support(spark):
+    """Planted words that reveal a number are found; words as rare that one text has near an entity, or copies of one, stay, however large the corpus is."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    common = [word() for _ in range(60)]
+    prose = lambda n: " ".join(rnd.choices(common, k=n))
+    telling, innocent, texts = [f"reveal{word()}" for _ in range(12)], [f"only{word()}" for _ in range(40)], []
+    for k, t in enumerate(telling):
+        texts += [f"{prose(9)} {t} +1 555 {100 + k} 4567 {prose(9)}" for _ in range(4)]
+    texts += [f"{prose(9)} {x} a{k}@site{k % 5}.org {prose(9)}" for k, x in enumerate(innocent)]
+    texts += [f"{prose(3)} onlycopied b@copied.net {prose(3)}"] * 30
+    found = {}
+    for size in (1000, 2000):
+        docs = documents(spark, [*texts, *(prose(12) for _ in range(size - len(texts)))], extra=False)
+        terms = pii.personal_data(docs).select("text", F.explode("term").alias("t")).select(F.lower(F.substring("text", F.col("t.start") + 1, F.col("t.end") - F.col("t.start"))).alias("w"))
+        found[size] = {r["w"] for r in terms.distinct().collect()}
+        assert len(found[size] & set(telling)) >= 0.9 * len(telling) and not found[size] & {*innocent, "onlycopied"}
+    assert found[2000] <= found[1000] | set(common)
+
+
 def test_terms_where_lower_case_is_longer(spark):
     """U+0130 becomes two characters in lower case: terms after it, and terms that start with it, are found in their places."""
     rnd = random.Random(4)
