@@ -160,6 +160,10 @@ def nearest(x: np.ndarray, t: Tree, centroids: np.ndarray, ct: Tree) -> tuple[np
     sort = np.lexsort((number, t.lo[node]))
     node, number = node[sort], number[sort]
     best, far = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
+    # 32 bits where no squared distance can need more.
+    widest = int(np.abs(x).max(initial=0)) + int(np.abs(centroids).max(initial=0))
+    kind = np.int32 if widest * widest * x.shape[1] < 1 << 31 else np.int64
+    x, centroids = x.astype(kind), centroids.astype(kind)
     size = t.hi[node] - t.lo[node]
     step = max(1, STEP // x.shape[1])
     ends = np.flatnonzero(np.concatenate([node[1:] != node[:-1], [True]])) + 1  # a node's pairs stay together
@@ -169,7 +173,7 @@ def nearest(x: np.ndarray, t: Tree, centroids: np.ndarray, ct: Tree) -> tuple[np
         stop = int(ends[min(np.searchsorted(ends, max(wanted, begin + 1)), len(ends) - 1)])
         pair, p = _spread(t.lo[node[begin:stop]], t.hi[node[begin:stop]])
         k = number[begin:stop][pair]
-        diff = x[p].astype(np.int64) - centroids[k]
+        diff = x[p] - centroids[k]
         d = np.einsum("ij,ij->i", diff, diff)
         by = np.lexsort((k, d, p))
         p, k, d = p[by], k[by], d[by]
