@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.operators.grouping import grouped_by_rounds, thresholds_by_rounds
 from tallyfold.operators.panel import MAX_DATES
-from tallyfold.sources.storage import cut, ship
+from tallyfold.sources.storage import cut, few, ship
 
-#: A universe whose correlation matrix one task groups has at most so many series.
+#: A universe whose correlation matrix one task groups has at most so many series; larger ones take rounds of jobs.
 MAX_SERIES = 5000
 #: Rows of (series, date) that one task of pairwise_blocked gets on average.
 BLOCK_CELLS = 4_000_000
@@ -131,35 +132,45 @@ def tree_order(m: np.ndarray, thresholds: list[float] | None = None, path: tuple
     return out
 
 
-def _by_universe(pairs: DataFrame, universe: str | None, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """solve, of one universe's matrix as a data frame, in a task for each universe. Their pairs are counted before any is handed to Python: more than MAX_SERIES series fail the job."""
+def _solved(pairs: DataFrame, universe: str | None, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """solve, of one universe's matrix as a data frame, in a task for each universe of at most MAX_SERIES series; rounds, of (u, a, b, corr), for the others. Pairs are counted before any is handed to Python."""
     u = F.col(universe) if universe else F.lit(0)
-    keyed = pairs.select(u.alias("_u"), "a", "b", "corr").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_u")))
-    refused = F.raise_error(F.lit(f"a universe has more than {MAX_SERIES} series")).cast("double")
-    checked = keyed.select("_u", "a", "b", F.when(F.col("_n") <= MAX_SERIES**2, F.col("corr")).otherwise(refused).alias("corr"))
+    keyed = cut(pairs.select(u.alias("_u"), F.coalesce(F.concat(F.lit("u"), u.cast("string")), F.lit("")).alias("u"), "a", "b", "corr"))
+    large = cut(keyed.groupBy("u").count().filter(F.col("count") > MAX_SERIES**2).select("u"))
+    large = F.broadcast(large) if few(large) else large
+    kind = keyed.schema["_u"].dataType.simpleString()
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="a", columns="b", values="corr").sort_index().sort_index(axis=1)
         return solve(m).assign(_u=pdf["_u"].iloc[0])
 
     ship(pairs.sparkSession)
-    out = checked.groupBy("_u").applyInPandas(each, f"_u {checked.schema['_u'].dataType.simpleString()}, {schema}")
+    out = keyed.join(large, "u", "left_anti").drop("u").groupBy("_u").applyInPandas(each, f"_u {kind}, {schema}")
+    if not large.isEmpty():
+        wide = rounds(keyed.join(large, "u", "left_semi").drop("_u"))
+        out = out.unionByName(wide.select(F.when(F.col("u") != "", F.substring("u", 2, 1 << 30)).cast(kind).alias("_u"), *out.columns[1:]))
     return out.withColumnRenamed("_u", universe) if universe else out.drop("_u")
 
 
 def grouped(pairs: DataFrame, thresholds: list[float] | None = None, universe: str | None = None) -> DataFrame:
-    """(series_id, order_no, path) of pairs (a, b, corr); with a universe, (universe, series_id, order_no, path), each in a task of its own."""
+    """(series_id, order_no, path) of pairs (a, b, corr); with a universe, (universe, series_id, order_no, path).
+
+    A universe is one task's work up to MAX_SERIES series, and rounds of Spark jobs beyond. Its pairs are a whole matrix,
+    both orders and the diagonal.
+    """
 
     def solve(m: pd.DataFrame) -> pd.DataFrame:
         rows = tree_order(m.to_numpy(float), thresholds)
         return pd.DataFrame({"series_id": [m.index[i] for i, _ in rows], "order_no": range(len(rows)), "path": [list(p) for _, p in rows]})
 
-    return _by_universe(pairs, universe, solve, f"series_id {pairs.schema['a'].dataType.simpleString()}, order_no long, path array<int>")
+    schema = f"series_id {pairs.schema['a'].dataType.simpleString()}, order_no long, path array<int>"
+    return _solved(pairs, universe, solve, schema, lambda p: grouped_by_rounds(p, thresholds, one_level, tree_order, MAX_SERIES))
 
 
 def chosen_threshold(pairs: DataFrame, universe: str | None = None) -> DataFrame:
     """(threshold) that best_threshold picks for all pairs, or (universe, threshold) for those of each universe."""
-    return _by_universe(pairs, universe, lambda m: pd.DataFrame({"threshold": [best_threshold(m.to_numpy(float))]}), "threshold double")
+    solve = lambda m: pd.DataFrame({"threshold": [best_threshold(m.to_numpy(float))]})
+    return _solved(pairs, universe, solve, "threshold double", lambda p: thresholds_by_rounds(p, one_level, MAX_SERIES))
 
 
 def sorted_matrix(pairs: DataFrame, order: DataFrame, universe: str | None = None) -> DataFrame:
