@@ -309,19 +309,75 @@ def _(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query("T2_one_level")
+def _greedy(name: str, cells: str) -> str:
+    """CTE of cells (key, ids, m, t): ids in the order of joining (done) and the group number of each (nos), a series a step."""
+    mean = lambda others: f"round(list_avg(list_transform({others}, lambda y: m[x || ':' || y])), 11)"
+    best = lambda those, others: f"list_sort(list_transform({those}, lambda x: {{'v': -{mean(others)}, 'place': list_position(ids, x), 'x': x}}))[1].x"
+    fits = "list_filter(rest, lambda x: list_min(list_transform(grp, lambda y: m[x || ':' || y])) > t)"
+    return (
+        f"{name}_all AS (SELECT key, ids, m, t, CAST([] AS BIGINT[]) AS done, CAST([] AS INTEGER[]) AS nos, CAST([] AS BIGINT[]) AS grp FROM {cells} UNION ALL "
+        "SELECT key, ids, m, t, list_append(done, new), list_append(nos, CASE WHEN len(nos) = 0 THEN 0 ELSE nos[-1] + CAST(NOT joins AS INTEGER) END), CASE WHEN joins THEN list_append(grp, new) ELSE [new] END "
+        f"FROM (SELECT *, len(fits) > 0 AS joins, CASE WHEN len(fits) > 0 THEN {best('fits', 'grp')} ELSE {best('rest', 'rest')} END AS new "
+        f"FROM (SELECT *, {fits} AS fits FROM (SELECT *, list_filter(ids, lambda x: NOT list_contains(done, x)) AS rest FROM {name}_all WHERE len(done) < len(ids))))), "
+        f"{name} AS (SELECT key, ids, m, t, done, nos FROM {name}_all WHERE len(done) = len(ids))"
+    )
+
+
+_CELL = "list(DISTINCT a ORDER BY a) AS ids, map_from_entries(list((a || ':' || b, corr))) AS m"
+_PAIRS_SQL = f"WITH RECURSIVE {_RETURNS}, p AS (SELECT x.universe, x.series_id AS a, y.series_id AS b, {_CORR} AS corr FROM ret x JOIN ret y ON x.i = y.i AND x.universe = y.universe GROUP BY 1, 2, 3)"
+_LEVEL_ROWS = "SELECT key, unnest(done) AS series_id, unnest(nos) AS no, unnest(range(len(done))) AS place FROM"
+_TWO_LEVELS_SQL = (
+    f"{_PAIRS_SQL}, c1 AS (SELECT universe AS key, {_CELL}, 0.2 AS t FROM p GROUP BY 1), {_greedy('l1', 'c1')}, r1 AS ({_LEVEL_ROWS} l1), "
+    f"c2 AS (SELECT {{'u': key, 'no': no}} AS key, list(series_id ORDER BY place) AS ids, any_value(m) AS m, 0.6 AS t FROM r1 JOIN (SELECT key, m FROM l1) USING (key) GROUP BY 1), {_greedy('l2', 'c2')}, "
+    f"r2 AS ({_LEVEL_ROWS} l2), placed AS (SELECT key.u AS universe, series_id, row_number() OVER (PARTITION BY key.u ORDER BY key.no, place) - 1 AS order_no, CASE WHEN count(*) OVER (PARTITION BY key.u) > 1 THEN [key.no, no] ELSE [no] END AS path FROM r2)"
+)
+
+
+@query("T2_one_level", f"{_PAIRS_SQL}, c AS (SELECT universe AS key, {_CELL}, 0.2 AS t FROM p GROUP BY 1), {_greedy('l', 'c')} SELECT key AS universe, series_id, place AS order_no, [no] AS path FROM ({_LEVEL_ROWS} l)")
 def _(spark, sf_dir):
     return cl.grouped(_pairs(spark, sf_dir), [0.2], "universe")
 
 
+@query(
+    "T2_by_rounds",
+    _NATIONS_SQL.replace("WITH", "WITH RECURSIVE", 1).replace("SELECT x.series_id AS a", "p AS (SELECT x.series_id AS a").replace("i > 0) p AS", "i > 0), p AS")
+    + f"), c AS (SELECT 0 AS key, {_CELL}, 0.3 AS t FROM p), {_greedy('l', 'c')} SELECT series_id, place AS order_no, [no] AS path FROM ({_LEVEL_ROWS} l)",
+)
+def _(spark, sf_dir):
+    """The nations' mean prices, a universe of twenty-five series, where a task takes eight."""
+    return cl.grouped(cl.pairwise(_nations(spark, sf_dir)).select("a", "b", r("corr", 9).alias("corr")), [0.3], most=8)
+
+
+@query("T3_two_levels", f"{_TWO_LEVELS_SQL} SELECT * FROM placed")
+def _(spark, sf_dir):
+    return cl.grouped(_pairs(spark, sf_dir), [0.2, 0.6], "universe")
+
+
+@query(
+    "T7_two_levels",
+    f"{_TWO_LEVELS_SQL} SELECT p.universe, p.a, p.b, x.order_no AS row_no, y.order_no AS col_no, nullif(corr, -1) AS corr FROM p JOIN placed x ON p.universe = x.universe AND p.a = x.series_id JOIN placed y ON p.universe = y.universe AND p.b = y.series_id",
+)
+def _(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return cl.sorted_matrix(pairs, cl.grouped(pairs, [0.2, 0.6], "universe"), "universe")
+
+
 @query("T3_many_levels")
 def _(spark, sf_dir):
     return cl.grouped(_pairs(spark, sf_dir), universe="universe")
 
 
-@query("T4_threshold")
+@query(
+    "T4_threshold",
+    f"{_PAIRS_SQL}, c0 AS (SELECT universe, {_CELL}, min(corr) AS low, max(corr) AS high FROM p GROUP BY 1), "
+    "c AS (SELECT {'u': universe, 'k': k} AS key, ids, m, CASE WHEN k = 20 THEN high ELSE k * ((high - low) / 20) + low END AS t FROM c0, (SELECT unnest(range(21)) AS k)), "
+    f"{_greedy('l', 'c')}, rows AS ({_LEVEL_ROWS} l), means AS (SELECT x.key, avg(corr) AS mean FROM rows x JOIN rows y ON x.key = y.key AND x.no = y.no JOIN p ON p.universe = x.key.u AND p.a = x.series_id AND p.b = y.series_id GROUP BY 1), "
+    "q AS (SELECT key.u AS universe, key.k AS k, t, mean, -nos[-1] AS number FROM l JOIN means USING (key)), "
+    "s AS (SELECT universe, k, t, round((mean - min(mean) OVER w) / coalesce(nullif(max(mean) OVER w - min(mean) OVER w, 0), 1) + (number - min(number) OVER w) / coalesce(nullif(max(number) OVER w - min(number) OVER w, 0), 1), 11) AS score FROM q WINDOW w AS (PARTITION BY universe)) "
+    f"SELECT universe, {rs('arg_max(t, (score, -k))', 9)} AS threshold FROM s GROUP BY 1",
+)
 def _(spark, sf_dir):
-    return cl.chosen_threshold(_pairs(spark, sf_dir), "universe")
+    return cl.chosen_threshold(_pairs(spark, sf_dir), "universe").select("universe", r("threshold", 9).alias("threshold"))
 
 
 @query("T6_rescaled")

@@ -132,11 +132,11 @@ def tree_order(m: np.ndarray, thresholds: list[float] | None = None, path: tuple
     return out
 
 
-def _solved(pairs: DataFrame, universe: str | None, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """solve, of one universe's matrix as a data frame, in a task for each universe of at most MAX_SERIES series; rounds, of (u, a, b, corr), for the others. Pairs are counted before any is handed to Python."""
+def _solved(pairs: DataFrame, universe: str | None, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """solve, of one universe's matrix as a data frame, in a task for each universe of at most so many series; rounds, of (u, a, b, corr), for the others. Pairs are counted before any is handed to Python."""
     u = F.col(universe) if universe else F.lit(0)
     keyed = cut(pairs.select(u.alias("_u"), F.coalesce(F.concat(F.lit("u"), u.cast("string")), F.lit("")).alias("u"), "a", "b", "corr"))
-    large = cut(keyed.groupBy("u").count().filter(F.col("count") > MAX_SERIES**2).select("u"))
+    large = cut(keyed.groupBy("u").count().filter(F.col("count") > most**2).select("u"))
     large = F.broadcast(large) if few(large) else large
     kind = keyed.schema["_u"].dataType.simpleString()
 
@@ -152,25 +152,28 @@ def _solved(pairs: DataFrame, universe: str | None, solve: Callable[[pd.DataFram
     return out.withColumnRenamed("_u", universe) if universe else out.drop("_u")
 
 
-def grouped(pairs: DataFrame, thresholds: list[float] | None = None, universe: str | None = None) -> DataFrame:
+def grouped(pairs: DataFrame, thresholds: list[float] | None = None, universe: str | None = None, most: int | None = None) -> DataFrame:
     """(series_id, order_no, path) of pairs (a, b, corr); with a universe, (universe, series_id, order_no, path).
 
-    A universe is one task's work up to MAX_SERIES series, and rounds of Spark jobs beyond. Its pairs are a whole matrix,
+    A universe is one task's work up to most (MAX_SERIES) series, and rounds of Spark jobs beyond. Its pairs are a whole matrix,
     both orders and the diagonal.
     """
 
+    most = MAX_SERIES if most is None else most
+
     def solve(m: pd.DataFrame) -> pd.DataFrame:
         rows = tree_order(m.to_numpy(float), thresholds)
         return pd.DataFrame({"series_id": [m.index[i] for i, _ in rows], "order_no": range(len(rows)), "path": [list(p) for _, p in rows]})
 
     schema = f"series_id {pairs.schema['a'].dataType.simpleString()}, order_no long, path array<int>"
-    return _solved(pairs, universe, solve, schema, lambda p: grouped_by_rounds(p, thresholds, one_level, tree_order, MAX_SERIES))
+    return _solved(pairs, universe, solve, schema, lambda p: grouped_by_rounds(p, thresholds, one_level, tree_order, most), most)
 
 
-def chosen_threshold(pairs: DataFrame, universe: str | None = None) -> DataFrame:
+def chosen_threshold(pairs: DataFrame, universe: str | None = None, most: int | None = None) -> DataFrame:
     """(threshold) that best_threshold picks for all pairs, or (universe, threshold) for those of each universe."""
+    most = MAX_SERIES if most is None else most
     solve = lambda m: pd.DataFrame({"threshold": [best_threshold(m.to_numpy(float))]})
-    return _solved(pairs, universe, solve, "threshold double", lambda p: thresholds_by_rounds(p, one_level, MAX_SERIES))
+    return _solved(pairs, universe, solve, "threshold double", lambda p: thresholds_by_rounds(p, one_level, most), most)
 
 
 def sorted_matrix(pairs: DataFrame, order: DataFrame, universe: str | None = None) -> DataFrame:

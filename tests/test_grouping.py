@@ -23,26 +23,23 @@ def _pairs(spark):
 
 
 @pytest.mark.parametrize(("most", "thresholds"), [(2, [0.1]), (4, [-0.2, 0.5]), (6, None)])
-def test_groups_of_large_universes(spark, monkeypatch, most, thresholds):
-    monkeypatch.setattr(cluster, "MAX_SERIES", most)
-    got = {(r["u"], r["series_id"]): (r["order_no"], r["path"]) for r in cluster.grouped(_pairs(spark), thresholds, "u").collect()}
+def test_groups_of_large_universes(spark, most, thresholds):
+    got = {(r["u"], r["series_id"]): (r["order_no"], r["path"]) for r in cluster.grouped(_pairs(spark), thresholds, "u", most).collect()}
     want = {(u, f"s{i:02d}"): (k, list(p)) for u, m in _matrices() for k, (i, p) in enumerate(cluster.tree_order(m, thresholds))}
     assert got == want
 
 
-def test_thresholds_of_large_universes(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "MAX_SERIES", 7)
-    got = {r["u"]: r["threshold"] for r in cluster.chosen_threshold(_pairs(spark), "u").collect()}
+def test_thresholds_of_large_universes(spark):
+    got = {r["u"]: r["threshold"] for r in cluster.chosen_threshold(_pairs(spark), "u", 7).collect()}
     assert got == {u: pytest.approx(cluster.best_threshold(m), abs=1e-12) for u, m in _matrices()}
 
 
-def test_ties_go_to_the_smaller_series(spark, monkeypatch):
+def test_ties_go_to_the_smaller_series(spark):
     """All correlations the same: series join in their own order, and a task never holds more than two."""
-    monkeypatch.setattr(cluster, "MAX_SERIES", 2)
     flat = [(i, j, 1.0 if i == j else 0.1) for i in range(6) for j in range(6)]
-    rows = cluster.grouped(spark.createDataFrame(flat, "a int, b int, corr double"), [0.0]).orderBy("order_no").collect()
+    rows = cluster.grouped(spark.createDataFrame(flat, "a int, b int, corr double"), [0.0], most=2).orderBy("order_no").collect()
     assert [r["series_id"] for r in rows] == list(range(6)) and {tuple(r["path"]) for r in rows} == {(0,)}
-    alone = cluster.grouped(spark.createDataFrame(flat, "a int, b int, corr double"), [0.1]).orderBy("order_no").collect()
+    alone = cluster.grouped(spark.createDataFrame(flat, "a int, b int, corr double"), [0.1], most=2).orderBy("order_no").collect()
     assert [(r["series_id"], r["path"]) for r in alone] == [(i, [i]) for i in range(6)]
 
 
