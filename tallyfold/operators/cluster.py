@@ -117,16 +117,16 @@ def best_threshold(m: np.ndarray, steps: int = 20) -> float:
     return float(levels[np.argmax(((quality - low) / np.where(high > low, high - low, 1.0)).sum(axis=0))])
 
 
-def tree_order(m: np.ndarray, thresholds: list[float] | None = None, path: tuple[int, ...] = ()) -> list[tuple[int, tuple[int, ...]]]:
-    """(member, path of group numbers) in display order. Given thresholds are used level by level; without any, each level finds its own until it no longer splits."""
+def tree_order(m: np.ndarray, thresholds: list[float] | None = None, path: tuple[int, ...] = (), further: bool = False) -> list[tuple[int, tuple[int, ...]]]:
+    """(member, path of group numbers) in display order. Given thresholds are used level by level; without any, or further than those given, each level finds its own until it no longer splits."""
     auto = not thresholds
     t = best_threshold(m) if auto else thresholds[0]
-    deeper = len(m) > 1 and (t > m.min() if auto else len(thresholds) > 1)
+    deeper = len(m) > 1 and (t > m.min() if auto else len(thresholds) > 1 or further)
     out = []
     for k, g in enumerate(one_level(m, t)):
         here = (*path, k)
         if deeper:
-            out += [(int(g[i]), p) for i, p in tree_order(m[np.ix_(g, g)], None if auto else thresholds[1:], here)]
+            out += [(int(g[i]), p) for i, p in tree_order(m[np.ix_(g, g)], None if auto else thresholds[1:], here, further)]
         else:
             out += [(int(i), here) for i in g]
     return out
@@ -152,21 +152,21 @@ def _solved(pairs: DataFrame, universe: str | None, solve: Callable[[pd.DataFram
     return out.withColumnRenamed("_u", universe) if universe else out.drop("_u")
 
 
-def grouped(pairs: DataFrame, thresholds: list[float] | None = None, universe: str | None = None, most: int | None = None) -> DataFrame:
+def grouped(pairs: DataFrame, thresholds: list[float] | None = None, universe: str | None = None, most: int | None = None, further: bool = False) -> DataFrame:
     """(series_id, order_no, path) of pairs (a, b, corr); with a universe, (universe, series_id, order_no, path).
 
-    A universe is one task's work up to most (MAX_SERIES) series, and rounds of Spark jobs beyond. Its pairs are a whole matrix,
+    Thresholds are those of tree_order. A universe is one task's work up to most (MAX_SERIES) series, and rounds of Spark jobs beyond. Its pairs are a whole matrix,
     both orders and the diagonal.
     """
 
     most = MAX_SERIES if most is None else most
 
     def solve(m: pd.DataFrame) -> pd.DataFrame:
-        rows = tree_order(m.to_numpy(float), thresholds)
+        rows = tree_order(m.to_numpy(float), thresholds, further=further)
         return pd.DataFrame({"series_id": [m.index[i] for i, _ in rows], "order_no": range(len(rows)), "path": [list(p) for _, p in rows]})
 
     schema = f"series_id {pairs.schema['a'].dataType.simpleString()}, order_no long, path array<int>"
-    return _solved(pairs, universe, solve, schema, lambda p: grouped_by_rounds(p, thresholds, one_level, tree_order, most), most)
+    return _solved(pairs, universe, solve, schema, lambda p: grouped_by_rounds(p, thresholds, one_level, tree_order, most, further), most)
 
 
 def chosen_threshold(pairs: DataFrame, universe: str | None = None, most: int | None = None) -> DataFrame:

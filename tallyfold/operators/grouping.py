@@ -190,18 +190,18 @@ def thresholds_by_rounds(pairs: DataFrame, one_level: Callable, local: int) -> D
     return best_thresholds(matrix, _start(matrix), one_level, local).select("u", F.col("t").alias("threshold"))
 
 
-def _split_further(tree_order: Callable, thresholds: list[float] | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _split_further(tree_order: Callable, thresholds: list[float] | None, further: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """tree_order of one group, below the path it has."""
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         m = _square(pdf)
-        rows = tree_order(m.to_numpy(float), thresholds, tuple(int(x) for x in pdf["c"].iloc[0]))
+        rows = tree_order(m.to_numpy(float), thresholds, tuple(int(x) for x in pdf["c"].iloc[0]), further)
         return pd.DataFrame({"u": pdf["u"].iloc[0], "path": [list(p) for _, p in rows], "s": [m.index[i] for i, _ in rows], "j": range(len(rows))})
 
     return ordered
 
 
-def grouped_by_rounds(pairs: DataFrame, thresholds: list[float] | None, one_level: Callable, tree_order: Callable, local: int) -> DataFrame:
+def grouped_by_rounds(pairs: DataFrame, thresholds: list[float] | None, one_level: Callable, tree_order: Callable, local: int, further: bool = False) -> DataFrame:
     """(u, series_id, order_no, path) for pairs (u, a, b, corr), a matrix for each u: as tree_order gives for one.
 
     Groups of at most local series are split further in one task each. Numbering sorts the series of a universe, not
@@ -211,9 +211,10 @@ def grouped_by_rounds(pairs: DataFrame, thresholds: list[float] | None, one_leve
     series = pairs.schema["a"].dataType.simpleString()
     cells, found, depth = _start(matrix), [], 0
     while not cells.isEmpty():
-        if thresholds:
-            deeper = F.lit(depth + 1 < len(thresholds))
-            tried = cells.select(*CELL).distinct().select(*CELL, F.lit(0).alias("k"), F.lit(float(thresholds[depth])).alias("t"), deeper.alias("deeper"))
+        given = (thresholds or [])[depth:]
+        if given:
+            deeper = F.lit(len(given) > 1 or further)
+            tried = cells.select(*CELL).distinct().select(*CELL, F.lit(0).alias("k"), F.lit(float(given[0])).alias("t"), deeper.alias("deeper"))
         else:
             best = best_thresholds(matrix, cells, one_level, local)
             tried = best.select(*CELL, F.lit(0).alias("k"), "t", (F.col("t") > F.col("low")).alias("deeper"))
@@ -223,12 +224,11 @@ def grouped_by_rounds(pairs: DataFrame, thresholds: list[float] | None, one_leve
         found.append(groups.filter(~F.col("deeper")).select("u", F.col("c").alias("path"), "s", "j"))
         sizes = groups.filter("deeper").groupBy(*CELL).count()
         split = cut(groups.filter("deeper").join(sizes, CELL))
-        rest = thresholds[depth + 1 :] if thresholds else None
 
         small = split.filter(F.col("count") <= local).select(*CELL, "s", F.col("j").alias("o"))
         if not small.isEmpty():
             own = matrix.within(small, CELL).select(*CELL, "o", "a", "b", "corr")
-            found.append(cut(own.groupBy(*CELL).applyInPandas(_split_further(tree_order, rest), f"u string, path array<int>, s {series}, j int")))
+            found.append(cut(own.groupBy(*CELL).applyInPandas(_split_further(tree_order, given[1:] or None, further), f"u string, path array<int>, s {series}, j int")))
         cells = cut(split.filter(F.col("count") > local).select(*CELL, "s", F.col("j").alias("o")))
         depth += 1
     every = reduce(DataFrame.unionByName, found)

@@ -22,10 +22,10 @@ def _pairs(spark):
     return spark.createDataFrame(flat, "u string, a string, b string, corr double").repartition(3)
 
 
-@pytest.mark.parametrize(("most", "thresholds"), [(2, [0.1]), (4, [-0.2, 0.5]), (6, None)])
-def test_groups_of_large_universes(spark, most, thresholds):
-    got = {(r["u"], r["series_id"]): (r["order_no"], r["path"]) for r in cluster.grouped(_pairs(spark), thresholds, "u", most).collect()}
-    want = {(u, f"s{i:02d}"): (k, list(p)) for u, m in _matrices() for k, (i, p) in enumerate(cluster.tree_order(m, thresholds))}
+@pytest.mark.parametrize(("most", "thresholds", "further"), [(2, [0.1], False), (4, [-0.2, 0.5], False), (6, None, False), (6, [-0.5], True)])
+def test_groups_of_large_universes(spark, most, thresholds, further):
+    got = {(r["u"], r["series_id"]): (r["order_no"], r["path"]) for r in cluster.grouped(_pairs(spark), thresholds, "u", most, further).collect()}
+    want = {(u, f"s{i:02d}"): (k, list(p)) for u, m in _matrices() for k, (i, p) in enumerate(cluster.tree_order(m, thresholds, further=further))}
     assert got == want
 
 
