@@ -380,10 +380,27 @@ def _(spark, sf_dir):
     return cl.chosen_threshold(_pairs(spark, sf_dir), "universe").select("universe", r("threshold", 9).alias("threshold"))
 
 
-@query("T6_rescaled")
+@query(
+    "T6_rescaled",
+    f"WITH RECURSIVE {_ESERIES}, x AS (SELECT CAST(floor(series_id / 200) AS BIGINT) AS universe, series_id, i AS t, value + 1 AS v FROM s), "
+    "days AS (SELECT universe, t, row_number() OVER (PARTITION BY universe ORDER BY t) - 1 AS i FROM (SELECT DISTINCT universe, t FROM x)), "
+    "d AS (SELECT a.universe, a.series_id, days.i, t, v FROM (SELECT DISTINCT universe, series_id FROM x) a JOIN days USING (universe) LEFT JOIN x USING (universe, series_id, t)), "
+    "e AS (SELECT *, CASE WHEN v IS NOT NULL AND lag(v) OVER w IS NULL THEN i END AS start, last_value(v IGNORE NULLS) OVER everything AS last, max(CASE WHEN v IS NOT NULL THEN i END) OVER everything + 1 AS fin, "
+    "min(CASE WHEN v IS NULL THEN i END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM d WINDOW w AS (PARTITION BY series_id ORDER BY i), everything AS (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), "
+    "f AS (SELECT *, CASE WHEN v IS NOT NULL THEN (last - v) / (fin - i) END AS step, max(start) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was, max(start) OVER (PARTITION BY series_id) AS final FROM e WINDOW w AS (PARTITION BY series_id ORDER BY i)), "
+    "far AS (SELECT universe, i, series_id, stop, round(abs(step - avg(step) OVER (PARTITION BY universe, i)), 9) AS far FROM f WHERE step IS NOT NULL), "
+    "best AS (SELECT universe, i, arg_min(series_id, (far, series_id)) AS series_id, arg_min(coalesce(stop, 1000000), (far, series_id)) AS stop FROM far GROUP BY 1, 2), "
+    "ahead AS (SELECT b.universe, b.i, min(c.i) AS then FROM best b JOIN best c ON b.universe = c.universe AND c.i >= b.stop GROUP BY 1, 2), "
+    "chain AS (SELECT * FROM best WHERE (universe, i) IN (SELECT (universe, min(i)) FROM best GROUP BY universe) "
+    "UNION ALL SELECT b.* FROM chain c JOIN ahead a ON c.universe = a.universe AND c.i = a.i JOIN best b ON b.universe = c.universe AND b.i = a.then), "
+    "held AS (SELECT f.universe, f.i, f.v, f.was, g.v AS first FROM f JOIN chain c ON f.universe = c.universe AND f.series_id = c.series_id AND f.i >= c.i AND f.i < c.stop LEFT JOIN f g ON g.series_id = f.series_id AND g.i = f.was), "
+    "levels AS (SELECT universe, i, v AS level FROM held WHERE was IS NULL UNION ALL SELECT h.universe, h.i, h.v * (l.level / nullif(h.first, 0)) FROM levels l JOIN held h ON h.universe = l.universe AND h.was = l.i) "
+    f"SELECT f.universe, f.series_id, f.t AS i, {rs('f.v * (l.level / nullif(g.v, 0))')} AS value FROM f LEFT JOIN levels l ON l.universe = f.universe AND l.i = f.final LEFT JOIN f g ON g.series_id = f.series_id AND g.i = f.final",
+)
 def _(spark, sf_dir):
     """Users in universes of two hundred."""
-    return cl.rescaled(_event_series(spark, sf_dir).select("series_id", "i", (F.col("value") + 1).alias("value"), F.floor(F.col("series_id") / 200).alias("universe")), "universe")
+    series = _event_series(spark, sf_dir).select("series_id", "i", (F.col("value") + 1).alias("value"), F.floor(F.col("series_id") / 200).alias("universe"))
+    return cl.rescaled(series, "universe").select("universe", "series_id", "i", r("value").alias("value"))
 
 
 @query("T7_sorted_matrix")
