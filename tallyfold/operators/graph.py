@@ -9,40 +9,77 @@ from tallyfold.sources.storage import cut
 
 #: Rounds after which what is placed so far is written anew, so that plans stay short.
 REWRITE = 20
+#: Rows that a task gets, about.
+ROWS = 500_000
 CIRCLE = "tasks depend on each other in a circle"
 
 
 def edges(tasks: DataFrame, separator: str = ",") -> DataFrame:
     """(task, depends_on) of tasks with a separated list of names; duplicate tasks and unknown names raise."""
-    if not tasks.groupBy("task").count().filter("count > 1").isEmpty():
+    known, n = tasks.select("task"), tasks.count()
+    if not spread(known, n, "task").groupBy("task").count().filter("count > 1").isEmpty():
         raise ValueError("a task stands twice")
     names = F.transform(F.split(F.coalesce("depends_on", F.lit("")), separator), lambda x: F.trim(x))
-    e = tasks.select("task", F.explode(F.filter(names, lambda x: x != "")).alias("depends_on")).distinct()
-    if not e.join(tasks.select(F.col("task").alias("depends_on")), "depends_on", "left_anti").isEmpty():
+    e = tasks.select("task", F.explode(F.array_distinct(F.filter(names, lambda x: x != ""))).alias("depends_on"))
+    known = spread(known.withColumnRenamed("task", "depends_on"), n, "depends_on").hint("merge")
+    if not e.select("depends_on").distinct().join(known, "depends_on", "left_anti").isEmpty():
         raise ValueError("a task depends on an unknown one")
     return e
 
 
+def spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Dealt out by keys, so that of n rows a task gets about ROWS; no more than that are left to Spark.
+
+    Spark merges partitions by their compressed bytes, which for names are few; it does not merge these.
+    """
+    return df if n <= ROWS else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS)), *keys)
+
+
 def impact(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """(task, affects): what a change of each task reaches, itself included; a circle raises.
 
-    The length of paths doubles in each round, and a round joins only the paths that the last one found, once with all
-    that come after and once with all that come before; what is known already is left out. It ends when none is new.
+    The length of paths doubles in each round. Known are all pairs at most 2^k edges apart; a round puts those exactly so
+    far apart (last) in front of all. A pair is last in turn if it is new and found from two that are last alone. It ends
+    when there is nothing to put together.
     """
-    paths = cut(e.select(F.col("depends_on").alias("task"), F.col("task").alias("affects")).distinct())
-    new = paths
-    while not new.isEmpty():
-        if not new.filter("task = affects").isEmpty():
+    e = e.select(F.col("depends_on").alias("task"), F.col("task").alias("affects"))
+    paths = cut(spread(e, e.count(), "task", "affects").distinct().withColumn("last", F.lit(True)))
+    while True:
+        ends = cut(_ends(paths))
+        n_paths, n_longer, n_circles = ends.agg(F.sum("leave"), F.sum(F.col("arrive") * F.col("leave")), F.sum("circles")).first()
+        if n_circles:
             raise ValueError(CIRCLE)
-        longer = _joined(new, paths).unionByName(_joined(paths, new)).distinct()
-        new = cut(longer.join(paths, ["task", "affects"], "left_anti"))
-        paths = cut(paths.unionByName(new))
-    return nodes.select("task", F.col("task").alias("affects")).distinct().unionByName(paths)
+        if not n_longer:
+            break
+        found = paths.withColumn("last", F.lit(False)).unionByName(_longer(paths, ends, n_paths + n_longer))
+        paths = cut(spread(found, n_paths + n_longer, "task", "affects").groupBy("task", "affects").agg(F.min("last").alias("last")))
+    own = nodes.select("task", F.col("task").alias("affects"))
+    return spread(own, nodes.count(), "task").distinct().unionByName(paths.drop("last"))
+
+
+def _ends(paths: DataFrame) -> DataFrame:
+    """(over, arrive, leave, circles): of each node, how many last paths end there, how many paths start there and come back."""
+    row = lambda node, arrive, leave, circle: F.struct(F.col(node).alias("over"), arrive.cast("long").alias("arrive"), F.lit(leave).cast("long").alias("leave"), circle.cast("long").alias("circles"))
+    both = F.array(row("task", F.lit(0), 1, F.coalesce(F.col("task") == F.col("affects"), F.lit(False))), row("affects", F.col("last"), 0, F.lit(0)))
+    rows = paths.select(F.inline(both)).filter("arrive > 0 or leave > 0")
+    return rows.groupBy("over").agg(*[F.sum(c).alias(c) for c in ("arrive", "leave", "circles")])
 
 
-def _joined(first: DataFrame, then: DataFrame) -> DataFrame:
-    """Paths of two parts."""
-    return first.select("task", F.col("affects").alias("over")).join(then.select(F.col("task").alias("over"), "affects"), "over").select("task", "affects")
+def _longer(paths: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """(task, affects, last): last paths with all that go on where they end, n rows at most with those joined.
+
+    Where more than ROWS meet in a node, the longer side is dealt out over parts and the other goes to each of them. Such
+    nodes are sent to all executors, one at most for every ROWS of the result.
+    """
+    meet = F.col("arrive") * F.col("leave")
+    busy = F.broadcast(ends.filter(meet > ROWS).select("over", F.ceil(meet / ROWS).alias("parts"), (F.col("arrive") > F.col("leave")).alias("cut_first")))
+    one_of = lambda c: F.array(F.pmod(F.xxhash64(c), F.col("parts")))
+    each, only = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), F.array(F.lit(0).cast("long"))
+    part = lambda cut_here, c: F.explode(F.when(F.col("parts").isNull(), only).when(cut_here, one_of(c)).otherwise(each)).alias("part")
+    first = paths.filter("last").select("task", F.col("affects").alias("over")).join(busy, "over", "left").select("task", "over", part(F.col("cut_first"), "task"))
+    then = paths.select(F.col("task").alias("over"), "affects", "last").join(busy, "over", "left").select("over", "affects", "last", part(~F.col("cut_first"), "affects"))
+    first, then = (spread(x, n, "over", "part").hint("merge") for x in (first, then))
+    return then.join(first, ["over", "part"]).select("task", "affects", "last")
 
 
 def longest(nodes: DataFrame, e: DataFrame, scope: tuple[str, ...] = (), name: str = "task", ref: str = "depends_on") -> DataFrame:

@@ -372,6 +372,68 @@ def test_long_chain(spark):
     assert graph.impact(tasks.select("task"), e).count() == 500 * 501 // 2
 
 
+def test_impact_in_bounded_tasks(spark, monkeypatch):
+    """More paths are more tasks, not longer ones: no part of what a round leaves holds much more than ROWS."""
+    monkeypatch.setattr(graph, "ROWS", 500, raising=False)
+    most, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        if "affects" in out.columns:
+            most.append(max((r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    deps = {k: {j for j in (k // 10, k // 15) if j} for k in range(2000)}
+    tasks = rows(spark, task=[str(k) for k in deps], depends_on=[",".join(map(str, v)) for v in deps.values()])
+    got = sorted(tuple(map(int, r)) for r in graph.impact(tasks.select("task"), graph.edges(tasks)).collect())
+    assert got == _reached(deps)
+    assert max(most) < 2 * 500
+
+
+def test_impact_through_a_hub(spark, monkeypatch):
+    """All paths lead over one task: they are dealt out, whichever side is longer, and none is lost or doubled."""
+    monkeypatch.setattr(graph, "ROWS", 500, raising=False)
+    sizes, longer = [], graph._longer
+
+    def counted(*args):
+        out = longer(*args)
+        sizes.extend(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        return out
+
+    monkeypatch.setattr(graph, "_longer", counted)
+    for before, after in ((20, 400), (400, 20)):
+        hub = before
+        deps = {k: set() for k in range(before)} | {hub: set(range(before))} | {k: {hub} for k in range(hub + 1, hub + 1 + after)}
+        tasks = rows(spark, task=[str(k) for k in deps], depends_on=[",".join(map(str, v)) for v in deps.values()])
+        sizes.clear()
+        got = sorted(tuple(map(int, r)) for r in graph.impact(tasks.select("task"), graph.edges(tasks)).collect())
+        assert got == _reached(deps)
+        assert sum(sizes) == before * after and max(sizes) < 4 * 500
+
+
+def test_impact_over_ways_of_unlike_length(spark):
+    rng = np.random.default_rng(5)
+    for n, density in ((12, 0.5), (40, 0.08), (60, 0.03)):
+        deps = {k: {j for j in range(k) if rng.random() < density} for k in range(n)}
+        tasks = rows(spark, task=[str(k) for k in deps], depends_on=[", ".join(map(str, [*v, *v])) for v in deps.values()])
+        got = sorted(tuple(map(int, r)) for r in graph.impact(tasks.select("task"), graph.edges(tasks)).collect())
+        assert got == _reached(deps)
+    for length in (1, 3, 5, 6):
+        names = [*(str(k) for k in range(length)), "in", "out"]
+        circle = rows(spark, task=names, depends_on=[*(f"{(k + 1) % length}" + ",in" * (k == 0) for k in range(length)), "", "0"])
+        with pytest.raises(ValueError):
+            graph.impact(circle.select("task"), graph.edges(circle))
+
+
+def _reached(deps):
+    """(task, affects), by walking up from each task; those it depends on have smaller numbers."""
+    above = {}
+    for k in sorted(deps):
+        above[k] = {k}.union(*(above[j] for j in deps[k]))
+    return sorted((j, k) for k, v in above.items() for j in v)
+
+
 def test_grouping():
     m = np.array([[1, 0.9, 0.1, 0.0], [0.9, 1, 0.2, 0.1], [0.1, 0.2, 1, 0.8], [0.0, 0.1, 0.8, 1]])
     assert [sorted(g.tolist()) for g in cluster.one_level(m, 0.5)] == [[0, 1], [2, 3]]
